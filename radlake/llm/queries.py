@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, suffix, tokens
+from . import lm, minhash, mixing, packing, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,16 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op4_minhash, op5_token_files, op6_quality, op8_suffix, op10_mixing)
+    f.__name__: f for f in (op1_packing, op4_minhash, op5_token_files, op6_quality, op8_suffix, op9_lm, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_minhash": minhash.ORACLE, "op6_quality": quality.ORACLE, "op10_mixing": mixing.ORACLE}
