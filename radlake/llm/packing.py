@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import Scratch, texts
-from .tokens import END, Encoder, default_tokenizer
+from .tokens import END, default_tokenizer, encoder_of
 
 LENGTH = 2048
-#: Pieces of a length that one task ranks, about.
-RANKED = 50_000
+#: Pieces for each part in which a length is ranked, and the most parts.
+RANKED, PARTS = 1000, 4096
 
 
 def pack(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -78,7 +78,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     table = slots(pack(histogram, length)) or [(0, 0, 0, 1, 0, 0)]
     # at most 2 * length patterns with 63 distinct lengths each, by pack() and 1 + 2 + ... + 63 <= 2048
     places = F.broadcast(spark.createDataFrame(table, "_size long, _low long, _high long, _count long, _sequence long, _offset long"))
-    parts = max(1, sum(histogram.values()) // RANKED)
+    parts = max(1, min(PARTS, sum(histogram.values()) // RANKED))
     dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -10,6 +10,7 @@ A data frame holds, little-endian: the number of documents (uint32), their ids
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import MEMO_LIMIT, Scratch, texts
+from .common import Scratch, texts
 
 #: Appended to every document.
 END = struct.pack("<I", 1)
 #: Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 256 << 10
+#: Words of a generation that an encoder remembers.
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -46,8 +49,8 @@ class Encoder:
 
     The vocabulary drops white space and never joins what it separates, so the
     ids of a text are those of its words in turn. New words of a text go to the
-    library together; offsets tell which ids are whose. Two generations of at
-    most MEMO_LIMIT words bound the memory.
+    library together, parted by a special token. Two generations of at most
+    REMEMBERED words bound the memory.
     """
 
     def __init__(self, path: str):
@@ -55,40 +58,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.border, self.content = special[0][0], special[0][1].content
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        new = []
-        for w in dict.fromkeys(words):
-            if w not in self.young:
-                known = self.old.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    self.young[w] = known
-        if not new:
-            return
-        chars = [w.decode() for w in new]
-        starts = np.cumsum([0] + [len(c) + 1 for c in chars])
-        got = self.tokenizer.encode(" ".join(chars), add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        at = np.array([a for a, _ in got.offsets], np.int64)
-        cut = np.searchsorted(at, starts) * 4
+        chars = [w.decode() for w in words]
+        joined = self.content.join(chars)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == self.border) * 4
         raw = ids.tobytes()
-        self.young.update(zip(new, (raw[a:b] for a, b in zip(cut, cut[1:]))))
+        if len(cut) == len(words) - 1:
+            self.young.update(zip(words, (raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]))))
+        else:  # a word holds the special token itself
+            for w, c in zip(words, chars):
+                self.young[w] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian uint32."""
         words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.young) > MEMO_LIMIT:
-            self.old, self.young = self.young, {}
-        self._learn(words)
-        return b"".join(map(self.young.__getitem__, words))
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            holes = [k for k, part in enumerate(parts) if part is None]
+            new = {words[k] for k in holes}
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {}
+            again = [w for w in new if w in self.old]
+            self.young.update(zip(again, map(self.old.__getitem__, again)))
+            new.difference_update(again)
+            if new:
+                self._learn(list(new))
+            for k in holes:
+                parts[k] = self.young[words[k]]
+        return b"".join(parts)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def frame(docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -196,7 +205,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None
         os.makedirs(folder, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
 
         def encoded():
             for batch in batches:
