@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm, minhash, mixing, packing, quality, suffix, tokens
+from . import ann, extract, licenses, lm, minhash, mixing, packing, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -34,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_licenses, op4_minhash, op5_token_files, op6_quality, op8_suffix, op9_lm, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_packing, op2_extraction, op3_licenses, op4_minhash, op5_token_files,
+        op6_quality, op7_neighbours, op8_suffix, op9_lm, op10_mixing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op4_minhash": minhash.ORACLE, "op6_quality": quality.ORACLE, "op10_mixing": mixing.ORACLE}
