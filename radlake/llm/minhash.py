@@ -5,10 +5,13 @@ documents that share a band meet in a bucket. Documents with equal sets are one
 class first, so only different texts meet. In a bucket not all pairs are formed:
 a pivot, the member whose buckets are the fullest, is paired with the others; a
 pair goes on if the signatures agree enough and counts if the full sets do.
-Links make components by alternating large-star and small-star. Buckets that
-still hold several components get more pivots, four times as many each round,
-until every bucket is of one component or every member was its pivot: no link
-between different components of a bucket is passed over.
+Links make components by alternating large-star and small-star.
+
+A bucket that then holds several components may hold links between them that no
+pivot showed. The members of such buckets are joined by the prefix filter on
+their shingles, rarest first, with length and position tests: pairs of different
+components that pass are confirmed on the full sets as well. A copy with words
+of its own has nothing but those in its prefix, and meets no one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members up to which all of a bucket are pivots at once.
+#: Members up to which all of a bucket are pivots.
 SMALL = 6
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _A = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,6 +146,62 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges = small.filter("u != v").distinct()
 
 
+def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b) of the pairs that are links: by signature, then by the full sets of their texts."""
+    sets = classes.select("node", "signature")
+    sides = [sets.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in "ab"]
+    likely = scratch.save(agreeing(pairs.join(sides[0], "a").join(sides[1], "b"), least_agreeing(percent)).distinct(), f"likely-{name}")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    words = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi"), f"texts-{name}")
+    # the end with more pairs is joined last, so that its rows lie together and its set is made once
+    more = likely.select(F.col("a").alias("n")).union(likely.select("b")).groupBy("n").agg(F.count("*").alias("c"))
+    weighed = likely.join(more.select(F.col("n").alias("a"), F.col("c").alias("_x")), "a").join(more.select(F.col("n").alias("b"), F.col("c").alias("_y")), "b")
+    turned = weighed.select(F.when(F.col("_x") >= F.col("_y"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("e")).select("e.a", "e.b")
+    texts_of = lambda n: words.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}"))
+    links = scratch.save(confirmed(turned.join(texts_of("b"), "b").join(texts_of("a"), "a"), percent).distinct(), f"links-{name}")
+    scratch.drop(f"likely-{name}", f"texts-{name}")
+    return links
+
+
+def shingle_rows(docs: DataFrame) -> DataFrame:
+    """(node, size, shingle) from (node, text, component) rows; component is carried along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = HashMemo()
+        for batch in batches:
+            got = [shingles(t, memo).view(np.int64) for t in texts(batch.column(1))]
+            if got:
+                size = pa.array([len(g) for g in got], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, pa.array(got, pa.list_(pa.int64()))], ["node", "component", "size", "s"])
+
+    arrays = docs.select("node", "text", "component").mapInArrow(run, "node long, component long, size int, s array<long>")
+    return arrays.select("node", "component", "size", F.explode("s").alias("s"))
+
+
+def prefix_pairs(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of (node, text, component) rows that may be similar, of different components.
+
+    Exact: sets x and y, x not smaller, are similar only if they share at least
+    need = percent / (100 + percent) * (|x| + |y|) shingles, so they have one in
+    common among the first |x| - need + 1 and |y| - need + 1 of their rarest,
+    and enough are left behind the first common one.
+    """
+    rows = scratch.save(shingle_rows(docs), "shingles")
+    often = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("_x"), F.max("component").alias("_y"))
+    often = often.select("s", "df", (F.col("_x") != F.col("_y")).alias("mixed"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("df", "s")) - 1
+    placed = rows.join(often, "s").withColumn("at", place)
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    kept = scratch.save(placed.filter((F.col("at") < first) & F.col("mixed")).select("node", "component", "size", "s", "at"), "prefixes")
+    x, y = (kept.select("s", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "component", "size", "at")]) for n in "xy")
+    need = F.ceil((F.col("x_size") + F.col("y_size")) * percent / (100 + percent))
+    larger = (F.col("x_size") > F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_node") > F.col("y_node")))
+    enough = (F.col("x_size") - F.col("x_at") >= need) & (F.col("y_size") - F.col("y_at") >= need)
+    close = F.col("y_size") * 100 >= F.col("x_size") * percent
+    met = x.join(y, (x["s"] == y["s"]) & (F.col("x_component") != F.col("y_component")) & larger & close & enough)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id, n_links, component_id, kept: one row per row of docs.
 
@@ -158,55 +217,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = scratch.save(signatures(docs), "signatures")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("signature").alias("signature"))
     classes = scratch.save(classes, "classes")
-    sets = classes.filter("node IS NOT NULL")
-    bands = sets.select("node", F.explode("keys").alias("bucket"))
+    bands = classes.filter("node IS NOT NULL").select("node", F.explode("keys").alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     met = scratch.save(bands.join(full, "bucket"), "met")
-    score = met.groupBy("node").agg(F.sum("members").alias("score"))
-    met = scratch.save(met.join(score, "node"), "buckets")
+    met = scratch.save(met.join(met.groupBy("node").agg(F.sum("members").alias("score")), "node"), "buckets")
     scratch.drop("met")
-    mixed = met.withColumn("component", F.col("node"))
-    used, pivots, turn, tested, links = 0, 1, 0, None, None
-    while True:
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("score").desc(), "node"))
-        chosen = mixed.withColumn("_k", rank).filter(F.col("_k") <= max(pivots, SMALL))
-        chosen = chosen.filter((F.col("_k") > used) & ((F.col("_k") <= pivots) | (F.col("members") <= SMALL)))
-        chosen = chosen.select("bucket", F.col("node").alias("_p"), F.col("component").alias("_c"))
-        pairs = mixed.join(chosen, "bucket").filter(F.col("component") != F.col("_c"))
-        pairs = pairs.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        sides = [sets.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in "ab"]
-        likely = scratch.save(agreeing(pairs.join(sides[0], "a").join(sides[1], "b"), least_agreeing(percent)).distinct(), f"likely{turn}")
-        if not likely.isEmpty():
-            nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            need = sets.join(nodes, "node", "left_semi").select("digest", F.col("node").alias("doc_id"))
-            held = rows.join(need, ["digest", "doc_id"], "left_semi").select("doc_id").distinct()
-            words = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").join(held, "doc_id", "left_semi"), f"texts{turn}")
-            # (b's text first: it is a different one in most rows; a, the pivot, last, with its rows together)
-            hub = likely.groupBy("a").agg(F.count("*").alias("_na"))
-            oriented = likely.join(hub, "a").join(likely.groupBy("b").agg(F.count("*").alias("_nb")), "b")
-            oriented = oriented.select(F.when(F.col("_na") >= F.col("_nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_na") >= F.col("_nb"), F.col("b")).otherwise(F.col("a")).alias("b"))
-            full_pairs = oriented.join(words.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(words.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            new = scratch.save(confirmed(full_pairs, percent).distinct(), f"links{turn}")
-            scratch.drop(f"texts{turn}")
-            links = new if links is None else links.union(new)
-        if links is None:
-            of = docs.sparkSession.createDataFrame([], "node long, component long")
-        else:
-            of = scratch.save(components(links, scratch, f"stars{turn}"), f"components{turn}")
-        used, pivots, turn = pivots, pivots * 4 + 1, turn + 1
-        now = met.filter(F.col("members") > max(used, SMALL)).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = now.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("bucket")
-        mixed = scratch.save(now.join(several, "bucket", "left_semi"), f"mixed{turn}")
-        if mixed.isEmpty():
-            break
-    if links is None:
-        degrees = docs.sparkSession.createDataFrame([], "node long, n_links long")
-    else:
-        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    # the pivot of each bucket; in a small one everyone
+    pivots = met.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("n"))).alias("p")).select("bucket", (-F.col("p.n")).alias("_p"))
+    small = met.filter(F.col("members") <= SMALL).select("bucket", F.col("node").alias("_p"))
+    starred = met.join(pivots.union(small).distinct(), "bucket").filter(F.col("node") != F.col("_p"))
+    pairs = scratch.save(starred.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct(), "pairs")
+    links = confirm(pairs, docs, rows, classes, percent, scratch, "stars")
+    of = scratch.save(components(links, scratch, "first"), "first")
+    named = met.filter(F.col("members") > SMALL).select("node", "bucket").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("bucket")
+    mixed = scratch.save(named.join(several, "bucket", "left_semi").select("node", "component").distinct(), "mixed")
+    if not mixed.isEmpty():
+        held = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(mixed, "node")
+        more = scratch.save(prefix_pairs(held, percent, scratch), "more")
+        links = links.union(confirm(more, docs, rows, classes, percent, scratch, "rest"))
+        of = scratch.save(components(links, scratch, "last"), "last")
+        scratch.drop("shingles", "prefixes")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.select("digest", "node").join(of, "node", "left").join(degrees, "node", "left")
     named = named.select(F.col("digest").alias("_d"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("_d"), "left")
