@@ -35,11 +35,13 @@ LEAST, GRAM = 50, 16
 #: Longest context: a gram with all windows that can own it.
 LONGEST = 2 * LEAST - GRAM
 #: Text bytes for each bucket, about.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 #: Batches with a gram from which its windows are dealt out one by one.
 HOT = 64
 #: Windows of a text that are scanned at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
+#: Occurrences, and bytes of arrays, that a task holds before it passes them on.
+HELD, HELD_BYTES = 100_000, 8 << 20
 _MASK = np.uint64((1 << 24) - 1)
 
 
@@ -172,15 +174,24 @@ def answers_by_document(asked: DataFrame, keep, bits: int) -> DataFrame:
     of doc_id and come out as one row per document.
     """
 
+    def flush(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*got)]
+        h = mix64(columns[0].view(np.uint64))
+        order = np.lexsort((columns[0], h >> np.uint64(64 - bits)))
+        h, columns = h[order], [c[order] for c in columns]
+        yield from rows_of([(b, pack(*(c[s] for c in columns))) for b, s in by_bucket(h, bits)], BLOBS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
         for batch in batches:
-            got = [keep(blob, answer) for blob, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            if got:
-                columns = [np.concatenate(c) for c in zip(*got)]
-                h = mix64(columns[0].view(np.uint64))
-                order = np.lexsort((columns[0], h >> np.uint64(64 - bits)))
-                h, columns = h[order], [c[order] for c in columns]
-                yield from rows_of([(b, pack(*(c[s] for c in columns))) for b, s in by_bucket(h, bits)], BLOBS)
+            for blob, answer in zip(batch.column(1), batch.column(2)):
+                got.append(keep(blob.as_py(), answer.as_py()))
+                size += sum(c.nbytes for c in got[-1])
+                if size > HELD_BYTES:
+                    yield from flush(got)
+                    got, size = [], 0
+        if got:
+            yield from flush(got)
 
     def merge(table: pa.Table) -> pa.Table:
         columns = [np.concatenate(c) for c in zip(*(unpack(b) for b in table.column("blob").to_pylist()))]
@@ -211,20 +222,42 @@ def wanted_grams(blob: bytes, answer: bytes) -> tuple[np.ndarray, ...]:
 
 
 def contexts(docs: DataFrame, bits: int) -> DataFrame:
-    """(bucket, blob, blob of occurrences) for each batch of (doc_id, text, blob of shared grams).
+    """(bucket, blob, blob of occurrences) for each HELD occurrences in (doc_id, text, blob of shared grams).
 
     blob: id, length, smallest and largest document of the batch's different
-    contexts, and their bytes. Occurrences: per context its id, then how many,
+    contexts, and their bytes. Places: per context its id, then how many,
     their documents and where they start.
     """
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("places", pa.binary())])
 
+    def flush(known: dict[bytes, int], grams: list[int], which: list[int], owner: list[int], where: list[int]) -> Iterator[pa.RecordBatch]:
+        pieces = list(known)
+        gram, which = np.array(grams, np.uint64), np.array(which, np.int64)
+        owner, where = np.array(owner, np.int64), np.array(where, np.int64)
+        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+        order = np.argsort(gram, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        which = place[which]
+        by = np.lexsort((owner, which))
+        which, owner, where = which[by], owner[by], where[by]
+        edge = np.searchsorted(which, np.arange(len(order) + 1))
+        rows = []
+        for bucket, s in by_bucket(gram[order], bits):
+            a, b = edge[s.start], edge[s.stop]
+            own = [pieces[k] for k in order[s].tolist()]
+            start, end = edge[s.start : s.stop], edge[s.start + 1 : s.stop + 1]
+            key = ids[order[s]]
+            blob = pack(key, np.fromiter(map(len, own), np.uint8, len(own)), owner[start], owner[end - 1], np.frombuffer(b"".join(own), np.uint8))
+            rows.append((bucket, blob, pack(key, (end - start).astype(np.int32), owner[a:b], where[a:b])))
+        yield from rows_of(rows, schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lists = {}, ([], [], [], [])
+        grams, which, owner, where = lists
         for batch in batches:
-            known: dict[bytes, int] = {}
-            grams, which, owner, where = [], [], [], []
-            for doc_id, text, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
-                shared, hot = unpack(blob)
+            for doc_id, text, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2)):
+                shared, hot = unpack(blob.as_py())
                 order = np.argsort(shared)
                 shared, hot = shared[order], hot[order]
                 h, first, last = anchors(text)
@@ -241,28 +274,12 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
                         which.append(k)
                         owner.append(doc_id)
                         where.append(x)
-            if not grams:
-                continue
-            pieces = list(known)
-            gram, which = np.array(grams, np.uint64), np.array(which, np.int64)
-            owner, where = np.array(owner, np.int64), np.array(where, np.int64)
-            ids = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
-            order = np.argsort(gram, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            which = place[which]
-            by = np.lexsort((owner, which))
-            which, owner, where = which[by], owner[by], where[by]
-            edge = np.searchsorted(which, np.arange(len(order) + 1))
-            rows = []
-            for bucket, s in by_bucket(gram[order], bits):
-                a, b = edge[s.start], edge[s.stop]
-                own = [pieces[k] for k in order[s].tolist()]
-                start, end = edge[s.start : s.stop], edge[s.start + 1 : s.stop + 1]
-                key = ids[order[s]]
-                blob = pack(key, np.fromiter(map(len, own), np.uint8, len(own)), owner[start], owner[end - 1], np.frombuffer(b"".join(own), np.uint8))
-                rows.append((bucket, blob, pack(key, (end - start).astype(np.int32), owner[a:b], where[a:b])))
-            yield from rows_of(rows, schema)
+                if len(where) > HELD:
+                    yield from flush(known, *lists)
+                    for x in (known, *lists):
+                        x.clear()
+        if grams:
+            yield from flush(known, *lists)
 
     return docs.select("doc_id", "text", "blob").mapInArrow(run, "bucket long, blob binary, places binary")
 
