@@ -17,7 +17,7 @@ from radlake.llm.common import Scratch
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; the others go. Rows are told apart by doc_id, source and text."""
     kept = quality.quality(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (quality.content_of(F.col("text")) == F.col("_c"))
+    same = docs["doc_id"].eqNullSafe(kept["_d"]) & docs["source"].eqNullSafe(kept["_s"]) & (quality.content_of(docs["text"]) == kept["_c"])
     return docs.join(kept, same, "left_semi")
 
 
@@ -26,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = minhash.near_duplicates(docs).select("doc_id", "kept")
     groups = Scratch(spark, "groups").save(groups, "groups")
     ids = groups.filter("kept").select(F.col("doc_id").alias("_d"))
-    left = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left if repeated else left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_d"]), "left_semi")
+    single = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return left if single else left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     scratch = Scratch(spark, "mix")
-    hashed = docs.withColumn("h", mixing.hash_of(F.col("doc_id")))
-    sized = scratch.save(hashed.select("source", "h", mixing.size_of(F.col("text")).alias("size")), "sized")
-    taken = mixing.take(hashed, mixing.plan(sized, scratch)).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", mixing.hash_of(F.col("doc_id")).alias("h"))
+    sized = scratch.save(docs.select("source", mixing.hash_of(F.col("doc_id")).alias("h"), mixing.size_of(F.col("text")).alias("size")), "sized")
+    taken = mixing.take(rows, mixing.plan(sized, scratch)).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
