@@ -58,6 +58,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(words: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, HELD at most: all above a count that a histogram by powers shows."""
+    most = HELD if most is None else most
+    level = F.floor(F.log2("n") * 16).cast("int")
+    histogram = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level)  # 1024 rows at most
+    least, total = None, 0
+    for r in histogram:
+        total += r.words
+        if total > most:
+            break
+        least = r.level
+    return [] if least is None else [(bytes(r.word), r.n) for r in words.filter(level >= least).collect()]
+
+
 def encode(docs: DataFrame, held: dict[bytes, tuple[int, int]]) -> DataFrame:
     """Each text as class ids, with the sum over held words; the other words stay to be joined."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("classes", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
@@ -215,8 +229,8 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     words = scratch.save(count_words(docs), "words")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     trained, distinct = int(whole[0]), int(whole[1])
-    top = words.filter("length(word) > 0").orderBy(F.col("n").desc(), "word").limit(HELD).collect()  # HELD rows at most
-    held = {bytes(r.word): (r.n, k if k < OWN else tail_class(bytes(r.word))) for k, r in enumerate(top)}
+    top = sorted(frequent(words.filter("length(word) > 0")), key=lambda r: (-r[1], r[0]))
+    held = {word: (n, k if k < OWN else tail_class(word)) for k, (word, n) in enumerate(top)}
     ends = words.filter("length(word) = 0").first()
     if ends:
         held[b""] = (ends.n, END_CLASS)

@@ -477,7 +477,8 @@ def cut_texts(docs: DataFrame, lost: DataFrame, texts_too: bool = False) -> Data
                     columns += [pa.array(kept, pa.string()), batch.column(4)]
                 yield pa.RecordBatch.from_arrays(columns, [n for n, _ in names] + (["text", "held"] if texts_too else []))
 
-    joined = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(lost, "doc_id", "left").select("doc_id", "text", "blob", "copies", held.alias("held"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    joined = plain.join(lost, "doc_id", "left").select("doc_id", "text", "blob", "copies", "held")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if texts_too:
         schema += ", text string, held " + joined.schema["held"].dataType.simpleString()
