@@ -49,8 +49,10 @@ class Encoder:
 
     The vocabulary drops white space and never joins what it separates, so the
     ids of a text are those of its words in turn. New words of a text go to the
-    library together, parted by a special token. Two generations of at most
-    REMEMBERED words bound the memory.
+    library together. Words of letters, and maybe a full stop or comma behind,
+    are one or two units of the vocabulary, whose last tokens are marked; other
+    words are parted by a special token. Two generations of at most REMEMBERED
+    words bound the memory.
     """
 
     def __init__(self, path: str):
@@ -60,20 +62,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.border, self.content = special[0][0], special[0][1].content
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _learn(self, words: list[bytes]) -> None:
-        chars = [w.decode() for w in words]
-        joined = self.content.join(chars)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == self.border) * 4
-        raw = ids.tobytes()
-        if len(cut) == len(words) - 1:
-            self.young.update(zip(words, (raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)]))))
-        else:  # a word holds the special token itself
-            for w, c in zip(words, chars):
-                self.young[w] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        plain, units, other = [], [], []
+        for w in words:
+            c = w.decode()
+            if c.isalpha():
+                plain.append((w, c))
+                units.append(1)
+            elif c[-1] in ".," and c[:-1].isalpha():
+                plain.append((w, c))
+                units.append(2)
+            else:
+                other.append((w, c))
+        if plain:
+            ids = self._ids(" ".join([c for _, c in plain]))
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == sum(units):
+                cut = ((ends[np.cumsum(units) - 1] + 1) * 4).tolist()
+                raw = ids.tobytes()
+                self.young.update(zip([w for w, _ in plain], [raw[a:b] for a, b in zip([0, *cut], cut)]))
+            else:  # a letter that is taken apart when normalised
+                other += plain
+        if other:
+            ids = self._ids(self.content.join([c for _, c in other]))
+            cut = (np.flatnonzero(ids == self.border) * 4).tolist()
+            raw = ids.tobytes()
+            if len(cut) == len(other) - 1:
+                self.young.update(zip([w for w, _ in other], [raw[a:b] for a, b in zip([0, *(x + 4 for x in cut)], [*cut, len(raw)])]))
+            else:  # a word holds the special token itself
+                self.young.update((w, self._ids(c).tobytes()) for w, c in other)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian uint32."""
