@@ -13,6 +13,7 @@ from .operators import catalog as C
 from .operators import cfind as Q
 from .operators import deid as D
 from .operators import kernels as K
+from .operators import lists as L
 from .operators import reports as R
 from .operators import rules as RU
 from .operators import voxels as V
@@ -658,3 +659,117 @@ def mask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"type": "fill_holes"}, {"type": "remove_small", "parameters": {"min_size_mm3": 4}},
     ]
     return P.run(steps, {"reference": _mask(spark, sf_dir, "A"), "test": _mask(spark, sf_dir, "R")}, SIZE)
+
+
+# --- lists and states -------------------------------------------------------------------
+
+
+@query(cte("patient") + "SELECT patient_id FROM patient WHERE contains(lower(patient_name), '12') OR contains(lower(gender), '12')")
+def search_any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.search(T.patients(spark, sf_dir), ["patient_name", "gender"], "12").select("patient_id")
+
+
+@query(cte("study") + "SELECT study_uid FROM study WHERE modality = 'F' AND study_date >= DATE '1997-01-01' AND study_date <= DATE '1997-06-30'")
+def optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.optional(T.studies(spark, sf_dir), {"modality": "F", "study_description": ""}, {"study_date": ("1997-01-01", "1997-06-30"), "accession": (None, None)}).select("study_uid")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, ts, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'TASK_NOT_FOUND' ELSE 'RTSTRUCT_READY' END AS s FROM events WHERE event_type <> 'error')
+WHERE (s IS NULL OR s <> 'RTSTRUCT_READY') AND NOT (coalesce(s, '') = 'TASK_NOT_FOUND' AND ts < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY)""")
+def polling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.transactions(spark, sf_dir)
+    status = F.when(F.col("ae") % 3 == 0, None).when(F.col("ae") % 3 == 1, "TASK_NOT_FOUND").otherwise("RTSTRUCT_READY")
+    exports = e.select("event_id", F.col("ts").alias("transfer_time"), status.alias("server_status"), F.when(F.col("kind") == "error", "FAILED").otherwise("COMPLETED").alias("transfer_status"))
+    return L.to_poll(exports, F.lit("2024-01-30").cast("timestamp_ntz"), ["RTSTRUCT_READY"]).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 2 = 0 AND '10.0.' || (user_id % 4) || '.1' LIKE '10.0.2%'")
+def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.transactions(spark, sf_dir).withColumn("ae_title", F.col("ae").cast("string")).withColumn("ip", F.concat(F.lit("10.0."), (F.col("ae") % 4).cast("string"), F.lit(".1")))
+    titles = e.select("ae_title", (F.col("ae") % 2 == 0).alias("is_active")).distinct()
+    return L.allowed(e, titles, ["10.0.2"]).select("event_id")
+
+
+@query("SELECT p_partkey FROM part")
+def batch_gate_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.gate(T.table(spark, sf_dir, "part"), {"size": F.col("p_size") > 0, "name": F.col("p_name") != ""}).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE (SELECT min(p_size) FROM part) > 5")
+def batch_gate_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.gate(T.table(spark, sf_dir, "part"), {"size": F.col("p_size") > 5}).select("p_partkey")
+
+
+@query("""SELECT l_orderkey, destination, attempt FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY attempt) AS k FROM (SELECT l_orderkey, destination, ok,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY is_primary DESC, priority, destination) AS attempt FROM (SELECT DISTINCT l_orderkey, l_suppkey AS destination, l_suppkey % 5 = 0 AS is_primary, l_suppkey % 7 AS priority, l_suppkey % 3 > 0 AS ok FROM lineitem)) WHERE ok) WHERE k = 1""")
+def export_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("l_suppkey")
+    attempts = T.table(spark, sf_dir, "lineitem").select("l_orderkey", s.alias("destination"), (s % 5 == 0).alias("is_primary"), (s % 7).alias("priority"), (s % 3 > 0).alias("success")).distinct()
+    return L.first_success(attempts, "l_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'RULE_MATCHED' ELSE 'RTSTRUCTURE_RECEIVED' END AS status FROM orders""")
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.when(F.col("o_orderstatus") == "F", "UNPROCESSED").otherwise("RTSTRUCTURE_RECEIVED")
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", L.next_status(now, F.lit("RULE_MATCHED")).alias("status"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN f > 0 AND d > 0 THEN 'PARTIAL' WHEN f > 0 THEN 'FAILED' WHEN d >= t THEN 'SUCCESS' ELSE 'IN_PROGRESS' END AS status FROM (SELECT l_orderkey AS o_orderkey, count(*) AS t, count(*) FILTER (l_returnflag = 'A') AS d, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)""")
+def retrieve_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("t"), F.count_if(F.col("l_returnflag") == "A").alias("d"), F.count_if(F.col("l_returnflag") == "R").alias("f"))
+    return n.select("o_orderkey", L.job_status(F.col("t"), F.col("d"), F.col("f")).alias("status"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (CASE WHEN p_size > 30 THEN 'value' END) WHEN 1 THEN 'operator' ELSE (CASE WHEN p_size > 30 THEN 'value' END) END AS error FROM part""")
+def rule_write_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    value = F.when(F.col("p_size") > 30, F.lit("x y")).otherwise(F.col("p_size").cast("string"))
+    vr = F.when(k == 0, "DS").when(k == 1, "LO").otherwise("")
+    operator = F.when(k == 1, "GREATER_THAN").otherwise("LESS_THAN")
+    return T.table(spark, sf_dir, "part").select("p_partkey", L.rule_error(vr, operator, value).alias("error"))
+
+
+@query("""SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'created' WHEN b.p_partkey IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' ELSE 'updated' END AS change
+FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_size < 30) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS v FROM part WHERE p_size > 10) b USING (p_partkey)""")
+def mapping_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.table(spark, sf_dir, "part")
+    wanted = p.filter("p_size > 10").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("v"))
+    return L.mapping_changes(p.filter("p_size < 30").select("p_partkey", F.col("p_brand").alias("v")), wanted, "p_partkey", "v")
+
+
+@query("""WITH n AS (SELECT s_suppkey AS node, s_suppkey % 4 = 0 AS p, s_suppkey % 3 = 0 AS f, s_suppkey % 10 AS priority FROM supplier) SELECT 'primary_and_fallback' AS rule, node FROM n WHERE p AND f
+UNION ALL SELECT 'priority', node FROM (SELECT *, count(*) OVER (PARTITION BY priority) AS c FROM n WHERE f) WHERE c > 1""")
+def node_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    nodes = T.table(spark, sf_dir, "supplier").select(s.alias("node"), (s % 4 == 0).alias("is_primary"), (s % 3 == 0).alias("is_fallback"), (s % 10).alias("priority"))
+    return L.violations(nodes)
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 45 THEN 'unreadable' WHEN l_returnflag = 'N' THEN 'modality' WHEN l_linenumber = 2 THEN 'series' WHEN l_linestatus = 'F' AND l_linenumber = 3 THEN 'checksum' END AS reason FROM lineitem) GROUP BY 1""")
+def rtstruct_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    files = T.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") <= 45).alias("readable"), F.when(F.col("l_returnflag") == "N", "CT").otherwise("RTSTRUCT").alias("modality"), F.when(n != 1, n).alias("referenced_series"),
+        F.when(n == 2, 0).otherwise(n).alias("expected_series"), F.when(F.col("l_linestatus") == "F", F.when(n == 3, "x").otherwise("y")).alias("header_checksum"), F.lit("y").alias("checksum"),
+    )
+    return R.breakdown(L.accepted(files), "reason")
+
+
+@query("""SELECT l_orderkey, l_suppkey, top + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS roi_number FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N') JOIN (SELECT l_orderkey, max(l_linenumber) AS top FROM lineitem GROUP BY 1) USING (l_orderkey)""")
+def append_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = T.table(spark, sf_dir, "lineitem")
+    rows = line.select("l_orderkey", F.col("l_linenumber").alias("roi_number"))
+    added = line.filter("l_returnflag = 'N'").select("l_orderkey", "l_suppkey").distinct()
+    return L.append_numbered(rows, added, "l_orderkey", "roi_number", "l_suppkey").select("l_orderkey", "l_suppkey", F.col("roi_number").cast("long").alias("roi_number"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, least(255.0, greatest(0.0, (l_quantity * 10.0 - 100.0 - 0.0) / 200.0 * 255)) AS shade FROM lineitem")
+def windowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", L.windowed(F.col("l_quantity"), 100.0, 200.0, 10.0, -100.0).alias("shade"))
+
+
+@query("""SELECT template, count(DISTINCT model) AS n_models, count(*) AS n_structures FROM (SELECT DISTINCT p_type AS template, p_brand AS model, p_name AS structure FROM part) GROUP BY 1""")
+def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.table(spark, sf_dir, "part").select(F.col("p_type").alias("template"), F.col("p_brand").alias("model"), F.col("p_name").alias("structure")).distinct()
+    per_model = p.groupBy("template", "model").agg(F.count("*").alias("n"))
+    return per_model.groupBy("template").agg(F.count("*").alias("n_models"), F.sum("n").alias("n_structures"))
