@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, texts
 
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 20
 #: Longest context: a gram with all windows that can own it.
 LONGEST = 2 * LEAST - GRAM
 #: Text bytes for each bucket, about.
@@ -99,12 +99,18 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for begin in range(0, len(text) - LEAST + 1, BLOCK):
         piece = text[begin : begin + BLOCK + LEAST - 1]
-        n = len(piece) - 7
-        eight = np.ndarray((n,), "<u8", piece, strides=(1,)).astype(np.uint64)
-        gram = mix64(mix64(eight[:-8]) + eight[8:])
-        least = (gram & ~_MASK) | np.arange(len(gram), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16, LEAST - GRAM + 1 - 32):
+        n = len(piece) - GRAM + 1
+        eight = np.ndarray((len(piece) - 7,), "<u8", piece, strides=(1,)).astype(np.uint64)
+        gram = eight[:n]
+        for at in (*range(8, GRAM - 8, 8), GRAM - 8):
+            gram = mix64(gram) + eight[at : at + n]
+        gram = mix64(gram)
+        least = (gram & ~_MASK) | np.arange(n, dtype=np.uint64)
+        width = 1
+        while width < LEAST - GRAM + 1:  # the least of so many neighbours
+            step = min(width, LEAST - GRAM + 1 - width)
             least = np.minimum(least[:-step], least[step:])
+            width += step
         owner = (least & _MASK).astype(np.int64)
         cut = np.flatnonzero(np.diff(owner)) + 1
         first = np.concatenate([[0], cut])
@@ -438,13 +444,14 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.save(ids.join(first, "digest").filter("doc_id > _first").select("doc_id", "digest").distinct(), "copies")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     bits = max(4, min(40, int(total // BUCKET_BYTES).bit_length()))
-    single = docs.join(copies, ["doc_id", "digest"], "left_anti")
+    # a merge join at any size: the plan for small tables would be another one
+    single = docs.join(copies.hint("merge"), ["doc_id", "digest"], "left_anti")
     prints = scratch.save(fingerprints(single, bits), "prints")
     shared = scratch.save(shared_grams(prints), "shared")
     asked = prints.join(shared.withColumnRenamed("blob", "answer"), "bucket")
     wanted = scratch.save(answers_by_document(asked, wanted_grams, bits), "wanted")
     scratch.drop("prints", "shared")
-    found = scratch.save(contexts(single.drop("digest").join(wanted, "doc_id"), bits), "contexts")
+    found = scratch.save(contexts(docs.drop("digest").join(wanted, "doc_id"), bits), "contexts")
     scratch.drop("wanted")
     asked = found.select("bucket", F.col("places").alias("blob")).join(scratch.save(marks(found), "marks"), "bucket")
     lost = scratch.save(answers_by_document(asked, removals, bits), "lost")
