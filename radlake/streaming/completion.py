@@ -44,7 +44,12 @@ QUIET_MS = 600_000
 
 
 def completed_series(received: DataFrame) -> DataFrame:
-    """(ae, series_uid, n, first, last) from a stream of (event_id, ts, ae, series_uid)."""
+    """(ae, series_uid, n, first, last) from a stream of (event_id, ts, ae, series_uid).
+
+    A timeout by processing time asks for batches without data for ever: a query
+    with the trigger availableNow ends only if it starts while
+    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    """
     return received.groupBy("ae").applyInPandasWithState(complete, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 

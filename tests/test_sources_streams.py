@@ -58,8 +58,10 @@ def test_stream_completion_equals_islands(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ae"), F.col("event_type").alias("series_uid"))
     e.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = completion.completed_series(stream).writeStream.outputMode("append").format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert q.awaitTermination(120)
     got = spark.table("done").toPandas()
     batch = C.change_runs(e, "ae", "series_uid", ["ts", "event_id"]).toPandas()
     last = batch.groupby("ae").run.transform("max") == batch.run
