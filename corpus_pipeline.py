@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows that repeat a doc_id become one."""
-    groups = minhash.near_duplicates(docs).select("doc_id", "kept")
+    """One document of each group of similarity 0.8: the one with the smallest doc_id. Rows that repeat a doc_id become one."""
+    groups = minhash.near_duplicates(docs, minhash.STAGE_PERCENT).select("doc_id", "kept")
     groups = Scratch(spark, "groups").save(groups, "groups")
     ids = groups.filter("kept").select(F.col("doc_id").alias("_d"))
     left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_d"]), "left_semi")

@@ -28,10 +28,11 @@ from pyspark.sql.window import Window as W
 from .common import LOWER, HashMemo, Scratch, mix64, texts, windows
 
 SHINGLE = 5
-#: 24 bands of 4 rows: a pair of similarity 0.85 shares none with probability 2e-8.
+#: 24 bands of 4 rows: a pair of similarity 0.85 shares none with probability 2e-8, one of 0.8 with 3e-6.
 BANDS, ROWS = 24, 4
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= PERCENT * union; PERCENT is that of op4_minhash, STAGE_PERCENT that of the corpus pipeline.
 PERCENT = 85
+STAGE_PERCENT = 80
 #: Members up to which all of a bucket are pivots.
 SMALL = 6
 _RANDOM = np.random.Generator(np.random.PCG64(20))
