@@ -2,9 +2,9 @@
 
 A line is normalised (ASCII lower case, one space between words) and hashed. Per
 host (source) the distinct documents that hold it are counted, exact copies of a
-text as one. A short line that more documents of its host hold than the limit is
-boilerplate and does not count as content; a document left with too few words is
-depleted and rejected. Long lines are passages, not boilerplate, and stay.
+text as one. A line of any length that more documents of its host hold than the
+limit is boilerplate and does not count as content; a document left with too few
+words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import LOWER, HashMemo, Scratch, texts, windows
 
 #: Documents of a host that may share a line.
 LINE_LIMIT = 50
-#: Words up to which a line may be boilerplate.
+#: Words up to which a line may be boilerplate in ORACLE; the operator has no such bound.
 LINE_WORDS = 15
 #: Words, and hundredths of its words, that a document must keep.
 LEAST_WORDS, LEAST_SHARE = 20, 20
@@ -54,12 +54,12 @@ def repeated_words(hashes: np.ndarray, n: int = WINDOW) -> int:
 
 
 def measure(text: bytes, memo: HashMemo) -> tuple[list[int], list[int], list[int]]:
-    """COUNTS, and the distinct short normalised lines with their words in all."""
+    """COUNTS, and the distinct normalised lines with their words in all."""
     words = text.split()
     joined = b"".join(words)
     chars = len(joined) if joined.isascii() else len(joined.decode())
     seen: set[bytes] = set()
-    short: dict[bytes, int] = {}
+    whole: dict[bytes, int] = {}
     dup = 0
     for line in text.split(b"\n"):
         of_line = line.split()
@@ -69,13 +69,12 @@ def measure(text: bytes, memo: HashMemo) -> tuple[list[int], list[int], list[int
             dup += 1
         else:
             seen.add(line)
-        if len(of_line) <= LINE_WORDS:
-            key = b" ".join(of_line).translate(LOWER)
-            short[key] = short.get(key, 0) + len(of_line)
+        key = b" ".join(of_line).translate(LOWER)
+        whole[key] = whole.get(key, 0) + len(of_line)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeat = repeated_words(memo.of(words)) if len(words) > WINDOW else 0
-    keys = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in short]
-    return [len(words), chars, symbols, dup, repeat], keys, list(short.values())
+    keys = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in whole]
+    return [len(words), chars, symbols, dup, repeat], keys, list(whole.values())
 
 
 def content_of(text):
@@ -123,7 +122,7 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     return out.select("doc_id", "source", "content", *COUNTS, "n_left", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
-#: The same in SQL; lines themselves instead of their hashes.
+#: The same in SQL; lines themselves instead of their hashes, and only those of at most LINE_WORDS words.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^ \t-\r]+') AS ws, string_split(text, chr(10)) AS ls FROM d),

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from radlake.llm import quality
 
 from . import brute
 
@@ -21,3 +22,11 @@ def test_near_dedup_links_from_80(spark):
     assert all(0.80 < len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.85 for k in range(0, 24, 2))
     left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert sorted(r.doc_id for r in left.collect()) == list(range(0, 24, 2))
+
+
+def test_long_lines_count(spark):
+    notice = " ".join(f"term{k}" for k in range(40))
+    clean = lambda k: " ".join(f"own{k}x{n}" for n in range(30))
+    rows = [(k, f"page {k}\n{notice}", "h") for k in range(60)] + [(100 + k, f"{clean(k)}\n{notice}", "h") for k in range(5)] + [(200 + k, f"{notice}\npage {k}", "few") for k in range(40)]
+    got = {r.doc_id: (r.kept, r.n_left) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k] == (False, 2) for k in range(60)) and all(got[100 + k] == (True, 30) for k in range(5)) and all(got[200 + k] == (True, 42) for k in range(40))
