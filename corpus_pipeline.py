@@ -15,10 +15,14 @@ from radlake.llm.common import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; the others go. Rows are told apart by doc_id, source and text."""
-    kept = quality.quality(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"))
+    """Documents that the rules keep, without their frequent lines; the others go. Rows are told apart by doc_id, source and text."""
+    kept = quality.quality(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"), F.col("frequent_lines").alias("_lines"))
+    kept = kept.dropDuplicates(["_d", "_s", "_c"])
     same = docs["doc_id"].eqNullSafe(kept["_d"]) & docs["source"].eqNullSafe(kept["_s"]) & (quality.content_of(docs["text"]) == kept["_c"])
-    return docs.join(kept, same, "left_semi")
+    out = docs.join(kept, same).withColumn("text", quality.without_lines(F.col("text"), F.col("_lines")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, HashMemo, Scratch, texts, windows
@@ -53,13 +54,18 @@ def repeated_words(hashes: np.ndarray, n: int = WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def key_of(words: list[bytes]) -> int:
+    """The hash of a normalised line."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words).translate(LOWER)) - (1 << 63)
+
+
 def measure(text: bytes, memo: HashMemo) -> tuple[list[int], list[int], list[int]]:
     """COUNTS, and the distinct normalised lines with their words in all."""
     words = text.split()
     joined = b"".join(words)
     chars = len(joined) if joined.isascii() else len(joined.decode())
     seen: set[bytes] = set()
-    whole: dict[bytes, int] = {}
+    whole: dict[int, int] = {}
     dup = 0
     for line in text.split(b"\n"):
         of_line = line.split()
@@ -69,12 +75,30 @@ def measure(text: bytes, memo: HashMemo) -> tuple[list[int], list[int], list[int
             dup += 1
         else:
             seen.add(line)
-        key = b" ".join(of_line).translate(LOWER)
+        key = key_of(of_line)
         whole[key] = whole.get(key, 0) + len(of_line)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     repeat = repeated_words(memo.of(words)) if len(words) > WINDOW else 0
-    keys = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in whole]
-    return [len(words), chars, symbols, dup, repeat], keys, list(whole.values())
+    return [len(words), chars, symbols, dup, repeat], list(whole), list(whole.values())
+
+
+def without_lines(text: Column, lines: Column) -> Column:
+    """The text without the lines whose hashes are given; as it is if none are."""
+
+    @F.pandas_udf("string")
+    def cut(values: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = []
+        for value, gone in zip(values, hashes):
+            if value is None or gone is None:
+                out.append(None)
+                continue
+            drop = set(gone.tolist())
+            kept = [x for x in value.encode().split(b"\n") if not (w := x.split()) or key_of(w) not in drop]
+            out.append(b"\n".join(kept).decode())
+        return pd.Series(out, dtype=object)
+
+    some = F.size(lines) > 0
+    return F.when(some, cut(F.when(some, text), F.when(some, lines))).otherwise(text)
 
 
 def content_of(text):
@@ -98,7 +122,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
-    """doc_id, source, content (a hash of the text), the counts, n_left (words without boilerplate), base_failed, kept.
+    """doc_id, source, content (a hash of the text), the counts, n_left (words without boilerplate), frequent_lines (hashes of the boilerplate lines it has), base_failed, kept.
 
     One row per row of docs. Null text is empty and fails; a null source is a
     host of its own; rows with the same doc_id are told apart by their text, and
@@ -114,12 +138,12 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     salted = lines.withColumn("_to", F.pmod("content", F.lit(SALTS)).cast("int"))
     hits = salted.join(often, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line")) & (F.col("_to") == F.col("_salt")), "left_semi")
     removed = hits.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"), "line").agg(F.max("words").alias("_w"))
-    removed = removed.groupBy("_d", "_s", "_c").agg(F.sum("_w").alias("_removed"))
+    removed = removed.groupBy("_d", "_s", "_c").agg(F.sum("_w").alias("_removed"), F.collect_list("line").alias("_lines"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("content") == F.col("_c"))
     out = rows.drop("lines", "line_words").join(removed, same, "left").withColumn("n_left", F.col("n_words") - F.coalesce("_removed", F.lit(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = F.col("_removed").isNotNull() & ((F.col("n_left") < LEAST_WORDS) | (100 * F.col("n_left") < LEAST_SHARE * F.col("n_words")))
-    return out.select("doc_id", "source", "content", *COUNTS, "n_left", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return out.select("doc_id", "source", "content", *COUNTS, "n_left", F.coalesce("_lines", F.array().cast("array<long>")).alias("frequent_lines"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 #: The same in SQL; lines themselves instead of their hashes, and only those of at most LINE_WORDS words.

@@ -30,3 +30,12 @@ def test_long_lines_count(spark):
     rows = [(k, f"page {k}\n{notice}", "h") for k in range(60)] + [(100 + k, f"{clean(k)}\n{notice}", "h") for k in range(5)] + [(200 + k, f"{notice}\npage {k}", "few") for k in range(40)]
     got = {r.doc_id: (r.kept, r.n_left) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[k] == (False, 2) for k in range(60)) and all(got[100 + k] == (True, 30) for k in range(5)) and all(got[200 + k] == (True, 42) for k in range(40))
+
+
+def test_quality_stage_cuts_frequent_lines(spark):
+    own = lambda k: " ".join(f"Ówn{k}x{n}" for n in range(30))
+    rows = [(k, f"Home  About\n\n{own(k)}\nhome about\n© all rights reserved by the site", "h", 1) for k in range(60)] + [(100, f"Home About\n{own(100)}", "other", 1)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, source string, n_chars int")
+    left = corpus_pipeline.quality_rules(spark, docs, "")
+    want = [(k, f"\n{own(k)}", "h", len(own(k)) + 1) for k in [*range(60), 0]] + [(100, rows[60][1], "other", len(rows[60][1]))]
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(want)
