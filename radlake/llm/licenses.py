@@ -1,11 +1,14 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, as the set of its words. It matches a template if it holds
-THRESHOLD of the template's words. Tokens are ordered by how many blocks of the
-corpus hold them, rarest first. A block must then hold one of the first
+A block is a run of consecutive words of the whole text, line ends or not, a
+quarter longer than the template (RUN), as the set of its words. It matches if it
+holds THRESHOLD of the template's words. Tokens are ordered by how often the
+corpus holds them, rarest first. A block must then hold one of the first
 m - need + 1 tokens of a template of m tokens (prefix filter), at least ``need``
 template tokens in all (length filter), and at the first common token enough
-must be left on both sides (positional filter); what passes is compared in full.
+must be left on both sides (positional filter); what passes is compared in full. The filters are applied to
+stretches around the rare words of a text first, then every run in those that
+pass is counted.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ TEMPLATES = [
 ]
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.8
+#: Words of a block, for each word of its template.
+RUN = 1.25
 #: Bytes that aren't in [^\x00-\x2F\x3A-\x60\x7B-\x7F] become spaces; A-Z become lower case before.
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in LOWER)
 
@@ -49,15 +54,16 @@ def templates() -> list[tuple[str, frozenset[bytes]]]:
 
 
 def frequencies(docs: DataFrame) -> dict[bytes, int]:
-    """In how many blocks of the corpus each template token is: one row per such token."""
+    """How often the corpus holds each template token: one row per such token."""
     wanted = frozenset().union(*(t for _, t in templates()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in texts(batch.column(0)):
-                for line in text.translate(_LINES).split(b"\n"):
-                    counts.update(wanted.intersection(line.split()))
+                words = words_of(text)
+                if not wanted.isdisjoint(words):
+                    counts.update(filter(wanted.__contains__, words))
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
@@ -65,10 +71,6 @@ def frequencies(docs: DataFrame) -> dict[bytes, int]:
     return {bytes(r.token): r.n for r in rows}
 
 
-#: As _WORDS, but line ends stay.
-_LINES = bytes(0x0A if b == 0x0A else _WORDS[b] for b in range(256))
-
-
 class Matcher:
     """Templates whose threshold a block meets."""
 
@@ -82,6 +84,7 @@ class Matcher:
             for place, token in enumerate(sorted(s)[: len(s) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, place))
         self.rare = frozenset(tokens[t] for t in self.prefix)
+        self.length = [math.ceil(RUN * len(words_of(text.encode()))) for _, text in TEMPLATES]
 
     def match(self, words: list[bytes]) -> list[tuple[str, float]]:
         block = sorted({self.order[w] for w in words if w in self.order})
@@ -100,6 +103,46 @@ class Matcher:
                     out.append((label, common / len(own)))
         return out
 
+    def runs(self, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """(place, label, containment) of the best of each group of overlapping runs that match."""
+        out = []
+        reach = max(self.length)
+        near = [at for at, w in enumerate(words) if w in self.rare]
+        first = 0
+        for k, at in enumerate(near):
+            if k + 1 < len(near) and near[k + 1] - at < 2 * reach:
+                continue
+            start, stretch = max(0, near[first] - reach + 1), words[max(0, near[first] - reach + 1) : at + reach]
+            first = k + 1
+            passed = {label for label, _ in self.match(stretch)}
+            for (label, own, need), length in zip(self.sets, self.length):
+                if label in passed:
+                    places = [(start + n, t) for n, w in enumerate(stretch) if (t := self.order.get(w)) in own]
+                    out += [(place, label, most / len(own)) for place, most in best_runs(places, length, need)]
+        return sorted(out)
+
+
+def best_runs(places: list[tuple[int, int]], length: int, need: int) -> Iterator[tuple[int, int]]:
+    """(place, distinct tokens) of the first best run of each group of overlapping runs with need tokens."""
+    held: Counter[int] = Counter()
+    left, best, end = 0, None, -1
+    for at, token in places:
+        held[token] += 1
+        while at - places[left][0] >= length:
+            held[places[left][1]] -= 1
+            if not held[places[left][1]]:
+                del held[places[left][1]]
+            left += 1
+        if len(held) >= need:
+            if best and places[left][0] > end:
+                yield best
+                best = None
+            if not best or len(held) > best[1]:
+                best = (places[left][0], len(held))
+            end = at
+    if best:
+        yield best
+
 
 def scan_text(text: bytes, matcher: Matcher) -> tuple:
     words = words_of(text)
@@ -112,10 +155,7 @@ def scan_text(text: bytes, matcher: Matcher) -> tuple:
             base.add(label)
     found = []
     if not matcher.rare.isdisjoint(words):
-        for k, line in enumerate(text.translate(_LINES).split(b"\n")):
-            of_line = line.split()
-            if not matcher.rare.isdisjoint(of_line):
-                found += [(k, label, share) for label, share in matcher.match(of_line)]
+        found = matcher.runs(words)
     labels = base | {label for _, label, _ in found}
     score = max([share for _, _, share in found] + [0.5 * bool(places)])
     blocks = [{"block": k, "label": label, "containment": share} for k, label, share in found]
@@ -125,7 +165,7 @@ def scan_text(text: bytes, matcher: Matcher) -> tuple:
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks per row.
 
-    blocks: line number, template label and containment of every match. score:
+    blocks: number of the first word, template label and containment of every match. score:
     the best containment; 0.5 if only phrases are found, else 0. Null and empty
     texts have no words and no labels (empty strings); repeated rows give
     repeated results; an empty table gives no row; other columns are not read.

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from radlake.llm import quality
+from radlake.llm import licenses, quality
 
 from . import brute
 
@@ -39,3 +39,36 @@ def test_quality_stage_cuts_frequent_lines(spark):
     left = corpus_pipeline.quality_rules(spark, docs, "")
     want = [(k, f"\n{own(k)}", "h", len(own(k)) + 1) for k in [*range(60), 0]] + [(100, rows[60][1], "other", len(rows[60][1]))]
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(want)
+
+
+def test_licenses_over_lines():
+    matcher = licenses.Matcher({})
+    scan = lambda t: {(b["label"], b["containment"]) for b in licenses.scan_text(t.encode(), matcher)[7]}
+    for label, text in licenses.TEMPLATES:
+        w = text.split()
+        wrapped = "\n".join(" * " + " ".join(w[k : k + 3]) for k in range(0, len(w), 3))
+        assert (label, 1.0) in scan(f"some code\n{wrapped}\nmore") and (label, 1.0) in scan("word " * 5000 + text + " word" * 5000)
+    far = " other words".join(f"{' filler' * 40} {w}" for w in ("released", "under", "the", "mit", "license"))
+    assert not scan(far)
+    twice = licenses.scan_text(("Released under the MIT License. " + "x " * 60).encode() * 2, matcher)[7]
+    assert [(b["block"], b["label"]) for b in twice] == [(0, "mit-notice"), (65, "mit-notice")]
+
+
+def test_license_runs_are_exact():
+    rng = random.Random(6)
+    pool = sorted(frozenset().union(*(t for _, t in licenses.templates()))) + [b"zz", b"yy", b"xx"] * 20
+    for _ in range(60):
+        words = []
+        for _ in range(8):
+            part = rng.choice(licenses.TEMPLATES)[1].encode()
+            words += [w if rng.random() < 0.85 else rng.choice(pool) for w in licenses.words_of(part)] + rng.choices(pool, k=rng.randint(0, 60))
+        matcher = licenses.Matcher({w: rng.randint(0, 50) for w in pool})
+        got = {}
+        for _, label, share in matcher.runs(words):
+            got[label] = max(share, got.get(label, 0))
+        want = {}
+        for (label, own, need), n in zip([(x, s, -(-4 * len(s) // 5)) for x, s in licenses.templates()], matcher.length):
+            most = max(len(own.intersection(words[k : k + n])) for k in range(len(words)))
+            if most >= need:
+                want[label] = most / len(own)
+        assert got == want
