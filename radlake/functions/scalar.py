@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Colour names and values, tried after the RGB form (fixed values).
 COLORS = {
     "yellow": (255, 255, 0), "red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
-    "orange": (255, 165, 0), "purple": (128, 0, 128), "white": (255, 255, 255), "black": (0, 0, 0), "skin": (255, 224, 189),
+    "orange": (255, 165, 0), "purple": (128, 0, 128), "white": (255, 255, 255), "black": (0, 0, 0), "pink": (255, 192, 203), "brown": (165, 42, 42),
+    "gray": (128, 128, 128), "grey": (128, 128, 128), "skin rendering": (255, 224, 189), "skin": (255, 224, 189), "bone rendering": (255, 245, 238), "bone": (255, 245, 238),
 }
 
 
@@ -88,18 +89,21 @@ def valid_color(value: Column) -> Column:
 
 
 def color(value: Column) -> Column:
-    """A colour as R\\G\\B: a word before it is dropped, then RGB, a name, #hex or a packed integer; else null."""
-    text = F.trim(F.regexp_replace(F.trim(value), r"(?i)^(segment|translucent|transparent|contour|opaque)(\s*-\s*|\s+)", ""))
+    """A colour as R\\G\\B: a word before it is dropped, then RGB, a name, hex or a packed integer; else null.
+
+    Hex without # needs a letter or a leading zero: six other digits are a packed integer, as in the SQL of parse_color.
+    """
+    text = F.trim(F.regexp_replace(F.trim(value), r"(?i)^(segment|translucent|transparent|contour|opaque)\s*-?\s*(?=.)", ""))
     join = lambda *c: F.concat_ws("\\", *[x.cast("string") for x in c])
     rgb = [F.regexp_extract(text, r"(?i)^RGB\s+(\d{1,3})\s+(\d{1,3})\s+(\d{1,3})$", k).try_cast("int") for k in (1, 2, 3)]
-    hexed = [F.conv(F.regexp_extract(text, r"^#([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})$", k), 16, 10) for k in (1, 2, 3)]
+    hexed = [F.conv(F.regexp_extract(text, r"^#?([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})$", k), 16, 10) for k in (1, 2, 3)]
     packed = F.when(text.rlike(r"^\d{1,9}$"), text.try_cast("long"))
     named = F.lit(None).cast("string")
     for name, parts in COLORS.items():
         named = F.when(F.lower(text) == name, F.lit("\\".join(map(str, parts)))).otherwise(named)
     return (
-        F.when(text.rlike(r"(?i)^RGB\s+\d{1,3}\s+\d{1,3}\s+\d{1,3}$"), join(*rgb)).when(named.isNotNull(), named)
-        .when(text.rlike(r"^#[0-9A-Fa-f]{6}$"), join(*hexed)).when(packed.isNotNull(), join(packed % 256, F.floor(packed / 256) % 256, F.floor(packed / 65536) % 256))
+        F.when(text.rlike(r"(?i)^RGB\s+\d{1,3}\s+\d{1,3}\s+\d{1,3}$") & (F.greatest(*rgb) <= 255), join(*rgb)).when(named.isNotNull(), named)
+        .when(text.rlike(r"^(#|(?=0|\d*[A-Fa-f]))[0-9A-Fa-f]{6}$"), join(*hexed)).when(packed.isNotNull(), join(packed % 256, F.floor(packed / 256) % 256, F.floor(packed / 65536) % 256))
     )
 
 

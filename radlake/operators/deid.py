@@ -9,12 +9,19 @@ from pyspark.sql.window import Window as W
 from ..functions.scalar import digits
 
 UID_PREFIX = "1.2.826.0.1.3680043.10.1561"
-#: Tags that are masked when present, and free-text tags (fixed values).
+#: Tags that are masked when present, and free-text tags (fixed values); the last line is ours.
 MASKED = [
-    "PatientName", "PatientBirthName", "PatientMotherBirthName", "OtherPatientNames", "OtherPatientIDs", "PatientAddress", "PatientTelephoneNumbers", "ReferringPhysicianName",
-    "PerformingPhysicianName", "OperatorsName", "PhysiciansOfRecord", "InstitutionName", "InstitutionAddress", "InstitutionalDepartmentName", "StationName", "DeviceSerialNumber",
+    "PatientName", "ReferringPhysicianName", "PerformingPhysicianName", "OperatorsName", "PhysiciansOfRecord", "RequestingPhysician", "ConsultingPhysicianName", "ResponsiblePerson", "ReviewerName",
+    "InstitutionName", "InstitutionAddress", "InstitutionalDepartmentName", "StationName", "ReferringPhysicianAddress", "PersonAddress", "TelephoneNumbers", "PatientTelephoneNumbers",
+    "InstitutionCodeSequence", "PhysiciansReadingStudyIdentificationSequence", "OperatorIdentificationSequence", "ReferringPhysicianIdentificationSequence",
+    "OtherPatientIDs", "OtherPatientIDsSequence", "MedicalRecordLocator", "PatientInsurancePlanCodeSequence", "DeviceSerialNumber", "PlateID", "GeneratorID", "CassetteID", "GantryID",
+    "AccessionNumber", "StudyID", "RequestedProcedureID", "ScheduledProcedureStepID", "FillerOrderNumberImagingServiceRequest", "PlacerOrderNumberImagingServiceRequest",
+    "PatientBirthName", "PatientMotherBirthName", "OtherPatientNames", "PatientAddress",
+]
+FREE_TEXT = [
+    "StudyDescription", "SeriesDescription", "ImageComments", "AdditionalPatientHistory", "StudyComments", "PatientComments", "RequestedProcedureDescription",
+    "PerformedProcedureStepDescription", "ProtocolName", "AcquisitionProtocolDescription",
 ]
-FREE_TEXT = ["StudyDescription", "SeriesDescription", "PatientComments", "ImageComments", "StudyComments", "AdditionalPatientHistory"]
 
 
 def masked_tags(tags: Column) -> Column:

@@ -521,6 +521,15 @@ def deid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.studies(spark, sf_dir).select("study_uid", D.study_date(F.col("study_uid")).cast("string").alias("deid_date"))
 
 
+@query()
+def deid_masked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag map of every series, with a value for each listed tag, before it leaves."""
+    named = F.map_from_arrays(F.array(*map(F.lit, D.MASKED + D.FREE_TEXT)), F.array(*[F.concat(F.lit(f"{t} of "), "series_uid") for t in D.MASKED + D.FREE_TEXT]))
+    others = F.create_map(F.lit("SeriesInstanceUID"), "series_uid", F.lit("StudyInstanceUID"), "study_uid", F.lit("(0009,0010)"), F.lit("private"))
+    rows = T.series(spark, sf_dir).select("series_uid", F.map_concat(named, others).alias("tags"))
+    return rows.select("series_uid", F.to_json(D.masked_tags(F.col("tags"))).alias("tags"))
+
+
 @query(cte("patient") + "SELECT patient_id, 'P' || sha256(patient_id)[1:16] AS pseudonym FROM patient")
 def deid_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.patients(spark, sf_dir).select("patient_id", D.pseudonym(F.col("patient_id")).alias("pseudonym"))
