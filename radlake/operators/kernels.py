@@ -25,13 +25,16 @@ def sparse(mask: np.ndarray, comparison_id) -> pd.DataFrame:
 
 
 def distances(mask: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
-    """Euclidean distance of every voxel to the nearest one of the mask; exact, one axis after the other."""
+    """Euclidean distance of every voxel to the nearest one of the mask; exact, one axis after the other, in a few grids of memory."""
     d = np.where(mask, 0.0, np.inf)
     for axis, step in enumerate(spacing):
         n = d.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2 * step**2
-        lines = np.moveaxis(d, axis, -1)
-        d = np.moveaxis(np.min(lines[..., None, :] + gap, axis=-1), -1, axis)
+        lines = np.moveaxis(d, axis, 0)
+        best, place = np.full_like(lines, np.inf), np.arange(n).reshape(-1, 1, 1)
+        for k in range(n):
+            if np.isfinite(lines[k]).any():
+                np.minimum(best, lines[k] + (place - k) ** 2 * step**2, out=best)
+        d = np.moveaxis(best, 0, axis)
     return np.sqrt(d)
 
 
