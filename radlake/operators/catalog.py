@@ -58,10 +58,35 @@ def change_runs(events: DataFrame, by: str, value: str, order: list[str]) -> Dat
     return numbered.groupBy(by, value, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def until_freed(files: DataFrame, size: str, order: list[str], target: float, part: str | None = None) -> DataFrame:
-    """Oldest files first, until what they free reaches the target; adds freed. ``part``: a separate target for each."""
-    w = (W.partitionBy(part) if part else W.partitionBy()).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    freed = files.withColumn("freed", F.sum(size).over(w))
+def until_freed(files: DataFrame, size: str, order: list[str], target: float, part: str | None = None, cutoff: Column | None = None) -> DataFrame:
+    """Oldest files first, until what they free reaches the target; adds freed.
+
+    part: a separate target for each; else there is one for all. cutoff: only
+    files whose order[0] is before it. Without part, order[0] is a time or a
+    number: its ranges are summed apart, the sums of the ranges before are
+    added, and ranges behind the target are left out.
+    """
+    if cutoff is not None:
+        files = files.filter(F.col(order[0]) < cutoff)
+    if part:
+        freed = files.withColumn("freed", F.sum(size).over(W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        return freed.filter(F.col("freed") - F.col(size) < target)
+    at = F.col(order[0])
+    if dict(files.dtypes)[order[0]] == "timestamp_ntz":  # by its fields: a zone with summer time would turn hours round
+        at = F.unix_date(at.cast("date")) * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    at = at.cast("double")
+    bounds = sorted(set(files.select(at.alias("at")).approxQuantile("at", [k / 64 for k in range(1, 64)], 0.005)))
+    ranged = files.withColumn("_range", sum([F.coalesce((at > x).cast("int"), F.lit(0)) for x in bounds], F.lit(0)))
+    before, total = [], 0
+    for r in ranged.groupBy("_range").agg(F.sum(size).alias("n")).orderBy("_range").collect():
+        if total < target:
+            before.append((r["_range"], total))
+        total += r.n or 0
+    if not before:
+        return files.withColumn("freed", F.sum(size).over(W.partitionBy(*order))).limit(0)
+    base = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("_range")]
+    w = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    freed = ranged.filter(F.col("_range").isin([x for x, _ in before])).withColumn("freed", base + F.sum(size).over(w)).drop("_range")
     return freed.filter(F.col("freed") - F.col(size) < target)
 
 

@@ -273,6 +273,15 @@ def cleanup_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.until_freed(files, "size", ["ts", "event_id"], 5000, "ae").select("event_id", "ae", "freed")
 
 
+@query("""SELECT event_id, freed FROM (SELECT event_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS freed, CAST(round(value * 100) AS BIGINT) AS size FROM events
+WHERE ts < (SELECT max(ts) - INTERVAL 7 DAY FROM events)) WHERE freed - size < 2000000""")
+def cleanup_store_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One target for the whole store; files of the last 7 days stay."""
+    files = T.transactions(spark, sf_dir).withColumn("size", F.round(F.col("bytes") * 100).cast("long"))
+    cutoff = F.lit(files.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 7 DAYS")
+    return C.until_freed(files, "size", ["ts", "event_id"], 2000000, cutoff=cutoff).select("event_id", "freed")
+
+
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem WHERE l_partkey <> l_suppkey")
 def pairs_symmetric_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symmetric_pairs(T.table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
