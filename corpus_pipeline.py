@@ -18,11 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep, without their frequent lines; the others go. Rows are told apart by doc_id, source and text."""
     kept = quality.quality(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"), F.col("frequent_lines").alias("_lines"))
     kept = kept.dropDuplicates(["_d", "_s", "_c"])
-    same = docs["doc_id"].eqNullSafe(kept["_d"]) & docs["source"].eqNullSafe(kept["_s"]) & (quality.content_of(docs["text"]) == kept["_c"])
-    out = docs.join(kept, same).withColumn("text", quality.without_lines(F.col("text"), F.col("_lines")))
+    held = docs.select(F.struct(*docs.columns).alias("held"))
+    same = F.col("held.doc_id").eqNullSafe(F.col("_d")) & F.col("held.source").eqNullSafe(F.col("_s")) & (quality.content_of(F.col("held.text")) == F.col("_c"))
+    out = held.join(kept, same).select("held", quality.without_lines(F.col("held.text"), F.col("_lines")).alias("text"))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col(f"held.{c}")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
