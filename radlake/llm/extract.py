@@ -1,5 +1,6 @@
 """Main-text extraction: boosted trees over DOM nodes, decoded along the tree.
 
+Tags, attributes and comments are read by the rules of HTML, in linear time.
 Every block element of a page is a node with features: its tag, tokens of its
 attributes and of its ancestors', the text and link density of its subtree, its
 depth and its place among its siblings. Gradient-boosted trees give the
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +51,15 @@ TAGS = {
     "raw": RAW | {"head"}, "control": {"select", "option", "button", "label", "fieldset"}, "heading": {"h1", "h2", "h3", "h4", "h5", "h6"},
     "paragraph": {"p", "blockquote", "pre"}, "list": {"ul", "ol", "li", "dl", "dt", "dd"}, "table": {"table", "tr", "td", "th", "tbody", "thead"},
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^<]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Elements whose content is text up to their own end tag, and not part of the page's text.
+OPAQUE = frozenset("script style textarea title noscript noembed noframes iframe template svg".split())
+#: A start tag of ENDS_P closes an open p unless one of these is open inside it.
+BARRIERS = ("table", "td", "th", "button")
+_NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
+_ATTRIBUTE = re.compile(r"[\t\n\f\r /]*([^\t\n\f\r />][^\t\n\f\r />=]*)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:\"([^\"]*)(\"|\Z)|'([^']*)('|\Z)|([^\t\n\f\r >]*)))?")
+_TAG_END = re.compile(r"[\t\n\f\r /]*>")
+_COMMENT_END = re.compile(r"--!?>")
+_OPAQUE_END = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I) for name in OPAQUE}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -67,97 +76,141 @@ class Node:
         if parent:
             parent.children.append(self)
 
-    def describe(self, attributes: str) -> None:
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
+    def describe(self, attributes: list[tuple[str, str]]) -> None:
+        for name, value in attributes:
             if name in ("class", "id", "role", "aria-label", "itemprop"):
-                tokens = set(_SPLIT.split(value))
+                tokens = set(_SPLIT.split(value.lower()))
                 self.clutter |= not CLUTTER.isdisjoint(tokens)
                 self.content |= not CONTENT.isdisjoint(tokens)
             elif name == "style":
-                self.hidden |= "display:none" in value.replace(" ", "")
-        self.hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+                self.hidden |= "display:none" in value.lower().replace(" ", "")
+            elif name == "hidden":
+                self.hidden = True
+
+
+def tag_at(page: str, at: int) -> tuple[str, list[tuple[str, str]], int]:
+    """Name, attributes and end of the tag whose name begins at ``at``; end -1 if the page ends inside it.
+
+    A quote counts only right after the = of an attribute; every character is
+    looked at a bounded number of times.
+    """
+    found = _NAME.match(page, at)
+    name, at, attributes = found[0].lower(), found.end(), []
+    while True:
+        end = _TAG_END.match(page, at)
+        if end:
+            return name, attributes, end.end()
+        found = _ATTRIBUTE.match(page, at)
+        if not found or found[3] == "" or found[5] == "":
+            return name, attributes, -1
+        attributes.append((found[1].lower(), html.unescape(found[2] or found[4] or found[6] or "")))
+        at = found.end()
+
+
+class Open:
+    """The open elements, with the places of each tag, so that no step searches the stack."""
+
+    def __init__(self, root: Node, pieces: list[tuple[Node, str | None]]):
+        self.stack: list[tuple[str, Node]] = [("#root", root)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.pieces = pieces
+
+    def last(self, names) -> int:
+        """Place of the innermost open element with one of the names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
+    def push(self, tag: str, node: Node) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.stack) > place:
+            tag, node = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.pieces.append((node, None))
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
-    """The block nodes, root first, and the pieces of text in page order.
+    """The block nodes, root first, and the pieces of text in page order, in linear time.
 
-    A piece is (node, text); text None is the border of a block. Inline elements
-    are part of the block around them unless their attributes say something.
+    A piece is (node, text) with references decoded; text None is the border of
+    a block. Inline elements are part of the block around them unless their
+    attributes say something.
     """
     nodes = [Node("#root", None, 0)]
     pieces: list[tuple[Node, str | None]] = []
-    stack: list[tuple[str, Node]] = [("#root", nodes[0])]
-    links, at, end = 0, 0, len(page)
-    while at < end:
-        found = _TOKEN.search(page, at)
-        stop = found.start() if found else end
-        if stop > at:
-            text = page[at:stop]
-            node = stack[-1][1]
+    opened = Open(nodes[0], pieces)
+    at, begin, end = 0, 0, len(page)
+
+    def text_upto(stop: int) -> None:
+        if stop > begin:
+            text, node = html.unescape(page[begin:stop]), opened.stack[-1][1]
             pieces.append((node, text))
             size = len(text) if not text.isspace() else 0
             node.text += size
-            if links:
+            if opened.places["a"]:
                 node.links += size
-        if not found:
+
+    while True:
+        stop = page.find("<", at)
+        if stop < 0:
+            text_upto(end)
             break
-        at = found.end()
-        name = found[2]
-        if name is None:
+        after = page[stop + 1 : stop + 3]
+        closing = after[:1] == "/"
+        if not (after[1:2] if closing else after[:1]).isascii() or not (after[1:2] if closing else after[:1]).isalpha():
+            if not (closing or after[:1] in ("!", "?")) or (closing and len(after) < 2):
+                at = stop + 1  # a < that begins no markup is text
+                continue
+            text_upto(stop)
+            if page.startswith("<!--", stop):  # <!--> and <!---> are comments, too
+                found = _COMMENT_END.search(page, stop + 4)
+                short = page.startswith(">", stop + 4) * 5 or page.startswith("->", stop + 4) * 6
+                at = begin = stop + short if short else found.end() if found else end
+            else:
+                found = page.find(">", stop)
+                at = begin = found + 1 if found >= 0 else end
             continue
-        name = name.lower()
-        if found[1]:
-            if any(x == name for x, _ in stack):
-                while True:
-                    tag, node = stack.pop()
-                    links -= tag == "a"
-                    if tag in BLOCK:
-                        pieces.append((node, None))
-                    if tag == name:
-                        break
+        text_upto(stop)
+        name, attributes, at = tag_at(page, stop + 1 + closing)
+        if at < 0:
+            break
+        begin = at
+        if closing:
+            if opened.places[name]:
+                opened.close(opened.places[name][-1])
             continue
-        if name in ENDS_P and any(x == "p" for x, _ in stack):
-            inner = max(k for k, (x, _) in enumerate(stack) if x == "p")
-            if not any(x in ("table", "td", "th", "button") for x, _ in stack[inner:]):
-                links -= sum(x == "a" for x, _ in stack[inner:])
-                pieces.append((stack[inner][1], None))
-                del stack[inner:]
+        if name in ENDS_P and opened.places["p"] and opened.last(BARRIERS) < opened.places["p"][-1]:
+            opened.close(opened.places["p"][-1])
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SCOPES[name]:
-                    break
-                if stack[k][0] in CLOSES[name]:
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    pieces.append((stack[k][1], None))
-                    del stack[k:]
+            while (place := opened.last(CLOSES[name])) > opened.last(SCOPES[name]):
+                opened.close(place)
+        node = opened.stack[-1][1]
         if name == "br" or name == "hr":
-            pieces.append((stack[-1][1], None))
+            pieces.append((node, None))
             continue
         if name in VOID:
             continue
-        node = stack[-1][1]
         if name in BLOCK:
             node = Node(name, node, len(nodes))
             nodes.append(node)
-            node.describe(found[3])
+            node.describe(attributes)
             pieces.append((node, None))
-        elif found[3] and found[3].strip(" /"):
+        elif attributes:
             trial = Node(name, None, 0)
-            trial.describe(found[3])
+            trial.describe(attributes)
             if trial.clutter or trial.hidden:
                 node = Node(name, node, len(nodes))
                 nodes.append(node)
                 node.clutter, node.content, node.hidden = trial.clutter, trial.content, trial.hidden
-        if name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if name in OPAQUE:
+            found = _OPAQUE_END[name].search(page, at)
+            at = begin = found.start() if found else end
             pieces.append((node, None))
             continue
-        if found[3].endswith("/") and name not in BLOCK:
-            continue
-        links += name == "a"
-        stack.append((name, node))
+        opened.push(name, node)
     return nodes, pieces
 
 
@@ -176,6 +229,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     before = np.concatenate([[0], np.cumsum([x.text for x in nodes])[:-1]]) / max(1.0, text[0])
     rows = np.zeros((n, len(FEATURES)))
     above = np.zeros((n, 3))
+    tags = [Counter(y.tag for y in x.children) for x in nodes]
     for k, x in enumerate(nodes):
         p = x.parent
         own = [x.tag in TAGS[t] for t in TAGS] + [x.clutter, x.content, x.hidden]
@@ -190,10 +244,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         if good:
             above[k, 1] = 1
         above[k, 2] += bad
-        family = p.children if p is not None else [x]
+        family, alike = (len(p.children), tags[p.index][x.tag]) if p is not None else (1, 1)
         rows[k, len(own) + 3 :] = (
             np.log1p(text[k]), np.log1p(x.text), links[k] / max(1.0, text[k]), text[k] / size[k], x.depth, len(x.children),
-            len(family), x.place / len(family), sum(y.tag == x.tag for y in family) / len(family), text[k] / max(1.0, text[0]), before[k],
+            family, x.place / family, alike / family, text[k] / max(1.0, text[0]), before[k],
         )
     return rows
 
@@ -221,7 +275,7 @@ def main_text(pieces: list[tuple[Node, str | None]], kept: np.ndarray) -> str:
             if kept[node.index]:
                 now.append(text)
         elif now:
-            block = " ".join(html.unescape("".join(now)).split())
+            block = " ".join("".join(now).split())
             if block:
                 blocks.append(block)
             now = []
@@ -354,6 +408,17 @@ def train(spark: SparkSession, pages: int = TRAIN_PAGES) -> list[tuple[float, np
     return out
 
 
+_TRAINED: dict[tuple[str, int], list[tuple[float, np.ndarray]]] = {}
+
+
+def trained(spark: SparkSession, pages: int = TRAIN_PAGES) -> list[tuple[float, np.ndarray]]:
+    """The trees, trained once in a Spark application."""
+    key = spark.sparkContext.applicationId, pages
+    if key not in _TRAINED:
+        _TRAINED[key] = train(spark, pages)
+    return _TRAINED[key]
+
+
 def log_odds(trees: list[tuple[float, np.ndarray]], rows: np.ndarray) -> np.ndarray:
     total = np.zeros(len(rows))
     everyone = np.arange(len(rows))
@@ -370,12 +435,14 @@ def log_odds(trees: list[tuple[float, np.ndarray]], rows: np.ndarray) -> np.ndar
 def extract(pages: DataFrame, trees: list[tuple[float, np.ndarray]] | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null and empty html give an empty text; pages are read whole, whatever their
-    markup is worth; unclosed elements end where HTML ends them; a page cut off
-    inside a tag ends before it. Repeated rows give repeated results; an empty
-    table gives no row; other columns are not read.
+    Null and empty html give an empty text; pages are read whole, in linear time,
+    whatever their markup is worth; unclosed elements end where HTML ends them; a
+    page cut off inside a tag, or inside a quoted value that never ends, ends
+    before that tag. Repeated rows give repeated results; an empty table gives no
+    row; other columns are not read. ``trees``: those of train(); else they are
+    trained once in an application.
     """
-    trees = trees or train(pages.sparkSession)
+    trees = trees or trained(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
