@@ -52,6 +52,12 @@ class Scratch:
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
+    def uri(self, name: str) -> str:
+        """A place in the folder as a full URI, whatever form the setting has."""
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
         df.write.option("compression", "zstd").mode("overwrite").parquet(at)

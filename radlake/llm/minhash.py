@@ -30,9 +30,8 @@ from .common import LOWER, HashMemo, Scratch, mix64, texts, windows
 SHINGLE = 5
 #: 24 bands of 4 rows: a pair of similarity 0.85 shares none with probability 2e-8, one of 0.8 with 3e-6.
 BANDS, ROWS = 24, 4
-#: Links: 100 * intersection >= PERCENT * union; PERCENT is that of op4_minhash, STAGE_PERCENT that of the corpus pipeline.
-PERCENT = 85
-STAGE_PERCENT = 80
+#: Links: 100 * intersection >= percent * union; PERCENT is the default, QUERY_PERCENT that of op4_minhash.
+PERCENT, QUERY_PERCENT = 80, 85
 #: Members up to which all of a bucket are pivots.
 SMALL = 6
 _RANDOM = np.random.Generator(np.random.PCG64(20))
@@ -66,29 +65,33 @@ def least_agreeing(percent: int) -> int:
     return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
+def content_of(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), band keys, signature (16 bits each)."""
+    """doc_id, content (a hash of the text), n_shingles, digest of the set (null if empty), band keys, signature (16 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = HashMemo()
         band = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            for doc_id, text, content in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
                 found = shingles(text, memo)
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, content, 0, None, None, None))
                     continue
                 least = minima(found)
                 keys = band.copy()
                 for k in range(ROWS):
                     keys = mix64(keys + least[k::ROWS])
-                rows.append((doc_id, len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), keys.view(np.int64), (least >> np.uint64(48)).astype("<u2").tobytes()))
+                rows.append((doc_id, content, len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), keys.view(np.int64), (least >> np.uint64(48)).astype("<u2").tobytes()))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "n_shingles", "digest", "keys", "signature"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "content", "n_shingles", "digest", "keys", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest string, keys array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", content_of(F.col("text"))).mapInArrow(run, "doc_id long, content long, n_shingles long, digest string, keys array<long>, signature binary")
 
 
 def agreeing(pairs: DataFrame, least: int) -> DataFrame:
@@ -204,9 +207,9 @@ def prefix_pairs(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_links, component_id, kept: one row per row of docs.
+    """doc_id, content, n_shingles, class_id, n_links, component_id, kept: one row per row of docs.
 
-    class_id is the smallest doc_id with the same set, n_links the links found of
+    content is a hash of the text, class_id the smallest doc_id with the same set, n_links the links found of
     that class, component_id the smallest doc_id that links lead to, kept whether
     it is the row's own. Null, empty and word-less texts have no shingle and link
     to nothing. Rows with the same doc_id are one node, whose links are those of
@@ -242,8 +245,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.select("digest", "node").join(of, "node", "left").join(degrees, "node", "left")
     named = named.select(F.col("digest").alias("_d"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("_d"), "left")
-    whole = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "content", "n_shingles", "digest").join(named, F.col("digest") == F.col("_d"), "left")
+    whole = out.select("doc_id", "content", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -255,7 +258,7 @@ sh AS (SELECT DISTINCT doc_id, g FROM (
   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-DataFrame functions only. Every document has a hash of its id. Per source the
+DataFrame functions only. Every document has a hash of its id and text. Per source the
 words are summed by hash bucket; the bucket in which the running sum passes the
 budget is refined by the next digits of the hash, and only its documents are
 read for that. What lies below the threshold found is taken: a filter, no sort.
@@ -25,29 +25,46 @@ def size_of(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id):
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+def hash_of(doc_id, text):
+    """The place of a document: null ids and ids that repeat are told apart by their text."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.substring(F.md5(key.cast("binary")), 1, DIGITS * LEVELS)
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds _r, the place of each source by code point, null last, from 0.
+
+    Ranges of sources are numbered apart and moved by the sizes of the ranges
+    before: the window over ranges has one row per partition.
+    """
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id())
+    ranged = scratch.save(ranged, "ranges")  # written: a partition keeps its number
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("_w", within).join(before, "_part").withColumn("_r", F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Adds target to (source, source_size): one row per source.
 
     Sources by code point, null last, take the weights in turn. A target above
     ``most`` times its source stops there and the rest is shared by weight: the
-    targets are min(level * weight, most * size), and of the levels that arise
-    by stopping the fullest k sources, k = 0, 1, ..., the right one is the
-    largest. The window has one row per source, not per document.
+    targets are min(level * weight, most * size). The level rises, one small
+    aggregate at a time, until no further source stops; sizes are whole numbers,
+    so the level is the same quotient whatever the order of the sums.
     """
-    everything = W.partitionBy()
-    ranked = sources.withColumn("_r", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_r") % len(weights) + 1).cast("int")).cast("double")
-    ranked = ranked.withColumn("_w", weight).withColumn("_cap", F.col("source_size").cast("double") * most)
-    before = W.orderBy(F.col("_cap") / F.col("_w"), "_r").rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = left / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("_level", level)
-    target = F.least(F.max("_level").over(everything) * F.col("_w"), F.col("_cap"))
-    return ranked.withColumn("target", target).drop("_r", "_w", "_cap", "_level")
+    at = ranked(sources, scratch).withColumn("_w", weight).withColumn("_cap", F.col("source_size").cast("double") * most).drop("_r")
+    at, level, stopped = scratch.save(at, "weights"), 0.0, -1
+    while True:
+        full = F.col("_cap") < F.lit(level) * F.col("_w")
+        free = F.sum(F.when(~full, F.col("_w")))
+        got = at.agg(F.sum("source_size").cast("double") - F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), free, F.count_if(full)).first()
+        if got[1] is None or got[2] == stopped:
+            break
+        level, stopped = got[0] / got[1], got[2]
+    return at.withColumn("target", F.least(F.lit(level) * F.col("_w"), F.col("_cap"))).drop("_w", "_cap")
 
 
 def plan(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -56,7 +73,7 @@ def plan(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3
     A document is taken ``times`` times, and once more if its hash is below the
     threshold, or equal to it and ``closed``.
     """
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     at = sources.withColumn("times", whole)
     at = at.withColumn("need", F.col("target") - F.col("times") * F.col("source_size")).withColumn("threshold", F.lit(""))
@@ -95,17 +112,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     """(doc_id, source, size, source_size, target, copies, taken) for every row.
 
     Sizes are words; null text has none and a null source is a source of its
-    own. Rows with the same doc_id fall on the same side of a threshold. An
+    own. Equal rows fall on the same side of a threshold. An
     empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "sized")
+    sized = scratch.save(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "sized")
     taken = take(sized, plan(sized, scratch, weights, most))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE = f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {DIGITS * LEVELS}) AS h FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, {DIGITS * LEVELS}) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS r FROM s),
 c AS (SELECT *, (r % 3 + 1)::DOUBLE AS w, 3 * source_size::DOUBLE AS cap FROM r),

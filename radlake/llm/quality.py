@@ -1,10 +1,14 @@
 """Quality rules: counts in the text, and line frequency across documents.
 
-A line is normalised (ASCII lower case, one space between words) and hashed. Per
-host (source) the distinct documents that hold it are counted, exact copies of a
-text as one. A line of any length that more documents of its host hold than the
-limit is boilerplate and does not count as content; a document left with too few
-words is depleted and rejected.
+A line of any length is normalised (ASCII lower case, one space between words)
+and hashed. Per host (source) the distinct documents that hold it are counted,
+and the distinct texts. A line above the limit is removed; a document left with
+too few words is depleted and rejected.
+
+A text that was copied very often is above the limit with all its lines, though
+it is no boilerplate. So a document is rejected for the lines that more texts
+than the limit hold; one that only lines of fewer texts would deplete keeps
+these, and near-duplicate removal decides about the copies.
 """
 
 from __future__ import annotations
@@ -22,8 +26,6 @@ from .common import LOWER, HashMemo, Scratch, texts, windows
 
 #: Documents of a host that may share a line.
 LINE_LIMIT = 50
-#: Words up to which a line may be boilerplate in ORACLE; the operator has no such bound.
-LINE_WORDS = 15
 #: Words, and hundredths of its words, that a document must keep.
 LEAST_WORDS, LEAST_SHARE = 20, 20
 #: Words of a window, for n_repeat_words.
@@ -122,31 +124,41 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
-    """doc_id, source, content (a hash of the text), the counts, n_left (words without boilerplate), frequent_lines (hashes of the boilerplate lines it has), base_failed, kept.
+    """doc_id, source, content (a hash of the text), the counts, n_left (words without removed lines), frequent_lines (hashes of the lines to remove from it), base_failed, kept.
 
-    One row per row of docs. Null text is empty and fails; a null source is a
-    host of its own; rows with the same doc_id are told apart by their text, and
-    equal rows get equal results; an empty table gives no row; other columns are
-    not read.
+    One row per row of docs. Documents are rows that differ in doc_id or text.
+    Null text is empty and fails; a null source is a host of its own; rows with
+    the same doc_id are told apart by their text, and equal rows get equal
+    results; an empty table gives no row; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(measured(docs), "measured")
     lines = rows.select("doc_id", "source", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("_l"))
     lines = lines.select("doc_id", "source", "content", F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("words"))
-    often = lines.select("source", "line", "content").distinct().groupBy("source", "line").agg(F.count("*").alias("_n")).filter(F.col("_n") > line_limit)
-    often = often.select(F.col("source").alias("_s"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    held = lines.select("source", "line", "content", "doc_id").distinct().groupBy("source", "line", "content").agg(F.count("*").alias("_n"))
+    often = held.groupBy("source", "line").agg(F.sum("_n").alias("_documents"), F.count("*").alias("_texts")).filter(F.col("_documents") > line_limit)
+    often = often.select(F.col("source").alias("_s"), F.col("line").alias("_line"), (F.col("_texts") > line_limit).alias("_strong"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = lines.withColumn("_to", F.pmod("content", F.lit(SALTS)).cast("int"))
-    hits = salted.join(often, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line")) & (F.col("_to") == F.col("_salt")), "left_semi")
-    removed = hits.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"), "line").agg(F.max("words").alias("_w"))
-    removed = removed.groupBy("_d", "_s", "_c").agg(F.sum("_w").alias("_removed"), F.collect_list("line").alias("_lines"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("content") == F.col("_c"))
-    out = rows.drop("lines", "line_words").join(removed, same, "left").withColumn("n_left", F.col("n_words") - F.coalesce("_removed", F.lit(0)))
+    hits = salted.join(often, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line")) & (F.col("_to") == F.col("_salt")))
+    hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_h"), F.col("content").alias("_c"), "line", "_strong").agg(F.max("words").alias("_w"))
+    strong = F.when(F.col("_strong"), F.col("_w")).otherwise(0)
+    removed = hits.groupBy("_d", "_h", "_c").agg(
+        F.sum("_w").alias("_all"), F.sum(strong).alias("_some"), F.collect_list("line").alias("_lines"), F.collect_list(F.when(F.col("_strong"), F.col("line"))).alias("_fewer")
+    )  # a list holds lines of one text
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_h")) & (F.col("content") == F.col("_c"))
+    out = rows.drop("lines", "line_words").join(removed, same, "left")
+    depleted = lambda n: (F.col("n_words") - n < LEAST_WORDS) | (100 * (F.col("n_words") - n) < LEAST_SHARE * F.col("n_words"))
+    spared = depleted(F.col("_all")) & ~depleted(F.col("_some"))
+    out = out.withColumn("_lost", F.when(spared, F.col("_some")).otherwise(F.col("_all"))).withColumn("_gone", F.when(spared, F.col("_fewer")).otherwise(F.col("_lines")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    depleted = F.col("_removed").isNotNull() & ((F.col("n_left") < LEAST_WORDS) | (100 * F.col("n_left") < LEAST_SHARE * F.col("n_words")))
-    return out.select("doc_id", "source", "content", *COUNTS, "n_left", F.coalesce("_lines", F.array().cast("array<long>")).alias("frequent_lines"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    rejected = (F.coalesce("_some", F.lit(0)) > 0) & depleted(F.coalesce("_some", F.lit(0)))
+    return out.select(
+        "doc_id", "source", "content", *COUNTS, (F.col("n_words") - F.coalesce("_lost", F.lit(0))).alias("n_left"), F.coalesce("_gone", F.array().cast("array<long>")).alias("frequent_lines"),
+        failed.alias("base_failed"), (~failed & ~rejected).alias("kept"),
+    )
 
 
-#: The same in SQL; lines themselves instead of their hashes, and only those of at most LINE_WORDS words.
+#: The same in SQL; lines themselves instead of their hashes.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^ \t-\r]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
@@ -156,12 +168,12 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range({WINDOW}
 lines AS (SELECT doc_id, source, text, unnest(ls) AS line FROM w),
 worded AS (SELECT *, regexp_extract_all(line, '[^ \t-\r]+') AS lw FROM lines),
 dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM worded WHERE len(lw) > 0 GROUP BY doc_id, line) GROUP BY doc_id),
-short AS (SELECT doc_id, source, text, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, len(lw) AS n FROM worded WHERE len(lw) BETWEEN 1 AND {LINE_WORDS}),
-often AS (SELECT source, line FROM short GROUP BY source, line HAVING count(DISTINCT text) > {LINE_LIMIT}),
-gone AS (SELECT doc_id, sum(n) AS n FROM short s WHERE EXISTS (SELECT 1 FROM often o WHERE o.line = s.line AND o.source IS NOT DISTINCT FROM s.source) GROUP BY doc_id),
+lined AS (SELECT doc_id, source, text, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, len(lw) AS n FROM worded WHERE len(lw) > 0),
+often AS (SELECT source, line, count(DISTINCT text) > {LINE_LIMIT} AS strong FROM lined GROUP BY source, line HAVING count(DISTINCT (doc_id, text)) > {LINE_LIMIT}),
+gone AS (SELECT doc_id, text, sum(n) FILTER (strong) AS n FROM lined s JOIN often o ON o.line = s.line AND o.source IS NOT DISTINCT FROM s.source GROUP BY doc_id, text),
 r AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
       coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, gone.n AS removed
-      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id, text))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (removed IS NOT NULL AND (n_words - removed < {LEAST_WORDS} OR 100 * (n_words - removed) < {LEAST_SHARE} * n_words)) AS kept
 FROM r

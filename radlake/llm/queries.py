@@ -26,7 +26,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.QUERY_PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ LONGEST = 2 * LEAST - GRAM
 BUCKET_BYTES = 1 << 19
 #: Batches with a gram from which its windows are dealt out one by one.
 HOT = 64
+#: Parts of the copies of one text.
+SALTS = 32
 #: Windows of a text that are scanned at once.
 BLOCK = 1 << 20
 #: Occurrences, and bytes of arrays, that a task holds before it passes them on.
@@ -227,26 +229,31 @@ def wanted_grams(blob: bytes, answer: bytes) -> tuple[np.ndarray, ...]:
 # --- contexts ---------------------------------------------------------------------
 
 
+def mark_of(text: bytes) -> int:
+    """Tells the texts of one doc_id apart; 0 stands for an id with one text."""
+    return xxhash.xxh3_64_intdigest(text) | 1
+
+
 def contexts(docs: DataFrame, bits: int) -> DataFrame:
-    """(bucket, blob, blob of occurrences) for each HELD occurrences in (doc_id, text, blob of shared grams).
+    """(bucket, blob, blob of occurrences) for each HELD occurrences in (doc_id, text, blob of shared grams, whether the id repeats).
 
     blob: id, length, smallest and largest document of the batch's different
     contexts, and their bytes. Places: per context its id, then how many,
-    their documents and where they start.
+    their documents, where they start and the marks of their texts.
     """
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("places", pa.binary())])
 
-    def flush(known: dict[bytes, int], grams: list[int], which: list[int], owner: list[int], where: list[int]) -> Iterator[pa.RecordBatch]:
+    def flush(known: dict[bytes, int], grams: list[int], which: list[int], owner: list[int], where: list[int], mark: list[int]) -> Iterator[pa.RecordBatch]:
         pieces = list(known)
         gram, which = np.array(grams, np.uint64), np.array(which, np.int64)
-        owner, where = np.array(owner, np.int64), np.array(where, np.int64)
+        owner, where, mark = np.array(owner, np.int64), np.array(where, np.int64), np.array(mark, np.uint64)
         ids = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
         order = np.argsort(gram, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         which = place[which]
         by = np.lexsort((owner, which))
-        which, owner, where = which[by], owner[by], where[by]
+        which, owner, where, mark = which[by], owner[by], where[by], mark[by]
         edge = np.searchsorted(which, np.arange(len(order) + 1))
         rows = []
         for bucket, s in by_bucket(gram[order], bits):
@@ -255,14 +262,15 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
             start, end = edge[s.start : s.stop], edge[s.start + 1 : s.stop + 1]
             key = ids[order[s]]
             blob = pack(key, np.fromiter(map(len, own), np.uint8, len(own)), owner[start], owner[end - 1], np.frombuffer(b"".join(own), np.uint8))
-            rows.append((bucket, blob, pack(key, (end - start).astype(np.int32), owner[a:b], where[a:b])))
+            rows.append((bucket, blob, pack(key, (end - start).astype(np.int32), owner[a:b], where[a:b], mark[a:b])))
         yield from rows_of(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lists = {}, ([], [], [], [])
-        grams, which, owner, where = lists
+        known, lists = {}, ([], [], [], [], [])
+        grams, which, owner, where, mark = lists
         for batch in batches:
-            for doc_id, text, blob in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2)):
+            for doc_id, text, blob, repeats in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2), batch.column(3).to_pylist()):
+                own = mark_of(text) if repeats else 0
                 shared, hot = unpack(blob.as_py())
                 order = np.argsort(shared)
                 shared, hot = shared[order], hot[order]
@@ -280,6 +288,7 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
                         which.append(k)
                         owner.append(doc_id)
                         where.append(x)
+                        mark.append(own)
                 if len(where) > HELD:
                     yield from flush(known, *lists)
                     for x in (known, *lists):
@@ -287,7 +296,7 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
         if grams:
             yield from flush(known, *lists)
 
-    return docs.select("doc_id", "text", "blob").mapInArrow(run, "bucket long, blob binary, places binary")
+    return docs.select("doc_id", "text", "blob", "repeats").mapInArrow(run, "bucket long, blob binary, places binary")
 
 
 # --- the prefix tree ----------------------------------------------------------------
@@ -399,8 +408,8 @@ def marks(found: DataFrame) -> DataFrame:
 
 
 def removals(places: bytes, answer: bytes) -> tuple[np.ndarray, ...]:
-    """doc_id, start, length of the bytes to remove."""
-    key, count, owner, where = unpack(places)
+    """doc_id, start, length of the bytes to remove, and the mark of the text."""
+    key, count, owner, where, text = unpack(places)
     about, offset, length, least = unpack(answer)
     begin = np.cumsum(count) - count
     low, high = np.searchsorted(about, key, "left"), np.searchsorted(about, key, "right")
@@ -412,7 +421,7 @@ def removals(places: bytes, answer: bytes) -> tuple[np.ndarray, ...]:
     place = np.repeat(begin[context], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
     some = owner[place] > least[mark[which]]
     which, place = which[some], place[some]
-    return owner[place], where[place] + offset[mark[which]].astype(np.int64), length[mark[which]].astype(np.int64)
+    return owner[place], where[place] + offset[mark[which]].astype(np.int64), length[mark[which]].astype(np.int64), text[place]
 
 
 def merged(start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -435,13 +444,17 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, copies, blob): for documents that lose bytes.
 
     copies: digests of texts that an earlier document has as a whole; blob:
-    starts and lengths of removed bytes.
+    starts and lengths of removed bytes, and the marks of the texts they are in.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST)).withColumn("digest", F.md5(F.col("text").cast("binary")))
     ids = scratch.save(docs.select("doc_id", "digest"), "digests")
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last").drop("_last")
-    copies = scratch.save(ids.join(first, "digest").filter("doc_id > _first").select("doc_id", "digest").distinct(), "copies")
+    # a text with very many copies is dealt out by salts
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ids.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = scratch.save(salted.join(first, ["digest", "_salt"]).filter("doc_id > _first").select("doc_id", "digest").distinct(), "copies")
+    repeats = ids.groupBy("doc_id").agg(F.min("digest").alias("_x"), F.max("digest").alias("_y")).filter("_x != _y").select("doc_id", F.lit(True).alias("repeats"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     bits = max(4, min(40, int(total // BUCKET_BYTES).bit_length()))
     # a merge join at any size: the plan for small tables would be another one
@@ -451,6 +464,7 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     asked = prints.join(shared.withColumnRenamed("blob", "answer"), "bucket")
     wanted = scratch.save(answers_by_document(asked, wanted_grams, bits), "wanted")
     scratch.drop("prints", "shared")
+    wanted = wanted.join(repeats, "doc_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
     found = scratch.save(contexts(docs.drop("digest").join(wanted, "doc_id"), bits), "contexts")
     scratch.drop("wanted")
     asked = found.select("bucket", F.col("places").alias("blob")).join(scratch.save(marks(found), "marks"), "bucket")
@@ -474,7 +488,11 @@ def cut_texts(docs: DataFrame, lost: DataFrame, texts_too: bool = False) -> Data
                 if len(text) >= LEAST and copies and hashlib.md5(text).hexdigest() in copies:
                     start, end = np.array([0]), np.array([len(text)])
                 elif blob is not None:
-                    start, end = merged(*unpack(blob), len(text))
+                    start, length, mark = unpack(blob)
+                    if mark.any():
+                        own = mark == mark_of(text)
+                        start, length = start[own], length[own]
+                    start, end = merged(start, length, len(text))
                 left = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)])) if len(start) else text
                 rows.append((doc_id, len(text), int((end - start).sum()), len(start), hashlib.sha256(left).hexdigest()))
                 kept.append(left.decode(errors="ignore"))
@@ -498,9 +516,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Removed is each byte covered by a LEAST-byte string that also starts in a
     document with a smaller doc_id. Null text is empty; shorter texts lose
     nothing; rows with the same doc_id are one document: they don't take bytes
-    from each other, and what one of them loses is lost in all; a null doc_id
-    takes no part and loses nothing; an empty table gives no row; other columns
-    are not read.
+    from each other, and each text of it loses its own; a null doc_id takes no
+    part and loses nothing; an empty table gives no row; other columns are not
+    read.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     return cut_texts(docs.select("doc_id", "text"), spans(docs, scratch))

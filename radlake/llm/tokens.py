@@ -34,6 +34,8 @@ END = struct.pack("<I", 1)
 #: Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 256 << 10
+#: Tasks that read files back, at most.
+READERS = 10_000
 #: Words of a generation that an encoder remembers.
 REMEMBERED = 400_000
 
@@ -226,9 +228,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None
     writes a file of its own name, and only files in the saved manifest count,
     so a task that runs twice leaves no double.
     """
-    path, folder = tokenizer or default_tokenizer(), f"{scratch.path}/tokens"
-    if "://" not in folder:
-        os.makedirs(folder, exist_ok=True)
+    path, folder = tokenizer or default_tokenizer(), scratch.uri("tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
@@ -275,7 +275,9 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
                     doc_id, begin, n, crc = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, begin, n, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", before.alias("before")).repartition("path")
+    # a number of partitions, so that the few bytes of paths are not put together in one task
+    n = max(1, min(READERS, manifest.count()))
+    files = manifest.select("path", before.alias("before")).repartition(n, "path")
     out = files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out if wanted is None else out.drop("start")
 

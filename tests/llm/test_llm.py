@@ -154,7 +154,7 @@ def test_license_join_is_exact():
 
 def test_near_duplicates(docs, rows):
     want = brute.components(rows)
-    got = minhash.near_duplicates(docs).collect()
+    got = minhash.near_duplicates(docs, minhash.QUERY_PERCENT).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id), r
@@ -171,7 +171,7 @@ def test_near_copies_of_one_document(spark):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(len(w))] = f"e{rng.randrange(4000)}"
         rows.append((i, " ".join(w)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.QUERY_PERCENT).collect()
     want = brute.components(rows)
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
     assert len({c for _, c in want.values()}) > 5
@@ -339,7 +339,9 @@ def test_mixing(spark, docs, rows):
 
 def test_targets(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 0, None: 400}
-    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    from radlake.llm.common import Scratch
+
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "t")).collect()}
     weights = dict(zip(["a", "b", "c", "d", None], (1, 2, 3, 1, 2)))
     fixed, total = {}, sum(sizes.values())
     while True:
@@ -377,7 +379,7 @@ def test_pipeline(spark, docs, rows):
             assert now.columns == docs.columns
     good = [r for r in rows if not brute.quality(r[1])[5]]
     assert collected(steps["quality"], "doc_id", "text", "source") == sorted(good, key=str)
-    groups = brute.components(good)
+    groups = brute.components(good, 80)
     single = [r for r in dict.fromkeys(good) if groups[r[0]][1] == r[0]]
     assert collected(steps["near_dedup"], "doc_id", "text", "source") == sorted(single, key=str)
     cut = {x[0]: x[5].decode(errors="ignore") for x in brute.substrings(single)}

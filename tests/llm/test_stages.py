@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from radlake.llm import licenses, quality
+from radlake.llm import licenses, mixing, quality, suffix, tokens
+from radlake.llm.common import Scratch
 
 from . import brute
 
@@ -32,6 +35,91 @@ def test_long_lines_count(spark):
     assert all(got[k] == (False, 2) for k in range(60)) and all(got[100 + k] == (True, 30) for k in range(5)) and all(got[200 + k] == (True, 42) for k in range(40))
 
 
+def plain_quality(rows, limit=50):
+    """doc_id -> (kept, words left) by documents and texts that hold a line; rows: (doc_id, text, source)."""
+    docs, texts = {}, {}
+    lines = lambda t: [" ".join(x.translate(brute.LOWER).split()) for x in t.split("\n") if x.split()]
+    for i, t, s in rows:
+        for x in lines(t):
+            docs.setdefault((s, x), set()).add((i, t))
+            texts.setdefault((s, x), set()).add(t)
+    out = {}
+    for i, t, s in rows:
+        n = len(t.split())
+        every = sum(len(x.split()) for x in lines(t) if len(docs[s, x]) > limit)
+        strong = sum(len(x.split()) for x in lines(t) if len(texts[s, x]) > limit)
+        short = lambda k: n - k < 20 or 100 * (n - k) < 20 * n
+        lost = strong if short(every) and not short(strong) else every
+        out[i] = (not brute.quality(t)[5] and not (strong and short(strong)), n - lost)
+    return out
+
+
+def test_lines_are_counted_by_documents(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    copied = f"{words('copy', 12)}\n{words('more', 14)}"
+    menu = words("menu", 16)
+    rows = [(k, copied, "h") for k in range(1000)] + [(2000 + k, f"{copied}\n{words(f'near{k}x', 5)}", "h") for k in range(3)]  # copies are no boilerplate
+    rows += [(3000 + k, f"{menu}\n{words(f'base{k % 3}x', 40)}", "m") for k in range(60)]  # one menu on 60 documents of three texts
+    rows += [(4000 + k, f"{menu}\n{words(f'base{k}x', 6)}", "n") for k in range(60)] + [(5000 + k, f"{menu}\n{words(f'own{k}x', 6)}", None) for k in range(50)]
+    got = {r.doc_id: (r.kept, r.n_left) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == plain_quality(rows)
+    assert got[0] == (True, 26) and got[2000] == (True, 31) and got[3000] == (True, 40) and got[4000] == (False, 6) and got[5000] == (True, 22)
+
+
+def test_quality_agrees_with_its_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    pool = ["\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 18))) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    rows = [(k % 300, rng.choice(pool) + (f"\nrow {k} " * rng.randint(0, 3)), rng.choice(["a", "b", None])) for k in range(600)]
+    rows = list(dict.fromkeys(rows))
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": list(range(len(rows))), "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    want = sorted(c.sql(quality.ORACLE).fetchall())
+    docs = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    got = sorted(tuple(r) for r in quality.quality(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept").collect())
+    assert got == want and {r[-1] for r in got} == {True, False}
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    a, b, c, d = words(80), words(90), words(70), words(60)
+    rows = [(1, a, "s", "x"), (2, a + " tail " + d, "s", "x"), (2, b, "s", "y"), (2, b, "s", "x"), (3, c, "s", "x"), (3, a, "s", "x"), (None, d, "s", "x"), (4, None, "s", "x"), (4, None, "s", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cut = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.deduplicate(docs.filter("doc_id IS NOT NULL")).collect())
+    assert cut == sorted((x[0], x[1], x[2], x[4]) for x in brute.substrings([r for r in rows if r[0] is not None]))
+    for n in (1, 3, 7):
+        left = corpus_pipeline.near_duplicates(spark, docs.repartition(n), "").collect()
+        assert sorted(map(tuple, left), key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_mixing_of_rows_without_an_id(spark):
+    rows = [(None, f"text {k} " + "word " * (k % 7), "abc"[k % 3]) for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 20
+
+
+def test_read_back_uses_a_task_for_each_file(spark):
+    docs = spark.createDataFrame([(k, f"some text {k} " * 20) for k in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokens.write_tokens(docs, Scratch(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = tokens.read_tokens(manifest)
+    assert manifest.count() > 1 and back.rdd.getNumPartitions() == manifest.count() and back.count() == 400
+    assert manifest.first().path.startswith("file:/")
+
+
+def test_scratch_takes_a_relative_folder(spark, monkeypatch, tmp_path):
+    scratch = Scratch(spark, "t")
+    scratch.path = "relative/folder"
+    assert scratch.uri("x").startswith("file:/") and scratch.uri("x").endswith("/relative/folder/x")
+
+
 def test_quality_stage_cuts_frequent_lines(spark):
     own = lambda k: " ".join(f"Ówn{k}x{n}" for n in range(30))
     rows = [(k, f"Home  About\n\n{own(k)}\nhome about\n© all rights reserved by the site", "h", 1) for k in range(60)] + [(100, f"Home About\n{own(100)}", "other", 1)]
