@@ -9,13 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from radlake.llm import minhash, mixing, packing, quality, suffix
 from radlake.llm.common import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their frequent lines; the others go. Rows are told apart by doc_id, source and text."""
+    """Documents that the rules keep, without their frequent lines; the others go.
+
+    Rows are told apart by doc_id, source and text; repeated rows all stay. Null
+    and empty texts are rejected; an empty table gives no row.
+    """
     kept = quality.quality(docs).filter("kept").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("content").alias("_c"), F.col("frequent_lines").alias("_lines"))
     kept = kept.dropDuplicates(["_d", "_s", "_c"])
     held = docs.select(F.struct(*docs.columns).alias("held"))
@@ -28,13 +33,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8: the one with the smallest doc_id. Rows that repeat a doc_id become one."""
-    groups = minhash.near_duplicates(docs, minhash.STAGE_PERCENT).select("doc_id", "kept")
+    """One document of each group of similarity 0.8: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays, the first by its columns
+    as JSON; a doc_id with different texts keeps those that nothing with a
+    smaller id is like. Null and empty texts are in no group; rows without an id
+    stay if nothing with an id is like them. An empty table gives no row.
+    """
+    groups = minhash.near_duplicates(docs).select("doc_id", "content", "kept")
     groups = Scratch(spark, "groups").save(groups, "groups")
-    ids = groups.filter("kept").select(F.col("doc_id").alias("_d"))
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_d"]), "left_semi")
-    single = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left if single else left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    ids = groups.filter("kept").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"))
+    held = docs.select(F.struct(*docs.columns).alias("row"), minhash.content_of(F.col("text")).alias("content"))
+    left = held.join(ids, held["row.doc_id"].eqNullSafe(ids["_d"]) & (held["content"] == ids["_c"]), "left_semi")
+    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left.select("row.*")
+    first = F.row_number().over(W.partitionBy("row.doc_id", "content").orderBy(F.to_json("row")))
+    single = left.filter("row.doc_id IS NOT NULL").withColumn("_k", first).filter("_k = 1").select("row")
+    return single.union(left.filter("row.doc_id IS NULL").select("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +64,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null texts have no words and are taken as their source's share says; a null
+    source is a source of its own; an empty table gives no row.
+    """
     scratch = Scratch(spark, "mix")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", mixing.hash_of(F.col("doc_id")).alias("h"))
-    sized = scratch.save(docs.select("source", mixing.hash_of(F.col("doc_id")).alias("h"), mixing.size_of(F.col("text")).alias("size")), "sized")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", mixing.hash_of(F.col("doc_id"), F.col("text")).alias("h"))
+    sized = scratch.save(docs.select("source", mixing.hash_of(F.col("doc_id"), F.col("text")).alias("h"), mixing.size_of(F.col("text")).alias("size")), "sized")
     taken = mixing.take(rows, mixing.plan(sized, scratch)).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token sequences."""
+    """The pieces of the token sequences: of null and empty texts just the end; of an empty table none."""
     return packing.pack_documents(docs)
 
 
