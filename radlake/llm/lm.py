@@ -6,7 +6,9 @@ own, every other word falls into a class by its last letters. A state emits a
 class, and the class a word by its smoothed count, so the model gives every text
 a probability. Baum-Welch runs over all training texts: each task sums expected
 counts, the sums meet in a shuffle, and only they (states by classes) reach the
-driver. The scaled forward recursion over whole texts gives the likelihood.
+driver. Long texts are taken in stretches that run side by side: products of the
+model's matrices give what every stretch is told by the text before and behind
+it, so the counts are those of the whole text. The scaled forward recursion over whole texts gives the likelihood.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ STATES, ROUNDS = 8, 5
 OWN, TAIL = 4000, 256
 #: Words whose counts every task holds; the counts of the others are joined.
 HELD = 60_000
-#: Longest stretch of a text for one forward-backward pass in training, and tokens in a pass.
+#: Longest stretch of a text that is run through in one go in training, and tokens in a pass.
 STRETCH, PASS = 512, 400_000
 END_CLASS, CLASSES = OWN + TAIL, OWN + TAIL + 1
 
@@ -105,22 +107,67 @@ def encode(docs: DataFrame, held: dict[bytes, tuple[int, int]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, sql)
 
 
-def stretches(blobs: list[bytes]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Stretches of texts, longest first, in passes of about PASS tokens; which ones begin a text."""
-    pieces, begins, size = [], [], 0
+def stretches(blobs: list[bytes], model: tuple[np.ndarray, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Stretches of texts, longest first, in passes of about PASS tokens, with what is before and behind each.
+
+    before: the distribution of the state before the stretch (NaN where a text
+    begins); behind: how likely the rest of the text is from each state, up to
+    a factor.
+    """
+    states = len(model[1])
+    nothing, rest = np.full(states, np.nan), np.ones(states)
+    pieces, before, behind, size = [], [], [], 0
+
+    def sorted_pass():
+        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+        return [pieces[k] for k in order], np.array(before)[order], np.array(behind)[order]
+
     for blob in blobs:
         ids = np.frombuffer(blob, "<u2")
-        for at in range(0, len(ids), STRETCH):
-            pieces.append(ids[at : at + STRETCH])
-            begins.append(at == 0)
+        if len(ids) > STRETCH:
+            found = borders(ids, model)
+        else:
+            found = [(nothing, rest)]
+        for k, (x, y) in enumerate(found):
+            pieces.append(ids[k * STRETCH : (k + 1) * STRETCH])
+            before.append(x)
+            behind.append(y)
             size += len(pieces[-1])
             if size >= PASS:
-                order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-                yield [pieces[k] for k in order], np.array(begins)[order]
-                pieces, begins, size = [], [], 0
+                yield sorted_pass()
+                pieces, before, behind, size = [], [], [], 0
     if pieces:
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        yield [pieces[k] for k in order], np.array(begins)[order]
+        yield sorted_pass()
+
+
+def borders(ids: np.ndarray, model: tuple[np.ndarray, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(before, behind) of every stretch of a long text.
+
+    The matrix of a stretch is emission, step, emission, ..., emission: from the
+    state of its first token to that of its last. All are made side by side, one
+    row for each first state; 64 numbers stand for STRETCH tokens.
+    """
+    start, move, emit = model
+    states, n = len(move), -(-len(ids) // STRETCH)
+    products = np.zeros((n, states, states))
+    for at in range(0, n, max(1, PASS // (STRETCH * states))):
+        part = [ids[k * STRETCH : (k + 1) * STRETCH] for k in range(at, min(n, at + max(1, PASS // (STRETCH * states))))]
+        now = np.tile(np.eye(states), (len(part), 1, 1))
+        for t, c in enumerate(columns(part)):  # all but the last are equally long
+            live = len(c)
+            now[:live] = (now[:live] if t == 0 else now[:live] @ move) * emit[c][:, None, :]
+            now[:live] /= now[:live].max(axis=(1, 2), keepdims=True)
+        products[at : at + len(part)] = now
+    before, behind = [np.full(states, np.nan)], [np.ones(states)]
+    at = start[0]
+    for k in range(n - 1):
+        after = at @ products[k]
+        before.append(after / after.sum())
+        at = before[-1] @ move
+    for k in range(n - 1, 0, -1):
+        rest = move @ (products[k] @ behind[-1])
+        behind.append(rest / rest.max())
+    return list(zip(before, reversed(behind)))
 
 
 def columns(pieces: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -134,49 +181,53 @@ def columns(pieces: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield flat[start[:alive] + t]
 
 
-def expected(pieces: list[np.ndarray], begins: np.ndarray, model: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Expected counts of starts, transitions and emissions, and the log likelihood."""
+def expected(pieces: list[np.ndarray], before: np.ndarray, behind: np.ndarray, model: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Expected counts of starts, transitions and emissions, of whole texts or of their stretches()."""
     start, move, emit = model
+    begins = np.isnan(before[:, 0])
     ids = list(columns(pieces))
-    forward, scales, likelihood = [], [], 0.0
-    now = start[np.where(begins, 0, 1)]
+    last = np.array([len(p) - 1 for p in pieces])
+    forward, scales = [], []
+    now = np.where(begins[:, None], start[0], np.nan_to_num(before) @ move)
     for t, c in enumerate(ids):
         now = (now if t == 0 else now[: len(c)] @ move) * emit[c]
         scale = now.sum(axis=1)
         now = now / scale[:, None]
-        likelihood += float(np.log10(scale).sum())
         forward.append(now)
         scales.append(scale)
     states = len(move)
     moves = np.zeros((states, states))
-    after = np.ones((len(ids[-1]), states))
-    shares = [forward[-1]]
-    for t in range(len(ids) - 1, 0, -1):
+    ends = np.stack([forward[t][k] for k, t in enumerate(last)])
+    behind = behind / (ends * behind).sum(axis=1, keepdims=True)
+    after = behind[: len(ids[-1])]
+    shares = [forward[-1] * after]
+    for t in range(len(ids) - 1, -1, -1):
         weighted = emit[ids[t]] * after / scales[t][:, None]
+        if t == 0:  # the step into a stretch belongs to it
+            inside = ~begins
+            moves += before[inside].T @ weighted[inside]
+            break
         moves += forward[t - 1][: len(ids[t])].T @ weighted
-        before = np.ones((len(ids[t - 1]), states))
-        before[: len(ids[t])] = weighted @ move.T
-        after = before
+        longer = behind[: len(ids[t - 1])].copy()
+        longer[: len(ids[t])] = weighted @ move.T
+        after = longer
         shares.append(forward[t - 1] * after)
     shares.reverse()
     share, flat = np.concatenate(shares), np.concatenate(ids)
     emits = np.stack([np.bincount(flat, share[:, k], CLASSES) for k in range(states)])
-    first = np.stack([shares[0][begins].sum(axis=0), shares[0][~begins].sum(axis=0)])
-    return first, moves * move, emits, likelihood
+    return shares[0][begins].sum(axis=0), moves * move, emits
 
 
 def train(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Starts, transitions and emissions (by class, then state) from all training texts.
 
-    counts: the training tokens of each class. A text longer than STRETCH is
-    taken in stretches, all of them; those that do not begin a text have start
-    probabilities of their own.
+    counts: the training tokens of each class.
     """
-    shape = [2 * states, states * states, states * CLASSES]
+    shape = [states, states * states, states * CLASSES]
     random = np.random.Generator(np.random.PCG64(9))
     usual = (counts + 0.5) / (counts + 0.5).sum()
     emit = (usual * random.gamma(1.0, 1.0, (states, CLASSES)).clip(0.05)).T
-    model = (np.full((2, states), 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
+    model = (np.full((1, states), 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
     learn = encoded.filter("NOT held_out").select("classes")
 
     for _ in range(rounds):
@@ -184,9 +235,9 @@ def train(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds:
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(sum(shape))
             for batch in batches:
-                for pieces, begins in stretches(batch.column(0).to_pylist()):
-                    first, moves, emits, _ = expected(pieces, begins, model)
-                    total += np.concatenate([first.ravel(), moves.ravel(), emits.ravel()])
+                for pieces, before, behind in stretches(batch.column(0).to_pylist(), model):
+                    first, moves, emits = expected(pieces, before, behind, model)
+                    total += np.concatenate([first, moves.ravel(), emits.ravel()])
             at = np.flatnonzero(total)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "x"])
@@ -195,7 +246,7 @@ def train(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds:
         total = np.zeros(sum(shape))
         total[got.column(0).to_numpy()] = got.column(1).to_numpy()
         first, moves, emits = np.split(total, np.cumsum(shape)[:-1])
-        first, moves, emits = first.reshape(2, states) + 1, moves.reshape(states, states) + 1, emits.reshape(states, CLASSES) + 10 * usual
+        first, moves, emits = first.reshape(1, states) + 1, moves.reshape(states, states) + 1, emits.reshape(states, CLASSES) + 10 * usual
         model = (first / first.sum(axis=1, keepdims=True), moves / moves.sum(axis=1, keepdims=True), (emits / emits.sum(axis=1, keepdims=True)).T)
     return model
 

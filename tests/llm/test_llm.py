@@ -281,33 +281,47 @@ def test_scores(docs, rows, monkeypatch):
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:5] and abs(r.base_score - w[5]) < 1e-6 and math.isfinite(r.score)
 
 
-def test_forward_and_expected_counts():
+def test_forward_and_expected_counts(monkeypatch):
     rng = np.random.default_rng(1)
-    model = (rng.dirichlet([1, 1], 2), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(lm.CLASSES), 2).T)
-    pieces = sorted((rng.integers(0, lm.CLASSES, n).astype("<u2") for n in (1, 4, 6)), key=lambda p: -len(p))
+    model = (rng.dirichlet([1, 1], 1), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(lm.CLASSES), 2).T)
+    texts = [rng.integers(0, lm.CLASSES, n).astype("<u2") for n in (1, 4, 6, 9, 3, 12)]
 
-    def paths(ids, start):
+    def paths(ids):
         import itertools
 
         for z in itertools.product(range(2), repeat=len(ids)):
-            p = start[z[0]] * model[2][ids[0], z[0]]
+            p = model[0][0][z[0]] * model[2][ids[0], z[0]]
             for t in range(1, len(ids)):
                 p *= model[1][z[t - 1], z[t]] * model[2][ids[t], z[t]]
             yield z, p
 
-    got = lm.likelihoods([p.tobytes() for p in pieces], model)
-    assert np.allclose(got, [math.log10(sum(p for _, p in paths(ids, model[0][0]))) for ids in pieces])
-    begins = np.array([True, False, True])
-    first, moves, emits, _ = lm.expected(pieces, begins, model)
-    f, m = np.zeros((2, 2)), np.zeros((2, 2))
-    for ids, b in zip(pieces, begins):
-        every = list(paths(ids, model[0][0 if b else 1]))
+    got = lm.likelihoods([p.tobytes() for p in texts], model)
+    assert np.allclose(got, [math.log10(sum(p for _, p in paths(ids))) for ids in texts])
+    f, m, e = np.zeros(2), np.zeros((2, 2)), np.zeros((2, lm.CLASSES))
+    for ids in texts:
+        every = list(paths(ids))
         total = sum(p for _, p in every)
         for z, p in every:
-            f[0 if b else 1, z[0]] += p / total
+            f[z[0]] += p / total
             for a, c in zip(z, z[1:]):
                 m[a, c] += p / total
-    assert np.allclose(first, f) and np.allclose(moves, m) and np.isclose(emits.sum(), sum(map(len, pieces)))
+            for a, c in zip(z, ids):
+                e[a, c] += p / total
+    for stretch, size in ((512, 400_000), (3, 400_000), (4, 7), (1, 5)):  # whole texts and stretches, one pass and many
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        monkeypatch.setattr(lm, "PASS", size)
+        first, moves, emits = (sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches([p.tobytes() for p in texts], model))))
+        assert np.allclose(first, f) and np.allclose(moves, m) and np.allclose(emits, e)
+
+
+def test_long_texts_are_trained_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = (rng.dirichlet(np.ones(8), 1), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(lm.CLASSES), 8).T)
+    texts = [rng.integers(0, lm.CLASSES, n).astype("<u2").tobytes() for n in (20_000, 700, 30)]
+    cut = [sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches(texts, model)))]
+    monkeypatch.setattr(lm, "STRETCH", 1 << 20)
+    whole = [sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches(texts, model)))]
+    assert all(np.allclose(x, y) for x, y in zip(cut, whole))
 
 
 def test_tail_classes_agree(spark):
