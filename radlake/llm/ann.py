@@ -6,9 +6,11 @@ blocks of neighbouring keys. A query meets its own block and the two beside it
 on every curve; the best of all are merged and reranked on the original vectors.
 
 On vectors without low-dimensional structure no curve finds all neighbours, so
-a pass over the blocks of the first curve completes the search: a block is
-skipped if no vector in it can beat what a query has, by the angle between the
-query and the block's centre and the block's radius.
+the stated queries are then held against the blocks of the first curve: a block
+is skipped if no vector in it can beat what a query has, by the angle between
+the query and the block's centre and the block's radius. Blocks stay in tiles of
+neighbours, which are shuffled once; the queries, a small share of the rows, go
+to every tile. Vectors of different lengths never meet.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import Scratch
 #: Curves; dimensions and bits of a key; vectors of a block.
 CURVES, DIMENSIONS, BITS, BLOCK = 4, 8, 7, 256
 NEAREST, EVERY = 5, 50
-#: Queries that travel together.
-PACK = 512
+#: Queries that travel together; blocks of a tile, and tiles at least, if there are as many blocks.
+PACK, TILE, TILES = 1024, 512, 48
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -72,7 +74,16 @@ def curve_keys(units: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits
 
 def matrix(column: pa.Array) -> np.ndarray:
     """An Arrow column of equally long lists as rows of doubles."""
-    return column.values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows whose lists in a column are equally long, with that length."""
+    sizes = batch.column(column).value_lengths().to_numpy()
+    cut = np.flatnonzero(np.diff(sizes)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)]):
+        if a < b:
+            yield int(sizes[a]), batch.slice(a, b - a)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -81,51 +92,51 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors with an id, of finite components, not all zero, of the most frequent length."""
+    """(vec_id, v): vectors with an id, of finite components, not all zero."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).limit(1).collect()
-    return good.filter(F.size("v") == sizes[0].n) if sizes else good
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def ordered_blocks(vectors: DataFrame, curve: int, scratch: Scratch) -> DataFrame:
-    """(block, ids, data): the classes in the order of one curve, cut into blocks of BLOCK.
+    """(block, width, ids, data): the classes in the order of one curve, cut into blocks of BLOCK.
 
-    ids: the class numbers, data: their vectors as doubles. Blocks are numbered
-    along the curve, across the partitions.
+    ids: the class numbers, data: their vectors as doubles, all of one length
+    (width). Blocks are numbered along the curve, across the partitions.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                key = curve_keys(unit(matrix(batch.column(1))), curve)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["first", "v", "key"])
+            for width, rows in by_length(batch, 1):
+                key = curve_keys(unit(matrix(rows.column(1))), curve)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(key), width, np.int32)), pa.array(key)], ["first", "v", "width", "key"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, rest = TaskContext.get().partitionId(), 0, None
-        out = lambda ids, x: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "ids": [ids.tobytes()], "data": [x.tobytes()]})
+        part, number, of, rest = TaskContext.get().partitionId(), 0, 0, None
+        out = lambda ids, x: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "width": pa.array([of], pa.int32()), "ids": [ids.tobytes()], "data": [x.tobytes()]})
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            if rest is not None:
-                ids, x = np.concatenate([rest[0], ids]), np.concatenate([rest[1], x])
-            full = len(ids) // BLOCK * BLOCK
-            for at in range(0, full, BLOCK):
-                yield out(ids[at : at + BLOCK], x[at : at + BLOCK])
-                number += 1
-            rest = ids[full:], x[full:]
+            for width, rows in by_length(batch, 1):
+                ids, x = rows.column(0).to_numpy(), matrix(rows.column(1))
+                if rest is not None and width == of:
+                    ids, x = np.concatenate([rest[0], ids]), np.concatenate([rest[1], x])
+                elif rest is not None and len(rest[0]):
+                    yield out(*rest)
+                    number += 1
+                of, full = width, len(ids) // BLOCK * BLOCK
+                for at in range(0, full, BLOCK):
+                    yield out(ids[at : at + BLOCK], x[at : at + BLOCK])
+                    number += 1
+                rest = ids[full:], x[full:]
         if rest is not None and len(rest[0]):
             yield out(*rest)
 
-    keys = vectors.select("first", "v").mapInArrow(keyed, "first long, v array<double>, key long")
-    ranged = keys.repartitionByRange("key", "first").sortWithinPartitions("key", "first").select("first", "v")
-    cut = scratch.save(ranged.mapInArrow(blocks, "part int, number int, ids binary, data binary"), f"curve{curve}")
+    keys = vectors.select("first", "v").mapInArrow(keyed, "first long, v array<double>, width int, key long")
+    ranged = keys.repartitionByRange("width", "key", "first").sortWithinPartitions("width", "key", "first").select("first", "v")
+    cut = scratch.save(ranged.mapInArrow(blocks, "part int, number int, width int, ids binary, data binary"), f"curve{curve}")
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = cut.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # one row per partition
-    return cut.join(offsets, "part").select((F.col("before") + F.col("number")).alias("block"), "ids", "data")
+    return cut.join(offsets, "part").select((F.col("before") + F.col("number")).alias("block"), "width", "ids", "data")
 
 
 def best(queries: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -151,6 +162,8 @@ def meet(pairs: DataFrame, keep: int) -> DataFrame:
             for qids, qdata, floor, ids, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 qids, floor, ids = np.frombuffer(qids, np.int64), np.frombuffer(floor, float), np.frombuffer(ids, np.int64)
                 q, x = np.frombuffer(qdata, float).reshape(len(qids), -1), np.frombuffer(data, float).reshape(len(ids), -1)
+                if q.shape[1] != x.shape[1]:  # a window may reach over the border of two lengths
+                    continue
                 uq, ux = unit(q), unit(x)
                 centre = ux.mean(axis=0, keepdims=True)
                 if np.abs(centre).max() > 0:
@@ -172,25 +185,25 @@ def meet(pairs: DataFrame, keep: int) -> DataFrame:
 
 
 def packs(queries: DataFrame, by: str, size: int = PACK) -> DataFrame:
-    """Rows (query_id, v, floor, by) packed by ``by`` and a hash: (by, qids, qdata, floor)."""
+    """Rows (query_id, v, floor, by) packed by the length of v and ``by``: (width, by, qids, qdata, floor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(3).to_numpy(zero_copy_only=False)
-            order = np.argsort(key, kind="stable")
-            ids, x, floor = batch.column(0).to_numpy()[order], matrix(batch.column(1))[order], batch.column(2).to_numpy()[order]
-            key = key[order]
-            cut = np.flatnonzero(np.diff(key)) + 1
+            order = np.lexsort((key, batch.column(1).value_lengths().to_numpy()))
             rows = []
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                for at in range(a, b, size):
-                    s = slice(at, min(b, at + size))
-                    rows.append((int(key[at]), ids[s].tobytes(), x[s].tobytes(), floor[s].tobytes()))
+            for width, part in by_length(batch.take(pa.array(order)), 1):
+                key, ids, x, floor = part.column(3).to_numpy(zero_copy_only=False), part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy()
+                cut = np.flatnonzero(np.diff(key)) + 1
+                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                    for at in range(a, b, size):
+                        s = slice(at, min(b, at + size))
+                        rows.append((width, int(key[at]), ids[s].tobytes(), x[s].tobytes(), floor[s].tobytes()))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [by, "qids", "qdata", "floor"])
+                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["width", by, "qids", "qdata", "floor"])
 
-    return queries.select("query_id", "v", "floor", by).mapInArrow(run, f"{by} long, qids binary, qdata binary, floor binary")
+    return queries.select("query_id", "v", "floor", by).mapInArrow(run, f"width int, {by} long, qids binary, qdata binary, floor binary")
 
 
 def top(found: DataFrame, keep: int) -> DataFrame:
@@ -203,8 +216,9 @@ def neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, c
 
     Nearest first, ties to the smaller vec_id; never the query's own id. Equal
     vectors are one class, of which the smallest ids can be results. Vectors that
-    are null, zero, of another length than most, or hold null or non-finite
-    components take no part, nor do null ids; fewer candidates give fewer rows;
+    are null, zero, or hold null or non-finite components take no part, nor do
+    null ids; a query's candidates are the vectors of its own length; fewer
+    candidates give fewer rows;
     rows that repeat an id are one candidate, with the best of its vectors. An
     empty table gives no row; other columns are not read. ``complete`` False:
     only the windows of the curves, whose recall depends on the data.
@@ -233,20 +247,19 @@ def neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, c
         where = placed.mapInArrow(members, "block long, first long")
         windows = asked.join(where, "first").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
         packed = packs(windows.repartition("block"), "block")
-        near = meet(packed.join(blocks, "block"), keep)
+        near = meet(packed.drop("width").join(blocks, "block"), keep)
         found = near if found is None else found.union(near)
     found = scratch.save(top(found, keep), "windows")
     if complete:
         floor = found.filter(F.col("rank") == keep).select("query_id", F.col("score").alias("_s"))
         bounded = asked.drop("floor").join(floor, "query_id", "left").select("query_id", "v", F.coalesce("_s", F.lit(-2.0)).alias("floor"))
-        count = max(1, asked.count() // PACK)
-        # the stated queries against all blocks, pack by pack
-        numbered = bounded.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(count)))
-        packed = packs(numbered.repartition("pack"), "pack")
-        each = ordered[0].withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-        each = each.withColumn("_salt", F.pmod("block", F.lit(64)).cast("int"))
-        spread = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        rest = meet(each.join(spread, ["pack", "_salt"]), keep)
+        # the stated queries against all blocks: packs of queries go to every tile of blocks
+        tiles = ordered[0].groupBy("width").agg(F.count("*").alias("_n"))
+        tiles = tiles.select("width", F.greatest(F.ceil(F.col("_n") / TILE), F.least("_n", F.lit(TILES))).alias("_tiles"))  # one row per length
+        tiled = ordered[0].join(tiles, "width").withColumn("_tile", F.pmod("block", "_tiles")).drop("_tiles")
+        packed = packs(bounded.withColumn("_part", F.lit(0).cast("long")).repartition("query_id"), "_part").drop("_part")
+        sent = packed.join(tiles, "width").withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))).drop("_tiles")
+        rest = meet(sent.join(tiled, ["width", "_tile"]), keep)
         found = scratch.save(top(found.select("query_id", "vec_id", "score").union(rest), keep), "all")
     names = classes.select(F.col("first").alias("vec_id"), "members")
     results = found.select("query_id", "vec_id", "score").join(names, "vec_id").select("query_id", F.explode("members").alias("vec_id"), "score").filter("query_id != vec_id")
