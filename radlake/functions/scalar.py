@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +27,17 @@ def dicom_time(value: Column) -> Column:
 
 
 def scrub(text: Column) -> Column:
-    """Free text without e-mail addresses, links, IPv4 addresses, social security numbers, 9 digits and phone numbers."""
+    """Free text without e-mail addresses, links, IPv4 addresses, social security numbers, 9 digits and phone numbers.
+
+    Letters and digits are those of Unicode.
+    """
     steps = [
-        (r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"), (r"https?://\S+", "[URL]"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
+        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"), (r"https?://\S+", "[URL]"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
         (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"), (r"\b\d{9}\b", "[ID]"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]"),
     ]
     out = text
     for pattern, to in steps:
-        out = F.regexp_replace(out, pattern.replace("(?U)", ""), to)
+        out = F.regexp_replace(out, "(?U)" + pattern, to)
     return F.when(text.isNull() | (text == "") | (text == "#"), F.lit("#")).otherwise(out)
 
 
@@ -72,10 +77,11 @@ def storage_path(layout: Column, patient: Column, study: Column, series: Column,
 
 
 def short_label(value: Column, size: int = 16) -> Column:
-    """A label of at most that many characters that keeps its side (_L, _R, Left, ...)."""
-    side = F.regexp_extract(value, r"(?i)([ _-](?:left|right|lt|rt|l|r))$", 1)
-    cut = F.concat(F.rtrim(F.substring(value, F.lit(1), F.lit(size) - F.char_length(side))), side)
-    return F.when(F.char_length(value) <= size, value).when(side != "", cut).otherwise(F.substring(value, 1, size))
+    """A label of at most that many characters that keeps its side: _RIGHT, _LEFT, _R, _L, _RT or _LT in any case."""
+    side = F.regexp_extract(value, r"(?i)_(?:right|left|r|l|rt|lt)$", 0)
+    left = F.lit(size) - F.char_length(side)
+    cut = F.concat(F.substring(value, F.lit(1), F.least(left, F.char_length(value) - F.char_length(side))), side)
+    return F.when(F.char_length(value) <= size, value).when((side != "") & (left > 0), cut).otherwise(F.substring(value, 1, size))
 
 
 def valid_label(value: Column) -> Column:
@@ -88,22 +94,25 @@ def valid_color(value: Column) -> Column:
     return F.coalesce((F.size(parts) == 3) & F.forall(parts, lambda x: F.coalesce(x.rlike(r"^\d+$") & (x.try_cast("int") <= 255), F.lit(False))), F.lit(False))
 
 
-def color(value: Column) -> Column:
-    """A colour as R\\G\\B: a word before it is dropped, then RGB, a name, hex or a packed integer; else null.
+def _stripped(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
 
-    Hex without # needs a letter or a leading zero: six other digits are a packed integer, as in the SQL of parse_color.
-    """
-    text = F.trim(F.regexp_replace(F.trim(value), r"(?i)^(segment|translucent|transparent|contour|opaque)\s*-?\s*(?=.)", ""))
+
+def color(value: Column) -> Column:
+    """A colour as R\\G\\B: a word before it is dropped, then RGB, a name, six hex digits, or the digits as one packed integer, red highest; else null."""
+    whole = _stripped(value)
+    behind = F.regexp_extract(whole, r"(?i)^(?:segment|translucent|contour|transparent|opaque)\s*-?\s*(.+)$", 1)
+    text = F.when(behind != "", _stripped(behind)).otherwise(whole)
     join = lambda *c: F.concat_ws("\\", *[x.cast("string") for x in c])
-    rgb = [F.regexp_extract(text, r"(?i)^RGB\s+(\d{1,3})\s+(\d{1,3})\s+(\d{1,3})$", k).try_cast("int") for k in (1, 2, 3)]
+    rgb = [F.regexp_extract(text, r"(?i)^RGB\s+(\d+)\s+(\d+)\s+(\d+)", k).try_cast("int") for k in (1, 2, 3)]
+    small = reduce(lambda a, b: a & b, [F.coalesce(x <= 255, F.lit(False)) for x in rgb])
+    named = F.try_element_at(F.create_map(*[F.lit(x) for name, parts in COLORS.items() for x in (name, "\\".join(map(str, parts)))]), F.lower(text))
     hexed = [F.conv(F.regexp_extract(text, r"^#?([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})$", k), 16, 10) for k in (1, 2, 3)]
-    packed = F.when(text.rlike(r"^\d{1,9}$"), text.try_cast("long"))
-    named = F.lit(None).cast("string")
-    for name, parts in COLORS.items():
-        named = F.when(F.lower(text) == name, F.lit("\\".join(map(str, parts)))).otherwise(named)
+    number = F.regexp_replace(text, "[^0-9]", "")
+    packed = F.when(F.char_length(number) >= 3, (number.try_cast("decimal(38,0)") % 16777216).cast("int"))
     return (
-        F.when(text.rlike(r"(?i)^RGB\s+\d{1,3}\s+\d{1,3}\s+\d{1,3}$") & (F.greatest(*rgb) <= 255), join(*rgb)).when(named.isNotNull(), named)
-        .when(text.rlike(r"^(#|(?=0|\d*[A-Fa-f]))[0-9A-Fa-f]{6}$"), join(*hexed)).when(packed.isNotNull(), join(packed % 256, F.floor(packed / 256) % 256, F.floor(packed / 65536) % 256))
+        F.when(small, join(*rgb)).when(named.isNotNull(), named).when(text.rlike(r"^#?[0-9A-Fa-f]{6}$"), join(*hexed))
+        .when(packed.isNotNull(), join(F.shiftright(packed, 16), F.shiftright(packed, 8) % 256, packed % 256))
     )
 
 

@@ -99,20 +99,22 @@ def tiered_match(names: DataFrame, templates: DataFrame) -> DataFrame:
     """(name, template, tier): the best template of each name.
 
     Tiers: equal without case, spaces as _, without separators, one inside the
-    other; in a tier the first template by position. The first three are equi
-    joins on normalised names; only what is left meets all templates.
+    other without case. The first three are equi joins on normalised names, in
+    which the last of several equal templates counts; what is left meets the
+    templates, in the order in which their names first appear.
     """
-    strip = lambda c: F.regexp_replace(F.lower(c), "[ _-]", "")
-    forms = [F.lower, lambda c: F.regexp_replace(F.lower(c), " ", "_"), strip]
+    forms = [F.lower, lambda c: F.regexp_replace(F.lower(c), " ", "_"), lambda c: F.regexp_replace(F.lower(c), "[ _-]", "")]
     t = templates.select(F.col("name").alias("template"), "position")
     found, left = None, names.select("name").distinct()
     for tier, form in enumerate(forms, 1):
-        hit = left.join(t, form(F.col("name")) == form(F.col("template"))).groupBy("name").agg(F.min_by("template", "position").alias("template")).withColumn("tier", F.lit(tier))
+        last = t.groupBy(form(F.col("template")).alias("_form")).agg(F.max_by("template", "position").alias("template"))
+        hit = left.join(last, form(F.col("name")) == F.col("_form")).select("name", "template", F.lit(tier).alias("tier"))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit, "name", "left_anti")
-    inside = strip(F.col("name")).contains(strip(F.col("template"))) | strip(F.col("template")).contains(strip(F.col("name")))
-    hit = left.join(t, inside).groupBy("name").agg(F.min_by("template", "position").alias("template")).withColumn("tier", F.lit(4))
-    return found.unionByName(hit)
+    known = t.groupBy(F.lower("template").alias("_form")).agg(F.max_by("template", "position").alias("template"), F.min("position").alias("position"))
+    name = F.lower("name")
+    hit = left.join(known, name.contains(F.col("_form")) | F.col("_form").contains(name))
+    return found.unionByName(hit.groupBy("name").agg(F.min_by("template", "position").alias("template")).withColumn("tier", F.lit(4)))
 
 
 def remap(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:

@@ -126,7 +126,9 @@ def contour(mask: np.ndarray) -> np.ndarray:
     return mask & ~erode(mask, CUBE)
 
 
-def surface_dice(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, spacing=(1.0, 1.0, 1.0)) -> float:
+def surface_dice(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, spacing=(1.0, 1.0, 1.0), axis_mode: str = "reference") -> float:
+    """axis_mode: reference gives the spacings to the axes in reverse, as the studied application does; anatomical as they are."""
+    spacing = tuple(spacing)[::-1] if axis_mode == "reference" else tuple(spacing)
     ca, cb = contour(a), contour(b)
     if not ca.any() and not cb.any():
         return 1.0
@@ -137,9 +139,8 @@ def surface_dice(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, spacing=(
 
 
 def added_path(reference: np.ndarray, test: np.ndarray, threshold: float = 3.0, spacing=(1.0, 1.0, 1.0), axis: int = 0) -> float:
-    """Contour of the reference that the widened contour of the test misses, slice by slice along an axis."""
-    plane = [s for k, s in enumerate(spacing) if k != axis]
-    width = (plane[0] + plane[1]) / 2
+    """Contour of the reference that the widened contour of the test misses, slice by slice along an axis; widths by the mean of the first two spacings."""
+    width = (spacing[0] + spacing[1]) / 2
     r = int(np.ceil(threshold / width))
     disc = [o for o in ball(float(r)) if o[axis] == 0]
     flat = [o for o in CUBE if o[axis] == 0]

@@ -37,9 +37,10 @@ def to_poll(exports: DataFrame, as_of: Column, done: list[str], days: int = 7) -
 
 
 def allowed(requests: DataFrame, titles: DataFrame, networks: list[str]) -> DataFrame:
-    """Requests of known, active titles from an address that begins with one of the networks (none: any)."""
+    """Requests of known, active titles whose address holds one of the networks, or begins with its part before the / (no networks: any)."""
     known = requests.join(titles.filter("is_active").select("ae_title"), "ae_title", "left_semi")
-    return known.filter(reduce(lambda a, b: a | b, [F.col("ip").startswith(n) for n in networks])) if networks else known
+    tests = [F.col("ip").contains(n.strip()) | F.col("ip").startswith(n.strip().split("/")[0]) for n in networks]
+    return known.filter(reduce(lambda a, b: a | b, tests)) if networks else known
 
 
 def gate(batch: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -74,7 +75,8 @@ def next_status(status: Column, wanted: Column) -> Column:
 
 
 def job_status(total: Column, done: Column, failed: Column) -> Column:
-    return F.when((failed > 0) & (done > 0), "PARTIAL").when(failed > 0, "FAILED").when(done >= total, "SUCCESS").otherwise("IN_PROGRESS")
+    """How a retrieval ended: partial if some failed and not all are there."""
+    return F.when((failed > 0) & (done < total), "partial").otherwise("completed")
 
 
 def rule_error(vr: Column, operator: Column, value: Column) -> Column:
@@ -100,10 +102,10 @@ def violations(nodes: DataFrame) -> DataFrame:
 
 
 def accepted(files: DataFrame) -> DataFrame:
-    """Adds reason: why a returned structure set is refused, or null. A missing reference or checksum is accepted."""
+    """Adds reason: why a returned structure set is refused, or null. The checksum is tested first; a missing reference or checksum is accepted."""
     reason = (
-        F.when(~F.col("readable"), "unreadable").when(F.coalesce(F.col("modality"), F.lit("")) != "RTSTRUCT", "modality")
-        .when(F.col("referenced_series") != F.col("expected_series"), "series").when(F.col("header_checksum") != F.col("checksum"), "checksum")
+        F.when((F.coalesce("header_checksum", F.lit("")) != "") & (F.col("header_checksum") != F.col("checksum")), "checksum").when(~F.col("readable"), "unreadable")
+        .when(F.coalesce(F.col("modality"), F.lit("")) != "RTSTRUCT", "modality").when(F.col("referenced_series") != F.col("expected_series"), "series")
     )
     return files.withColumn("reason", reason)
 

@@ -29,7 +29,7 @@ def parse_text(text: str) -> list[dict]:
             key, value = (x.strip() for x in pair.split("=", 1))
             for kind in (int, float, str):
                 try:
-                    parameters[key] = kind(value)
+                    parameters[key] = kind(value.strip("\"'") if kind is str else value)
                     break
                 except ValueError:
                     pass

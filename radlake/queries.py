@@ -118,11 +118,13 @@ def rule_string_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _satisfied(spark, sf_dir, "p_name", cases)
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS n_true FROM part")
+@query(f"""SELECT o AS operator, count(*) AS n, count(*) FILTER (p_size % 2 = 0 AND o NOT IN ('NOT_EQUALS', 'CASE_SENSITIVE_STRING_DOES_NOT_CONTAIN', 'CASE_INSENSITIVE_STRING_DOES_NOT_CONTAIN', 'GREATER_THAN', 'LESS_THAN')) AS n_true
+FROM part, (SELECT unnest({sorted(set(VR.NUMERIC_OPERATORS) | set(VR.STRING_OPERATORS))}) AS o) GROUP BY 1""")
 def rule_missing_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = F.lit(None).cast("string")
-    df = T.table(spark, sf_dir, "part").select(RU.satisfied(F.lit("NOT_EQUALS"), missing, F.col("p_name")).alias("r"))
-    return df.agg(F.count("*").alias("n"), F.count_if("r").alias("n_true"))
+    """Every operator on tags equal to the rule's value, half of which are missing: a missing tag never meets a rule."""
+    size = F.col("p_size").cast("string")
+    each = T.table(spark, sf_dir, "part").select(F.explode(F.array(*map(F.lit, sorted(set(VR.NUMERIC_OPERATORS) | set(VR.STRING_OPERATORS))))).alias("operator"), F.when(F.col("p_size") % 2 == 0, size).alias("tag"), size.alias("value"))
+    return each.groupBy("operator").agg(F.count("*").alias("n"), F.count_if(RU.satisfied(F.col("operator"), F.col("tag"), F.col("value"))).alias("n_true"))
 
 
 # --- hierarchical queries -------------------------------------------------------------
@@ -288,17 +290,17 @@ def pairs_symmetric_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Template names of the fuzzy match.
-TEMPLATES = ["RED WIDGET", "blue_bolt", "small-ring", "gear", "steel"]
+TEMPLATES = ["RED WIDGET", "blue_bolt", "small-ring", "gear", "steel", "Blue Bolt", "Gear"]
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT * FROM (VALUES ('RED WIDGET', 1), ('blue_bolt', 2), ('small-ring', 3), ('gear', 4), ('steel', 5)) t(template, position)),
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT * FROM (VALUES ('RED WIDGET', 1), ('blue_bolt', 2), ('small-ring', 3), ('gear', 4), ('steel', 5), ('Blue Bolt', 6), ('Gear', 7)) t(template, position)),
 m AS (SELECT name, template, position, CASE WHEN lower(name) = lower(template) THEN 1 WHEN replace(lower(name), ' ', '_') = replace(lower(template), ' ', '_') THEN 2
-WHEN regexp_replace(lower(name), '[ _-]', '', 'g') = regexp_replace(lower(template), '[ _-]', '', 'g') THEN 3
-WHEN contains(regexp_replace(lower(name), '[ _-]', '', 'g'), regexp_replace(lower(template), '[ _-]', '', 'g')) OR contains(regexp_replace(lower(template), '[ _-]', '', 'g'), regexp_replace(lower(name), '[ _-]', '', 'g')) THEN 4 END AS tier FROM n, t)
-SELECT name, template, tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, position) AS k FROM m WHERE tier IS NOT NULL) WHERE k = 1""")
+WHEN regexp_replace(lower(name), '[ _-]', '', 'g') = regexp_replace(lower(template), '[ _-]', '', 'g') THEN 3 END AS tier FROM n, t
+UNION ALL SELECT name, template, position, CASE WHEN contains(lower(name), f) OR contains(f, lower(name)) THEN 4 END FROM n, (SELECT lower(template) AS f, arg_max(template, position) AS template, min(position) AS position FROM t GROUP BY 1))
+SELECT name, template, tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, CASE WHEN tier < 4 THEN -position ELSE position END) AS k FROM m WHERE tier IS NOT NULL) WHERE k = 1""")
 def fuzzy_name_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = T.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    return C.tiered_match(names, spark.createDataFrame(list(zip(TEMPLATES, range(1, 6))), "name string, position int"))
+    return C.tiered_match(names, spark.createDataFrame(list(zip(TEMPLATES, range(1, 8))), "name string, position int"))
 
 
 @query(cte("study") + "SELECT * FROM (SELECT study_uid, strftime(study_date, '%Y-%m-%d') AS study_date FROM study ORDER BY study_date DESC, study_uid LIMIT 25 OFFSET 50)")
@@ -486,18 +488,26 @@ def sanitize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", S.safe_name(raw).alias("name"))
 
 
-@query("SELECT p_partkey, CASE WHEN length(l) <= 16 THEN l ELSE rtrim(l[1:14]) || right(l, 2) END AS label FROM (SELECT p_partkey, 'ROI ' || p_name || ' ' || p_size || CASE WHEN p_size % 2 = 0 THEN '_L' ELSE '_R' END AS l FROM part)")
+#: Labels with a side, labels without, and what looks like a side but is none.
+_LABEL_SQL = """CASE WHEN length(l) <= 16 THEN l WHEN regexp_matches(l, '(?i)_(right|left|r|l|rt|lt)$') THEN l[1 : 16 - length(regexp_extract(l, '(?i)_(right|left|r|l|rt|lt)$'))] || regexp_extract(l, '(?i)_(right|left|r|l|rt|lt)$') ELSE l[1:16] END"""
+
+
+@query(f"""SELECT p_partkey, {_LABEL_SQL} AS label FROM (SELECT p_partkey, 'ROI ' || p_name || ' ' || p_size || (CASE p_partkey % 8 WHEN 0 THEN '_L' WHEN 1 THEN '_Right' WHEN 2 THEN ' R' WHEN 3 THEN '-LEFT' WHEN 4 THEN '_Rt' WHEN 5 THEN '_LT' WHEN 6 THEN '_LEFT' ELSE '' END) AS l FROM part)""")
 def truncate_roi_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat(F.lit("ROI "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "_L").otherwise("_R"))
+    ends = F.array(*map(F.lit, ("_L", "_Right", " R", "-LEFT", "_Rt", "_LT", "_LEFT", "")))
+    label = F.concat(F.lit("ROI "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.element_at(ends, (F.col("p_partkey") % 8 + 1).cast("int")))
     return T.table(spark, sf_dir, "part").select("p_partkey", S.short_label(label).alias("label"))
 
 
-@query(r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size % 256) || '\' || (p_size * 5 % 256) || '\0' WHEN 1 THEN (CASE split_part(p_name, ' ', 1) WHEN 'red' THEN '255\0\0' WHEN 'blue' THEN '0\0\255' WHEN 'green' THEN '0\255\0' END)
-WHEN 2 THEN '16\' || p_size || '\255' ELSE (p_partkey % 256) || '\' || (p_partkey // 256 % 256) || '\' || (p_partkey // 65536 % 256) END AS color FROM part""")
+@query(r"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size || '\' || (p_size * 5 % 256) || '\0' WHEN 1 THEN (CASE split_part(p_name, ' ', 1) WHEN 'red' THEN '255\0\0' WHEN 'blue' THEN '0\0\255' WHEN 'green' THEN '0\255\0' END)
+WHEN 2 THEN '16\' || p_size || '\255' WHEN 3 THEN (n // 65536 % 256) || '\' || (n // 256 % 256) || '\' || (n % 256) WHEN 4 THEN '18\52\' || ('0x' || lpad((p_partkey % 100)::VARCHAR, 2, '0'))::INT WHEN 5 THEN '4\' || ((300000 + p_size % 10 * 100) // 256 % 256) || '\' || ((300000 + p_size % 10 * 100) % 256)
+ELSE '255\192\203' END AS color FROM (SELECT *, 16711680 + p_partkey AS n FROM part)""")
 def parse_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("int")
+    """RGB, names behind a word, hex with and without #, packed integers, RGB out of range (its digits are packed), names in odd case."""
+    k, size = F.col("p_partkey") % 7, F.col("p_size").cast("int")
     raw = F.when(k == 0, F.format_string("RGB %d %d 0", size % 256, size * 5 % 256)).when(k == 1, F.concat(F.lit("Segment - "), F.split_part("p_name", F.lit(" "), F.lit(1))))
-    raw = raw.when(k == 2, F.concat(F.lit("#10"), F.lpad(F.hex(size), 2, "0"), F.lit("FF"))).otherwise(F.col("p_partkey").cast("string"))
+    raw = raw.when(k == 2, F.concat(F.lit("#10"), F.lpad(F.hex(size), 2, "0"), F.lit("FF"))).when(k == 3, (F.lit(16711680) + F.col("p_partkey")).cast("string"))
+    raw = raw.when(k == 4, F.concat(F.lit("1234"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))).when(k == 5, F.format_string("rgb 300 %d 00", size % 10)).otherwise(" opaque-PinK ")
     return T.table(spark, sf_dir, "part").select("p_partkey", S.color(raw).alias("color"))
 
 
@@ -701,11 +711,11 @@ def polling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_poll(exports, F.lit("2024-01-30").cast("timestamp_ntz"), ["RTSTRUCT_READY"]).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE user_id % 2 = 0 AND '10.0.' || (user_id % 4) || '.1' LIKE '10.0.2%'")
+@query("SELECT event_id FROM events WHERE user_id % 2 = 0 AND ('10.0.' || (user_id % 4) || '.1' LIKE '10.0.2%' OR contains('10.0.' || (user_id % 4) || '.1', '0.0.1'))")
 def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.transactions(spark, sf_dir).withColumn("ae_title", F.col("ae").cast("string")).withColumn("ip", F.concat(F.lit("10.0."), (F.col("ae") % 4).cast("string"), F.lit(".1")))
     titles = e.select("ae_title", (F.col("ae") % 2 == 0).alias("is_active")).distinct()
-    return L.allowed(e, titles, ["10.0.2"]).select("event_id")
+    return L.allowed(e, titles, ["10.0.2/24", " 0.0.1"]).select("event_id")
 
 
 @query("SELECT p_partkey FROM part")
@@ -726,15 +736,26 @@ def export_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.first_success(attempts, "l_orderkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'RULE_MATCHED' ELSE 'RTSTRUCTURE_RECEIVED' END AS status FROM orders""")
+#: The states, first to last, and each step that is allowed by their numbers.
+STATES = [
+    "UNPROCESSED", "RULE_NOT_MATCHED", "RULE_MATCHED", "MULTIPLE_RULES_MATCHED", "DEIDENTIFIED_SUCCESSFULLY", "DEIDENTIFICATION_FAILED", "PENDING_TRANSFER_TO_DRAW_SERVER",
+    "SENT_TO_DRAW_SERVER", "FAILED_TRANSFER_TO_DRAW_SERVER", "RTSTRUCTURE_RECEIVED", "INVALID_RTSTRUCTURE_RECEIVED", "RTSTRUCTURE_EXPORTED", "RTSTRUCTURE_EXPORT_FAILED",
+]
+STEPS = [(1, 2), (1, 3), (1, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 7), (7, 8), (7, 9), (8, 10), (8, 11), (10, 12), (10, 13)]
+
+
+@query(f"""WITH s AS (SELECT {STATES} AS s), p AS (SELECT * FROM (VALUES {str(STEPS)[1:-1]}) p(a, b)), o AS (SELECT o_orderkey, o_orderkey % 13 + 1 AS x, o_orderkey // 13 % 13 + 1 AS y FROM orders)
+SELECT o_orderkey, s[CASE WHEN b IS NULL THEN x ELSE y END] AS status FROM o CROSS JOIN s LEFT JOIN p ON a = x AND b = y""")
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.when(F.col("o_orderstatus") == "F", "UNPROCESSED").otherwise("RTSTRUCTURE_RECEIVED")
-    return T.table(spark, sf_dir, "orders").select("o_orderkey", L.next_status(now, F.lit("RULE_MATCHED")).alias("status"))
+    """Every pair of states is tried."""
+    of = lambda k: F.element_at(F.array(*map(F.lit, STATES)), (k % 13 + 1).cast("int"))
+    key = F.col("o_orderkey")
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", L.next_status(of(key), of(F.floor(key / 13))).alias("status"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN f > 0 AND d > 0 THEN 'PARTIAL' WHEN f > 0 THEN 'FAILED' WHEN d >= t THEN 'SUCCESS' ELSE 'IN_PROGRESS' END AS status FROM (SELECT l_orderkey AS o_orderkey, count(*) AS t, count(*) FILTER (l_returnflag = 'A') AS d, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)""")
+@query("""SELECT o_orderkey, CASE WHEN f > 0 AND d < t THEN 'partial' ELSE 'completed' END AS status FROM (SELECT l_orderkey AS o_orderkey, count(*) AS t, count(*) FILTER (l_returnflag <> 'N' OR l_linenumber = 1) AS d, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)""")
 def retrieve_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("t"), F.count_if(F.col("l_returnflag") == "A").alias("d"), F.count_if(F.col("l_returnflag") == "R").alias("f"))
+    n = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("t"), F.count_if((F.col("l_returnflag") != "N") | (F.col("l_linenumber") == 1)).alias("d"), F.count_if(F.col("l_returnflag") == "R").alias("f"))
     return n.select("o_orderkey", L.job_status(F.col("t"), F.col("d"), F.col("f")).alias("status"))
 
 
@@ -763,7 +784,7 @@ def node_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.violations(nodes)
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 45 THEN 'unreadable' WHEN l_returnflag = 'N' THEN 'modality' WHEN l_linenumber = 2 THEN 'series' WHEN l_linestatus = 'F' AND l_linenumber = 3 THEN 'checksum' END AS reason FROM lineitem) GROUP BY 1""")
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_linestatus = 'F' AND l_linenumber = 3 THEN 'checksum' WHEN l_quantity > 45 THEN 'unreadable' WHEN l_returnflag = 'N' THEN 'modality' WHEN l_linenumber = 2 THEN 'series' END AS reason FROM lineitem) GROUP BY 1""")
 def rtstruct_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     files = T.table(spark, sf_dir, "lineitem").select(

@@ -13,6 +13,7 @@ from radlake.functions import vr as VR
 from radlake.operators import catalog as C
 from radlake.operators import cfind as Q
 from radlake.operators import kernels as K
+from radlake.operators import lists as L
 from radlake.operators import rules as R
 from radlake.operators import voxels as V
 from radlake.plans import masks as P
@@ -29,12 +30,44 @@ def one(spark, column, **values):
         ("AS", "065Y", True), ("AS", "65Y", False), ("DA", "20230229", False), ("DA", "20240229", True), ("DS", "1.23E-4", True), ("IS", "2147483648", False),
         ("IS", "2147483647", True), ("TM", "143000.123456", True), ("UI", "1.2.840.", False), ("CS", "lower_ok", True), ("US", "65536", False), ("AT", "(0018,00FF)", True),
         ("LO", "a\\b", False), ("DA", "", True), ("ZZ", "x" * 1025, False), ("PN", "A^B=C", True), ("FL", "3.5e38", False), ("FD", "1_000", False), ("SS", "-32768", True),
+        ("DT", " 20240101 ", True), ("TM", "1430 ", True), ("UI", " 1.2.3\t", True), ("AE", "A\x7f", True), ("AE", "A\t", False), ("IS", "\t5 ", True), ("AT", "(0018,00FG)", False),
     ],
 )
 def test_value_representations(spark, vr, value, ok):
     assert one(spark, VR.valid(F.col("v"), F.col("r")), v=value, r=vr) is ok
 
 
+def test_guidance(spark):
+    rows = spark.createDataFrame([("DA",), ("ZZ",), (None,)], "vr string")
+    got = {r.vr: (r.format, r.example) for r in VR.guidance(rows, "vr").collect()}
+    assert got["DA"] == ("YYYYMMDD format", "19930822 (August 22, 1993)") and got["ZZ"][1] == got[None][1] == "Refer to DICOM documentation"
+
+
+def test_requests_jobs_and_files(spark):
+    asked = spark.createDataFrame([(1, "A", "10.0.2.7"), (2, "A", "10.0.3.7"), (3, "B", "10.0.2.7"), (4, "C", "10.0.2.7"), (5, "A", "110.0.2.9")], "id int, ae_title string, ip string")
+    titles = spark.createDataFrame([("A", True), ("B", False)], "ae_title string, is_active boolean")
+    of = lambda n: sorted(r.id for r in L.allowed(asked, titles, n).collect())
+    assert of(["10.0.2.7/32"]) == [1] and of([]) == [1, 2, 5] and of(["0.2."]) == [1, 5]
+    jobs = spark.createDataFrame([(5, 0, 1), (5, 5, 1), (5, 5, 0), (5, 2, 0)], "t int, d int, f int")
+    assert [r.x for r in jobs.select(L.job_status(F.col("t"), F.col("d"), F.col("f")).alias("x")).collect()] == ["partial", "completed", "completed", "completed"]
+    files = spark.createDataFrame([(False, None, None, "a", "x", "y"), (False, "RTSTRUCT", None, "a", "", "y"), (True, "CT", "b", "a", None, "y"), (True, "RTSTRUCT", "b", "a", "y", "y"), (True, "RTSTRUCT", None, "a", "y", "y")], "readable boolean, modality string, referenced_series string, expected_series string, header_checksum string, checksum string")
+    assert [r.reason for r in L.accepted(files).collect()] == ["checksum", "unreadable", "modality", "series", None]
+
+
+def test_matching_of_names(spark):
+    names = spark.createDataFrame([("parotid l",), ("Cord",), ("Spinal-Cord",), ("lens",), ("EyeL",), ("eye l big",)], "name string")
+    templates = spark.createDataFrame([("Parotid_L", 1), ("CORD", 2), ("cord", 3), ("spinal cord", 4), ("Lens R", 5), ("Eye_L", 6), ("LENS r", 7), ("Eye L", 8)], "name string, position int")
+    got = {r.name: (r.template, r.tier) for r in C.tiered_match(names, templates).collect()}
+    assert got == {"parotid l": ("Parotid_L", 2), "Cord": ("cord", 1), "Spinal-Cord": ("spinal cord", 3), "lens": ("LENS r", 4), "EyeL": ("Eye L", 3), "eye l big": ("Eye L", 4)}
+
+
+def test_metrics_at_unequal_spacing():
+    a, b = np.zeros((6, 9, 9), bool), np.zeros((6, 9, 9), bool)
+    a[1:4, 1:4, 1:4], b[1:4, 1:4, 4:7] = True, True
+    assert K.added_path(a, b, 0.5, (2.0, 4.0, 9.0)) == 15 * 3.0 and K.added_path(a, b, 6.5, (2.0, 4.0, 9.0)) == 0
+    assert K.surface_dice(a, b, 3.0, (3.0, 1.0, 1.0), "anatomical") == 1.0 and K.surface_dice(a, b, 2.9, (3.0, 1.0, 1.0)) == 0.0 and K.surface_dice(a, b, 3.0, (3.0, 1.0, 1.0)) < 1
+
+
 def test_operator_lists(spark):
     sizes = {c: one(spark, F.size(VR.operators(F.col("r"))), r=c) for c in ("DS", "LO", "DA", "SQ")}
     assert sizes == {"DS": 6, "LO": 8, "DA": 12, "SQ": 2}
@@ -45,13 +78,25 @@ def test_operator_lists(spark):
     [
         ("Yellow", "255\\255\\0"), ("red", "255\\0\\0"), ("Segment - Cyan", "0\\255\\255"), ("Segment-Magenta", "255\\0\\255"), ("Translucent - Blue", "0\\0\\255"),
         ("Contour Yellow", "255\\255\\0"), ("Transparent Orange", "255\\165\\0"), ("Opaque - Purple", "128\\0\\128"), ("skin", "255\\224\\189"), ("RGB 0 255 255", "0\\255\\255"),
-        ("#00FFFF", "0\\255\\255"), ("", None), ("InvalidColor", None), (None, None),
+        ("#00FFFF", "0\\255\\255"), ("", None), ("InvalidColor", None), (None, None), ("16711680", "255\\0\\0"), ("FF0000", "255\\0\\0"), ("123456", "18\\52\\86"), ("RGB 300 0 0", "0\\117\\48"),
+        ("12", None), ("  Bone Rendering\t", "255\\245\\238"), ("Grey", "128\\128\\128"), ("Segment", None), ("segmentRed", "255\\0\\0"), ("65793", "1\\1\\1"),
     ],
 )
 def test_colors(spark, text, color):
     assert one(spark, S.color(F.col("v")), v=text) == color
 
 
+@pytest.mark.parametrize(
+    "label,short",
+    [
+        ("PAROTID_GLAND_RIGHT", "PAROTID_GL_RIGHT"), ("SUBMANDIBULAR_L", "SUBMANDIBULAR_L"), ("VERY_LONG_STRUCTURE_NAME_R", "VERY_LONG_STRU_R"), ("VERY LONG STRUCTURE R", "VERY LONG STRUCT"),
+        ("Optic nerve long  _Lt", "Optic nerve l_Lt"), ("a_very_long_name_left", "a_very_long_left"), (None, None),
+    ],
+)
+def test_short_labels(spark, label, short):
+    assert one(spark, S.short_label(F.col("v")), v=label) == short
+
+
 @pytest.mark.parametrize("label,ok", [("PAROTID_R", True), ("THIS_IS_TOO_LONG_LABEL", False), ("", False)])
 def test_labels(spark, label, ok):
     assert one(spark, S.valid_label(F.col("v")), v=label) is ok
