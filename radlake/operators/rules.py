@@ -1,8 +1,8 @@
 """Rule engine: predicates on tags, ordered AND/OR folds over rules and rule sets, assignment.
 
 Rules are data. The predicate of a rule is one expression over its operator
-column; a fold is an aggregate over the ordered array of results, so a series
-needs one shuffle for its rules and one for its rule sets.
+column; a fold is an aggregate over the ordered array of results. All rules come
+as one row, so series are not shuffled for them.
 """
 
 from __future__ import annotations
@@ -35,48 +35,73 @@ def satisfied(operator: Column, tag: Column, value: Column) -> Column:
 
 
 def fold(results: Column) -> Column:
-    """Left fold of an ordered array of (order, id, result, combine): the combinator before an element joins it.
+    """Left fold of an array of (order, id, result, combine) by its order: the combinator before an element joins it.
 
     Empty is false; so is a join by an unknown combinator.
     """
-    ordered = F.array_sort(results)
-    start = F.struct(F.element_at(ordered, 1)["result"].alias("value"), F.element_at(ordered, 1)["combine"].alias("combine"))
 
     def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["combine"] == "AND", acc["value"] & x["result"]).when(acc["combine"] == "OR", acc["value"] | x["result"]).otherwise(False)
-        return F.struct(joined.alias("value"), x["combine"].alias("combine"))
+        joined = F.when(acc["combine"].isNull(), x["result"]).when(acc["combine"] == "AND", acc["value"] & x["result"]).when(acc["combine"] == "OR", acc["value"] | x["result"]).otherwise(False)
+        return F.struct(joined.alias("value"), F.coalesce(x["combine"], F.lit("")).alias("combine"))
 
-    return F.when(F.size(results) > 0, F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), start, step)["value"]).otherwise(False)
+    start = F.struct(F.lit(False).alias("value"), F.lit(None).cast("string").alias("combine"))
+    return F.aggregate(F.array_sort(results), start, step)["value"]
 
 
-def evaluate_sets(tags: DataFrame, rules: DataFrame) -> DataFrame:
-    """(series_uid, set_id, result) for every series and rule set.
+def _rule_sets(rules: DataFrame) -> DataFrame:
+    """One row: rule_sets, an array of (set_id, its rules in order). Rules are configuration entered by hand."""
+    rule = F.struct("rule_order", "rule_id", "tag_name", "tag_id", "operator", "value", "combine")
+    return rules.groupBy("set_id").agg(F.array_sort(F.collect_list(rule)).alias("rules")).agg(F.collect_list(F.struct("set_id", "rules")).alias("rule_sets"))
+
+
+def _set_results() -> Column:
+    """Map of set_id to its fold, from the columns tags and rule_sets."""
+
+    def result(r: Column) -> Column:
+        tag = F.coalesce(F.try_element_at("tags", r["tag_name"]), F.try_element_at("tags", r["tag_id"]))
+        return F.struct(r["rule_order"].alias("order"), r["rule_id"].alias("id"), satisfied(r["operator"], tag, r["value"]).alias("result"), r["combine"].alias("combine"))
+
+    return F.map_from_entries(F.transform("rule_sets", lambda s: F.struct(s["set_id"], fold(F.transform(s["rules"], result)))))
+
+
+def match(tags: DataFrame, rules: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """(series_uid, groups): per series an array of (group_id, template_id, result, matched_sets), one for each group.
 
     tags: series_uid, tags (map). rules: set_id, rule_order, rule_id, tag_name,
-    tag_id, operator, value, combine. Rules are configuration entered by hand, a
-    small table; each series meets each rule by design.
+    tag_id, operator, value, combine. hierarchy: group_id, template_id, set_id,
+    set_order, combine. The rules come in as one row that meets every series, and
+    both folds are expressions: no shuffle of the series. A set without rules is
+    false; a set in no group has no effect; a group counts if its fold is true
+    and at least one of its sets matched.
     """
-    each = tags.join(rules, F.lit(True))
-    tag = F.coalesce(F.try_element_at("tags", "tag_name"), F.try_element_at("tags", "tag_id"))
-    got = each.withColumn("result", satisfied(F.col("operator"), tag, F.col("value")))
-    results = F.collect_list(F.struct(F.col("rule_order").alias("order"), F.col("rule_id").alias("id"), "result", "combine"))
-    return got.groupBy("series_uid", "set_id").agg(results.alias("r")).select("series_uid", "set_id", fold(F.col("r")).alias("result"))
+    one = F.struct(F.col("set_order").alias("order"), F.col("set_id").alias("id"), "combine")
+    groups = hierarchy.groupBy("group_id", "template_id").agg(F.array_sort(F.collect_list(one)).alias("sets")).agg(F.collect_list(F.struct("group_id", "template_id", "sets")).alias("rule_groups"))
+    each = tags.crossJoin(_rule_sets(rules)).crossJoin(groups)  # one row on the right
 
+    def group(sets: Column, g: Column) -> Column:
+        results = F.transform(g["sets"], lambda s: F.struct(s["order"], s["id"], F.coalesce(F.try_element_at(sets, s["id"]), F.lit(False)).alias("result"), s["combine"]))
+        counted = F.transform(F.array(results), lambda r: F.struct(fold(r).alias("fold"), F.size(F.filter(r, lambda s: s["result"])).cast("long").alias("n")))[0]
+        return F.struct(g["group_id"], g["template_id"], counted["fold"].alias("result"), counted["n"].alias("matched_sets"))
 
-def evaluate_groups(sets: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """(series_uid, group_id, template_id, result, matched_sets).
+    # arrays of one element bind a value to a name, so that it is computed once for a series
+    every = F.transform(F.array(_set_results()), lambda sets: F.transform("rule_groups", lambda g: group(sets, g)))[0]
+    counts = F.transform(every, lambda g: F.struct(g["group_id"], g["template_id"], (g["result"] & (g["matched_sets"] > 0)).alias("result"), g["matched_sets"]))
+    return each.select("series_uid", counts.alias("groups"))
 
-    hierarchy: group_id, template_id, set_id, set_order, combine. A group counts
-    if its fold is true and at least one of its sets matched.
-    """
-    each = sets.join(hierarchy, "set_id")
-    results = F.collect_list(F.struct(F.col("set_order").alias("order"), F.col("set_id").alias("id"), "result", "combine"))
-    got = each.groupBy("series_uid", "group_id", "template_id").agg(results.alias("r"), F.count_if("result").alias("matched_sets"))
-    return got.select("series_uid", "group_id", "template_id", (fold(F.col("r")) & (F.col("matched_sets") > 0)).alias("result"), "matched_sets")
+
+def evaluate_sets(tags: DataFrame, rules: DataFrame) -> DataFrame:
+    """(series_uid, set_id, result) for every series and rule set."""
+    each = tags.crossJoin(_rule_sets(rules))  # one row on the right
+    return each.select("series_uid", F.explode(_set_results()).alias("set_id", "result"))
+
+
+def evaluate_groups(matched: DataFrame) -> DataFrame:
+    """(series_uid, group_id, template_id, result, matched_sets) from match()."""
+    return matched.select("series_uid", F.inline("groups"))
 
 
-def assign(groups: DataFrame) -> DataFrame:
-    """(series_uid, matched_groups, status)."""
-    n = groups.groupBy("series_uid").agg(F.count_if("result").alias("matched_groups"))
+def assign(matched: DataFrame) -> DataFrame:
+    """(series_uid, matched_groups, status) from match()."""
+    n = F.size(F.filter("groups", lambda g: g["result"])).cast("long")
     status = F.when(F.col("matched_groups") == 0, "RULE_NOT_MATCHED").when(F.col("matched_groups") == 1, "RULE_MATCHED").otherwise("MULTIPLE_RULES_MATCHED")
-    return n.withColumn("status", status)
+    return matched.select("series_uid", n.alias("matched_groups")).withColumn("status", status)

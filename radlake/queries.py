@@ -80,14 +80,14 @@ t AS (SELECT series_uid, modality = 'A' AND contains(lower(study_description), '
 @query(FIRST + """SELECT series_uid, (s1 OR s2)::INT + s3::INT AS matched_groups,
 CASE (s1 OR s2)::INT + s3::INT WHEN 0 THEN 'RULE_NOT_MATCHED' WHEN 1 THEN 'RULE_MATCHED' ELSE 'MULTIPLE_RULES_MATCHED' END AS status FROM t""")
 def rule_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = RU.evaluate_sets(series_tags(spark, sf_dir), rule_table(spark))
-    return RU.assign(RU.evaluate_groups(sets, group_table(spark))).withColumn("matched_groups", F.col("matched_groups").cast("int"))
+    matched = RU.match(series_tags(spark, sf_dir), rule_table(spark), group_table(spark))
+    return RU.assign(matched).withColumn("matched_groups", F.col("matched_groups").cast("int"))
 
 
 @query(FIRST + "SELECT series_uid, 'T1' AS template_id, s1::BIGINT + s2::BIGINT AS matched_sets FROM t WHERE s1 OR s2 UNION ALL SELECT series_uid, 'T2', 1 FROM t WHERE s3")
 def rule_group_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = RU.evaluate_sets(series_tags(spark, sf_dir), rule_table(spark))
-    return RU.evaluate_groups(sets, group_table(spark)).filter("result").select("series_uid", "template_id", "matched_sets")
+    matched = RU.match(series_tags(spark, sf_dir), rule_table(spark), group_table(spark))
+    return RU.evaluate_groups(matched).filter("result").select("series_uid", "template_id", "matched_sets")
 
 
 @query(FIRST + "SELECT series_uid, unnest([1, 2, 3, 4]) AS set_id, unnest([s1, s2, s3, false]) AS result FROM t")

@@ -150,10 +150,35 @@ def test_rule_chain(spark):
         "set_id int, rule_order int, rule_id int, tag_name string, tag_id string, operator string, value string, combine string",
     )
     groups = spark.createDataFrame([(1, "T", 1, 1, "OR"), (2, "U", 2, 1, "OR")], "group_id int, template_id string, set_id int, set_order int, combine string")
-    got = R.assign(R.evaluate_groups(R.evaluate_sets(tags, rules), groups))
+    got = R.assign(R.match(tags, rules, groups))
     assert {r.series_uid: r.status for r in got.collect()} == {"s1": "MULTIPLE_RULES_MATCHED", "s2": "RULE_NOT_MATCHED"}
 
 
+@pytest.mark.parametrize(
+    "rules,modality,matched",
+    [
+        # (set, order, tag, operator, value, combinator); the groups are (set, order, combinator)
+        ([(1, 1, "Modality", "EQUALS", "CT", "AND"), (1, 2, "Slice Thickness", "LESS_THAN", "5", "AND"), (1, 3, "Body Part Examined", "EQUALS", "HEAD", "AND")], "CT", (True, 1)),
+        ([(1, 1, "Modality", "EQUALS", "CT", "AND"), (1, 2, "Slice Thickness", "LESS_THAN", "5", "AND"), (1, 3, "Body Part Examined", "EQUALS", "HEAD", "AND")], "MR", (False, 0)),
+        ([(1, 1, "Modality", "EQUALS", "CT", "OR"), (1, 2, "Slice Thickness", "GREATER_THAN", "5", "OR"), (1, 3, "Body Part Examined", "EQUALS", "NECK", "OR")], "CT", (True, 1)),
+        ([(1, 1, "Modality", "EQUALS", "CT", "OR"), (1, 2, "Slice Thickness", "GREATER_THAN", "5", "OR"), (1, 3, "Body Part Examined", "EQUALS", "NECK", "OR")], "MR", (False, 0)),
+        ([(1, 1, "Modality", "EQUALS", "CT", "AND"), (1, 2, "Body Part Examined", "EQUALS", "NECK", "OR"), (1, 3, "Slice Thickness", "EQUALS", "3.0", "AND")], "CT", (True, 1)),  # T and F or T
+        ([(1, 1, "Modality", "EQUALS", "CT", "OR"), (1, 2, "Body Part Examined", "EQUALS", "HEAD", "AND"), (1, 3, "Slice Thickness", "EQUALS", "9", "AND")], "CT", (False, 0)),  # T or T and F
+        ([(1, 1, "Modality", "EQUALS", "CT", "AND"), (2, 1, "Body Part Examined", "EQUALS", "NECK", "AND")], "CT", (True, 1)),
+        ([(1, 1, "Modality", "EQUALS", "CT", "AND"), (2, 1, "Body Part Examined", "EQUALS", "HEAD", "AND")], "CT", (True, 2)),
+        ([(2, 1, "Body Part Examined", "EQUALS", "HEAD", "AND")], "CT", (True, 1)),  # the first set has no rules
+    ],
+)
+def test_rule_combinations(spark, rules, modality, matched):
+    tags = spark.createDataFrame([("s", {"Modality": modality, "Body Part Examined": "HEAD", "Slice Thickness": "3.0"})], "series_uid string, tags map<string,string>")
+    schema = "set_id int, rule_order int, tag_name string, operator string, value string, combine string"
+    table = spark.createDataFrame(rules, schema).withColumn("rule_id", F.col("rule_order")).withColumn("tag_id", F.lit("x"))
+    for how, want in (("OR", matched), ("AND", (matched[1] == 2, matched[1]))):
+        groups = spark.createDataFrame([(1, "T", 1, 1, how), (1, "T", 2, 2, how)], "group_id int, template_id string, set_id int, set_order int, combine string")
+        got = R.evaluate_groups(R.match(tags, table, groups)).first()
+        assert (got.result, got.matched_sets) == want
+
+
 @pytest.mark.parametrize(
     "pattern,text,ok", [("smith*", "Smith^John", True), ("smith*", "Blacksmith", False), ("CT?23", "ct123", True), ("CT?23", "ct1234", False), ("1.2*", "1.2.840", True), ("1.2*", "1x2.840", False), ("a(b", "A(B", True)]
 )
