@@ -6,16 +6,16 @@ own, every other word falls into a class by its last letters. A state emits a
 class, and the class a word by its smoothed count, so the model gives every text
 a probability. Baum-Welch runs over all training texts: each task sums expected
 counts, the sums meet in a shuffle, and only they (states by classes) reach the
-driver. Long texts are taken in stretches that run side by side: products of the
-model's matrices give what every stretch is told by the text before and behind
-it, so the counts are those of the whole text. The scaled forward recursion over whole texts gives the likelihood.
+driver. Texts of about one length run side by side, whole. Very long ones run in
+stretches: products of the model's matrices give what every stretch is told by
+the text before and behind it, so the counts are those of the whole text. The scaled forward recursion over whole texts gives the likelihood.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ STATES, ROUNDS = 8, 5
 OWN, TAIL = 4000, 256
 #: Words whose counts every task holds; the counts of the others are joined.
 HELD = 60_000
-#: Longest stretch of a text that is run through in one go in training, and tokens in a pass.
-STRETCH, PASS = 512, 400_000
+#: Longest text that is run through whole in training, and the stretches of longer ones.
+WHOLE, STRETCH = 16_384, 512
+#: Tokens in a pass, tokens that are held to be sorted by the lengths of their texts, and steps between scalings.
+PASS, SORTED, SCALED = 200_000, 2_000_000, 8
 END_CLASS, CLASSES = OWN + TAIL, OWN + TAIL + 1
 
 
@@ -107,37 +109,38 @@ def encode(docs: DataFrame, held: dict[bytes, tuple[int, int]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, sql)
 
 
-def stretches(blobs: list[bytes], model: tuple[np.ndarray, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Stretches of texts, longest first, in passes of about PASS tokens, with what is before and behind each.
+def stretches(blobs: Iterable[bytes], model: tuple[np.ndarray, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Texts and stretches of long ones, longest first, in passes of about PASS tokens, with what is before and behind each.
 
     before: the distribution of the state before the stretch (NaN where a text
     begins); behind: how likely the rest of the text is from each state, up to
     a factor.
     """
     states = len(model[1])
-    nothing, rest = np.full(states, np.nan), np.ones(states)
-    pieces, before, behind, size = [], [], [], 0
-
-    def sorted_pass():
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        return [pieces[k] for k in order], np.array(before)[order], np.array(behind)[order]
+    alone = np.full(states, np.nan), np.ones(states)
+    held, size = [], 0
+
+    def passes() -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        held.sort(key=lambda x: -len(x[0]))
+        ends = np.cumsum([len(x[0]) for x in held])
+        begin = 0
+        while begin < len(held):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PASS, "right")))
+            yield [x[0] for x in held[begin:end]], np.array([x[1] for x in held[begin:end]]), np.array([x[2] for x in held[begin:end]])
+            begin = end
+        held.clear()
 
     for blob in blobs:
         ids = np.frombuffer(blob, "<u2")
-        if len(ids) > STRETCH:
-            found = borders(ids, model)
+        if len(ids) <= WHOLE:
+            held.append((ids, *alone))
         else:
-            found = [(nothing, rest)]
-        for k, (x, y) in enumerate(found):
-            pieces.append(ids[k * STRETCH : (k + 1) * STRETCH])
-            before.append(x)
-            behind.append(y)
-            size += len(pieces[-1])
-            if size >= PASS:
-                yield sorted_pass()
-                pieces, before, behind, size = [], [], [], 0
-    if pieces:
-        yield sorted_pass()
+            held += [(ids[k * STRETCH : (k + 1) * STRETCH], *around) for k, around in enumerate(borders(ids, model))]
+        size += len(ids)
+        if size >= SORTED:
+            yield from passes()
+            size = 0
+    yield from passes()
 
 
 def borders(ids: np.ndarray, model: tuple[np.ndarray, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -182,40 +185,51 @@ def columns(pieces: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def expected(pieces: list[np.ndarray], before: np.ndarray, behind: np.ndarray, model: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Expected counts of starts, transitions and emissions, of whole texts or of their stretches()."""
+    """Expected counts of starts, transitions and emissions, of whole texts or of their stretches().
+
+    Tokens lie step by step: the t-th ones of all texts that reach t, longest text
+    first. Both recursions are scaled every few steps by any factor, as each
+    token's posterior is made to sum to one in the end.
+    """
     start, move, emit = model
+    sizes = np.array([len(p) for p in pieces])
+    steps = int(sizes[0])
+    alive = np.searchsorted(-sizes, -np.arange(steps), "left")
+    at = np.concatenate([[0], np.cumsum(alive)])
+    place = at[np.arange(at[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)] + np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.empty(at[-1], np.int64)
+    flat[place] = np.concatenate(pieces)
+    weight = emit[flat]
+    forward = np.empty_like(weight)
     begins = np.isnan(before[:, 0])
-    ids = list(columns(pieces))
-    last = np.array([len(p) - 1 for p in pieces])
-    forward, scales = [], []
-    now = np.where(begins[:, None], start[0], np.nan_to_num(before) @ move)
-    for t, c in enumerate(ids):
-        now = (now if t == 0 else now[: len(c)] @ move) * emit[c]
-        scale = now.sum(axis=1)
-        now = now / scale[:, None]
-        forward.append(now)
-        scales.append(scale)
-    states = len(move)
-    moves = np.zeros((states, states))
-    ends = np.stack([forward[t][k] for k, t in enumerate(last)])
-    behind = behind / (ends * behind).sum(axis=1, keepdims=True)
-    after = behind[: len(ids[-1])]
-    shares = [forward[-1] * after]
-    for t in range(len(ids) - 1, -1, -1):
-        weighted = emit[ids[t]] * after / scales[t][:, None]
-        if t == 0:  # the step into a stretch belongs to it
-            inside = ~begins
-            moves += before[inside].T @ weighted[inside]
-            break
-        moves += forward[t - 1][: len(ids[t])].T @ weighted
-        longer = behind[: len(ids[t - 1])].copy()
-        longer[: len(ids[t])] = weighted @ move.T
-        after = longer
-        shares.append(forward[t - 1] * after)
-    shares.reverse()
-    share, flat = np.concatenate(shares), np.concatenate(ids)
-    emits = np.stack([np.bincount(flat, share[:, k], CLASSES) for k in range(states)])
-    return shares[0][begins].sum(axis=0), moves * move, emits
+    enter = np.where(begins[:, None], start[0], np.nan_to_num(before) @ move)
+    forward[: at[1]] = enter * weight[: at[1]]
+    for t in range(1, steps):
+        now = forward[at[t] : at[t + 1]]
+        np.matmul(forward[at[t - 1] : at[t - 1] + alive[t]], move, out=now)
+        now *= weight[at[t] : at[t + 1]]
+        if t % SCALED == 0:
+            now /= now.sum(axis=1, keepdims=True)
+    backward, back = np.empty_like(weight), np.ascontiguousarray(move.T)
+    backward[at[sizes - 1] + np.arange(len(sizes))] = behind
+    for t in range(steps - 1, -1, -1):
+        now = weight[at[t] : at[t + 1]]
+        now *= backward[at[t] : at[t + 1]]
+        if t % SCALED == 0:
+            now /= now.max(axis=1, keepdims=True)
+        if t:
+            np.matmul(now, back, out=backward[at[t - 1] : at[t - 1] + alive[t]])
+    backward *= forward
+    total = backward.sum(axis=1)
+    backward /= total[:, None]
+    previous = np.arange(at[1], at[-1]) - np.repeat(alive[:-1], alive[1:])
+    moves = forward[previous].T @ (weight[at[1] :] / total[previous][:, None])
+    inside = ~begins
+    if inside.any():  # the step into a stretch belongs to it
+        first = weight[: at[1]][inside]
+        moves += before[inside].T @ (first / (enter[inside] * first).sum(axis=1, keepdims=True))
+    emits = np.stack([np.bincount(flat, backward[:, k], CLASSES) for k in range(len(move))])
+    return backward[: at[1]][begins].sum(axis=0), moves * move, emits
 
 
 def train(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -234,10 +248,10 @@ def train(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(sum(shape))
-            for batch in batches:
-                for pieces, before, behind in stretches(batch.column(0).to_pylist(), model):
-                    first, moves, emits = expected(pieces, before, behind, model)
-                    total += np.concatenate([first, moves.ravel(), emits.ravel()])
+            blobs = (value.as_py() for batch in batches for value in batch.column(0))
+            for pieces, before, behind in stretches(blobs, model):
+                first, moves, emits = expected(pieces, before, behind, model)
+                total += np.concatenate([first, moves.ravel(), emits.ravel()])
             at = np.flatnonzero(total)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "x"])

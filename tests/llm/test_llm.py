@@ -346,9 +346,9 @@ def test_forward_and_expected_counts(monkeypatch):
                 m[a, c] += p / total
             for a, c in zip(z, ids):
                 e[a, c] += p / total
-    for stretch, size in ((512, 400_000), (3, 400_000), (4, 7), (1, 5)):  # whole texts and stretches, one pass and many
-        monkeypatch.setattr(lm, "STRETCH", stretch)
-        monkeypatch.setattr(lm, "PASS", size)
+    for whole, stretch, size, some in ((512, 512, 400_000, 1000), (3, 3, 400_000, 1000), (4, 2, 7, 10), (1, 1, 5, 5), (8, 4, 20, 9)):  # whole texts and stretches, one pass and many
+        for name, value in (("WHOLE", whole), ("STRETCH", stretch), ("PASS", size), ("SORTED", some)):
+            monkeypatch.setattr(lm, name, value)
         first, moves, emits = (sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches([p.tobytes() for p in texts], model))))
         assert np.allclose(first, f) and np.allclose(moves, m) and np.allclose(emits, e)
 
@@ -358,7 +358,7 @@ def test_long_texts_are_trained_whole(monkeypatch):
     model = (rng.dirichlet(np.ones(8), 1), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(lm.CLASSES), 8).T)
     texts = [rng.integers(0, lm.CLASSES, n).astype("<u2").tobytes() for n in (20_000, 700, 30)]
     cut = [sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches(texts, model)))]
-    monkeypatch.setattr(lm, "STRETCH", 1 << 20)
+    monkeypatch.setattr(lm, "WHOLE", 1 << 20)
     whole = [sum(x) for x in zip(*(lm.expected(*part, model) for part in lm.stretches(texts, model)))]
     assert all(np.allclose(x, y) for x, y in zip(cut, whole))
 
