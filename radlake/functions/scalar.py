@@ -130,3 +130,91 @@ def uptime(seconds: Column) -> Column:
 def digits(key: Column, low: int, high: int, salt: str) -> Column:
     """A number in [low, high] drawn from a hash of the key: the same in every run and engine."""
     return (F.conv(F.substring(F.md5(F.concat(key, F.lit(salt))), 1, 12), 16, 10).cast("long") % (high - low + 1) + low).cast("long")
+
+
+def file_name(value: Column) -> Column:
+    """A name without separators, dots in pairs and null characters, of at most 255 characters; unnamed if there is none."""
+    out = F.regexp_replace(F.replace(F.translate(value, "/\\", "__"), F.lit(".."), F.lit("_")), "\u0000", "")
+    return F.when(F.coalesce(value, F.lit("")) == "", "unnamed").otherwise(F.substring(F.regexp_replace(out, r"^[ .]+|[ .]+$", ""), 1, 255))
+
+
+def word_name(value: Column) -> Column:
+    """A name of letters, digits, - and single _ (Unicode letters, too)."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"(?U)[^\w\-]", "_"), "_+", "_"), "^_+|_+$", "")
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty parts, . and .. (which never leads above the root)."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(parts, none, lambda done, p: F.when(p != "..", F.concat(done, F.array(p))).when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
+def inside(path: Column, base: str) -> Column:
+    """Whether an absolute path lies in a folder or is it, after .. is walked; empty paths and null characters never do."""
+    at, folder = normal_path(path), "/" + base.strip("/")
+    below = (at == folder) | at.startswith(folder.rstrip("/") + "/")
+    return F.coalesce((path != "") & path.startswith("/") & ~path.contains("\u0000") & below, F.lit(False))
+
+
+#: What a template's volume type stands for (fixed values); all but the last are their own.
+VOLUME_TYPES = {t: t for t in "ORGAN PTV CTV GTV EXTERNAL AVOIDANCE CAVITY CONTRAST_AGENT BOLUS SUPPORT FIXATION CONTROL DOSE_REGION".split()} | {"BODY": "EXTERNAL"}
+
+
+def interpreted_type(volume_type: Column) -> Column:
+    """The interpreted type of a volume type, in any case; null if there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in VOLUME_TYPES.items() for x in pair]), F.upper(F.trim(volume_type)))
+
+
+#: Words of a label that stand in capitals (fixed values).
+ACRONYMS = "URL ID API HTTP HTTPS DICE CT MR MRN RT ROI TV GTV CTV ITV PTV DICOM DVH PACS HL7 FHIR TG263 AI ML".split()
+
+
+def humanized(field: Column) -> Column:
+    """A field's name as a label: words apart and capitalised, known acronyms in capitals."""
+    spaced = F.regexp_replace(F.replace(field, F.lit("_"), F.lit(" ")), r"(?<!^)(?=[A-Z])", " ")
+    words = F.transform(F.split(spaced, " "), lambda w: F.when(F.upper(w).isin(ACRONYMS), F.upper(w)).otherwise(F.initcap(w)))
+    return F.coalesce(F.array_join(words, " "), F.lit(""))
+
+
+def is_url(value: Column) -> Column:
+    pattern = r"(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:[A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
+    return F.coalesce(_stripped(value).rlike(pattern), F.lit(False))
+
+
+def is_image(value: Column) -> Column:
+    """An image as data or by its ending."""
+    return F.coalesce(value.startswith("data:image/") | F.lower(value).rlike(r"\.(png|jpg|jpeg|gif|bmp|webp|svg|tiff)$"), F.lit(False))
+
+
+def is_number(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"(?i)^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+)?\s*$") | value.rlike(r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"), F.lit(False))
+
+
+def cleanup_target(max_gb: Column) -> Column:
+    """How much to free: a fifth of the store, 10 at least."""
+    return F.greatest(F.lit(10.0), max_gb * 0.2)
+
+
+def stored_name(naming: Column, sop_uid: Column, instance_number: Column, at: Column) -> Column:
+    """The file name of a received image: by sop_uid, instance_number (four digits), timestamp or sequential; else by its UID, or the time if it has none."""
+    stamp = F.date_format(at, "yyyyMMdd_HHmmss_SSSSSS")
+    uid = F.coalesce(F.nullif(sop_uid, F.lit("")), stamp)
+    name = F.when(naming.isin("timestamp", "sequential"), stamp).when((naming == "instance_number") & (instance_number != 0), F.format_string("%04d", instance_number)).otherwise(uid)
+    return F.concat(name, F.lit(".dcm"))
+
+
+def average_mb(size: Column, n: Column) -> Column:
+    """Megabytes a file; 0 if there is none."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(size / n / 1048576)
+
+
+def speed_mb(size: Column, seconds: Column) -> Column:
+    """Megabytes a second; 0 if it took no time."""
+    return F.when(seconds > 0, size / 1048576 / seconds).otherwise(0.0)
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent with one decimal; 0 of nothing."""
+    return F.when(total == 0, 0.0).otherwise(F.round(done / total * 100, 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import digits
+from ..functions.tags import forms
 
 UID_PREFIX = "1.2.826.0.1.3680043.10.1561"
 #: Tags that are masked when present, and free-text tags (fixed values); the last line is ours.
@@ -24,11 +25,152 @@ FREE_TEXT = [
 ]
 
 
+#: Dates that are replaced, and identifiers that become # as nothing maps them (fixed values).
+DATES = ["StudyDate", "SeriesDate", "AcquisitionDate", "ContentDate", "PatientBirthDate"]
+UNMAPPED = ["AccessionNumber", "StudyID"]
+
+
+def _keys(keywords: list[str]) -> list[str]:
+    return [k for w in keywords for k in forms(w)]
+
+
+def _private(key: Column) -> Column:
+    """An odd group number, or a name that only private tags have."""
+    return key.rlike(r"^\([0-9A-Fa-f]{3}[13579bdfBDF],") | key.rlike(r"(?i)^(private |\[)")
+
+
 def masked_tags(tags: Column) -> Column:
-    """Masked and free-text tags to #; private tags (odd group) go."""
-    odd = lambda k: k.rlike(r"^\([0-9A-Fa-f]{3}[13579bdfBDF],")
-    kept = F.map_filter(tags, lambda k, v: ~odd(k))
-    return F.transform_values(kept, lambda k, v: F.when(k.isin(MASKED + FREE_TEXT), F.lit("#")).otherwise(v))
+    """Masked and free-text tags to #, whether they stand under keyword, name or number; private tags go."""
+    kept = F.map_filter(tags, lambda k, v: ~_private(k))
+    return F.transform_values(kept, lambda k, v: F.when(k.isin(_keys(MASKED + FREE_TEXT + UNMAPPED)), F.lit("#")).otherwise(v))
+
+
+def deidentified_tags(tags: Column, study_uid: Column, series_uid: Column, frame_uid: Column, sop_uid: Column, patient: Column, day: Column) -> Column:
+    """A map of tags fit to leave the house: masked, with new UIDs, pseudonym and dates, under every form of their keys.
+
+    Nothing is added that is not there; times of day and other tags stay. Dates
+    and times together (DT) become the day at midnight.
+    """
+    put = {"StudyInstanceUID": study_uid, "SeriesInstanceUID": series_uid, "FrameOfReferenceUID": frame_uid, "SOPInstanceUID": sop_uid, "PatientID": patient}
+    put |= {d: F.date_format(day, "yyyyMMdd") for d in DATES} | {"AcquisitionDateTime": F.date_format(day, "yyyyMMdd000000")}
+
+    def value(k: Column, v: Column) -> Column:
+        out = F.when(F.lit(False), v)
+        for keyword, new in put.items():
+            out = out.when(k.isin(forms(keyword)), new)
+        return out.otherwise(v)
+
+    return F.transform_values(masked_tags(tags), value)
+
+
+def frame_uid(deid_series_uid: Column, series_uid: Column) -> Column:
+    """The frame of reference of a series: its new UID and four digits."""
+    return F.concat_ws(".", deid_series_uid, digits(series_uid, 1000, 9999, "frame").cast("string"))
+
+
+def sop_uid(deid_series_uid: Column, sop_uid: Column) -> Column:
+    """An image: its series' new UID, seven digits and three, from a hash of its own."""
+    return F.concat_ws(".", deid_series_uid, digits(sop_uid, 10**6, 10**7 - 1, "sop1").cast("string"), digits(sop_uid, 100, 999, "sop2").cast("string"))
+
+
+def write_back(series: DataFrame, studies: DataFrame, instances: DataFrame, exports: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
+    """The four tables after de-identification; rows of series that are not done stay as they are.
+
+    done: (series_uid, deid_series_uid, deid_study_uid, deid_frame_uid, study_uid,
+    day, archive). Series get their UIDs, date and status, studies UID and date,
+    images their SOP UIDs; an export is added or goes back to pending. The birth
+    date is not overwritten.
+    """
+    of_series = done.select("series_uid", F.col("deid_series_uid").alias("_s"), F.col("deid_frame_uid").alias("_f"), F.col("day").alias("_d"))
+    new_series = series.join(of_series, "series_uid", "left").withColumns({
+        "deid_series_uid": F.coalesce("_s", "deid_series_uid"), "deid_frame_uid": F.coalesce("_f", "deid_frame_uid"), "deid_series_date": F.coalesce("_d", "deid_series_date"),
+        "status": F.when(F.col("_s").isNotNull(), "DEIDENTIFIED_SUCCESSFULLY").otherwise(F.col("status")),
+    }).drop("_s", "_f", "_d")
+    of_study = done.groupBy("study_uid").agg(F.max("deid_study_uid").alias("_s"), F.max("day").alias("_d"))
+    new_studies = studies.join(of_study, "study_uid", "left").withColumns({"deid_study_uid": F.coalesce("_s", "deid_study_uid"), "deid_study_date": F.coalesce("_d", "deid_study_date")}).drop("_s", "_d")
+    of_image = done.select("series_uid", F.col("deid_series_uid").alias("_s"))
+    new_instances = instances.join(of_image, "series_uid", "left").withColumn("deid_sop_uid", F.when(F.col("_s").isNotNull(), sop_uid(F.col("_s"), F.col("sop_uid"))).otherwise(F.col("deid_sop_uid"))).drop("_s")
+    pending = done.select("series_uid", "archive", F.lit("PENDING").alias("transfer_status"))
+    new_exports = exports.join(pending.select("series_uid"), "series_uid", "left_anti").unionByName(pending, allowMissingColumns=True)
+    return {"series": new_series, "studies": new_studies, "instances": new_instances, "exports": new_exports}
+
+
+def summary(done: DataFrame) -> DataFrame:
+    """(patients, studies, series, files) of one run; done: patient_id, study_uid, files."""
+    return done.agg(F.count_distinct("patient_id").alias("patients"), F.count_distinct("study_uid").alias("studies"), F.count("*").alias("series"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+
+
+#: Values of a re-identified structure set that no table has (fixed values).
+ACCESSION_DEFAULT, PHYSICIAN = "202514789", "DRAW"
+
+
+def reidentified(sets: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Structure sets with the patient's and study's own fields.
+
+    sets: deid_series_uid and columns named by keyword; catalog: deid_series_uid
+    and the catalog's columns. What the catalog has no value for stays as it is,
+    but the accession number gets a default and the study id is empty.
+    """
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    known = {
+        "PatientID": F.col("patient_id"), "PatientName": F.col("patient_name"), "PatientBirthDate": day("birth_date"), "PatientSex": F.col("gender"), "StudyInstanceUID": F.col("study_uid"),
+        "StudyDescription": F.col("study_description"), "StudyDate": day("study_date"), "StudyTime": F.col("study_time"), "SeriesDescription": F.col("series_description"),
+    }
+    joined = sets.join(catalog, "deid_series_uid")
+    out = {k: F.coalesce(F.nullif(v, F.lit("")), F.col(k)) for k, v in known.items() if k in sets.columns}
+    out |= {"AccessionNumber": F.coalesce(F.nullif("accession", F.lit("")), F.lit(ACCESSION_DEFAULT)), "StudyID": F.coalesce("study_id", F.lit("")), "ReferringPhysicianName": F.lit(PHYSICIAN)}
+    return joined.withColumns(out).select(*dict.fromkeys([*sets.columns, *out]))
+
+
+def with_frame(items: Column, frame: Column, field: str = "frame_uid") -> Column:
+    """Nested items with the frame of reference replaced, where there is one to put."""
+    return F.transform(items, lambda x: F.when(frame.isNotNull() & (frame != ""), x.withField(field, frame)).otherwise(x))
+
+
+def remap_references(sets: DataFrame, mapping: DataFrame, key: str, references: str) -> DataFrame:
+    """Sets whose array of referenced UIDs goes through (uid_from, uid_to), in order; what is not mapped passes through."""
+    one = mapping.groupBy(F.col("uid_from").alias("_from")).agg(F.min("uid_to").alias("_to"))
+    parts = sets.select(key, F.posexplode(references).alias("_at", "_from")).join(one, "_from", "left")
+    back = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_to", "_from").alias("_uid")))).alias("_r"))
+    return sets.join(back, key, "left").withColumn(references, F.coalesce(F.col("_r._uid"), F.col(references))).drop("_r")
+
+
+def with_properties(rois: DataFrame, properties: DataFrame) -> DataFrame:
+    """ROIs renamed, recoloured and retyped; rois: rt_id, number, name, color, type; properties: name, label, color, type.
+
+    A name that several properties have is ambiguous and changes nothing; an
+    empty property leaves what there is; colours that are not three numbers are
+    not taken.
+    """
+    one = F.count("*") == 1
+    p = properties.groupBy(F.col("name").alias("_n")).agg(*[F.when(one, F.nullif(F.first(c), F.lit(""))).alias(f"_{c}") for c in ("label", "color", "type")])
+    joined = rois.join(p, F.col("name") == F.col("_n"), "left")
+    color = F.when(F.size(F.split("_color", r"\\")) == 3, F.col("_color"))
+    return joined.select("rt_id", "number", F.coalesce("_label", "name").alias("name"), F.coalesce(color, "color").alias("color"), F.coalesce("_type", "type").alias("type"))
+
+
+def numbered(items: DataFrame, names: DataFrame, name: str = "roi_name") -> DataFrame:
+    """Items (rt_id, number) with the name of that number: the first by its place in the set, as names can share a number."""
+    first = names.groupBy("rt_id", "number").agg(F.min_by(name, "place").alias(name))
+    return items.join(first, ["rt_id", "number"], "left")
+
+
+def added_rois(rois: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Empty ROIs behind those there are, numbered from the largest number on, yellow and ORGAN if nothing is said; names that exist are left out.
+
+    wanted: rt_id, place, label, color, type.
+    """
+    missing = wanted.join(rois.select("rt_id", F.col("name").alias("label")), ["rt_id", "label"], "left_anti")
+    top = rois.groupBy("rt_id").agg(F.max("number").alias("_top"))
+    n = F.coalesce("_top", F.lit(0)) + F.row_number().over(W.partitionBy("rt_id").orderBy("place"))
+    color = F.when(F.size(F.split("color", r"\\")) == 3, F.col("color")).otherwise("255\\255\\0")
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("ORGAN"))
+    return missing.join(top, "rt_id", "left").select("rt_id", n.cast("int").alias("number"), F.col("label").alias("name"), color.alias("color"), kind.alias("type"))
+
+
+def voi_rows(sets: DataFrame) -> DataFrame:
+    """(rt_id, volume_name) of every ROI with a name; sets: rt_id, rois (array of number and name)."""
+    return sets.select("rt_id", F.explode("rois").alias("r")).select("rt_id", F.col("r.name").alias("volume_name")).filter(F.coalesce("volume_name", F.lit("")) != "")
 
 
 def study_uids(studies: DataFrame, salt: str = "study") -> DataFrame:

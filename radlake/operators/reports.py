@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def counts_since(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
@@ -56,3 +57,108 @@ def storage_usage(files: DataFrame, size: str, limit: float) -> DataFrame:
     """(n_files, used, percent, available)."""
     used = F.coalesce(F.sum(size), F.lit(0.0))
     return files.agg(F.count("*").alias("n_files"), used.alias("used"), F.when(F.lit(limit) > 0, used * 100 / limit).otherwise(0.0).alias("percent"), F.greatest(F.lit(0.0), F.lit(limit) - used).alias("available"))
+
+
+def counters(tables: dict[str, DataFrame], since: Column, tests: dict[str, tuple[str, Column | None, str]]) -> DataFrame:
+    """(parameter_name, parameter_value) of counts since the last run, one pass over each table.
+
+    tests: name -> (table, condition or None, its time column), null conditions
+    don't count. A table is read once for all its counters.
+    """
+    out = None
+    for table in dict.fromkeys(t for t, _, _ in tests.values()):
+        mine = {n: (c, at) for n, (t, c, at) in tests.items() if t == table}
+        one = tables[table].agg(*[F.count_if((F.col(at) > since) & (F.lit(True) if c is None else F.coalesce(c, F.lit(False)))).alias(n) for n, (c, at) in mine.items()])
+        rows = to_long(one, list(mine))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def buckets(df: DataFrame, status: str, groups: dict[str, list[str]]) -> DataFrame:
+    """One row: the rows in all, and those whose status is in each group."""
+    return df.agg(F.count("*").alias("total"), *[F.count_if(F.col(status).isin(values)).alias(name) for name, values in groups.items()])
+
+
+def choices(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column that are not empty, each once, in order."""
+    return df.select(column).filter(F.coalesce(column, F.lit("")) != "").distinct().orderBy(column)
+
+
+def structure_counts(series: DataFrame, structures: DataFrame) -> DataFrame:
+    """Structure sets and rated ones of each series, with zero for those without."""
+    n = structures.groupBy("series_uid").agg(F.count("*").alias("n_structures"), F.count("reviewed").alias("n_rated"))
+    return series.join(n, "series_uid", "left").fillna(0, ["n_structures", "n_rated"])
+
+
+def has_rating() -> Column:
+    """Whether a structure set has a date, a time or a rating of a review."""
+    return F.col("reviewed").isNotNull() | F.col("minutes").isNotNull() | F.col("rating").isNotNull()
+
+
+def patient_documents(patients: DataFrame, studies: DataFrame, series: DataFrame, structures: DataFrame, vois: DataFrame) -> DataFrame:
+    """(patient_id, document): patient -> studies -> series -> structure sets -> volumes, as JSON, each level in the order of its key."""
+    levels = lambda df, key, name, *columns: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    per_set = levels(vois, "rt_id", "vois", "volume_name")
+    sets = structures.join(per_set, "rt_id", "left").withColumns({"voi_count": F.coalesce(F.size("vois"), F.lit(0)), "has_rating": has_rating()})
+    sets = sets.withColumn("voi_count", F.greatest("voi_count", F.lit(0)))
+    per_series = levels(sets.filter("series_uid IS NOT NULL"), "series_uid", "structures", "rt_id", "voi_count", "has_rating", "vois")
+    per_study = levels(series.join(per_series, "series_uid", "left"), "study_uid", "series", "series_uid", "instance_count", "structures")
+    per_patient = levels(studies.join(per_study, "study_uid", "left"), "patient_id", "studies", "study_uid", "series")
+    return patients.join(per_patient, "patient_id", "left").select("patient_id", F.to_json(F.struct("patient_id", "patient_name", "studies")).alias("document"))
+
+
+#: Columns of the ratings table, as it is exported (fixed values).
+RATING_COLUMNS = [
+    "patient_id", "name", "gender", "date_of_birth", "series_instance_uid", "date_contour_reviewed", "contour_modification_time_required", "assessor_name", "overall_rating",
+    "volume_name", "contour_modification", "contour_modification_type", "contour_modification_comments",
+]
+
+
+def ratings_export(structures: DataFrame, vois: DataFrame, series: DataFrame) -> DataFrame:
+    """One row for each volume of a reviewed structure set, one for a set without volumes; the 13 columns, empty where there is nothing.
+
+    series: series_uid with the patient's columns; sets without a series are left out.
+    """
+    rows = structures.filter("reviewed IS NOT NULL").join(series, "series_uid").join(vois, "rt_id", "left")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    plain = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit("")
+    number = lambda c: F.nullif(plain(c), F.lit("0"))
+    values = [
+        plain("patient_id"), plain("patient_name"), plain("gender"), day("birth_date") if "birth_date" in rows.columns else F.lit(""), plain("series_uid"), day("reviewed"), number("minutes"), plain("assessor"),
+        number("rating"), plain("volume_name"), plain("modification"), F.array_join("modification_types", ", "), plain("comments"),
+    ]
+    return rows.select(*[F.coalesce(v, F.lit("")).alias(n) for n, v in zip(RATING_COLUMNS, values)])
+
+
+def template_documents(templates: DataFrame, models: DataFrame, structures: DataFrame) -> DataFrame:
+    """(template_id, document): a template as nested JSON, which is YAML as well: name, protocol and its models with their maps.
+
+    models: template_id, model_id, name, config, trainer_name, postprocess;
+    structures: model_id, map_id, name. Of a map_id that repeats in a model the
+    last name counts.
+    """
+    of_model = structures.groupBy("model_id", "map_id").agg(F.max("name").alias("name")).groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("map_id", "name")))).alias("map"))
+    body = F.struct("name", "config", F.coalesce("map", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("map"), "trainer_name", "postprocess")
+    rows = models.join(of_model.withColumn("map", F.transform_keys("map", lambda k, v: k.cast("string"))), "model_id", "left").withColumn("_body", body)
+    of_template = rows.groupBy("template_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("model_id").cast("string"), "_body")))).alias("models"))
+    out = templates.join(of_template, "template_id", "left")
+    return out.select("template_id", F.to_json(F.struct(F.col("template_name").alias("name"), F.lit("DRAW").alias("protocol"), "models")).alias("document"))
+
+
+def hierarchy_counts(parents: DataFrame, children: DataFrame, grandchildren: DataFrame, parent: str, child: str) -> DataFrame:
+    """Parents with the number of their children and of these's children, counted apart, with zero for those without."""
+    n = grandchildren.groupBy(child).agg(F.count("*").alias("_g"))
+    both = children.join(n, child, "left").groupBy(parent).agg(F.count("*").alias("n_children"), F.coalesce(F.sum("_g"), F.lit(0)).alias("n_grandchildren"))
+    return parents.join(both, parent, "left").fillna(0, ["n_children", "n_grandchildren"])
+
+
+def tail(lines: DataFrame, by: str, number: str, n: int) -> DataFrame:
+    """The last n lines of each file."""
+    return lines.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(F.col(number).desc()))).filter(F.col("_k") <= n).drop("_k")
+
+
+def slice_order(slices: DataFrame) -> DataFrame:
+    """Adds slice_index from 0: by instance number, location and z (0 if missing), then by path."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    order = W.partitionBy("series_uid").orderBy(zero("instance_number"), zero("slice_location"), zero("z"), "path")
+    return slices.withColumn("slice_index", F.row_number().over(order) - 1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +16,10 @@ from .operators import reports as R
 from .operators import rules as RU
 from .operators import voxels as V
 from .plans import masks as P
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .sources import tables as T
 from .sources.tables import cte
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- rule engine ----------------------------------------------------------------------
 
 #: Rules of the queries: set, order, id, tag name, tag id, operator, value, combinator.
@@ -812,3 +797,6 @@ def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.table(spark, sf_dir, "part").select(F.col("p_type").alias("template"), F.col("p_brand").alias("model"), F.col("p_name").alias("structure")).distinct()
     per_model = p.groupBy("template", "model").agg(F.count("*").alias("n"))
     return per_model.groupBy("template").agg(F.count("*").alias("n_models"), F.sum("n").alias("n_structures"))
+
+
+from . import catalog_queries, mask_queries, stream_queries  # noqa: E402, F401
