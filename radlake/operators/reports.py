@@ -140,7 +140,9 @@ def template_documents(templates: DataFrame, models: DataFrame, structures: Data
     of_model = structures.groupBy("model_id", "map_id").agg(F.max("name").alias("name")).groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("map_id", "name")))).alias("map"))
     body = F.struct("name", "config", F.coalesce("map", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("map"), "trainer_name", "postprocess")
     rows = models.join(of_model.withColumn("map", F.transform_keys("map", lambda k, v: k.cast("string"))), "model_id", "left").withColumn("_body", body)
-    of_template = rows.groupBy("template_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("model_id").cast("string"), "_body")))).alias("models"))
+    by_id = lambda a, b: F.when(a["model_id"] < b["model_id"], -1).when(a["model_id"] > b["model_id"], 1).otherwise(0)
+    entries = F.array_sort(F.collect_list(F.struct(F.col("model_id").cast("string").alias("model_id"), "_body")), by_id)
+    of_template = rows.groupBy("template_id").agg(F.map_from_entries(entries).alias("models"))
     out = templates.join(of_template, "template_id", "left")
     return out.select("template_id", F.to_json(F.struct(F.col("template_name").alias("name"), F.lit("DRAW").alias("protocol"), "models")).alias("document"))
 

@@ -799,4 +799,4 @@ def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_model.groupBy("template").agg(F.count("*").alias("n_models"), F.sum("n").alias("n_structures"))
 
 
-from . import catalog_queries, mask_queries, stream_queries  # noqa: E402, F401
+from . import catalog_queries, list_queries, mask_queries, stream_queries  # noqa: E402, F401
