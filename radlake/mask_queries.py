@@ -1 +1,143 @@
-"""Queries."""
+"""Queries of mask operations and metrics; SQL by joins with offsets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import kernels as K
+from .operators import voxels as V
+from .plans import masks as P
+from .queries import SIZE, VOXELS_SQL, _cells, _mask
+from .registry import query
+
+_GRID = "i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 6"
+
+
+def _grown(source: str, offsets: list[tuple[int, int, int]], grid: bool = True) -> str:
+    rows = f"SELECT DISTINCT comparison_id, i + x AS i, j + y AS j, k + z AS k FROM {source}, (VALUES {', '.join(map(str, offsets))}) o(x, y, z)"
+    return f"SELECT * FROM ({rows}) WHERE {_GRID}" if grid else rows
+
+
+def _shrunk(source: str, offsets: list[tuple[int, int, int]]) -> str:
+    return f"SELECT comparison_id, i, j, k FROM (SELECT comparison_id, i + x AS i, j + y AS j, k + z AS k FROM {source}, (VALUES {', '.join(map(str, offsets))}) o(x, y, z)) GROUP BY ALL HAVING count(*) = {len(offsets)}"
+
+
+def _rim(source: str, offsets: list[tuple[int, int, int]]) -> str:
+    return f"SELECT * FROM {source} EXCEPT ({_shrunk(source, offsets)})"
+
+
+_FLAT = [(0, y, z) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+#: Spacings of the axes i, j, k in the metrics below.
+_STEP = (1.5, 1.0, 2.0)
+
+
+@query(VOXELS_SQL + f""", ca AS ({_rim('a', K.CUBE)}), cb AS ({_rim('b', K.CUBE)}),
+da AS (SELECT x.comparison_id, min(sqrt(((x.i - y.i) * 2.0) ** 2 + (x.j - y.j) ** 2 + ((x.k - y.k) * 1.5) ** 2)) AS d FROM ca x JOIN cb y USING (comparison_id) GROUP BY x.comparison_id, x.i, x.j, x.k),
+db AS (SELECT x.comparison_id, min(sqrt(((x.i - y.i) * 2.0) ** 2 + (x.j - y.j) ** 2 + ((x.k - y.k) * 1.5) ** 2)) AS d FROM cb x JOIN ca y USING (comparison_id) GROUP BY x.comparison_id, x.i, x.j, x.k)
+SELECT comparison_id, count(*) FILTER (d <= 1.2) / count(*) AS value FROM (SELECT * FROM da UNION ALL SELECT * FROM db) GROUP BY 1""")
+def voxel_surface_dsc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At unequal spacings, which the axes take in reverse."""
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, tolerance=1.2)
+    return m.filter("metric = 'surface_dsc'").select("comparison_id", "value")
+
+
+@query(VOXELS_SQL + f""", ra AS ({_rim('a', _FLAT)}), rb AS ({_rim('b', _FLAT)}), wide AS ({_grown('rb', [o for o in V.ball(1.0) if o[0] == 0], False)}), e AS (SELECT DISTINCT comparison_id FROM c2)
+SELECT comparison_id, (SELECT count(*) FROM (SELECT * FROM ra EXCEPT SELECT * FROM wide) m WHERE m.comparison_id = e.comparison_id) * 1.25::DOUBLE AS value FROM e""")
+def voxel_apl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At unequal spacings: the threshold and the path in means of the first two."""
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, threshold=1.0)
+    return m.filter("metric = 'apl'").select("comparison_id", "value")
+
+
+_B1 = V.ball(1.0)
+
+
+@query(VOXELS_SQL + f""", g AS ({_grown('a', _B1, False)}), cl AS (SELECT * FROM ({_shrunk('g', _B1)}) WHERE {_GRID}), er AS ({_shrunk('cl', _B1)}) {_grown('er', _B1)}""")
+def voxel_closed_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing, then opening."""
+    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.smooth)
+
+
+@query(VOXELS_SQL + f"""SELECT comparison_id, 'all' AS way, i, j, k FROM ({_grown('a', V.element((2, 1, 0)))}) UNION ALL
+SELECT comparison_id, 'mixed', i, j, k FROM ({_grown('(' + _shrunk('(' + _grown('a', V.element((1, 0, 0))) + ')', V.element((0, 1, 0))) + ')', V.element((0, 0, 1)))})""")
+def voxel_directed_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A margin for each axis: all growing at once, mixed signs one after the other."""
+    a = _mask(spark, sf_dir, "A")
+    both = [V.directed_margin(a, m, SIZE, (1.0, 1.0, 2.0)).select("comparison_id", F.lit(n).alias("way"), "i", "j", "k") for n, m in (("all", (2.0, 1.0, 0.0)), ("mixed", (1.0, -1.0, 2.0)))]
+    return both[0].unionByName(both[1])
+
+
+@query(VOXELS_SQL + f"SELECT * FROM ({_grown('a', _B1)}) INTERSECT SELECT * FROM b")
+def voxel_expand_and_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.expand_and_crop(_mask(spark, sf_dir, "A"), _mask(spark, sf_dir, "R"), 1.0, SIZE)
+
+
+@query(VOXELS_SQL + f"SELECT * FROM a EXCEPT ({_grown('b', V.element((1, 1, 1)))})")
+def voxel_subtract_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.subtract_with_margin(_mask(spark, sf_dir, "A"), _mask(spark, sf_dir, "R"), 1.0, SIZE, (1.0, 1.0, 2.0))
+
+
+_ALL = "e AS (SELECT DISTINCT comparison_id FROM a), g AS (SELECT comparison_id, i, j, k FROM e, range(8) x(i), range(8) y(j), range(7) z(k))"
+
+
+@query(VOXELS_SQL + f""", {_ALL}, r AS ({_rim('a', K.FACES)}), d AS (SELECT g.comparison_id, g.i, g.j, g.k, min(sqrt(((g.i - r.i) * 1.5) ** 2 + (g.j - r.j) ** 2 + ((g.k - r.k) * 2.0) ** 2)) AS d FROM g JOIN r ON r.comparison_id = g.comparison_id GROUP BY ALL)
+SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k, round(CASE WHEN (comparison_id, i, j, k) IN (SELECT (comparison_id, i, j, k) FROM a) THEN -d ELSE d END, 9) + 0.0 AS distance FROM d""")
+def voxel_distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = K.distance_maps(_mask(spark, sf_dir, "A"), SIZE, _STEP)
+    return d.withColumn("distance", F.round("distance", 9) + 0.0)
+
+
+@query(VOXELS_SQL + f""", {_ALL.replace('range(8) x(i), range(8) y(j), range(7) z(k)', 'range(6) x(i), range(16) y(j), range(7) z(k)')} SELECT g.comparison_id, g.i::INT AS i, g.j::INT AS j, g.k::INT AS k FROM g JOIN a ON a.comparison_id = g.comparison_id AND a.i = floor(g.i * 1.5 + 0.5) AND a.j = floor(g.j * 0.5 + 0.5) AND a.k = g.k""")
+def voxel_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the nearest voxel, coarser along i and finer along j."""
+    return V.resampled(_mask(spark, sf_dir, "A"), (1.0, 1.0, 1.0), (1.5, 0.5, 1.0), (6, 16, 7))
+
+
+@query(VOXELS_SQL + "SELECT comparison_id, k AS i, j, i AS k FROM a")
+def voxel_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.transposed(_mask(spark, sf_dir, "A"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 4 = 0 AS same FROM supplier")
+def geometry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal but for noise, another spacing, another size, a missing origin."""
+    from .sources import tables as T
+
+    k = F.col("s_suppkey") % 4
+    numbers = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    one = lambda spacing, size, origin: F.struct(size.alias("size"), spacing.alias("spacing"), origin.alias("origin"), numbers(1, 0, 0, 0, 1, 0, 0, 0, 1).alias("direction"))
+    a = one(numbers(1, 1, 2.5), F.array(F.lit(512), F.lit(512), F.lit(90)), numbers(-250, -250, 0))
+    b = one(F.when(k == 1, numbers(1, 1, 3)).otherwise(numbers(1, 1, 2.50001)), F.when(k == 2, F.array(F.lit(256), F.lit(512), F.lit(90))).otherwise(F.array(F.lit(512), F.lit(512), F.lit(90))), F.when(k != 3, numbers(-250.0001, -250, 0)))
+    rows = T.table(spark, sf_dir, "supplier").select("s_suppkey", a.alias("a"), b.alias("b"))
+    return rows.select("s_suppkey", V.same_geometry(rows, "a", "b").alias("same"))
+
+
+@query()
+def contour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours become masks: a polygon with a hole, a line and a point for each patient."""
+    from .sources import tables as T
+
+    o = F.col("c_custkey")
+    shapes = [([2, 12, 12, 2], [2, 2, 10, 10]), ([4, 8, 8, 4], [4, 4, 8, 8]), ([1, 14], [13, 15]), ([15], [0])]
+    double = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    each = F.explode(F.array(*[F.struct(double(x).alias("xs"), double(y).alias("ys")) for x, y in shapes])).alias("s")
+    contours = T.table(spark, sf_dir, "customer").select(o.alias("comparison_id"), (o % 5).cast("int").alias("k"), each).select("comparison_id", "k", "s.xs", "s.ys")
+    moved = contours.withColumn("xs", F.transform("xs", lambda x: x + F.col("comparison_id") % 3))
+    return K.rasterised(moved, (16, 16)).groupBy("comparison_id", "k").agg(F.count("*").alias("n"))
+
+
+@query(VOXELS_SQL + """, n AS (SELECT comparison_id, k, count(*) FILTER (in_a AND NOT in_b) AS under, count(*) FILTER (in_b AND NOT in_a) AS over FROM c2 GROUP BY 1, 2), o AS (SELECT comparison_id, count(*) FILTER (in_a AND in_b) AS overlap_count FROM c2 GROUP BY 1)
+SELECT comparison_id, k, overlap_count FROM n JOIN o USING (comparison_id) WHERE under + over > 0""")
+def voxel_slice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices with lists of distances; the lists are tested against single voxels in tests."""
+    return V.slice_lists(_cells(spark, sf_dir)).select("comparison_id", "k", "overlap_count")
+
+
+@query()
+def mask_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline in text form, with the executor's defaults."""
+    masks = {"reference": _mask(spark, sf_dir, "A"), "test": _mask(spark, sf_dir, "R")}
+    steps = P.parse_text("union | close_gaps(gap_mm=1.0) | crop_to_boundary(boundary_roi='reference') | keep_largest(n=2)")
+    steps[0]["structures"] = ["reference", "test"]
+    return P.run(steps, masks, SIZE, dialect="executor")

@@ -134,3 +134,23 @@ def unique_properties(structures: DataFrame, name: str, columns: list[str]) -> D
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """A page of an ordered list."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def finalised(files: DataFrame) -> DataFrame:
+    """(series_uid, directory, n, n_dropped): the directory in which each series is met first (by place), its files there, and those elsewhere, which are not taken."""
+    first = files.groupBy("series_uid").agg(F.min_by("directory", "place").alias("_first"))
+    here = F.col("directory") == F.col("_first")
+    counted = files.join(first, "series_uid").groupBy("series_uid", F.col("_first")).agg(F.count_if(here).alias("n"), F.count_if(~here).alias("n_dropped"))
+    return counted.select("series_uid", F.col("_first").alias("directory"), "n", "n_dropped")
+
+
+def next_start(start: Column, as_of: Column, succeeded: Column, days: int = 7) -> Column:
+    """Where the next run begins: so many days before one that succeeded."""
+    return F.when(succeeded, as_of - F.make_interval(days=F.lit(days))).otherwise(start)
+
+
+def resume_after(directories: DataFrame, last: str | None, saved: Column, as_of: Column, hours: int = 4) -> DataFrame:
+    """Directories behind the last one of a run that was broken off, if its mark is not older than so many hours; else all."""
+    if last is None:
+        return directories
+    return directories.filter((F.col("directory") > last) | (saved < as_of - F.make_interval(hours=F.lit(hours))))

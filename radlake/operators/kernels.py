@@ -6,9 +6,12 @@ are dealt out by Spark. Masks arrive as voxel rows and leave as voxel rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .voxels import CELL, ball
 
@@ -59,19 +62,34 @@ CUBE = ball(1.0, shape="box")
 
 
 def labels(mask: np.ndarray, full: bool = False) -> np.ndarray:
-    """Number of the component of each voxel, 0 outside; components in order of their first voxel."""
-    offsets = CUBE if full else FACES
-    out = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        least = out
-        for o in offsets:
-            near = shifted(np.where(out > 0, out, mask.size + 1), o, mask.size + 1)
-            least = np.minimum(least, near)
-        least = np.where(mask, least, 0)
-        if (least == out).all():
-            break
-        out = least
-    return np.searchsorted(np.unique(np.append(out[mask], 0)), out)
+    """Number of the component of each voxel, 0 outside; components in order of their first voxel.
+
+    Neighbours are joined by union-find: every voxel points to the least one it
+    knows, roots hook to smaller roots, pointers are halved; rounds grow with the
+    logarithm of a component.
+    """
+    at = np.flatnonzero(mask)
+    number = np.full(mask.size, -1, np.int64)
+    number[at] = np.arange(len(at))
+    number = number.reshape(mask.shape)
+    pairs = []
+    for o in CUBE if full else FACES:
+        if o > (0, 0, 0):  # each pair of neighbours once
+            near = shifted(number + 1, o, 0) - 1
+            both = (number >= 0) & (near >= 0)
+            pairs.append(np.column_stack([number[both], near[both]]))
+    edges = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
+    root = np.arange(len(at))
+    while len(edges):
+        u, v = root[edges[:, 0]], root[edges[:, 1]]
+        apart = u != v
+        edges, u, v = edges[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.zeros(mask.size, np.int64)
+    out[at] = np.searchsorted(np.unique(root), root) + 1
+    return out.reshape(mask.shape)
 
 
 def keep_largest(mask: np.ndarray, n: int = 1, full: bool = False) -> np.ndarray:
@@ -126,6 +144,81 @@ def contour(mask: np.ndarray) -> np.ndarray:
     return mask & ~erode(mask, CUBE)
 
 
+def cropped(*masks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Masks cut to the box around all of them, with a border of background: distances between them stay."""
+    some = np.logical_or.reduce(masks)
+    if not some.any():
+        return masks
+    box = tuple(slice(w.min(), w.max() + 1) for w in np.nonzero(some))
+    return tuple(np.pad(m[box], 1) for m in masks)
+
+
+def distance_map(mask: np.ndarray, spacing=(1.0, 1.0, 1.0), signed: bool = True) -> np.ndarray:
+    """Distance of every voxel in millimetres: to the mask, or, signed, to its border voxels, negative inside."""
+    if not signed:
+        return distances(mask, spacing)
+    border = mask & ~erode(mask, FACES)
+    d = distances(border, spacing)
+    return np.where(mask, -d, d)
+
+
+def filled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner and edge pixels (column, row) of a contour of whole pixels.
+
+    One point is a disc of radius 1, two are a line, more are a polygon filled
+    by crossings; the pixels on its edges count as well.
+    """
+    if len(points) == 1:
+        cross = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])
+        return points[:0], points + cross
+    ends = np.roll(points, -1, axis=0) if len(points) > 2 else points[1:]
+    edge = []
+    for (x0, y0), (x1, y1) in zip(points.tolist(), ends.tolist()):
+        n = max(abs(x1 - x0), abs(y1 - y0))
+        t = np.arange(n + 1) / max(n, 1)
+        edge.append(np.column_stack([np.floor(x0 + (x1 - x0) * t + 0.5), np.floor(y0 + (y1 - y0) * t + 0.5)]))
+    edge = np.unique(np.concatenate(edge).astype(np.int64), axis=0)
+    if len(points) == 2:
+        return points[:0], edge
+    inner = []
+    for y in range(points[:, 1].min(), points[:, 1].max() + 1):
+        low, high = np.minimum(points[:, 1], ends[:, 1]), np.maximum(points[:, 1], ends[:, 1])
+        hit = (low <= y) & (y < high)
+        (x0, y0), (x1, y1) = points[hit].T, ends[hit].T
+        cuts = np.sort(x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            x = np.arange(np.ceil(a), np.floor(b) + 1)
+            inner.append(np.column_stack([x, np.full(len(x), y)]))
+    inner = np.unique(np.concatenate(inner).astype(np.int64), axis=0) if inner else points[:0]
+    return inner, edge
+
+
+def rasterised(contours: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(comparison_id, i, j, k): voxels of contours (comparison_id, k, xs, ys: pixels as doubles) in slices of size (rows, columns).
+
+    Points are rounded, ties to even. A pixel on an edge counts; one inside
+    counts if an odd number of the contours of its mask and slice is around it.
+    i is the row (y), j the column (x).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, k, xs, ys in zip(batch["comparison_id"], batch["k"], batch["xs"], batch["ys"]):
+                points = np.around(np.column_stack([xs, ys])).astype(np.int64)
+                if len(points):
+                    for edge, cells in zip((False, True), filled(points)):
+                        good = cells[(cells >= 0).all(axis=1) & (cells[:, 0] < size[1]) & (cells[:, 1] < size[0])]
+                        out.append(pd.DataFrame({"comparison_id": key, "i": good[:, 1].astype("int32"), "j": good[:, 0].astype("int32"), "k": np.int32(k), "edge": edge}))
+            if out:
+                yield pd.concat(out)
+
+    kind = dict(contours.dtypes)["comparison_id"]
+    cells = contours.select("comparison_id", "k", "xs", "ys").mapInPandas(run, f"comparison_id {kind}, i int, j int, k int, edge boolean")
+    marked = cells.groupBy(*CELL).agg(F.max("edge").alias("_edge"), F.count_if(~F.col("edge")).alias("_around"))
+    return marked.filter(F.col("_edge") | (F.col("_around") % 2 == 1)).select(*CELL)
+
+
 def surface_dice(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, spacing=(1.0, 1.0, 1.0), axis_mode: str = "reference") -> float:
     """axis_mode: reference gives the spacings to the axes in reverse, as the studied application does; anatomical as they are."""
     spacing = tuple(spacing)[::-1] if axis_mode == "reference" else tuple(spacing)
@@ -149,24 +242,83 @@ def added_path(reference: np.ndarray, test: np.ndarray, threshold: float = 3.0,
     return float(missed.sum() * width)
 
 
-def apply_mask(mask: DataFrame, size: tuple[int, int, int], operation) -> DataFrame:
-    """A grid operation on every mask: voxel rows in, voxel rows out."""
+def _with_geometry(rows: DataFrame, size, spacing, geometry: DataFrame | None) -> DataFrame:
+    """Rows with nx, ny, nz, sx, sy, sz: of their own mask, or the same for all."""
+    if geometry is not None:
+        return rows.join(geometry.select("comparison_id", "nx", "ny", "nz", "sx", "sy", "sz"), "comparison_id")
+    return rows.withColumns({n: F.lit(v) for n, v in zip(("nx", "ny", "nz", "sx", "sy", "sz"), (*size, *map(float, spacing)))})
+
+
+def _grid(group: pd.DataFrame) -> tuple[tuple[int, int, int], tuple[float, float, float]]:
+    first = group.iloc[0]
+    return (int(first.nx), int(first.ny), int(first.nz)), (float(first.sx), float(first.sy), float(first.sz))
+
+
+def apply_mask(mask: DataFrame, size: tuple[int, int, int] | None, operation, geometry: DataFrame | None = None) -> DataFrame:
+    """A grid operation on every mask: voxel rows in, voxel rows out.
+
+    geometry: (comparison_id, nx, ny, nz, sx, sy, sz) if masks have grids of
+    their own; the operation then takes the mask and its spacing.
+    """
+
+    own = geometry is not None
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return sparse(operation(dense(group, size)), group.comparison_id.iloc[0])
+        shape, spacing = _grid(group)
+        grid = dense(group, shape)
+        return sparse(operation(grid, spacing) if own else operation(grid), group.comparison_id.iloc[0])
+
+    rows = _with_geometry(mask.select(*CELL), size or (0, 0, 0), (1.0, 1.0, 1.0), geometry)
+    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int")
 
-    return mask.select(*CELL).groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int")
 
+def distance_maps(mask: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), signed: bool = True, geometry: DataFrame | None = None) -> DataFrame:
+    """(comparison_id, i, j, k, distance) of every voxel of each mask's grid."""
 
-def metrics(cells: DataFrame, size: tuple[int, int, int], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """(comparison_id, metric, value): msd, hd95, surface_dsc and apl of in_a against in_b."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = dense(group[group.in_a], size), dense(group[group.in_b], size)
-        if a.any() and b.any():
-            x, y = distances(b)[a], distances(a)[b]
-            msd, hd = (x.mean() + y.mean()) / 2, max(np.percentile(x, 95), np.percentile(y, 95))
-        else:
-            msd = hd = np.inf
-        value = [msd, hd, surface_dice(a, b, 3.0, spacing), added_path(a, b, 3.0, spacing)]
-        return pd.DataFrame({"comparison_id": group.comparison_id.iloc[0], "metric": ["msd", "hd95", "surface_dsc", "apl"], "value": value})
+        shape, step = _grid(group)
+        d = distance_map(dense(group, shape), step, signed)
+        i, j, k = (x.ravel().astype(np.int32) for x in np.indices(shape))
+        return pd.DataFrame({"comparison_id": group.comparison_id.iloc[0], "i": i, "j": j, "k": k, "distance": d.ravel()})
+
+    rows = _with_geometry(mask.select(*CELL), size or (0, 0, 0), spacing, geometry)
+    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int, distance double")
+
 
-    return cells.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(cells.dtypes)['comparison_id']}, metric string, value double")
+def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), geometry: DataFrame | None = None, axis_mode: str = "reference", tolerance: float = 3.0, threshold: float = 3.0) -> DataFrame:
+    """(comparison_id, metric, value, error): dsc, jsc, voe, cs, msd, hd95, surface_dsc and apl of in_a against in_b.
+
+    A metric that fails is null, with the reason; the others of its comparison
+    are there. Distances are worked out in the box around both masks.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shape, step = _grid(group)
+        a, b = dense(group[group.in_a], shape), dense(group[group.in_b], shape)
+        both, some = int((a & b).sum()), int((a | b).sum())
+        na, nb = int(a.sum()), int(b.sum())
+        a, b = cropped(a, b)
+
+        def directed() -> tuple[float, float]:
+            if not na or not nb:
+                return np.inf, np.inf
+            x, y = distances(b)[a], distances(a)[b]
+            return (x.mean() + y.mean()) / 2, max(np.percentile(x, 95), np.percentile(y, 95))
+
+        wanted = {
+            "dsc": lambda: 2 * both / (na + nb) if na + nb else 1.0, "jsc": lambda: both / some if some else 1.0, "voe": lambda: 1 - both / some if some else 0.0,
+            "cs": lambda: both / np.sqrt(float(na) * nb) if na and nb else 0.0, "msd": lambda: directed()[0], "hd95": lambda: directed()[1],
+            "surface_dsc": lambda: surface_dice(a, b, tolerance, step, axis_mode), "apl": lambda: added_path(a, b, threshold, step),
+        }
+        rows = []
+        for name, compute in wanted.items():
+            try:
+                rows.append((name, float(compute()), None))
+            except (ValueError, ArithmeticError, MemoryError) as e:
+                rows.append((name, None, f"{type(e).__name__}: {e}"))
+        out = pd.DataFrame(rows, columns=["metric", "value", "error"])
+        out.insert(0, "comparison_id", group.comparison_id.iloc[0])
+        return out
+
+    rows = _with_geometry(cells.select(*CELL, "in_a", "in_b"), size or (0, 0, 0), spacing, geometry)
+    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(cells.dtypes)['comparison_id']}, metric string, value double, error string")

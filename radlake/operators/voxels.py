@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -47,37 +47,87 @@ def combine(cells: DataFrame, operation: str) -> DataFrame:
     return cells.filter(test).select(*CELL)
 
 
-def ball(margin: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), shape: str = "ball") -> list[tuple[int, int, int]]:
-    """Offsets of a structuring element; its radius per axis is ceil(margin / spacing)."""
-    r = [max(0, -int(-abs(margin) // s)) for s in spacing]
+def element(radii: tuple[int, int, int], shape: str = "ball") -> list[tuple[int, int, int]]:
+    """Offsets of a structuring element with a radius in voxels for each axis."""
     out = []
-    for x in range(-r[0], r[0] + 1):
-        for y in range(-r[1], r[1] + 1):
-            for z in range(-r[2], r[2] + 1):
-                scaled = [(v / q) if q else 0.0 for v, q in zip((x, y, z), r)]
-                inside = {"ball": sum(v * v for v in scaled) <= 1.0 + 1e-9, "box": True, "cross": sum(v != 0 for v in (x, y, z)) <= 1}[shape]
-                if inside:
+    for x in range(-radii[0], radii[0] + 1):
+        for y in range(-radii[1], radii[1] + 1):
+            for z in range(-radii[2], radii[2] + 1):
+                scaled = [(v / q) if q else 0.0 for v, q in zip((x, y, z), radii)]
+                if {"ball": sum(v * v for v in scaled) <= 1.0 + 1e-9, "box": True, "cross": sum(v != 0 for v in (x, y, z)) <= 1}[shape]:
                     out.append((x, y, z))
     return out
 
 
-def margin(mask: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), shape: str = "ball") -> DataFrame:
-    """Dilation (positive) or erosion (negative) in a grid of that size; 0 changes nothing.
+def ball(margin: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), shape: str = "ball") -> list[tuple[int, int, int]]:
+    """Offsets of a structuring element; its radius per axis is ceil(margin / spacing)."""
+    return element(tuple(max(0, -int(-abs(margin) // s)) for s in spacing), shape)
+
 
-    Each voxel is moved by every offset of the element, a bounded number; the
-    voxels reached are distinct (dilation) or reached from all offsets (erosion).
+def moved_by(mask: DataFrame, offsets: list[tuple[int, int, int]], grow: bool, size: tuple[int, int, int]) -> DataFrame:
+    """Dilation or erosion by the offsets of an element, in a grid of that size.
+
+    Each voxel is moved by every offset, a bounded number; the voxels reached
+    are distinct (dilation) or reached from all offsets (erosion).
     """
-    if not millimetres:
-        return mask.select(*CELL)
-    offsets = ball(millimetres, spacing, shape)
-    moved = mask.select("comparison_id", "i", "j", "k", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o)]) for o in offsets])).alias("o"))
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o)]) for o in offsets])).alias("o")
+    moved = mask.select("comparison_id", "i", "j", "k", each)
     moved = moved.select("comparison_id", (F.col("i") + F.col("o.x")).alias("i"), (F.col("j") + F.col("o.y")).alias("j"), (F.col("k") + F.col("o.z")).alias("k"))
-    if millimetres > 0:
-        inside = reduce(lambda p, q: p & q, [(F.col(n) >= 0) & (F.col(n) < s) for n, s in zip("ijk", size)])
-        return moved.filter(inside).distinct()
+    if grow:
+        return moved.filter(reduce(lambda p, q: p & q, [(F.col(n) >= 0) & (F.col(n) < s) for n, s in zip("ijk", size)])).distinct()
     return moved.groupBy(*CELL).agg(F.count("*").alias("n")).filter(F.col("n") == len(offsets)).select(*CELL)
 
 
+def margin(mask: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), shape: str = "ball") -> DataFrame:
+    """Dilation (positive) or erosion (negative) in a grid of that size; 0 changes nothing."""
+    if not millimetres:
+        return mask.select(*CELL)
+    return moved_by(mask, ball(millimetres, spacing, shape), millimetres > 0, size)
+
+
+def directed_margin(mask: DataFrame, millimetres: tuple[float, float, float], size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """A margin for each axis: one ellipsoid if none shrinks or none grows, else one axis after the other."""
+    radii = tuple(-int(-abs(m) // s) for m, s in zip(millimetres, spacing))
+    if all(m >= 0 for m in millimetres) or all(m <= 0 for m in millimetres):
+        return moved_by(mask, element(radii), all(m >= 0 for m in millimetres), size) if any(radii) else mask.select(*CELL)
+    for axis, (m, r) in enumerate(zip(millimetres, radii)):
+        if m:
+            mask = moved_by(mask, element(tuple(r if a == axis else 0 for a in range(3))), m > 0, size)
+    return mask
+
+
+def expand_and_crop(mask: DataFrame, boundary: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """A mask with its margin, inside the boundary."""
+    return margin(mask, millimetres, size, spacing).join(boundary.select(*CELL), CELL, "left_semi")
+
+
+def subtract_with_margin(mask: DataFrame, other: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """A mask without another one and its margin."""
+    return mask.select(*CELL).join(margin(other, millimetres, size, spacing), CELL, "left_anti")
+
+
+def resampled(mask: DataFrame, spacing: tuple[float, float, float], to: tuple[float, float, float], size: tuple[int, int, int]) -> DataFrame:
+    """The mask in another spacing by the nearest voxel, in a grid of that size with the same first voxel: each voxel becomes those that are nearest to it."""
+    for n, s, t, most in zip("ijk", spacing, to, size):
+        # index x of the new grid has its middle at x * t; its nearest old voxel is floor(x * t / s + 0.5)
+        low = F.greatest(F.lit(0), F.ceil((F.col(n) - 0.5) * s / t)).cast("int")
+        high = F.least(F.lit(most - 1), F.ceil((F.col(n) + 0.5) * s / t) - 1).cast("int")
+        others = [c for c in CELL if c != n]
+        mask = mask.select(*CELL, low.alias("_low"), high.alias("_high")).filter("_low <= _high").select(*others, F.explode(F.sequence("_low", "_high")).alias(n))
+    return mask.select(*CELL)
+
+
+def transposed(mask: DataFrame, order: str = "kji") -> DataFrame:
+    """The mask with its axes in another order: kji turns (i, j, k) into (k, j, i)."""
+    return mask.select("comparison_id", *[F.col(a).alias(n) for n, a in zip("ijk", order)])
+
+
+def same_geometry(images: DataFrame, a: str, b: str) -> Column:
+    """Whether two geometries (size, spacing, origin, direction) agree: sizes exactly, numbers within 1e-5 of the second."""
+    close = lambda f: F.forall(F.zip_with(F.col(f"{a}.{f}"), F.col(f"{b}.{f}"), lambda x, y: F.coalesce(F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y), F.lit(False))), lambda t: t)
+    return F.coalesce((F.col(f"{a}.size") == F.col(f"{b}.size")) & close("spacing") & close("origin") & close("direction"), F.lit(False))
+
+
 def axis_distance(cells: DataFrame, source: str, target: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """(cell, distance) of voxels in source and not in target: to the nearest target voxel along an axis; null if none."""
     best = []
@@ -137,3 +187,21 @@ def extent(mask: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0
 def slice_counts(cells: DataFrame) -> DataFrame:
     """Per slice: voxels under (A only), over (B only) and common."""
     return cells.groupBy("comparison_id", "k").agg(F.count_if(F.col("in_a") & ~F.col("in_b")).alias("under"), F.count_if(F.col("in_b") & ~F.col("in_a")).alias("over"), F.count_if(F.col("in_a") & F.col("in_b")).alias("common"))
+
+
+def slice_lists(cells: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Per slice the distances of voxels under (A only, to B) and over (B only, to A), sorted, and the comparison's common voxels.
+
+    Slices without a difference have no row; distances that no axis gives are left out.
+    """
+    under = axis_distance(cells, "in_a", "in_b", spacing).select("comparison_id", "k", F.col("distance").alias("u"), F.lit(None).cast("double").alias("o"))
+    over = axis_distance(cells, "in_b", "in_a", spacing).select("comparison_id", "k", F.lit(None).cast("double").alias("u"), F.col("distance").alias("o"))
+    rows = under.union(over).groupBy("comparison_id", "k").agg(F.array_sort(F.collect_list("u")).alias("under_distances"), F.array_sort(F.collect_list("o")).alias("over_distances"))
+    common = cells.groupBy("comparison_id").agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("overlap_count"))
+    return rows.join(common, "comparison_id")
+
+
+def histogram(lists: DataFrame, column: str, width: float, buckets: int) -> DataFrame:
+    """(comparison_id, bucket, n): how many distances of a column lie in each bucket of a width, from 1; the last takes the rest."""
+    each = lists.select("comparison_id", F.explode(column).alias("d"))
+    return each.groupBy("comparison_id", F.least(F.lit(buckets), F.floor(F.col("d") / width) + 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))

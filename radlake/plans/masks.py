@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import voxels as V
+from ..registry import OPERATIONS
 
 #: Parameters of each operation and their defaults (fixed values).
 DEFAULTS: dict[str, dict[str, object]] = {
     "expand": {"margin_mm": 5.0}, "contract": {"margin_mm": 3.0}, "margin": {"margin_mm": 0.0}, "union": {}, "intersection": {}, "subtract": {}, "crop_to_boundary": {},
     "smooth": {"smoothing_mm": 1.0, "iterations": 1}, "fill_holes": {}, "remove_small": {"min_size_mm3": 100.0}, "keep_largest": {"n": 1},
-    "close_gaps": {"gap_mm": 2.0}, "remove_protrusions": {"size_mm": 2.0}, "convex_hull": {},
+    "close_gaps": {"gap_mm": 2.0}, "remove_protrusions": {"size_mm": 2.0}, "convex_hull": {}, "gaussian_smooth": {"sigma_mm": 1.0, "threshold": 0.5},
 }
+#: Defaults that differ when definitions with structures are executed (fixed values).
+EXECUTOR_DEFAULTS: dict[str, dict[str, object]] = {"smooth": {"smoothing_mm": 2.0}}
 
 
 def parse_text(text: str) -> list[dict]:
@@ -41,9 +44,23 @@ def parse_json(text: str) -> list[dict]:
     return json.loads(text)["operations"]
 
 
-def run(operations: list[dict], masks: dict[str, DataFrame], size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def to_json(operations: list[dict]) -> str:
+    """What parse_json reads."""
+    return json.dumps({"operations": operations})
+
+
+def to_text(operations: list[dict]) -> str:
+    """What parse_text reads; structures and names of results have no place in it."""
+    shown = lambda p: ", ".join(f"{k}={v}" for k, v in p.items())
+    return " | ".join(f"{o['type']}({shown(o.get('parameters', {}))})" if o.get("parameters") else o["type"] for o in operations)
+
+
+def run(operations: list[dict], masks: dict[str, DataFrame], size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dialect: str = "pipeline") -> DataFrame:
     """Applies the operations in order to one current mask; each step is a DataFrame, nothing runs here.
 
+    Registered operations come before the built-in ones. dialect executor: the
+    defaults of stored definitions.
+
     ``structures`` names masks: the first starts the step if there is no current
     mask, the others are its further operands. A name that is missing, or an
     operation that is unknown, raises with the number of the step.
@@ -51,9 +68,9 @@ def run(operations: list[dict], masks: dict[str, DataFrame], size: tuple[int, in
     current: DataFrame | None = None
     for number, step in enumerate(operations, 1):
         kind = step["type"]
-        if kind not in DEFAULTS:
+        if kind not in DEFAULTS and kind not in OPERATIONS:
             raise ValueError(f"step {number}: no operation {kind}")
-        p = DEFAULTS[kind] | step.get("parameters", {})
+        p = DEFAULTS.get(kind, {}) | (EXECUTOR_DEFAULTS.get(kind, {}) if dialect == "executor" else {}) | step.get("parameters", {})
         names = list(step.get("structures", [])) + ([p.pop("boundary_roi")] if "boundary_roi" in p else [])
         for n in names:
             if n not in masks:
@@ -69,7 +86,9 @@ def run(operations: list[dict], masks: dict[str, DataFrame], size: tuple[int, in
                 raise ValueError(f"step {number}: nothing to work on")
             current, others = others[0], others[1:]
         grid = lambda f, m=current: K.apply_mask(m, size, f)
-        if kind in ("expand", "margin", "contract"):
+        if kind in OPERATIONS:
+            current = OPERATIONS[kind](current, others, p, size, spacing)
+        elif kind in ("expand", "margin", "contract"):
             sign = -1 if kind == "contract" else 1
             for other in others:
                 current = current.union(other).distinct()
@@ -85,6 +104,8 @@ def run(operations: list[dict], masks: dict[str, DataFrame], size: tuple[int, in
                 current = current.join(other, V.CELL, "left_anti")
         elif kind == "smooth":
             current = grid(lambda m, p=p: K.smooth(m, p["smoothing_mm"], p["iterations"], spacing))
+        elif kind == "gaussian_smooth":
+            current = grid(lambda m, p=p: K.gaussian(m, p["sigma_mm"], p["threshold"], spacing))
         elif kind == "fill_holes":
             current = grid(K.fill_holes)
         elif kind == "remove_small":

@@ -652,7 +652,7 @@ def voxel_slice_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def voxel_surface_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.metrics(_cells(spark, sf_dir), SIZE).filter(F.col("metric").isin("surface_dsc", "apl"))
+    return K.metrics(_cells(spark, sf_dir), SIZE).filter(F.col("metric").isin("surface_dsc", "apl")).drop("error")
 
 
 @query()

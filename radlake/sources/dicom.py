@@ -1,29 +1,34 @@
-"""DICOM files: headers read from whole files dealt out by Spark, as a map of tags.
+"""DICOM files: headers as maps of tags, as typed rows, and structure sets with their nested sequences.
 
-A small parser of explicit and implicit little-endian data elements; pixel data
-and sequences are skipped. Tags appear by keyword, where it is known, and by
-(GGGG,EEEE).
+Files are listed by Spark without their contents; tasks read the first kilobytes
+of each, and more only if the header goes on. Data elements are explicit or
+implicit little-endian. A sequence is a list of items, an item a dict.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Tags by keyword (fixed values).
-KEYWORDS = {
-    0x00080016: ("SOPClassUID", "UI"), 0x00080018: ("SOPInstanceUID", "UI"), 0x00080020: ("StudyDate", "DA"), 0x00080021: ("SeriesDate", "DA"), 0x00080030: ("StudyTime", "TM"),
-    0x00080050: ("AccessionNumber", "SH"), 0x00080060: ("Modality", "CS"), 0x00081030: ("StudyDescription", "LO"), 0x0008103E: ("SeriesDescription", "LO"),
-    0x00100010: ("PatientName", "PN"), 0x00100020: ("PatientID", "LO"), 0x00100030: ("PatientBirthDate", "DA"), 0x00100040: ("PatientSex", "CS"), 0x00180015: ("BodyPartExamined", "CS"),
-    0x00180050: ("SliceThickness", "DS"), 0x00181030: ("ProtocolName", "LO"), 0x0020000D: ("StudyInstanceUID", "UI"), 0x0020000E: ("SeriesInstanceUID", "UI"), 0x00200010: ("StudyID", "SH"),
-    0x00200013: ("InstanceNumber", "IS"), 0x00200052: ("FrameOfReferenceUID", "UI"), 0x00280010: ("Rows", "US"), 0x00280011: ("Columns", "US"),
-}
-_LONG = {b"OB", b"OD", b"OF", b"OL", b"OW", b"SQ", b"UC", b"UR", b"UT", b"UN"}
+from ..functions.tags import BY_NUMBER, NUMBERS, name_of, tag_id
+
+#: Bytes read at first.
+FIRST = 64 << 10
+#: Representations with a length of four bytes.
+_LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UR", b"UT", b"UN", b"UV"}
 _NUMBER = {"US": "<H", "SS": "<h", "UL": "<I", "SL": "<i", "FL": "<f", "FD": "<d"}
-UNDEFINED, ITEM_END, SEQUENCE_END = 0xFFFFFFFF, 0xFFFEE00D, 0xFFFEE0DD
+UNDEFINED, ITEM, ITEM_END, SEQUENCE_END, PIXELS = 0xFFFFFFFF, 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD, 0x7FE00010
+IMPLICIT = "1.2.840.10008.1.2"
+
+
+class Short(Exception):
+    """The header goes on behind the bytes at hand."""
 
 
 def text(raw: bytes, vr: str) -> str:
@@ -36,86 +41,260 @@ def text(raw: bytes, vr: str) -> str:
     return values[0] if len(values) == 1 else str(values) if values else ""
 
 
-def elements(data: bytes, at: int, explicit: bool) -> Iterator[tuple[int, str, bytes]]:
-    """(tag, vr, value) of a data set; undefined lengths are walked over to their end."""
-    depth = 0
-    while at + 8 <= len(data):
-        group, element = struct.unpack_from("<HH", data, at)
+class Reader:
+    """Data elements of a file of which ``data`` is the begin and ``size`` the length."""
+
+    def __init__(self, data: bytes, size: int, explicit: bool):
+        self.data, self.size, self.explicit = data, size, explicit
+
+    def need(self, end: int) -> None:
+        if end > len(self.data):
+            raise Short if len(self.data) < self.size else ValueError("an element ends behind the file")
+
+    def head(self, at: int) -> tuple[int, str, int, int]:
+        """Tag, representation, length and start of the value."""
+        self.need(at + 8)
+        group, element = struct.unpack_from("<HH", self.data, at)
         tag = group << 16 | element
-        if group == 0xFFFE:
-            (size,) = struct.unpack_from("<I", data, at + 4)
-            depth -= tag == SEQUENCE_END
-            at += 8 + (0 if size == UNDEFINED or depth else size)
-            continue
-        vr = data[at + 4 : at + 6]
-        if explicit and group != 0xFFFE:
-            if vr in _LONG:
-                (size,) = struct.unpack_from("<I", data, at + 8)
-                at += 12
+        if not self.explicit or group == 0xFFFE:
+            return tag, BY_NUMBER.get(tag, ("", "UN"))[1], struct.unpack_from("<I", self.data, at + 4)[0], at + 8
+        vr = self.data[at + 4 : at + 6]
+        if vr in _LONG:
+            self.need(at + 12)
+            return tag, vr.decode("latin-1"), struct.unpack_from("<I", self.data, at + 8)[0], at + 12
+        return tag, vr.decode("latin-1"), struct.unpack_from("<H", self.data, at + 6)[0], at + 8
+
+    def items(self, at: int, length: int) -> tuple[list[dict[int, tuple]], int]:
+        """The items of a sequence and where it ends."""
+        end, out = (at + length if length != UNDEFINED else None), []
+        while end is None or at < end:
+            tag, _, size, at = self.head(at)
+            if tag == SEQUENCE_END:
+                break
+            if tag != ITEM:
+                raise ValueError("no item in a sequence")
+            item, at = self.elements(at, at + size if size != UNDEFINED else None)
+            out.append(item)
+        return out, at
+
+    def elements(self, at: int, end: int | None) -> tuple[dict[int, tuple], int]:
+        """Tag -> (representation, value) up to an end, an end of item, or the pixels."""
+        out: dict[int, tuple] = {}
+        while at < (self.size if end is None else end):
+            tag, vr, size, start = self.head(at)
+            if tag == ITEM_END:
+                return out, start
+            if tag == PIXELS:
+                return out, self.size
+            if vr == "SQ" or (size == UNDEFINED and vr in ("UN", "OB", "OW")):
+                value, at = self.items(start, size)
+                out[tag] = "SQ", value
             else:
-                (size,) = struct.unpack_from("<H", data, at + 6)
-                at += 8
-            name = vr.decode("latin-1")
-        else:
-            (size,) = struct.unpack_from("<I", data, at + 4)
-            at += 8
-            name = KEYWORDS.get(tag, ("", "UN"))[1]
-        if tag >= 0x7FE00010:
-            return
-        if size == UNDEFINED:
-            depth += 1
-            continue
-        if not depth and name != "SQ":
-            yield tag, name, data[at : at + size]
-        at += size
-
-
-def header(data: bytes) -> dict[str, str] | None:
-    """Tags of a file by keyword and by number; None if it is no DICOM data."""
-    at, explicit = 0, False
+                self.need(start + size)
+                out[tag] = vr, self.data[start : start + size]
+                at = start + size
+        return out, at
+
+
+def dataset(data: bytes, size: int | None = None) -> dict[int, tuple]:
+    """All data elements before the pixels; raises Short, ValueError or struct.error."""
+    size, at, explicit = len(data) if size is None else size, 0, False
     if data[128:132] == b"DICM":
-        at, syntax = 132, "1.2.840.10008.1.2"
-        while at + 8 <= len(data) and struct.unpack_from("<H", data, at)[0] == 2:
-            long = data[at + 4 : at + 6] in _LONG
-            size = struct.unpack_from("<I", data, at + 8)[0] if long else struct.unpack_from("<H", data, at + 6)[0]
-            start = at + (12 if long else 8)
-            if struct.unpack_from("<HH", data, at) == (2, 0x10):
-                syntax = text(data[start : start + size], "UI")
-            at = start + size
-        explicit = syntax != "1.2.840.10008.1.2"
+        at, syntax = 132, IMPLICIT
+        meta = Reader(data, size, True)
+        while at + 8 <= size:
+            meta.need(at + 2)
+            if struct.unpack_from("<H", data, at)[0] != 2:
+                break
+            tag, vr, length, start = meta.head(at)
+            meta.need(start + length)
+            if tag == 0x00020010:
+                syntax = text(data[start : start + length], "UI")
+            at = start + length
+        explicit = syntax != IMPLICIT
     elif len(data) >= 8:
         explicit = data[4:6].isalpha() and data[4:6].isupper()
+    return Reader(data, size, explicit).elements(at, None)[0]
+
+
+def value(items: dict[int, tuple], keyword: str) -> str | None:
+    """The text of a tag, None if it is not there or a sequence."""
+    vr, raw = items.get(NUMBERS[keyword], (None, None))
+    return None if vr is None or vr == "SQ" else text(raw, vr)
+
+
+def nested(items: dict[int, tuple], *keywords: str) -> Iterator[dict[int, tuple]]:
+    """The items at the end of a path of sequences, in order."""
+    if not keywords:
+        yield items
+        return
+    vr, inside = items.get(NUMBERS[keywords[0]], (None, []))
+    for item in inside if vr == "SQ" else []:
+        yield from nested(item, *keywords[1:])
+
+
+def header(data: bytes, size: int | None = None) -> dict[str, str] | None:
+    """Tags by name and by number, sequences left out; None if it is no DICOM data. Private tags stand by number only."""
+    return tag_map(dataset(data, size))
+
+
+def tag_map(items: dict[int, tuple]) -> dict[str, str] | None:
     tags: dict[str, str] = {}
-    for tag, vr, raw in elements(data, at, explicit):
-        value = text(raw, vr)
-        if tag in KEYWORDS:
-            tags[KEYWORDS[tag][0]] = value
-        tags[f"({tag >> 16:04X},{tag & 0xFFFF:04X})"] = value
+    for tag, (vr, raw) in items.items():
+        if vr != "SQ":
+            shown = text(raw, vr)
+            if tag in BY_NUMBER:
+                tags[name_of(BY_NUMBER[tag][0])] = shown
+            tags[tag_id(tag)] = shown
     return tags or None
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, mtime, size, status (success or error), tags of every file below a folder."""
+def read_header(path: str, size: int) -> dict[int, tuple]:
+    """The data elements of a file; only as much is read as they need."""
+    system, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    with system.open_input_file(at) as file:
+        n = FIRST
+        while True:
+            data = file.read_at(min(n, size), 0)
+            try:
+                return dataset(data, size)
+            except Short:
+                n *= 4
+
+
+# --- scans ------------------------------------------------------------------------------
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def _each(files: DataFrame, read: Callable[[dict[int, tuple]], tuple], schema: pa.Schema, sql: str) -> DataFrame:
+    """path, mtime, size, error and what ``read`` makes of each header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            status, tags = [], []
-            for content in batch.column(3).to_pylist():
+            rows, errors = [], []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 try:
-                    got = header(content)
-                except (struct.error, UnicodeError, IndexError):
-                    got = None
-                status.append("success" if got else "error")
-                tags.append(list(got.items()) if got else None)
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(status), pa.array(tags, pa.map_(pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "mtime", "size", "status", "tags"])
+                    rows.append(read(read_header(path, size)))
+                    errors.append(None)
+                except (struct.error, ValueError, IndexError, OSError, RecursionError) as e:
+                    rows.append((None,) * len(schema))
+                    errors.append(f"{type(e).__name__}: {e}")
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string()), *made], ["path", "mtime", "size", "error", *schema.names])
+
+    return files.select("path", "mtime", "size").mapInArrow(run, "path string, mtime timestamp, size long, error string, " + sql)
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """path, mtime, size, status (success or error), tags of every file below a folder."""
+    schema = pa.schema([("tags", pa.map_(pa.string(), pa.string()))])
+    rows = _each(listing(spark, path), lambda items: (list((tag_map(items) or {}).items()) or None,), schema, "tags map<string,string>")
+    return rows.select("path", "mtime", "size", F.when(F.col("tags").isNull(), "error").otherwise("success").alias("status"), "tags")
+
+
+#: Fields of a scanned image and their tags (fixed values); those in DATES are null when missing, the others empty.
+FIELDS = {
+    "patient_id": "PatientID", "patient_name": "PatientName", "patient_gender": "PatientSex", "patient_birth_date": "PatientBirthDate", "study_instance_uid": "StudyInstanceUID", "study_date": "StudyDate",
+    "study_time": "StudyTime", "study_description": "StudyDescription", "study_protocol": "ProtocolName", "accession_number": "AccessionNumber", "study_id": "StudyID", "series_description": "SeriesDescription",
+    "modality": "Modality", "series_instance_uid": "SeriesInstanceUID", "series_date": "SeriesDate", "frame_of_reference_uid": "FrameOfReferenceUID", "sop_instance_uid": "SOPInstanceUID",
+}
+DATES = {"patient_birth_date", "study_date", "study_time", "series_date"}
+
+
+def scan_images(spark: SparkSession, path: str, as_of: dt.datetime, since: dt.datetime | None = None, by_study_date: bool = False, exclude_localizers: bool = False) -> DataFrame:
+    """Every file with status (success, skipped or error), reason, the 17 fields of its header, file_path and series_root_path.
+
+    Files changed in the last ten minutes, or before ``since`` (if that is not
+    in the future), are skipped unread; then a modality other than CT, MR and
+    PT, a localizer, a study before ``since``. A file without SOP UID, and one
+    that can't be read, is an error. Skipped and failed files have no fields.
+    """
+    files = listing(spark, path)
+    stamp = lambda t: F.lit(t).cast("timestamp")
+    early = F.when(F.col("mtime") > stamp(as_of - dt.timedelta(minutes=10)), "recently_modified")
+    if since is not None and since <= as_of:
+        early = early.when(F.col("mtime") < stamp(since), "before_date_filter")
+    unread = files.withColumn("_early", early)
+    schema = pa.schema([(f, pa.string()) for f in FIELDS])
+    read = lambda items: tuple(value(items, k) if f in DATES or f in ("modality", "sop_instance_uid") else value(items, k) or "" for f, k in FIELDS.items())
+    rows = _each(unread.filter("_early IS NULL"), read, schema, ", ".join(f"{f} string" for f in FIELDS))
+    day = F.when(F.col("study_date").rlike(r"^\d{8}$"), F.try_to_timestamp("study_date", F.lit("yyyyMMdd")))
+    skipped = F.when(~F.coalesce(F.col("modality").isin("CT", "MR", "PT"), F.lit(False)), "unsupported_modality")
+    failed = F.when(F.col("error").isNotNull(), "dicom_read_error").when(skipped.isNull() & (F.coalesce("sop_instance_uid", F.lit("")) == ""), "missing_sop_uid")
+    if exclude_localizers:
+        skipped = skipped.when(F.col("series_description").rlike(r"(?i)\b(topogram|scout|scanogram|surview)\b"), "localizer_series")
+    if by_study_date and since is not None:
+        skipped = skipped.when(F.coalesce(day < stamp(since), F.lit(False)), "study_date_before_filter")
+    status = F.when(failed.isNotNull(), "error").when(skipped.isNotNull(), "skipped").otherwise("success")
+    read_rows = rows.select("path", status.alias("status"), F.coalesce(failed, skipped).alias("reason"), *FIELDS)
+    plain = unread.filter("_early IS NOT NULL").select("path", F.lit("skipped").alias("status"), F.col("_early").alias("reason"), *[F.lit(None).cast("string").alias(f) for f in FIELDS])
+    good = F.col("status") == "success"
+    out = read_rows.unionByName(plain)
+    return out.select(
+        F.col("path").alias("file_path"), F.when(good, F.regexp_replace("path", "/[^/]*$", "")).alias("series_root_path"), "status", "reason", *[F.when(good, F.col(f)).alias(f) for f in FIELDS]
+    )
+
 
-    return files.select("path", "modificationTime", "length", "content").mapInArrow(run, "path string, mtime timestamp, size long, status string, tags map<string,string>")
+_ROI = pa.struct([("number", pa.int32()), ("name", pa.string())])
+_CONTOUR = pa.struct([("roi_number", pa.int32()), ("color", pa.string()), ("points", pa.list_(pa.float64()))])
+_OBSERVATION = pa.struct([("roi_number", pa.int32()), ("type", pa.string())])
+STRUCTURES = pa.schema([
+    ("sop_uid", pa.string()), ("series_uid", pa.string()), ("study_uid", pa.string()), ("patient_id", pa.string()), ("modality", pa.string()), ("label", pa.string()), ("referenced_series_uid", pa.string()),
+    ("frame_uids", pa.list_(pa.string())), ("referenced_sop_uids", pa.list_(pa.string())), ("rois", pa.list_(_ROI)), ("contours", pa.list_(_CONTOUR)), ("observations", pa.list_(_OBSERVATION)),
+])
+STRUCTURES_SQL = (
+    "sop_uid string, series_uid string, study_uid string, patient_id string, modality string, label string, referenced_series_uid string, frame_uids array<string>, referenced_sop_uids array<string>, "
+    "rois array<struct<number:int,name:string>>, contours array<struct<roi_number:int,color:string,points:array<double>>>, observations array<struct<roi_number:int,type:string>>"
+)
 
 
-def element(tag: int, vr: str, value: bytes) -> bytes:
-    """An explicit little-endian data element, for writing test files."""
-    value += b"\0" * (len(value) % 2)
+def _whole(shown: str | None) -> int | None:
+    return int(shown) if shown and shown.strip().lstrip("+-").isdigit() else None
+
+
+def _parts(item: dict[int, tuple], keyword: str) -> list[str]:
+    vr, raw = item.get(NUMBERS[keyword], (None, b""))
+    return [] if vr in (None, "SQ") else [p.strip() for p in raw.decode("latin-1").rstrip("\0 ").split("\\") if p.strip()]
+
+
+def structure_set(items: dict[int, tuple]) -> tuple:
+    """The columns of STRUCTURES. The referenced series is the first one through the three nested sequences."""
+    path = ("ReferencedFrameOfReferenceSequence", "RTReferencedStudySequence", "RTReferencedSeriesSequence")
+    series = [u for x in nested(items, *path) if (u := value(x, "SeriesInstanceUID"))]
+    images = [u for x in nested(items, *path, "ContourImageSequence") if (u := value(x, "ReferencedSOPInstanceUID"))]
+    frames = [u for x in nested(items, path[0]) if (u := value(x, "FrameOfReferenceUID"))]
+    rois = [{"number": _whole(value(x, "ROINumber")), "name": value(x, "ROIName")} for x in nested(items, "StructureSetROISequence")]
+    contours = []
+    for roi in nested(items, "ROIContourSequence"):
+        number, color = _whole(value(roi, "ReferencedROINumber")), "\\".join(_parts(roi, "ROIDisplayColor")) or None
+        contours += [{"roi_number": number, "color": color, "points": [float(p) for p in _parts(c, "ContourData")]} for c in nested(roi, "ContourSequence")]
+    seen = [{"roi_number": _whole(value(x, "ReferencedROINumber")), "type": value(x, "RTROIInterpretedType")} for x in nested(items, "RTROIObservationsSequence")]
+    plain = [value(items, k) for k in ("SOPInstanceUID", "SeriesInstanceUID", "StudyInstanceUID", "PatientID", "Modality", "StructureSetLabel")]
+    return (*plain, series[0] if series else None, frames, images, rois, contours, seen)
+
+
+def scan_structure_sets(spark: SparkSession, path: str) -> DataFrame:
+    """Structure sets below a folder: path, mtime, size, error and the columns of STRUCTURES; other files have their modality only."""
+    return _each(listing(spark, path), structure_set, STRUCTURES, STRUCTURES_SQL)
+
+
+# --- files for tests --------------------------------------------------------------------
+
+
+def element(tag: int, vr: str, raw: bytes) -> bytes:
+    """An explicit little-endian data element."""
+    raw += (b"\0" if vr in ("UI", "OB") else b" ") * (len(raw) % 2)
     head = struct.pack("<HH", tag >> 16, tag & 0xFFFF) + vr.encode()
-    return head + (struct.pack("<HI", 0, len(value)) if vr.encode() in _LONG else struct.pack("<H", len(value))) + value
+    return head + (struct.pack("<HI", 0, len(raw)) if vr.encode() in _LONG else struct.pack("<H", len(raw))) + raw
+
+
+def sequence(tag: int, items: list[bytes], undefined: bool = False) -> bytes:
+    """A sequence of items, each the bytes of its elements."""
+    if not undefined:
+        return element(tag, "SQ", b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(i)) + i for i in items))
+    body = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, UNDEFINED) + i + struct.pack("<HHI", 0xFFFE, 0xE00D, 0) for i in items)
+    return struct.pack("<HH", tag >> 16, tag & 0xFFFF) + b"SQ" + struct.pack("<HI", 0, UNDEFINED) + body + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import color, interpreted_type
+from ..registry import PARSERS, register_parser
+
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, mtime, size of every file below a folder; contents are not read."""
@@ -39,3 +49,86 @@ def log_search(spark: SparkSession, path: str, needle: str) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir, as a URI; on one machine, where that is unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="radlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes (name, content) as files below a shared folder, in tasks; the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+        made = set()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent = f"{at}/{name}".rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent)
+                    made.add(parent)
+                with system.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+# --- template documents -------------------------------------------------------------------
+
+
+def _root(xml: Column) -> Column:
+    """The name of the first element of a document."""
+    return F.regexp_extract(xml, r"<([A-Za-z_][\w.-]*)", 1)
+
+
+def structures_of(documents: DataFrame) -> DataFrame:
+    """Documents with their structures: position from 0, id, name, type and color, the last two as they are stored; a structure without one has null."""
+    parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<Structure\s[^>]*/>|<Structure\s.*?</Structure>)"), F.lit(1))
+    at = lambda path: F.transform("_parts", lambda p: F.xpath_string(p, F.lit(f"/Structure/{path}")))
+    rows = documents.withColumn("_parts", parts).filter(F.size("_parts") > 0)
+    zipped = F.arrays_zip(at("@Name").alias("name"), at("@ID").alias("id"), at("Identification/VolumeType").alias("volume_type"), at("ColorAndStyle").alias("color"))
+    each = rows.select(*documents.columns, F.posexplode(zipped).alias("position", "s"))
+    none = lambda c: F.nullif(F.col(c), F.lit(""))
+    return each.select(*[c for c in documents.columns if c != "xml"], "position", none("s.id").alias("id"), "s.name", interpreted_type(F.col("s.volume_type")).alias("type"), color(none("s.color")).alias("color"))
+
+
+register_parser("StructureTemplate")(structures_of)
+register_parser("Protocol")(structures_of)
+
+
+def parse_templates(documents: DataFrame) -> DataFrame:
+    """The structures of all documents (``xml``) whose root element has a parser."""
+    parts = [parser(documents.filter(_root(F.col("xml")) == root)) for root, parser in PARSERS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def template_errors(documents: DataFrame) -> DataFrame:
+    """Documents with an error: of an unknown kind, or without structures."""
+    error = F.when(~F.coalesce(_root(F.col("xml")).isin(list(PARSERS)), F.lit(False)), "unknown").when(F.size(F.xpath("xml", F.lit("//Structure/@Name"))) <= 0, "no_structures")
+    return documents.withColumn("error", error).filter("error IS NOT NULL")
+
+
+def seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A seed list with a header."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def append_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Adds rows to a store by batches; a batch that was written before is replaced, so that a run can be repeated."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+
+
+def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of the files that go into an archive."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

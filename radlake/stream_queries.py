@@ -1 +1,170 @@
-"""Queries."""
+"""Queries that write files or run streams over the tables: header scans, structure sets, series completion, file formats."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.tags import NUMBERS
+from .operators import catalog as C
+from .registry import query
+from .sources import dicom, files
+from .sources import tables as T
+from .streaming import completion
+
+# --- files -------------------------------------------------------------------------------
+
+
+def _image(key: int, name: str) -> bytes:
+    """A header made of a patient: explicit little-endian, with a sequence, a private tag and pixels."""
+    modality = "CT MR PT US".split()[key % 4]
+    tags = {
+        "SOPInstanceUID": ("UI", "" if key % 11 == 0 else f"1.2.{key}"), "StudyDate": ("DA", f"{1990 + key % 20}0102"), "Modality": ("CS", modality), "StudyDescription": ("LO", f"Study {key % 7}"),
+        "SeriesDescription": ("LO", "CT Scout view" if key % 5 == 0 else "Axial"), "PatientName": ("PN", name), "PatientID": ("LO", str(key)), "StudyInstanceUID": ("UI", f"9.{key}"), "SeriesInstanceUID": ("UI", f"9.{key}.1"),
+    }
+    parts = [(NUMBERS[k], dicom.element(NUMBERS[k], vr, v.encode())) for k, (vr, v) in tags.items() if v]
+    parts += [(0x00081032, dicom.sequence(0x00081032, [dicom.element(0x00080100, "SH", b"x")], undefined=bool(key % 2))), (0x00090010, dicom.element(0x00090010, "LO", b"private"))]
+    body = b"".join(b for _, b in sorted(parts)) + dicom.element(dicom.PIXELS, "OW", b"\0" * 4000)
+    return b"\0" * 128 + b"DICM" + dicom.element(0x00020010, "UI", b"1.2.840.10008.1.2.1") + body
+
+
+def _structures(key: int, name: str) -> bytes:
+    """A structure set of a supplier: three ROIs with a contour each, and the series they refer to."""
+    e, n = dicom.element, NUMBERS
+    image = e(n["ReferencedSOPInstanceUID"], "UI", f"1.2.{key}".encode())
+    series = e(n["SeriesInstanceUID"], "UI", f"S.{key}".encode()) + dicom.sequence(n["ContourImageSequence"], [image, image])
+    frame = e(n["FrameOfReferenceUID"], "UI", b"F.1") + dicom.sequence(n["RTReferencedStudySequence"], [dicom.sequence(n["RTReferencedSeriesSequence"], [series], undefined=True)])
+    number = lambda k, tag: e(n[tag], "IS", str(k).encode())
+    rois = [number(k, "ROINumber") + e(n["ROIName"], "LO", f"{name} {k}".encode()) for k in (1, 2, 3)]
+    contours = [e(n["ROIDisplayColor"], "IS", b"255\\0\\" + str(k).encode()) + dicom.sequence(n["ContourSequence"], [e(n["ContourData"], "DS", f"{k}\\1\\2\\3\\4\\5.5".encode())]) + number(k, "ReferencedROINumber") for k in (1, 2, 3)]
+    seen = [number(k, "ReferencedROINumber") + e(n["RTROIInterpretedType"], "CS", b"ORGAN") for k in (1, 2)]
+    body = e(n["SOPInstanceUID"], "UI", f"R.{key}".encode()) + e(n["Modality"], "CS", b"RTSTRUCT")
+    body += dicom.sequence(n["ReferencedFrameOfReferenceSequence"], [frame], undefined=bool(key % 2)) + dicom.sequence(n["StructureSetROISequence"], rois)
+    body += dicom.sequence(n["ROIContourSequence"], contours, undefined=True) + dicom.sequence(n["RTROIObservationsSequence"], seen)
+    return b"\0" * 128 + b"DICM" + e(0x00020010, "UI", b"1.2.840.10008.1.2.1") + body
+
+
+def _written(rows: DataFrame, make, folder: str) -> str:
+    """Writes a file for each (key, name); tasks write to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"p{k % 10}/{k}.dcm" for k in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], ["name", "content"])
+
+    files.write_files(rows.mapInArrow(run, "name string, content binary"), folder)
+    return folder
+
+
+@query("""SELECT c_custkey::VARCHAR || '.dcm' AS file, CASE WHEN c_custkey % 4 = 3 THEN 'skipped' WHEN c_custkey % 11 = 0 THEN 'error' WHEN c_custkey % 5 = 0 OR 1990 + c_custkey % 20 < 1995 THEN 'skipped' ELSE 'success' END AS status,
+CASE WHEN c_custkey % 4 = 3 THEN 'unsupported_modality' WHEN c_custkey % 11 = 0 THEN 'missing_sop_uid' WHEN c_custkey % 5 = 0 THEN 'localizer_series' WHEN 1990 + c_custkey % 20 < 1995 THEN 'study_date_before_filter' END AS reason,
+CASE WHEN NOT (c_custkey % 4 = 3 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0 OR 1990 + c_custkey % 20 < 1995) THEN c_name END AS patient_name, CASE WHEN NOT (c_custkey % 4 = 3 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0 OR 1990 + c_custkey % 20 < 1995) THEN (1990 + c_custkey % 20)::VARCHAR || '0102' END AS study_date FROM customer""")
+def dicom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each patient is written and scanned with all filters."""
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    folder = _written(rows, _image, files.shared_folder(spark, "dicom"))
+    found = dicom.scan_images(spark, folder, dt.datetime(2100, 1, 1), dt.datetime(1995, 1, 1), by_study_date=True, exclude_localizers=True)
+    return found.select(F.element_at(F.split("file_path", "/"), -1).alias("file"), "status", "reason", "patient_name", "study_date")
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'CT' WHEN 1 THEN 'MR' WHEN 2 THEN 'PT' ELSE 'US' END AS modality, 'Study ' || (c_custkey % 7) AS description, 'private' AS private, NULL::VARCHAR AS sequence FROM customer""")
+def dicom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag maps by name and number; sequences are left out, private tags stand by number."""
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    folder = _written(rows, _image, files.shared_folder(spark, "dicom"))
+    get = lambda k: F.try_element_at("tags", F.lit(k))
+    return dicom.scan(spark, folder).select(get("Patient ID").alias("id"), get("Patient's Name").alias("name"), get("(0008,0060)").alias("modality"), get("Study Description").alias("description"), get("(0009,0010)").alias("private"), get("(0008,1032)").alias("sequence"))
+
+
+@query(r"""SELECT 'R.' || s_suppkey AS sop_uid, 'S.' || s_suppkey AS referenced_series_uid, 2::BIGINT AS n_images, k AS number, s_name || ' ' || k AS name, '255\0\' || k AS color, k + 15.5 AS total, CASE WHEN k < 3 THEN 'ORGAN' END AS type FROM supplier, (VALUES (1), (2), (3)) t(k)""".replace("k + 15.5 AS total", "(k + 15.5)::DOUBLE AS total"))
+def structure_set_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A structure set for each supplier is written and read: ROIs, contours, observations and what they refer to."""
+    rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    folder = _written(rows, _structures, files.shared_folder(spark, "rtstruct"))
+    sets = dicom.scan_structure_sets(spark, folder)
+    one = lambda array, field: F.filter(array, lambda x: x["roi_number"] == F.col("r.number"))[0][field]
+    each = sets.select("sop_uid", "referenced_series_uid", F.size("referenced_sop_uids").cast("long").alias("n_images"), F.explode("rois").alias("r"), "contours", "observations")
+    got = lambda a, f: F.get(F.transform(F.filter(a, lambda x: x["roi_number"] == F.col("r.number")), lambda x: x[f]), 0)
+    return each.select("sop_uid", "referenced_series_uid", "n_images", "r.number", "r.name", got("contours", "color").alias("color"), F.aggregate(got("contours", "points"), F.lit(0.0), lambda a, x: a + x).alias("total"), got("observations", "type").alias("type"))
+
+
+@query("SELECT p_partkey, k AS position, p_name || ' ' || k AS name, CASE WHEN k = 1 THEN 'PTV' WHEN k = 2 THEN 'EXTERNAL' END AS type, CASE WHEN k < 3 THEN '255\\0\\0' END AS color FROM part, (VALUES (0), (1), (2), (3)) t(k) WHERE p_partkey % 3 <> 2")
+def xml_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template documents of two kinds through their registered parsers; a third kind has none, and is left out."""
+    root = F.element_at(F.array(*map(F.lit, ("StructureTemplate", "Protocol", "Other"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    kinds = ("", "<Identification><VolumeType>ptv</VolumeType></Identification>", "<Identification><VolumeType>Body</VolumeType></Identification>", "<Identification><VolumeType>none</VolumeType></Identification>")
+    parts = [F.concat(F.lit(f'<Structure ID="{k}" Name="'), "p_name", F.lit(f' {k}">{kind}' + ("<ColorAndStyle>Red</ColorAndStyle>" if k < 3 else "") + "</Structure>")) for k, kind in enumerate(kinds)]
+    xml = F.concat(F.lit("<"), root, F.lit("><Structures>"), *parts, F.lit("</Structures></"), root, F.lit(">"))
+    docs = T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))
+    got = files.parse_templates(docs)
+    return got.select("p_partkey", F.col("position").cast("int").alias("position"), "name", "type", "color")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 5 = 0")
+def xml_template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of an unknown kind or without structures."""
+    xml = F.when(F.col("p_partkey") % 5 > 0, '<Protocol><Structure Name="x"/></Protocol>').when(F.col("p_partkey") % 2 == 0, "<Protocol/>").otherwise('<Other><Structure Name="x"/></Other>')
+    return files.template_errors(T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))).select("p_partkey")
+
+
+@query("SELECT p_partkey AS row, p_name AS modification_type FROM part")
+def seed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seed list goes to CSV and comes back."""
+    folder = files.shared_folder(spark, "csv")
+    p = T.table(spark, sf_dir, "part")
+    files.export_csv(p.select("p_partkey", F.col("p_name").alias("modification_type")), folder)
+    return files.seed_csv(spark, folder, "row long, modification_type string")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, 0::BIGINT AS n_again FROM lineitem")
+def bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are appended by batches; a batch that is written again adds nothing."""
+    folder = files.shared_folder(spark, "store")
+    line = T.table(spark, sf_dir, "lineitem").withColumn("batch", (F.col("l_orderkey") % 2).cast("int"))
+    for batch in (0, 1, 1):
+        files.append_batch(line.filter(F.col("batch") == batch), folder, "batch")
+    back = spark.read.parquet(folder)
+    again = back.groupBy(*line.columns).agg(F.count("*").alias("a")).join(line.groupBy(*line.columns).agg(F.count("*").alias("b")), line.columns, "left").filter("a > b")
+    return back.agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_orders")).crossJoin(again.agg(F.count("*").alias("n_again")))  # one row each
+
+
+# --- streams -------------------------------------------------------------------------------
+
+
+@query("""SELECT ae, series_uid, run, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY ae ORDER BY ts, event_id) AS run FROM (SELECT event_id, ts, user_id AS ae, event_type AS series_uid,
+coalesce((lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type)::INT, 1) AS c FROM events)) GROUP BY ALL""".replace("SELECT ae, series_uid, run, count(*) AS n", "SELECT ae, series_uid, count(*) AS n, min(ts)::VARCHAR AS first, count(DISTINCT event_id) AS n_sops").replace("GROUP BY ALL", "GROUP BY ae, series_uid, run"))
+def stream_series_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receive stream: a sender that goes on to another series, or releases its association, completes the one before."""
+    folder = files.shared_folder(spark, "stream")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ae"), F.col("event_type").alias("series_uid"))
+    e = e.withColumns({"sop_uid": F.col("event_id").cast("string"), "path": F.concat(F.lit("/in/"), F.col("event_id").cast("string")), "released": F.lit(False)})
+    last = e.groupBy("ae").agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
+    ends = last.select((F.col("event_id") + 10**9).alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), "ae", *[F.lit(None).cast("string").alias(c) for c in ("series_uid", "sop_uid", "path")], F.lit(True).alias("released"))
+    rows = e.unionByName(ends)
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.mode("overwrite").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 10).parquet(f"{folder}/in")
+    run = completion.completed_series(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode("append")
+    completion.run_to_end(spark, run)
+    done = spark.read.schema(completion.OUT).parquet(f"{folder}/out")
+    return done.select("ae", "series_uid", "n", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.size(F.array_distinct("sop_uids")).cast("long").alias("n_sops")).withColumn("first", F.regexp_replace("first", r"\.?0+$", ""))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey, l_partkey, l_linenumber) AS k, l_suppkey AS dir FROM lineitem), f AS (SELECT l_orderkey, dir AS first_dir FROM d WHERE k = 1)
+SELECT l_orderkey AS series_uid, first_dir AS directory, count(*) FILTER (dir = first_dir) AS n, count(*) FILTER (dir <> first_dir) AS n_dropped FROM d JOIN f USING (l_orderkey) GROUP BY ALL""")
+def series_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series belongs to the directory in which it is met first; files of it elsewhere are reported, not taken."""
+    line = T.table(spark, sf_dir, "lineitem")
+    files_ = line.select(F.col("l_orderkey").alias("series_uid"), F.col("l_suppkey").alias("directory"), F.struct("l_shipdate", "l_suppkey", "l_partkey", "l_linenumber").alias("place"))
+    return C.finalised(files_)
+
+
+@query("SELECT (max(ts) - INTERVAL 7 DAY)::VARCHAR AS start, max(ts)::VARCHAR AS old FROM events")
+def low_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that succeeds moves the start to seven days before it; one that fails leaves it."""
+    e = T.transactions(spark, sf_dir).agg(F.max("ts").alias("t"))
+    shown = lambda ok: C.next_start(F.col("t"), F.col("t"), F.lit(ok)).cast("string")
+    return e.select(shown(True).alias("start"), shown(False).alias("old"))

@@ -5,38 +5,53 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "ae long, series_uid string, n long, first timestamp, last timestamp"
-STATE = "series_uid string, n long, first timestamp, last timestamp"
+OUT = "ae long, series_uid string, n long, first timestamp, last timestamp, sop_uids array<string>, paths array<string>"
+STATE = "series_uid string, n long, first timestamp, last timestamp, sop_uids array<string>, paths array<string>"
+_NAMES = ["ae", "series_uid", "n", "first", "last", "sop_uids", "paths"]
 
 
 def complete(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emits a series when its sender goes on to another, or is silent past the timeout.
+    """Emits a series when its sender goes on to another, releases its association, or is silent past the timeout.
 
-    Rows of a micro-batch come in no order; they are sorted by event time.
+    Rows of a micro-batch come in no order; of each batch only the columns of
+    the state are held to be sorted by event time. A repeated SOP UID counts
+    once.
     """
     if state.hasTimedOut:
-        uid, n, first, last = state.get
+        now = state.get
         state.remove()
-        yield pd.DataFrame({"ae": [key[0]], "series_uid": [uid], "n": [n], "first": [first], "last": [last]})
+        yield pd.DataFrame([(key[0], *now)], columns=_NAMES)
         return
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    now = state.get if state.exists else None
-    out = []
-    for uid, ts in zip(rows.series_uid, rows.ts):
-        if now is not None and now[0] == uid:
-            now = (uid, now[1] + 1, now[2], ts)
-        else:
-            if now is not None:
-                out.append((key[0], *now))
-            now = (uid, 1, ts, ts)
-    state.update(now)
-    state.setTimeoutDuration(QUIET_MS)
+    rows = pd.concat([b[["ts", "event_id", "series_uid", "sop_uid", "path", "released"]] for b in batches]).sort_values(["ts", "event_id"])
+    now = list(state.get) if state.exists else None
+    if now is not None:
+        now[4], now[5] = list(now[4]), list(now[5])
+    seen, out = set(now[4]) if now else set(), []
+    for ts, uid, sop, path, released in zip(rows.ts, rows.series_uid, rows.sop_uid, rows.path, rows.released):
+        if now is not None and (released or now[0] != uid):
+            out.append((key[0], *now))
+            now = None
+        if released:
+            continue
+        if now is None:
+            now, seen = [uid, 0, ts, ts, [], []], set()
+        now[3] = ts
+        if sop not in seen:
+            seen.add(sop)
+            now[1] += 1
+            now[4].append(sop)
+            now[5].append(path)
+    if now is None:
+        state.remove()
+    else:
+        state.update(tuple(now))
+        state.setTimeoutDuration(QUIET_MS)
     if out:
-        yield pd.DataFrame(out, columns=["ae", "series_uid", "n", "first", "last"])
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 #: Silence after which a sender's last series counts as complete.
@@ -44,15 +59,29 @@ QUIET_MS = 600_000
 
 
 def completed_series(received: DataFrame) -> DataFrame:
-    """(ae, series_uid, n, first, last) from a stream of (event_id, ts, ae, series_uid).
+    """(ae, series_uid, n, first, last, sop_uids, paths) from a stream of (event_id, ts, ae, series_uid[, sop_uid, path, released]).
 
+    A row with released ends the sender's association: its series is complete.
     A timeout by processing time asks for batches without data for ever: a query
-    with the trigger availableNow ends only if it starts while
-    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    that is to end is run with run_to_end().
     """
+    for name, value in (("sop_uid", F.col("event_id").cast("string")), ("path", F.lit(None).cast("string")), ("released", F.lit(False))):
+        if name not in received.columns:
+            received = received.withColumn(name, value)
     return received.groupBy("ae").applyInPandasWithState(complete, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def run_to_end(spark: SparkSession, writer) -> None:
+    """Runs a query over all that is there now, and ends."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+
+
 def without_repeats(received: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Drops instances seen before, as long as the watermark remembers them."""
     return received.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
@@ -66,3 +95,8 @@ def counters(received: DataFrame, by: str, size: str) -> DataFrame:
 def snapshots(received: DataFrame, ts: str, by: str, every: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Counts per period and key: the periodic statistics as a tumbling window."""
     return received.withWatermark(ts, late).groupBy(F.window(ts, every), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("period"), by, "n")
+
+
+def append_log(received: DataFrame, path: str, checkpoint: str):
+    """The transaction log as an append-only sink; a checkpoint makes a restart go on where it stopped."""
+    return received.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

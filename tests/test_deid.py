@@ -1,10 +1,13 @@
 """De-identification lists and colours against those of the studied application."""
 
+import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from radlake.functions import scalar as S
+from radlake.functions.tags import forms
 from radlake.operators import deid as D
 from radlake.queries import QUERIES
 
@@ -24,6 +27,31 @@ def test_every_listed_tag_is_masked(spark):
     assert got == {t: "#" for t in MASKED + FREE_TEXT} | {"Modality": "CT"}
 
 
+def test_every_form_of_a_key_is_masked(spark):
+    """No value that was put in comes out, whatever the form of its key."""
+    tags = {k: f"secret {n}" for n, k in enumerate(x for t in MASKED + FREE_TEXT for x in forms(t))}
+    assert {"(0010,0010)", "Patient's Name", "PatientName", "(0008,103e)"} <= set(tags)
+    tags |= {"(0009,1001)": "secret", "Private Creator": "secret", "Private tag data": "secret", "[Vendor Tag]": "secret", "(0019,10AB)": "secret"}
+    for n, t in enumerate(["StudyInstanceUID", "SeriesInstanceUID", "FrameOfReferenceUID", "SOPInstanceUID", "PatientID", *D.DATES, "AcquisitionDateTime"]):
+        tags |= {k: f"secret {t} {n}" for k in forms(t)}
+    tags |= {"Modality": "CT", "(0018,0050)": "2.5", "StudyTime": "1200"}
+    new = {"study": "9.1", "series": "9.1.1", "frame": "9.1.1.1234", "sop": "9.1.1.7.3", "patient": "P1"}
+    row = spark.createDataFrame([(tags, *new.values(), dt.date(2001, 2, 3))], "tags map<string,string>, study string, series string, frame string, sop string, patient string, day date")
+    got = row.select(D.deidentified_tags(*map(F.col, ("tags", "study", "series", "frame", "sop", "patient", "day"))).alias("t")).first().t
+    assert not [k for k, v in got.items() if "secret" in v]
+    assert got["(0020,000D)"] == got["Study Instance UID"] == "9.1" and got["(0020,0052)"] == "9.1.1.1234" and got["SOPInstanceUID"] == "9.1.1.7.3" and got["Patient ID"] == "P1"
+    assert got["(0010,0030)"] == got["Study Date"] == "20010203" and got["AcquisitionDateTime"] == "20010203000000" and got["AccessionNumber"] == got["(0020,0010)"] == "#"
+    assert (got["Modality"], got["(0018,0050)"], got["StudyTime"]) == ("CT", "2.5", "1200") and not {"(0009,1001)", "Private Creator", "[Vendor Tag]"} & set(got)
+
+
+def test_uids_have_their_shapes(spark):
+    row = spark.range(50).select(F.col("id").cast("string").alias("study_uid"))
+    study = {r.deid_study_uid for r in D.study_uids(row).collect()}
+    assert len(study) == 50 and all(re.fullmatch(r"1\.2\.826\.0\.1\.3680043\.10\.1561\.\d{3}\.\d{2}\.\d{3}", u) for u in study)
+    got = row.select(D.frame_uid(F.lit("9.1"), F.col("study_uid")).alias("f"), D.sop_uid(F.lit("9.1"), F.col("study_uid")).alias("s"), D.study_date(F.col("study_uid")).alias("d")).collect()
+    assert all(re.fullmatch(r"9\.1\.\d{4}", r.f) and re.fullmatch(r"9\.1\.\d{7}\.\d{3}", r.s) and dt.date(2000, 1, 1) <= r.d <= dt.date(2020, 12, 30) for r in got)
+
+
 def test_masked_tags_query(spark):
     rows = QUERIES["deid_masked_tags"](spark, "/root/testdata/sf0.001").collect()
     assert rows
@@ -37,7 +65,7 @@ def test_every_listed_color(spark):
         "Yellow": "255 255 0", "Cyan": "0 255 255", "Red": "255 0 0", "Green": "0 255 0", "Blue": "0 0 255", "Magenta": "255 0 255", "White": "255 255 255", "Black": "0 0 0", "Orange": "255 165 0",
         "Purple": "128 0 128", "Pink": "255 192 203", "Brown": "165 42 42", "Gray": "128 128 128", "Grey": "128 128 128", "Skin Rendering": "255 224 189", "Skin": "255 224 189",
         "Bone Rendering": "255 245 238", "Bone": "255 245 238", "Segment-Bone Rendering": "255 245 238", "opaque - PINK": "255 192 203", "FF0000": "255 0 0", "#00FFFF": "0 255 255", "008000": "0 128 0",
-        "#123456": "18 52 86", "12345": "57 48 0", "RGB 255 0 0": "255 0 0", "RGB 256 0 0": None, "InvalidColor": None, "": None, None: None,
+        "#123456": "18 52 86", "12345": "0 48 57", "RGB 255 0 0": "255 0 0", "RGB 256 0 0": "0 100 0", "InvalidColor": None, "": None, None: None,
     }
     got = spark.createDataFrame([(k,) for k in want], "c string").select("c", S.color(F.col("c")).alias("v")).collect()
     assert {r.c: r.v for r in got} == {k: v and v.replace(" ", "\\") for k, v in want.items()}

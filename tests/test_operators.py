@@ -288,3 +288,104 @@ def test_tiers(spark):
     templates = spark.createDataFrame([("HEART", 1), ("spinal_cord", 2), ("lung_l", 3), ("kidney", 4)], "name string, position int")
     got = {r.name: (r.template, r.tier) for r in C.tiered_match(names, templates).collect()}
     assert got == {"Heart": ("HEART", 1), "spinal cord": ("spinal_cord", 2), "Lung-L": ("lung_l", 3), "xx kidney yy": ("kidney", 4)}
+
+
+def test_unknown_level_has_no_answer(spark):
+    catalog = {"patients": spark.createDataFrame([("1", "A")], "patient_id string, patient_name string"), "studies": spark.createDataFrame([("1", "2")], "patient_id string, study_uid string")}
+    assert Q.query("WORLD", {}, catalog).count() == 0
+
+
+def test_labels_of_components():
+    rng = np.random.default_rng(0)
+    for full in (False, True):
+        mask = rng.random((9, 8, 7)) < 0.3
+        label = K.labels(mask, full)
+        offsets = K.CUBE if full else K.FACES
+        seen, n = np.zeros(mask.shape, int), 0
+        for start in zip(*np.nonzero(mask)):
+            if not seen[start]:
+                n += 1
+                stack = [start]
+                while stack:
+                    at = stack.pop()
+                    if all(0 <= x < m for x, m in zip(at, mask.shape)) and mask[at] and not seen[at]:
+                        seen[at] = n
+                        stack += [tuple(a + b for a, b in zip(at, o)) for o in offsets]
+        assert (seen == label).all()
+    snake = np.zeros((60, 60, 1), bool)
+    snake[::2], snake[1::4, -1], snake[3::4, 0] = True, True, True
+    assert K.labels(snake).max() == 1
+
+
+def test_filled_contours():
+    inner, edge = K.filled(np.array([(1, 1), (5, 1), (5, 4), (1, 4)]))
+    assert {tuple(p) for p in np.concatenate([inner, edge]).tolist()} == {(x, y) for x in range(1, 6) for y in range(1, 5)}
+    assert len(K.filled(np.array([(3, 3)]))[1]) == 5 and {tuple(p) for p in K.filled(np.array([(0, 0), (3, 3)]))[1].tolist()} == {(k, k) for k in range(4)}
+    triangle = np.concatenate(K.filled(np.array([(0, 0), (6, 0), (0, 6)])))
+    assert {tuple(p) for p in triangle.tolist()} == {(x, y) for x in range(7) for y in range(7 - x)}
+
+
+def test_rasterised_holes_and_borders(spark):
+    square = lambda a, b: ([float(x) for x in (a, b, b, a)], [float(x) for x in (a, a, b, b)])
+    rows = [(1, 0, *square(0, 9)), (1, 0, *square(3, 6)), (1, 1, [20.0], [20.0]), (2, 0, [-5.0, 5.0], [2.0, 2.0]), (2, 3, [], [])]
+    got = {}
+    for r in K.rasterised(spark.createDataFrame(rows, "comparison_id int, k int, xs array<double>, ys array<double>"), (10, 10)).collect():
+        got.setdefault((r.comparison_id, r.k), set()).add((r.i, r.j))
+    assert got[1, 0] == {(i, j) for i in range(10) for j in range(10)} - {(i, j) for i in (4, 5) for j in (4, 5)} and got[2, 0] == {(2, j) for j in range(6)} and set(got) == {(1, 0), (2, 0)}
+
+
+def test_masks_with_grids_of_their_own(spark):
+    mask = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 0), (2, 5, 5, 5)], "comparison_id int, i int, j int, k int")
+    geometry = spark.createDataFrame([(1, 2, 2, 1, 1.0, 1.0, 1.0), (2, 9, 9, 9, 2.0, 2.0, 2.0)], "comparison_id int, nx int, ny int, nz int, sx double, sy double, sz double")
+    grown = K.apply_mask(mask, None, lambda m, s: K.dilate(m, V.ball(2.0, s)), geometry)
+    assert {r.comparison_id: r["count"] for r in grown.groupBy("comparison_id").count().collect()} == {1: 4, 2: 7}
+    d = K.distance_maps(mask, None, signed=False, geometry=geometry).filter("comparison_id = 2 AND i = 5 AND j = 5 AND k = 8").first()
+    assert d.distance == 6.0
+
+
+def test_metrics_of_empty_masks(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, True, False), (2, 1, 1, 1, True, True)], "comparison_id int, i int, j int, k int, in_a boolean, in_b boolean")
+    got = {(r.comparison_id, r.metric): (r.value, r.error) for r in K.metrics(cells, (4, 4, 4)).collect()}
+    assert got[1, "dsc"] == (0.0, None) and got[1, "msd"] == (float("inf"), None) and got[1, "surface_dsc"] == (0.0, None) and got[2, "hd95"] == (0.0, None) and got[2, "cs"] == (1.0, None)
+
+
+def test_slice_lists_and_histogram(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, True, True), (1, 2, 0, 0, True, False), (1, 0, 3, 0, False, True), (1, 7, 7, 1, True, False)], "comparison_id int, i int, j int, k int, in_a boolean, in_b boolean")
+    lists = V.slice_lists(cells)
+    got = {r.k: (r.under_distances, r.over_distances, r.overlap_count) for r in lists.collect()}
+    assert got == {0: ([2.0], [3.0], 1), 1: ([], [], 1)}
+    assert [(r.bucket, r.n) for r in V.histogram(lists, "under_distances", 1.0, 5).collect()] == [(3, 1)]
+
+
+def test_pipelines_there_and_back(spark):
+    from radlake.registry import OPERATIONS, register_operation
+
+    steps = P.parse_text("expand(margin_mm=5.0) | crop_to_boundary(boundary_roi='Body') | keep_largest(n=2) | fill_holes")
+    assert steps[1]["parameters"] == {"boundary_roi": "Body"} and P.parse_text(P.to_text(steps)) == steps and P.parse_json(P.to_json(steps)) == steps
+    mask = spark.createDataFrame([(1, 1, 1, 1)], "comparison_id int, i int, j int, k int")
+    register_operation("shift")(lambda m, others, p, size, spacing: m.withColumn("i", F.col("i") + p["by"]))
+    try:
+        assert [r.i for r in P.run([{"type": "shift", "structures": ["a"], "parameters": {"by": 2}}], {"a": mask}, (9, 9, 9)).collect()] == [3]
+    finally:
+        del OPERATIONS["shift"]
+    with pytest.raises(ValueError, match="step 1"):
+        P.run([{"type": "shift", "structures": ["a"]}], {"a": mask}, (9, 9, 9))
+
+
+@pytest.mark.parametrize("path,ok", [("/app/x/../datastore/a", True), ("/app/datastore", True), ("/app/datastore/../../etc", False), ("app/datastore/a", False), ("/app/datastore2", False), ("/app/datastore/a\x00", False), ("", False), (None, False), ("/../../app/datastore/b", True)])
+def test_paths_inside(spark, path, ok):
+    df = spark.createDataFrame([(path,)], "v string")
+    assert df.select(S.inside(F.col("v"), "/app/datastore").alias("x")).first().x is ok
+
+
+@pytest.mark.parametrize("value,kinds", [("https://a.bc/c?d", (True, False, False)), ("ftp://localhost:21", (True, False, False)), ("x.PNG", (False, True, False)), ("data:image/png;base64,x", (False, True, False)), ("1e5", (False, False, True)), ("1_0", (False, False, True)), ("abc", (False, False, False)), (" nan ", (False, False, True)), (None, (False, False, False))])
+def test_kinds_of_values(spark, value, kinds):
+    df = spark.createDataFrame([(value,)], "v string")
+    v = F.col("v")
+    assert tuple(df.select(S.is_url(v), S.is_image(v), S.is_number(v)).first()) == kinds
+
+
+def test_names_of_fields_and_files(spark):
+    row = spark.createDataFrame([("left_border_description", "roiUrl", "../a\\b/..", "")], "a string, b string, c string, d string")
+    got = row.select(S.humanized(F.col("a")), S.humanized(F.col("b")), S.file_name(F.col("c")), S.file_name(F.col("d")), S.progress(F.lit(1), F.lit(3)), S.cleanup_target(F.lit(100.0))).first()
+    assert tuple(got) == ("Left Border Description", "Roi URL".replace("Roi", "ROI"), "__a_b__", "unnamed", 33.3, 20.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from radlake import queries
 from radlake.operators import catalog as C
+from radlake.functions.tags import DICTIONARY
 from radlake.sources import dicom, files
 from radlake.streaming import completion
 
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def dicom_file(explicit=True, **tags):
-    by_name = {n: (t, v) for t, (n, v) in dicom.KEYWORDS.items()}
+    by_name = {n: (t, v) for t, n, v in DICTIONARY}
     body = b""
     for name, value in sorted(tags.items(), key=lambda x: by_name[x[0]][0]):
         tag, vr = by_name[name]
@@ -39,10 +40,87 @@ def test_dicom_headers(spark, tmp_path, explicit):
     rows = {r.path.rsplit("/", 1)[1]: r for r in dicom.scan(spark, str(tmp_path)).collect()}
     tags = rows["1"].tags
     assert rows["1"].status == "success" and rows["junk.txt"].status == "error"
-    assert tags["Modality"] == tags["(0008,0060)"] == "CT" and tags["PatientID"] == "CT12345" and tags["SliceThickness"] == "['2.5', '3']" and tags["Rows"] == "512"
+    assert tags["Modality"] == tags["(0008,0060)"] == "CT" and tags["Patient ID"] == "CT12345" and tags["Slice Thickness"] == "['2.5', '3']" and tags["Rows"] == "512"
     assert files.listing(spark, str(tmp_path)).count() == 2
 
 
+def test_headers_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """Only as much of a file is read as its header needs; what is cut off is an error."""
+    read = []
+    whole = dicom_file(True, Modality="CT", PatientID="7", StudyDescription="x" * 60) + dicom.element(dicom.PIXELS, "OW", b"\0" * 500_000)
+    (tmp_path / "big").write_bytes(whole)
+    (tmp_path / "cut").write_bytes(whole[:200])
+    assert dicom.value(dicom.read_header(f"file:{tmp_path}/big", len(whole)), "PatientID") == "7"
+    monkeypatch.setattr(dicom, "FIRST", 64)
+    assert dicom.value(dicom.read_header(f"file:{tmp_path}/big", len(whole)), "Modality") == "CT"
+    with pytest.raises(ValueError):
+        dicom.read_header(f"file:{tmp_path}/cut", 200)
+    data = dicom.dataset
+
+    def counted(part, size=None):
+        read.append(len(part))
+        return data(part, size)
+
+    monkeypatch.setattr(dicom, "dataset", counted)
+    dicom.read_header(f"file:{tmp_path}/big", len(whole))
+    assert max(read) < 2000
+
+
+@pytest.mark.parametrize("undefined", [True, False])
+def test_nested_sequences(undefined):
+    from radlake.functions.tags import NUMBERS as n
+
+    inner = dicom.sequence(n["RTReferencedSeriesSequence"], [dicom.element(n["SeriesInstanceUID"], "UI", b"1.2.3"), dicom.element(n["SeriesInstanceUID"], "UI", b"4.5.6")], undefined)
+    frames = dicom.sequence(n["ReferencedFrameOfReferenceSequence"], [dicom.sequence(n["RTReferencedStudySequence"], [b"", inner], undefined), b""], not undefined)
+    items = dicom.dataset(dicom_file(True, Modality="RTSTRUCT") + frames + dicom.element(n["ReviewerName"], "PN", b"R"))
+    assert dicom.structure_set(items)[6] == "1.2.3" and dicom.value(items, "ReviewerName") == "R" and dicom.value(items, "ReferencedFrameOfReferenceSequence") is None
+    assert [dicom.value(x, "SeriesInstanceUID") for x in dicom.nested(items, "ReferencedFrameOfReferenceSequence", "RTReferencedStudySequence", "RTReferencedSeriesSequence")] == ["1.2.3", "4.5.6"]
+
+
+def test_scan_skips_and_fails(spark, tmp_path):
+    now = dt.datetime.now()
+    for name, content in {"ok": dicom_file(True, Modality="MR", SOPInstanceUID="1.2", SeriesInstanceUID="3"), "us": dicom_file(True, Modality="US", SOPInstanceUID="1"), "nouid": dicom_file(True, Modality="CT"), "junk": b"DICM? no"}.items():
+        (tmp_path / name).write_bytes(content)
+    of = lambda **kw: {r.file_path.rsplit("/", 1)[1]: (r.status, r.reason) for r in dicom.scan_images(spark, str(tmp_path), **kw).collect()}
+    late = of(as_of=now + dt.timedelta(hours=1))
+    assert late["ok"] == ("success", None) and late["us"] == ("skipped", "unsupported_modality") and late["nouid"] == ("error", "missing_sop_uid") and late["junk"][1] in ("dicom_read_error", "unsupported_modality")
+    assert set(of(as_of=now + dt.timedelta(minutes=1)).values()) == {("skipped", "recently_modified")}
+    assert set(of(as_of=now + dt.timedelta(days=9), since=now + dt.timedelta(days=2)).values()) == {("skipped", "before_date_filter")}
+    row = dicom.scan_images(spark, str(tmp_path), now + dt.timedelta(hours=1)).filter("status = 'success'").first()
+    assert row.patient_id == "" and row.study_date is None and row.series_instance_uid == "3" and row.series_root_path.endswith(tmp_path.name)
+
+
+def test_a_registered_parser(spark, monkeypatch):
+    from radlake import registry
+
+    monkeypatch.setattr(registry, "PARSERS", registry.PARSERS)
+    docs = spark.createDataFrame([("a", "<Mine><n>x</n></Mine>"), ("b", "<?xml version='1.0'?><Protocol><Structure ID='1' Name='H'/></Protocol>")], "f string, xml string")
+    registry.register_parser("Mine")(lambda d: files.structures_of(d.withColumn("xml", F.lit("<X><Structure Name='m'/></X>"))))
+    try:
+        assert {(r.f, r.name, r.type, r.color) for r in files.parse_templates(docs).collect()} == {("a", "m", None, None), ("b", "H", None, None)}
+    finally:
+        del registry.PARSERS["Mine"]
+
+
+def test_stream_release_and_repeats(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [(1, t(1), 1, "a", "s1", "/1", False), (2, t(2), 1, "a", "s1", "/2", False), (3, t(3), 1, "a", "s2", "/3", False), (4, t(4), 1, None, None, None, True), (5, t(5), 1, "a", "s3", "/4", False), (6, t(6), 2, "b", "s4", "/5", False)]
+    schema = "event_id long, ts timestamp, ae long, series_uid string, sop_uid string, path string, released boolean"
+    spark.createDataFrame(rows, schema).repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    writer = completion.completed_series(stream).writeStream.format("memory").queryName("done").outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    completion.run_to_end(spark, writer)
+    got = [(r.ae, r.series_uid, r.n, r.sop_uids, r.paths) for r in spark.table("done").collect()]
+    assert got == [(1, "a", 2, ["s1", "s2"], ["/1", "/3"])]  # the rest is open
+
+
+def test_resuming_a_run(spark):
+    d = spark.createDataFrame([("a",), ("b",), ("c",)], "directory string")
+    at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
+    of = lambda last, saved: sorted(r.directory for r in C.resume_after(d, last, at(saved), at(9)).collect())
+    assert of("b", 6) == ["c"] and of("b", 4) == ["a", "b", "c"] and of(None, 8) == ["a", "b", "c"]
+
+
 def test_xml_templates_and_catalog(spark, tmp_path):
     xml = "<StructureTemplate><Structures><Structure ID='1' Name='Heart'><Identification><VolumeType>Organ</VolumeType></Identification><ColorAndStyle>red</ColorAndStyle></Structure></Structures></StructureTemplate>"
     got = files.structures(spark.createDataFrame([("f", xml)], "path string, xml string")).collect()
