@@ -379,3 +379,64 @@ def stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.transactions(spark, sf_dir).groupBy("ae").agg(F.count_if(F.col("kind") != "view").alias("n"), F.sum(F.round(F.col("bytes") * 100).cast("long")).cast("double").alias("b"), F.count_if(F.col("kind") == "click").alias("v"))
     return e.select("ae", "n", S.average_mb(F.col("b"), F.col("n")).alias("average_mb"), S.speed_mb(F.col("b"), F.col("ae") % 7).alias("speed"), S.progress(F.col("v"), F.col("n")).alias("progress"))
+
+
+#: Values, and whether they are valid by the definitions of their representation.
+_VR_CASES = [
+    ("AE", "STATION 1", True), ("AE", "SIXTEEN_CHARS_OK", True), ("AE", "SEVENTEEN_CHARS_X", False), ("AE", "A\\B", False), ("AE", "A\tB", False), ("AS", "065Y", True), ("AS", "65Y", False), ("AS", "065y", False),
+    ("AT", "(0018,00FF)", True), ("AT", "(0018,00fg)", False), ("AT", "0018,00FF", False), ("DT", "2024", True), ("DT", " 20240102030405.123456+0530 ", False), ("DT", "20240102030405.12+0530", True), ("DT", "202401020", False), ("DT", " 202401 ", True),
+    ("TM", "12", True), ("TM", " 1205 ", True), ("TM", "120500.1234567", False), ("TM", "1", False), ("UI", " 1.2.840 ", True), ("UI", "1..2", False), ("FL", "3.4e38", True), ("FL", "3.5e38", False), ("FL", "abc", False), ("FD", "1e300", True),
+    ("SL", "-2147483648", True), ("SL", "2147483648", False), ("SS", "32767", True), ("SS", "-32769", False), ("UL", "4294967295", True), ("UL", "-1", False), ("SH", "0123456789abcdef", True), ("SH", "0123456789abcdefg", False), ("SH", "a\\b", False),
+    ("LT", "a\nb\\c", True), ("ST", "x" * 1024, True), ("ST", "x" * 1025, False), ("UT", "x" * 3000, True), ("OB", "x" * 1024, True), ("OB", "x" * 1025, False), ("PN", "A^B=" + "C" * 64, True), ("PN", "A=" + "C" * 65, False), ("DA", "", True),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(a, b.replace("'", "''"), str(c).lower()) for a, b, c in _VR_CASES) + ") t(vr, v, ok)")
+def vr_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(a, b) for a, b, _ in _VR_CASES], "vr string, v string")
+    return rows.select("vr", "v", VR.valid(F.col("v"), F.col("vr")).alias("ok"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderkey % 3 WHEN 0 THEN lpad((o_orderkey % 24)::VARCHAR, 2, '0') || '3000' WHEN 1 THEN '120501' END AS time FROM orders""")
+def dates_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of eight digits, times without fraction, padded; what is none is null."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
+    raw = F.when(k % 4 == 0, day).when(k % 4 == 1, F.substring(day, 1, 7)).when(k % 4 == 2, "20240230").otherwise("")
+    time = F.when(k % 3 == 0, F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit("3"))).when(k % 3 == 1, "120501.123").otherwise("246000")
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", S.dicom_date(raw).cast("string").alias("day"), S.dicom_time(time).alias("time"))
+
+
+@query(r"""SELECT p_partkey, length(p_name || CASE WHEN p_size % 2 = 0 THEN ' and more of it' ELSE '' END) <= 16 AS label_ok, p_size % 3 = 0 AS color_ok FROM part""")
+def label_and_color_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("int")
+    color = F.when(size % 3 == 0, F.format_string("%d\\0\\255", size)).when(size % 3 == 1, F.format_string("%d\\0\\256", size)).otherwise("1\\2")
+    label = F.concat("p_name", F.when(size % 2 == 0, " and more of it").otherwise(""))
+    return T.table(spark, sf_dir, "part").select("p_partkey", S.valid_label(label).alias("label_ok"), S.valid_color(color).alias("color_ok"))
+
+
+@query("""SELECT event_id, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS uptime FROM (SELECT event_id, event_id * 37 AS s FROM events)""")
+def uptimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.transactions(spark, sf_dir).select("event_id", S.uptime(F.col("event_id") * 37).alias("uptime"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand END AS label FROM part")
+def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that is missing or empty is the structure's name."""
+    label = F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).when(F.col("p_size") % 2 == 0, "")
+    return T.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.nullif(label, F.lit("")), "p_name").alias("label"))
+
+
+@query("SELECT 'h' || (min(c_custkey) * 2 + 7) AS host, ((min(c_custkey) % 100) + 104)::INT AS port FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 5 > 0".replace("'h' || (min(c_custkey) * 2 + 7)", "'h' || min(c_custkey)").replace("((min(c_custkey) % 100) + 104)", "(min(c_custkey) % 100 + 104)"))
+def move_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first active destination with a title."""
+    k = F.col("c_custkey")
+    table = T.table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("ae_title"), (k % 5 > 0).alias("is_active"), F.concat(F.lit("h"), k.cast("string")).alias("host"), (k % 100 + 104).cast("int").alias("port"))
+    return L.destination(table, "MACHINERY")
+
+
+@query(_ALL + """, f AS (SELECT series_uid, path FROM instance UNION ALL SELECT of_series, rt_path FROM t) SELECT series_uid, path FROM f WHERE series_uid LIKE '1%.3' AND path LIKE '/store/%'""")
+def export_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export of series copies: only paths inside the store."""
+    catalog = _catalog(spark, sf_dir)
+    paths = Q.push_paths(catalog, catalog["series"].filter("series_uid LIKE '1%.3'"))
+    return paths.filter(S.inside(F.col("path"), "/store"))

@@ -141,3 +141,60 @@ def mask_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = P.parse_text("union | close_gaps(gap_mm=1.0) | crop_to_boundary(boundary_roi='reference') | keep_largest(n=2)")
     steps[0]["structures"] = ["reference", "test"]
     return P.run(steps, masks, SIZE, dialect="executor")
+
+
+_NEAR = ", ".join(str(o) for o in K.FACES if o != (0, 0, 0))
+
+
+def _parts(source: str) -> str:
+    """The component of each cell: (comparison_id, i, j, k, label, n), label its first cell's number, n its size."""
+    return f"""w AS (SELECT comparison_id, i, j, k, i * 56 + j * 7 + k AS label FROM {source}),
+r AS (SELECT comparison_id, label AS start, i, j, k FROM w UNION SELECT r.comparison_id, start, w.i, w.j, w.k FROM r, (VALUES {_NEAR}) o(x, y, z) JOIN w ON w.comparison_id = r.comparison_id AND w.i = r.i + x AND w.j = r.j + y AND w.k = r.k + z),
+l AS (SELECT comparison_id, i, j, k, min(start) AS label FROM r GROUP BY ALL), parts AS (SELECT *, count(*) OVER (PARTITION BY comparison_id, label) AS n FROM l)"""
+
+
+_RECURSIVE = VOXELS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_RECURSIVE + f", {_parts('a')}, best AS (SELECT comparison_id, label FROM (SELECT comparison_id, label, row_number() OVER (PARTITION BY comparison_id ORDER BY n DESC, label) AS q FROM (SELECT DISTINCT comparison_id, label, n FROM parts)) WHERE q = 1) SELECT comparison_id, i, j, k FROM parts JOIN best USING (comparison_id, label)")
+def voxel_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.keep_largest)
+
+
+@query(_RECURSIVE + f", {_parts('a')} SELECT comparison_id, i, j, k FROM parts WHERE n >= 5")
+def voxel_without_small_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components under 10 mm3 at 2.5 mm3 a voxel and a bit more go: five voxels are needed."""
+    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, lambda m: K.remove_small(m, 10.1, 2.5))
+
+
+@query(_RECURSIVE + f""", u AS (SELECT * FROM a UNION SELECT * FROM b), e AS (SELECT DISTINCT comparison_id FROM u), g AS (SELECT comparison_id, i, j, k FROM e, range(-1, 9) x(i), range(-1, 9) y(j), range(-1, 8) z(k)), f AS (SELECT * FROM g EXCEPT SELECT * FROM u),
+r AS (SELECT comparison_id, -1::BIGINT AS i, -1::BIGINT AS j, -1::BIGINT AS k FROM e UNION SELECT r.comparison_id, f.i, f.j, f.k FROM r, (VALUES {_NEAR}) o(x, y, z) JOIN f ON f.comparison_id = r.comparison_id AND f.i = r.i + x AND f.j = r.j + y AND f.k = r.k + z)
+SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k FROM (SELECT * FROM g EXCEPT SELECT * FROM r) WHERE {_GRID}""")
+def voxel_filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.apply_mask(V.combine(_cells(spark, sf_dir), "union"), SIZE, K.fill_holes)
+
+
+@query(VOXELS_SQL + f"""SELECT comparison_id, 'gaps' AS way, i, j, k FROM (SELECT * FROM ({_shrunk('(' + _grown('a', _B1, False) + ')', _B1)}) WHERE {_GRID}) UNION ALL SELECT comparison_id, 'protrusions', i, j, k FROM ({_grown('(' + _shrunk('(SELECT * FROM a UNION SELECT * FROM b)', _B1) + ')', _B1)})""")
+def voxel_gaps_and_protrusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, both = _mask(spark, sf_dir, "A"), V.combine(_cells(spark, sf_dir), "union")
+    closed = P.run([{"type": "close_gaps", "structures": ["a"], "parameters": {"gap_mm": 1.0}}], {"a": a}, SIZE)
+    opened = P.run([{"type": "remove_protrusions", "structures": ["a"], "parameters": {"size_mm": 1.0}}], {"a": both}, SIZE)
+    named = lambda df, n: df.select("comparison_id", F.lit(n).alias("way"), "i", "j", "k")
+    return named(closed, "gaps").unionByName(named(opened, "protrusions"))
+
+
+@query(VOXELS_SQL + f"""SELECT comparison_id, i, j, k FROM (SELECT * FROM ({_grown('a', _B1)}) EXCEPT SELECT * FROM b)""")
+def mask_pipeline_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored definition as it is executed: the margin is that of the current mask, hulls change nothing."""
+    text = '{"operations": [{"type": "expand", "structures": ["a"], "parameters": {"margin_mm": 1.0}}, {"type": "convex_hull"}, {"type": "subtract", "structures": ["b"]}]}'
+    return P.run(P.parse_json(text), {"a": _mask(spark, sf_dir, "A"), "b": _mask(spark, sf_dir, "R")}, SIZE, dialect="executor")
+
+
+@query("SELECT p_partkey, step::INT AS step, kind, margin FROM (SELECT p_partkey, unnest([0, 1]) AS step, unnest(['expand', 'smooth']) AS kind, unnest([p_size::VARCHAR, NULL]) AS margin FROM part)")
+def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored definitions, one row per step."""
+    from .sources import tables as T
+
+    text = F.format_string('{"operations": [{"type": "expand", "structures": ["x"], "parameters": {"margin_mm": %d}}, {"type": "smooth", "parameters": {}}]}', F.col("p_size").cast("int"))
+    steps = P.describe(T.table(spark, sf_dir, "part").select("p_partkey", text.alias("definition")))
+    return steps.select("p_partkey", "step", F.col("operation.type").alias("kind"), F.try_element_at("operation.parameters", F.lit("margin_mm")).alias("margin"))

@@ -168,3 +168,55 @@ def low_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.transactions(spark, sf_dir).agg(F.max("ts").alias("t"))
     shown = lambda ok: C.next_start(F.col("t"), F.col("t"), F.lit(ok)).cast("string")
     return e.select(shown(True).alias("start"), shown(False).alias("old"))
+
+
+def _events(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A stream of the events, each of them twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ae"), F.round(F.col("value") * 100).cast("long").alias("size"))
+    e.union(e).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(f"{folder}/in")
+    return spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+
+
+@query("SELECT event_id, user_id AS ae FROM events")
+def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that come twice are taken once; the log is appended to a sink."""
+    folder = files.shared_folder(spark, "repeats")
+    once = completion.without_repeats(_events(spark, sf_dir, folder), "event_id", "ts")
+    writer = once.select("event_id", "ae").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+    completion.run_to_end(spark, writer)
+    return spark.read.schema("event_id long, ae long").parquet(f"{folder}/out")
+
+
+@query("SELECT user_id AS ae, 2 * count(*) AS files, (2 * sum(CAST(round(value * 100) AS BIGINT)))::BIGINT AS bytes FROM events GROUP BY 1")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of each sender; the last ones are the result."""
+    folder = files.shared_folder(spark, "counters")
+    totals = completion.counters(_events(spark, sf_dir, folder), "ae", "size")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    completion.run_to_end(spark, totals.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode("complete"))
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_events FROM (SELECT * FROM events UNION ALL SELECT * FROM events)")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction log; a second run over the same checkpoint appends nothing."""
+    folder = files.shared_folder(spark, "log")
+    log = _events(spark, sf_dir, folder)
+    for _ in range(2):
+        completion.run_to_end(spark, completion.append_log(log, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(log.schema).parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"))
+
+
+@query("SELECT count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer")
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths, sizes and checksums of the files of an archive; they agree with the contents."""
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    folder = files.shared_folder(spark, "archive")
+    contents = rows.select(F.concat(F.col("key").cast("string"), F.lit(".bin")).alias("name"), F.col("name").cast("binary").alias("content"))
+    files.write_files(contents, folder)
+    manifest = files.archive_manifest(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")
+    want = rows.select("key", F.concat(F.col("key").cast("string"), F.lit(".bin")).alias("file"), F.octet_length("name").cast("long").alias("size"), F.sha2("name", 256).alias("sha256"))
+    return want.join(manifest, ["file", "size", "sha256"]).agg(F.count("*").alias("n"), F.sum("key").alias("keys"))

@@ -98,5 +98,5 @@ def snapshots(received: DataFrame, ts: str, by: str, every: str = "30 minutes",
 
 
 def append_log(received: DataFrame, path: str, checkpoint: str):
-    """The transaction log as an append-only sink; a checkpoint makes a restart go on where it stopped."""
+    """A writer of the transaction log: an append-only sink; its checkpoint makes a restart go on where it stopped."""
     return received.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
