@@ -9,7 +9,7 @@ from .operators import kernels as K
 from .operators import voxels as V
 from .plans import masks as P
 from .queries import SIZE, VOXELS_SQL, _cells, _mask
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _GRID = "i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 6"
 
@@ -32,18 +32,28 @@ _FLAT = [(0, y, z) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 _STEP = (1.5, 1.0, 2.0)
 
 
-@query(VOXELS_SQL + f""", ca AS ({_rim('a', K.CUBE)}), cb AS ({_rim('b', K.CUBE)}),
-da AS (SELECT x.comparison_id, min(sqrt(((x.i - y.i) * 2.0) ** 2 + (x.j - y.j) ** 2 + ((x.k - y.k) * 1.5) ** 2)) AS d FROM ca x JOIN cb y USING (comparison_id) GROUP BY x.comparison_id, x.i, x.j, x.k),
-db AS (SELECT x.comparison_id, min(sqrt(((x.i - y.i) * 2.0) ** 2 + (x.j - y.j) ** 2 + ((x.k - y.k) * 1.5) ** 2)) AS d FROM cb x JOIN ca y USING (comparison_id) GROUP BY x.comparison_id, x.i, x.j, x.k)
-SELECT comparison_id, count(*) FILTER (d <= 1.2) / count(*) AS value FROM (SELECT * FROM da UNION ALL SELECT * FROM db) GROUP BY 1""")
+def _surface_sql(step: tuple[float, float, float], tolerance: float) -> str:
+    """The Dice of border voxels within a tolerance; steps of the axes in reverse, as the metric takes them."""
+    d = " + ".join(f"((x.{n} - y.{n}) * {s}) ** 2" for n, s in zip("ijk", step[::-1]))
+    near = lambda x, y: f"SELECT x.comparison_id, min(sqrt({d})) AS d FROM {x} x JOIN {y} y USING (comparison_id) GROUP BY x.comparison_id, x.i, x.j, x.k"
+    return VOXELS_SQL + f""", ca AS ({_rim('a', K.CUBE)}), cb AS ({_rim('b', K.CUBE)}) SELECT comparison_id, count(*) FILTER (d <= {tolerance}) / count(*) AS value FROM ({near('ca', 'cb')} UNION ALL {near('cb', 'ca')}) GROUP BY 1"""
+
+
+def _path_sql(width: float, radius: int) -> str:
+    """Border voxels of slices along i that the widened border of the other mask misses, times a width."""
+    disc = [o for o in V.ball(float(radius)) if o[0] == 0]
+    return VOXELS_SQL + f""", ra AS ({_rim('a', _FLAT)}), rb AS ({_rim('b', _FLAT)}), wide AS ({_grown('rb', disc, False)}), e AS (SELECT DISTINCT comparison_id FROM c2)
+SELECT comparison_id, (SELECT count(*) FROM (SELECT * FROM ra EXCEPT SELECT * FROM wide) m WHERE m.comparison_id = e.comparison_id) * {width}::DOUBLE AS value FROM e"""
+
+
+@query(_surface_sql(_STEP, 1.2))
 def voxel_surface_dsc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At unequal spacings, which the axes take in reverse."""
     m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, tolerance=1.2)
     return m.filter("metric = 'surface_dsc'").select("comparison_id", "value")
 
 
-@query(VOXELS_SQL + f""", ra AS ({_rim('a', _FLAT)}), rb AS ({_rim('b', _FLAT)}), wide AS ({_grown('rb', [o for o in V.ball(1.0) if o[0] == 0], False)}), e AS (SELECT DISTINCT comparison_id FROM c2)
-SELECT comparison_id, (SELECT count(*) FROM (SELECT * FROM ra EXCEPT SELECT * FROM wide) m WHERE m.comparison_id = e.comparison_id) * 1.25::DOUBLE AS value FROM e""")
+@query(_path_sql(1.25, 1))
 def voxel_apl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At unequal spacings: the threshold and the path in means of the first two."""
     m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, threshold=1.0)
@@ -113,7 +123,7 @@ def geometry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", V.same_geometry(rows, "a", "b").alias("same"))
 
 
-@query()
+@query("SELECT c_custkey AS comparison_id, (c_custkey % 5)::INT AS k, CASE c_custkey % 3 WHEN 0 THEN 99 - 9 + 14 + 3 WHEN 1 THEN 99 - 9 + 14 + 1 ELSE 99 - 9 + 13 END::BIGINT AS n FROM customer")
 def contour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contours become masks: a polygon with a hole, a line and a point for each patient."""
     from .sources import tables as T
@@ -198,3 +208,9 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"operations": [{"type": "expand", "structures": ["x"], "parameters": {"margin_mm": %d}}, {"type": "smooth", "parameters": {}}]}', F.col("p_size").cast("int"))
     steps = P.describe(T.table(spark, sf_dir, "part").select("p_partkey", text.alias("definition")))
     return steps.select("p_partkey", "step", F.col("operation.type").alias("kind"), F.try_element_at("operation.parameters", F.lit("margin_mm")).alias("margin"))
+
+
+# queries of queries.py whose SQL is here
+ORACLE_SQL["voxel_smooth"] = ORACLE_SQL["voxel_closed_opened"]
+ORACLE_SQL["voxel_components"] = ORACLE_SQL["voxel_largest_component"]
+ORACLE_SQL["voxel_surface_metrics"] = f"SELECT *, 'surface_dsc' AS metric FROM ({_surface_sql((1, 1, 1), 3.0)}) UNION ALL SELECT *, 'apl' FROM ({_path_sql(1, 3)})"
