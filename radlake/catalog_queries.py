@@ -258,14 +258,14 @@ def reid_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.reidentified(sets, catalog).drop("deid_series_uid")
 
 
-@query(cte("instance") + """SELECT study_uid, list(CASE WHEN part % 2 = 0 THEN 'orig.' || sop_uid ELSE 'new.' || sop_uid END ORDER BY sop_uid, path, part, size) AS refs FROM instance GROUP BY 1""")
+@query(cte("instance") + """SELECT study_uid, string_agg(CASE WHEN part % 2 = 0 THEN 'orig.' || sop_uid ELSE 'new.' || sop_uid END, ',' ORDER BY sop_uid, path, part, size) AS refs FROM instance GROUP BY 1""")
 def reid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Referenced UIDs inside sets go back to the originals; what is not mapped passes through."""
     i = T.instances(spark, sf_dir).withColumn("uid", F.concat(F.lit("new."), F.col("sop_uid"), F.lit("/"), F.col("part").cast("string")))
     sets = i.groupBy("study_uid").agg(F.array_sort(F.collect_list(F.struct("sop_uid", "path", "part", "size", "uid"))).alias("r")).select("study_uid", F.col("r.uid").alias("refs"))
     mapping = i.filter("part % 2 = 0").select(F.col("uid").alias("uid_from"), F.concat(F.lit("orig."), F.col("sop_uid")).alias("uid_to"))
     out = D.remap_references(sets, mapping, "study_uid", "refs")
-    return out.withColumn("refs", F.transform("refs", lambda u: F.split_part(u, F.lit("/"), F.lit(1))))
+    return out.withColumn("refs", F.array_join(F.transform("refs", lambda u: F.split_part(u, F.lit("/"), F.lit(1))), ","))
 
 
 def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,11 +306,12 @@ def reid_vois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.voi_rows(sets)
 
 
-@query(_ROI + "SELECT rt_id, list({'number': number, 'frame_uid': CASE WHEN rt_id LIKE '%1' THEN 'old' ELSE 'F' || rt_id END} ORDER BY number) AS items FROM roi GROUP BY 1")
+@query(_ROI + "SELECT rt_id, string_agg(number || ':' || CASE WHEN rt_id LIKE '%1' THEN 'old' ELSE 'F' || rt_id END, ',' ORDER BY number) AS items FROM roi GROUP BY 1")
 def reid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _rois(spark, sf_dir).groupBy("rt_id").agg(F.array_sort(F.collect_list(F.struct("number", F.lit("old").alias("frame_uid")))).alias("items"))
     frame = F.when(~F.col("rt_id").endswith("1"), F.concat(F.lit("F"), "rt_id"))
-    return sets.select("rt_id", D.with_frame(F.col("items"), frame).alias("items"))
+    shown = F.transform(D.with_frame(F.col("items"), frame), lambda x: F.concat_ws(":", x["number"].cast("string"), x["frame_uid"]))
+    return sets.select("rt_id", F.array_join(shown, ",").alias("items"))
 
 
 # --- scalars ----------------------------------------------------------------------------------

@@ -43,11 +43,11 @@ def server_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.server_errors(configs, ["s0", "s1"], ["t0", "t1", "t2"])
 
 
-@query("SELECT p_partkey, list_filter([CASE WHEN p_size % 2 = 0 THEN 'PatientID' END, CASE WHEN p_size % 3 = 0 THEN 'StudyInstanceUID' END, 'SOPInstanceUID'], lambda x: x IS NOT NULL) AS missing FROM part")
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'PatientID' END, CASE WHEN p_size % 3 = 0 THEN 'StudyInstanceUID' END, 'SOPInstanceUID') AS missing FROM part")
 def missing_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     tags = F.create_map(F.lit("PatientID"), F.when(size % 2 > 0, "p"), F.lit("StudyInstanceUID"), F.when(size % 3 > 0, "s"), F.lit("SeriesInstanceUID"), F.lit(""))
-    return T.table(spark, sf_dir, "part").select("p_partkey", L.missing_tags(tags, L.REQUIRED).alias("missing"))
+    return T.table(spark, sf_dir, "part").select("p_partkey", F.array_join(L.missing_tags(tags, L.REQUIRED), ",").alias("missing"))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_type AS template, upper(p_name) AS label FROM part), e AS (SELECT p_type AS template, lower(p_name) AS l, 'additional' AS s FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT p_type, lower(p_name), 'property' FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT p_type, lower(p_name), 'structure' FROM part WHERE p_partkey % 7 = 0)
@@ -152,14 +152,15 @@ def export_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.export_details(asked, s, T.structure_imports(spark, sf_dir))
 
 
-@query(cte("series") + """SELECT series_uid, '***FIELD_MASKED***' AS patient_name, 'RULE_MATCHED' AS status, ['T' || (instance_count % 3), 'U'] AS templates, CASE WHEN instance_count > 1 THEN 'PENDING' END AS transfer_status, CASE WHEN instance_count > 1 THEN 't' || series_uid END AS task_id, NULL::VARCHAR AS error FROM series WHERE series_uid LIKE '1%'
+@query(cte("series") + """SELECT series_uid, '***FIELD_MASKED***' AS patient_name, 'RULE_MATCHED' AS status, 'T' || (instance_count % 3) || ',U' AS templates, CASE WHEN instance_count > 1 THEN 'PENDING' END AS transfer_status, CASE WHEN instance_count > 1 THEN 't' || series_uid END AS task_id, NULL::VARCHAR AS error FROM series WHERE series_uid LIKE '1%'
 UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL, NULL, 'Series not found'""")
 def selection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.series(spark, sf_dir)
     asked = s.filter("series_uid LIKE '1%'").select("series_uid").union(spark.createDataFrame([("unknown",)], "series_uid string"))
     templates = s.select("series_uid", F.explode(F.array(F.concat(F.lit("T"), (F.col("instance_count") % 3).cast("string")), F.lit("U"))).alias("template_name"))
     exports = s.filter("instance_count > 1").select("series_uid", F.lit("PENDING").alias("transfer_status"), F.concat(F.lit("t"), "series_uid").alias("task_id"))
-    return L.selection_status(asked, s.select("series_uid", F.lit("name").alias("patient_name"), F.lit("RULE_MATCHED").alias("status")), templates, exports)
+    out = L.selection_status(asked, s.select("series_uid", F.lit("name").alias("patient_name"), F.lit("RULE_MATCHED").alias("status")), templates, exports)
+    return out.withColumn("templates", F.array_join("templates", ","))
 
 
 @query("SELECT max(ts)::VARCHAR AS last_run, '2024-05-01 11:30:00' AS never FROM events")
