@@ -34,10 +34,11 @@ def satisfied(operator: Column, tag: Column, value: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def fold(results: Column) -> Column:
+def fold(results: Column, ordered: bool = False) -> Column:
     """Left fold of an array of (order, id, result, combine) by its order: the combinator before an element joins it.
 
-    Empty is false; so is a join by an unknown combinator.
+    Empty is false; so is a join by an unknown combinator. ordered: the array is
+    sorted already.
     """
 
     def step(acc: Column, x: Column) -> Column:
@@ -45,7 +46,7 @@ def fold(results: Column) -> Column:
         return F.struct(joined.alias("value"), F.coalesce(x["combine"], F.lit("")).alias("combine"))
 
     start = F.struct(F.lit(False).alias("value"), F.lit(None).cast("string").alias("combine"))
-    return F.aggregate(F.array_sort(results), start, step)["value"]
+    return F.aggregate(results if ordered else F.array_sort(results), start, step)["value"]
 
 
 def _rule_sets(rules: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def _set_results() -> Column:
         tag = F.coalesce(F.try_element_at("tags", r["tag_name"]), F.try_element_at("tags", r["tag_id"]))
         return F.struct(r["rule_order"].alias("order"), r["rule_id"].alias("id"), satisfied(r["operator"], tag, r["value"]).alias("result"), r["combine"].alias("combine"))
 
-    return F.map_from_entries(F.transform("rule_sets", lambda s: F.struct(s["set_id"], fold(F.transform(s["rules"], result)))))
+    return F.map_from_entries(F.transform("rule_sets", lambda s: F.struct(s["set_id"], fold(F.transform(s["rules"], result), ordered=True))))
 
 
 def match(tags: DataFrame, rules: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def match(tags: DataFrame, rules: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
     def group(sets: Column, g: Column) -> Column:
         results = F.transform(g["sets"], lambda s: F.struct(s["order"], s["id"], F.coalesce(F.try_element_at(sets, s["id"]), F.lit(False)).alias("result"), s["combine"]))
-        counted = F.transform(F.array(results), lambda r: F.struct(fold(r).alias("fold"), F.size(F.filter(r, lambda s: s["result"])).cast("long").alias("n")))[0]
+        counted = F.transform(F.array(results), lambda r: F.struct(fold(r, ordered=True).alias("fold"), F.size(F.filter(r, lambda s: s["result"])).cast("long").alias("n")))[0]
         return F.struct(g["group_id"], g["template_id"], counted["fold"].alias("result"), counted["n"].alias("matched_sets"))
 
     # arrays of one element bind a value to a name, so that it is computed once for a series
