@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, extract, licenses, lm, minhash, mixing, packing, quality, suffix, tokens
+from . import ann, contamination, divergence, extract, licenses, lm, minhash, mining, mixing, packing, quality, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_extraction, op3_licenses, op4_minhash, op5_token_files,
         op6_quality, op7_neighbours, op8_suffix, op9_lm, op10_mixing,
+        op11_negatives, op12_decontamination, op13_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_minhash": minhash.ORACLE, "op6_quality": quality.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": minhash.ORACLE, "op6_quality": quality.ORACLE, "op10_mixing": mixing.ORACLE,
+    "op11_negatives": mining.ORACLE, "op12_decontamination": contamination.ORACLE, "op13_divergence": divergence.ORACLE,
+}
