@@ -12,6 +12,7 @@ from .operators import comparisons as CO
 from .operators import deid as D
 from .operators import lists as L
 from .operators import reports as R
+from .queries import SECRET, UIDS_SQL, digits_sql, keyed_sql
 from .registry import query
 from .sources import tables as T
 from .sources.tables import cte
@@ -184,63 +185,83 @@ def metrics_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- de-identification and back -------------------------------------------------------------
 
-_UID = f"'{D.UID_PREFIX}'"
-
-
-def _digits_sql(key: str, low: int, high: int, salt: str) -> str:
-    return f"(('0x' || substr(md5({key} || '{salt}'), 1, 12))::BIGINT % {high - low + 1} + {low})"
-
-
-_NEW_STUDY = f"{_UID} || " + " || ".join(f"'.' || lpad({_digits_sql('study_uid', 10 ** (n - 1), 10**n - 1, f'study{k}')}::VARCHAR, {n}, '0')" for k, n in enumerate((3, 2, 3)))
-_DEID = cte("study", "series", "instance") + f""", nu AS (SELECT DISTINCT study_uid, {_NEW_STUDY} AS deid_study_uid, DATE '2000-01-01' + {_digits_sql('study_uid', 0, 7668, 'date')}::INT AS day FROM study),
-ns AS (SELECT series_uid, study_uid, deid_study_uid || '.' || row_number() OVER (PARTITION BY study_uid ORDER BY series_uid) AS deid_series_uid, day FROM (SELECT DISTINCT series_uid, study_uid FROM series) JOIN nu USING (study_uid)) """
+_DEID = cte("study", "series", "instance") + f""", {UIDS_SQL}, nu AS (SELECT study_uid, deid_study_uid, DATE '2000-01-01' + {digits_sql('study_uid', 0, 7668, 'date')}::INT AS day FROM u),
+ns AS (SELECT series_uid, study_uid, deid_study_uid, deid_study_uid || '.' || row_number() OVER (PARTITION BY study_uid ORDER BY series_uid) AS deid_series_uid, day FROM (SELECT DISTINCT series_uid, study_uid FROM series) JOIN nu USING (study_uid)),
+nf AS (SELECT *, deid_series_uid || '.' || {digits_sql('series_uid', 1000, 9999, 'frame')} AS deid_frame_uid FROM ns),
+di AS (SELECT DISTINCT series_uid, sop_uid, deid_series_uid || '.' || {digits_sql('sop_uid', 10**6, 10**7 - 1, 'sop1')} || '.' || {digits_sql('sop_uid', 100, 999, 'sop2')} AS uid FROM instance JOIN ns USING (series_uid)),
+ni AS (SELECT series_uid, sop_uid, uid || CASE WHEN n > 1 THEN (n - 1)::VARCHAR ELSE '' END AS deid_sop_uid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY sop_uid) AS n FROM di)) """
 
 
 def _deid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_uid, study_uid, deid_study_uid, deid_series_uid, deid_frame_uid, day)"""
-    studies = D.study_uids(T.studies(spark, sf_dir))
+    studies = D.study_uids(T.studies(spark, sf_dir), SECRET)
     series = T.series(spark, sf_dir).select("series_uid", "study_uid")
     out = series.join(D.series_uids(series, studies), "series_uid").join(studies, "study_uid")
-    return out.withColumns({"deid_frame_uid": D.frame_uid(F.col("deid_series_uid"), F.col("series_uid")), "day": D.study_date(F.col("study_uid"))})
+    return out.withColumns({"deid_frame_uid": D.frame_uid(F.col("deid_series_uid"), F.col("series_uid"), SECRET), "day": D.study_date(F.col("study_uid"), SECRET)})
+
 
+def _deid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances with their new UIDs."""
+    rows = T.instances(spark, sf_dir).join(_deid(spark, sf_dir).drop("study_uid"), "series_uid")
+    return rows.join(D.sop_uids(rows, SECRET), ["deid_series_uid", "sop_uid"])
 
-@query(_DEID + f"""SELECT i.sop_uid, i.path, ns.deid_series_uid || '.' || {_digits_sql('i.sop_uid', 10**6, 10**7 - 1, 'sop1')} || '.' || {_digits_sql('i.sop_uid', 100, 999, 'sop2')} AS deid_sop_uid, ns.deid_series_uid || '.' || {_digits_sql('i.series_uid', 1000, 9999, 'frame')} AS deid_frame_uid FROM instance i JOIN ns USING (series_uid)""")
+
+@query(_DEID + "SELECT sop_uid, path, deid_sop_uid, deid_frame_uid FROM instance JOIN nf USING (series_uid) JOIN ni USING (series_uid, sop_uid)")
 def deid_sop_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.instances(spark, sf_dir).select("sop_uid", "path", "series_uid").join(_deid(spark, sf_dir), "series_uid")
-    return rows.select("sop_uid", "path", D.sop_uid(F.col("deid_series_uid"), F.col("sop_uid")).alias("deid_sop_uid"), "deid_frame_uid")
+    return _deid_images(spark, sf_dir).select("sop_uid", "path", "deid_sop_uid", "deid_frame_uid")
 
 
-@query(_DEID + f"""SELECT i.sop_uid, i.path, k.k AS key, CASE WHEN k.k IN ('Patient''s Name', '(0008,0050)', 'StudyDescription', 'Study ID') THEN '#' WHEN k.k = '(0020,000D)' THEN deid_study_uid WHEN k.k = 'Series Instance UID' THEN deid_series_uid WHEN k.k IN ('StudyDate', '(0010,0030)') THEN strftime(day, '%Y%m%d')
-WHEN k.k = 'PatientID' THEN 'P' || substr(sha256(s.patient_id), 1, 16) WHEN k.k = 'Modality' THEN i.modality ELSE '120000' END AS value FROM instance i JOIN ns USING (series_uid) JOIN nu ON nu.study_uid = i.study_uid JOIN study s ON s.study_uid = i.study_uid,
-(VALUES ('Patient''s Name'), ('(0008,0050)'), ('StudyDescription'), ('Study ID'), ('(0020,000D)'), ('Series Instance UID'), ('StudyDate'), ('(0010,0030)'), ('PatientID'), ('Modality'), ('Study Time')) k(k)""".replace("nu.study_uid = i.study_uid JOIN", "nu.study_uid = i.study_uid JOIN").replace("strftime(day,", "strftime(nu.day,").replace("THEN deid_study_uid", "THEN nu.deid_study_uid"))
+@query(_DEID + f"""SELECT i.sop_uid, i.path, k.k AS key, CASE WHEN k.k IN ('Patient''s Name', '(0008,0050)', 'StudyDescription', 'Study ID') THEN '#' WHEN k.k = '(0020,000D)' THEN nf.deid_study_uid WHEN k.k = 'Series Instance UID' THEN nf.deid_series_uid
+WHEN k.k = '(0020,0052)' THEN nf.deid_frame_uid WHEN k.k = 'SOP Instance UID' THEN ni.deid_sop_uid WHEN k.k IN ('StudyDate', '(0010,0030)') THEN strftime(nf.day, '%Y%m%d')
+WHEN k.k = 'PatientID' THEN 'P' || substr({keyed_sql('s.patient_id')}, 1, 16) WHEN k.k = 'Modality' THEN i.modality ELSE '120000' END AS value
+FROM instance i JOIN nf USING (series_uid) JOIN ni USING (series_uid, sop_uid) JOIN study s ON s.study_uid = i.study_uid,
+(VALUES ('Patient''s Name'), ('(0008,0050)'), ('StudyDescription'), ('Study ID'), ('(0020,000D)'), ('Series Instance UID'), ('(0020,0052)'), ('SOP Instance UID'), ('StudyDate'), ('(0010,0030)'), ('PatientID'), ('Modality'), ('Study Time')) k(k)""")
 def deid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tag maps, in all forms of keys, with private tags."""
-    rows = T.instances(spark, sf_dir).join(_deid(spark, sf_dir).drop("study_uid"), "series_uid").join(T.studies(spark, sf_dir).select("study_uid", "patient_id", "accession", "study_description"), "study_uid")
+    rows = _deid_images(spark, sf_dir).join(T.studies(spark, sf_dir).select("study_uid", "patient_id", "accession", "study_description"), "study_uid")
     pairs = {
         "Patient's Name": F.col("patient_id"), "(0008,0050)": F.col("accession"), "StudyDescription": F.col("study_description"), "Study ID": F.col("study_uid"), "(0020,000D)": F.col("study_uid"),
-        "Series Instance UID": F.col("series_uid"), "StudyDate": F.lit("19960102"), "(0010,0030)": F.lit("19500607"), "PatientID": F.col("patient_id"), "Modality": F.col("modality"), "Study Time": F.lit("120000"),
-        "(0009,0010)": F.lit("private"), "Private Creator": F.lit("private"),
+        "Series Instance UID": F.col("series_uid"), "(0020,0052)": F.col("series_uid"), "SOP Instance UID": F.col("sop_uid"), "StudyDate": F.lit("19960102"), "(0010,0030)": F.lit("19500607"),
+        "PatientID": F.col("patient_id"), "Modality": F.col("modality"), "Study Time": F.lit("120000"), "(0009,0010)": F.lit("private"), "Private Creator": F.lit("private"),
     }
     tags = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
-    new = D.deidentified_tags(tags, F.col("deid_study_uid"), F.col("deid_series_uid"), F.col("deid_frame_uid"), F.col("sop_uid"), D.pseudonym(F.col("patient_id")), F.col("day"))
+    new = D.deidentified_tags(tags, F.col("deid_study_uid"), F.col("deid_series_uid"), F.col("deid_frame_uid"), F.col("deid_sop_uid"), D.pseudonym(F.col("patient_id"), SECRET), F.col("day"))
     return rows.select("sop_uid", "path", F.explode(new).alias("key", "value"))
 
 
-@query(_DEID + f"""SELECT s.series_uid, CASE WHEN d THEN ns.deid_series_uid END AS deid_series_uid, CASE WHEN d THEN ns.deid_series_uid || '.' || {_digits_sql('s.series_uid', 1000, 9999, 'frame')} END AS deid_frame_uid, CASE WHEN d THEN day END::VARCHAR AS deid_series_date,
-CASE WHEN d THEN 'DEIDENTIFIED_SUCCESSFULLY' ELSE 'RULE_MATCHED' END AS status, CASE WHEN d THEN 'PENDING' WHEN s.instance_count = 1 THEN 'FAILED' END AS transfer_status
-FROM (SELECT *, series_description LIKE '%1' AS d FROM series) s JOIN ns USING (series_uid)""")
-def deid_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series table with its exports after some series are done."""
+def _written(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables after the series whose description ends with 1 are de-identified."""
     none = lambda t: F.lit(None).cast(t)
     series = T.series(spark, sf_dir).withColumns({"deid_series_uid": none("string"), "deid_frame_uid": none("string"), "deid_series_date": none("date"), "status": F.lit("RULE_MATCHED")})
     studies = T.studies(spark, sf_dir).withColumns({"deid_study_uid": none("string"), "deid_study_date": none("date")})
     instances = T.instances(spark, sf_dir).withColumn("deid_sop_uid", none("string"))
     exports = T.series(spark, sf_dir).filter("instance_count = 1").select("series_uid", F.lit("FAILED").alias("transfer_status"))
-    done = _deid(spark, sf_dir).join(T.series(spark, sf_dir).filter("series_description LIKE '%1'").select("series_uid"), "series_uid").withColumn("archive", F.concat("series_uid", F.lit(".zip")))
-    out = D.write_back(series, studies, instances, exports, done)
+    chosen = T.series(spark, sf_dir).filter("series_description LIKE '%1'").select("series_uid", F.concat("series_uid", F.lit(".zip")).alias("archive"))
+    return D.deidentify(series, studies, instances, exports, chosen, SECRET)
+
+
+@query(_DEID + """SELECT s.series_uid, CASE WHEN d THEN nf.deid_series_uid END AS deid_series_uid, CASE WHEN d THEN deid_frame_uid END AS deid_frame_uid, CASE WHEN d THEN day END::VARCHAR AS deid_series_date,
+CASE WHEN d THEN 'DEIDENTIFIED_SUCCESSFULLY' ELSE 'RULE_MATCHED' END AS status, CASE WHEN d THEN 'PENDING' WHEN s.instance_count = 1 THEN 'FAILED' END AS transfer_status
+FROM (SELECT *, series_description LIKE '%1' AS d FROM series) s JOIN nf USING (series_uid)""")
+def deid_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series table with its exports after some series are done."""
+    out = _written(spark, sf_dir)
     return out["series"].join(out["exports"].select("series_uid", "transfer_status"), "series_uid", "left").select("series_uid", "deid_series_uid", "deid_frame_uid", F.col("deid_series_date").cast("string").alias("deid_series_date"), "status", "transfer_status")
 
 
+_DONE = "done AS (SELECT series_uid, study_uid FROM series WHERE series_description LIKE '%1')"
+
+
+@query(_DEID + f", {_DONE} SELECT s.study_uid, CASE WHEN d THEN deid_study_uid END AS deid_study_uid, CASE WHEN d THEN day END::VARCHAR AS deid_study_date FROM (SELECT *, study_uid IN (SELECT study_uid FROM done) AS d FROM study) s JOIN nu USING (study_uid)")
+def deid_write_back_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir)["studies"].select("study_uid", "deid_study_uid", F.col("deid_study_date").cast("string").alias("deid_study_date"))
+
+
+@query(_DEID + f", {_DONE} SELECT i.sop_uid, i.path, CASE WHEN series_uid IN (SELECT series_uid FROM done) THEN deid_sop_uid END AS deid_sop_uid FROM instance i JOIN ni USING (series_uid, sop_uid)")
+def deid_write_back_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir)["instances"].select("sop_uid", "path", "deid_sop_uid")
+
+
 @query(cte("study", "series") + "SELECT count(DISTINCT patient_id) AS patients, count(DISTINCT study_uid) AS studies, count(*) AS series, sum(instance_count)::BIGINT AS files FROM series JOIN study USING (study_uid) WHERE series_description LIKE '%1'")
 def deid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = T.series(spark, sf_dir).filter("series_description LIKE '%1'").join(T.studies(spark, sf_dir), "study_uid")

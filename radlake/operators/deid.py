@@ -1,4 +1,9 @@
-"""De-identification and its way back. Random parts come from hashes of keys, so reruns agree."""
+"""De-identification and its way back.
+
+What the studied application draws at random comes from HMACs of the identifiers
+under a secret key, which every function takes: reruns agree, and nobody without
+the key can try identifiers until one fits.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalar import digits
+from ..functions.scalar import digits, keyed
 from ..functions.tags import forms
 
 UID_PREFIX = "1.2.826.0.1.3680043.10.1561"
@@ -63,17 +68,57 @@ def deidentified_tags(tags: Column, study_uid: Column, series_uid: Column, frame
     return F.transform_values(masked_tags(tags), value)
 
 
-def frame_uid(deid_series_uid: Column, series_uid: Column) -> Column:
+def frame_uid(deid_series_uid: Column, series_uid: Column, secret: bytes) -> Column:
     """The frame of reference of a series: its new UID and four digits."""
-    return F.concat_ws(".", deid_series_uid, digits(series_uid, 1000, 9999, "frame").cast("string"))
+    return F.concat_ws(".", deid_series_uid, digits(series_uid, 1000, 9999, "frame", secret).cast("string"))
+
+
+def apart(drawn: DataFrame, key: str, within: list[str], length: Column, known: DataFrame | None = None) -> DataFrame:
+    """(within, key, uid): of keys that drew the same UID the first keeps it, the others get a number behind its last digits.
+
+    drawn: within, key, uid (one row per key), UIDs of a fixed length, so that a
+    longer one is nobody's draw. known: rows of UIDs given earlier, which stay;
+    new keys of the same digits are numbered behind them.
+    """
+    mine = [*within, key]
+    if known is None:
+        known = drawn.limit(0)
+    every = drawn.withColumn("_new", F.lit(True)).join(known.select(*mine, F.col("uid").alias("_given")), mine, "full")
+    every = every.withColumn("_base", F.coalesce(F.substring(F.col("_given"), F.lit(1), length), "uid"))
+    number = F.when(F.col("_given").isNotNull(), F.coalesce(F.nullif(F.substring(F.col("_given"), length + 1, F.lit(64)), F.lit("")).cast("int"), F.lit(0)))
+    same = W.partitionBy(*within, "_base")
+    every = every.withColumn("_top", F.max(number).over(same)).withColumn("_n", F.row_number().over(same.orderBy(F.col("_given").isNotNull(), key)) + F.coalesce("_top", F.lit(-1)))
+    uid = F.concat("_base", F.when(F.col("_n") > 0, F.col("_n").cast("string")).otherwise(""))
+    return every.filter("_new").select(*mine, F.coalesce("_given", uid).alias("uid"))
+
+
+def sop_uids(instances: DataFrame, secret: bytes, known: DataFrame | None = None) -> DataFrame:
+    """(deid_series_uid, sop_uid, deid_sop_uid): the series' new UID, seven digits and three; images of a series never share one.
+
+    instances: deid_series_uid, sop_uid, in any number of copies. known: earlier rows.
+    """
+    image = F.col("sop_uid")
+    uid = F.concat_ws(".", "deid_series_uid", digits(image, 10**6, 10**7 - 1, "sop1", secret).cast("string"), digits(image, 100, 999, "sop2", secret).cast("string"))
+    drawn = instances.select("deid_series_uid", "sop_uid").distinct().withColumn("uid", uid)
+    given = known.select("deid_series_uid", "sop_uid", F.col("deid_sop_uid").alias("uid")) if known is not None else None
+    return apart(drawn, "sop_uid", ["deid_series_uid"], F.length("deid_series_uid") + 12, given).select("deid_series_uid", "sop_uid", F.col("uid").alias("deid_sop_uid"))
+
 
+def deidentify(series: DataFrame, studies: DataFrame, instances: DataFrame, exports: DataFrame, chosen: DataFrame, secret: bytes) -> dict[str, DataFrame]:
+    """The four tables after the chosen series (series_uid, archive) are de-identified, in one step.
 
-def sop_uid(deid_series_uid: Column, sop_uid: Column) -> Column:
-    """An image: its series' new UID, seven digits and three, from a hash of its own."""
-    return F.concat_ws(".", deid_series_uid, digits(sop_uid, 10**6, 10**7 - 1, "sop1").cast("string"), digits(sop_uid, 100, 999, "sop2").cast("string"))
+    Series get UIDs, date and status, studies UID and date, images their SOP UIDs,
+    exports a pending row. A study that has a new UID already keeps it.
+    """
+    known = studies.filter("deid_study_uid IS NOT NULL").select("study_uid", "deid_study_uid")
+    new = study_uids(studies, secret, known)
+    wanted = series.select("series_uid", "study_uid").distinct()
+    done = chosen.join(series_uids(wanted, new), "series_uid").join(wanted, "series_uid").join(new, "study_uid")
+    done = done.withColumns({"deid_frame_uid": frame_uid(F.col("deid_series_uid"), F.col("series_uid"), secret), "day": study_date(F.col("study_uid"), secret)})
+    return write_back(series, studies, instances, exports, done, secret)
 
 
-def write_back(series: DataFrame, studies: DataFrame, instances: DataFrame, exports: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
+def write_back(series: DataFrame, studies: DataFrame, instances: DataFrame, exports: DataFrame, done: DataFrame, secret: bytes) -> dict[str, DataFrame]:
     """The four tables after de-identification; rows of series that are not done stay as they are.
 
     done: (series_uid, deid_series_uid, deid_study_uid, deid_frame_uid, study_uid,
@@ -88,8 +133,9 @@ def write_back(series: DataFrame, studies: DataFrame, instances: DataFrame, expo
     }).drop("_s", "_f", "_d")
     of_study = done.groupBy("study_uid").agg(F.max("deid_study_uid").alias("_s"), F.max("day").alias("_d"))
     new_studies = studies.join(of_study, "study_uid", "left").withColumns({"deid_study_uid": F.coalesce("_s", "deid_study_uid"), "deid_study_date": F.coalesce("_d", "deid_study_date")}).drop("_s", "_d")
-    of_image = done.select("series_uid", F.col("deid_series_uid").alias("_s"))
-    new_instances = instances.join(of_image, "series_uid", "left").withColumn("deid_sop_uid", F.when(F.col("_s").isNotNull(), sop_uid(F.col("_s"), F.col("sop_uid"))).otherwise(F.col("deid_sop_uid"))).drop("_s")
+    images = instances.join(done.select("series_uid", "deid_series_uid"), "series_uid", "left")
+    of_image = sop_uids(images.filter("deid_series_uid IS NOT NULL"), secret).select("deid_series_uid", "sop_uid", F.col("deid_sop_uid").alias("_i"))
+    new_instances = images.join(of_image, ["deid_series_uid", "sop_uid"], "left").withColumn("deid_sop_uid", F.coalesce("_i", "deid_sop_uid")).drop("_i").select(*instances.columns)
     pending = done.select("series_uid", "archive", F.lit("PENDING").alias("transfer_status"))
     new_exports = exports.join(pending.select("series_uid"), "series_uid", "left_anti").unionByName(pending, allowMissingColumns=True)
     return {"series": new_series, "studies": new_studies, "instances": new_instances, "exports": new_exports}
@@ -173,10 +219,18 @@ def voi_rows(sets: DataFrame) -> DataFrame:
     return sets.select("rt_id", F.explode("rois").alias("r")).select("rt_id", F.col("r.name").alias("volume_name")).filter(F.coalesce("volume_name", F.lit("")) != "")
 
 
-def study_uids(studies: DataFrame, salt: str = "study") -> DataFrame:
-    """(study_uid, deid_study_uid): three groups of digits behind the prefix."""
-    parts = [F.lit(UID_PREFIX)] + [F.lpad(digits(F.col("study_uid"), 10 ** (n - 1), 10**n - 1, f"{salt}{k}").cast("string"), n, "0") for k, n in enumerate((3, 2, 3))]
-    return studies.select("study_uid").distinct().select("study_uid", F.concat_ws(".", *parts).alias("deid_study_uid"))
+def study_uids(studies: DataFrame, secret: bytes, known: DataFrame | None = None, widths: tuple[int, ...] = (3, 2, 3)) -> DataFrame:
+    """(study_uid, deid_study_uid): groups of digits behind the prefix, of the given widths; no two studies share one.
+
+    Studies that draw the same digits are told apart by a number behind the last
+    group, in the order of their UIDs. known: (study_uid, deid_study_uid) given
+    before, which stay.
+    """
+    study = F.col("study_uid")
+    parts = [F.lit(UID_PREFIX)] + [digits(study, 10 ** (n - 1), 10**n - 1, f"study{k}", secret).cast("string") for k, n in enumerate(widths)]
+    drawn = studies.select("study_uid").distinct().withColumn("uid", F.concat_ws(".", *parts))
+    given = known.select("study_uid", F.col("deid_study_uid").alias("uid")) if known is not None else None
+    return apart(drawn, "study_uid", [], F.lit(len(UID_PREFIX) + len(widths) + sum(widths)), given).select("study_uid", F.col("uid").alias("deid_study_uid"))
 
 
 def series_uids(series: DataFrame, studies: DataFrame) -> DataFrame:
@@ -185,12 +239,12 @@ def series_uids(series: DataFrame, studies: DataFrame) -> DataFrame:
     return series.select("series_uid", "study_uid").distinct().withColumn("_n", n).join(studies, "study_uid").select("series_uid", F.concat_ws(".", "deid_study_uid", F.col("_n").cast("string")).alias("deid_series_uid"))
 
 
-def study_date(study_uid: Column) -> Column:
+def study_date(study_uid: Column, secret: bytes) -> Column:
     """A day from 2000-01-01 to 2020-12-30, one for each study."""
-    return F.date_add(F.lit("2000-01-01").cast("date"), digits(study_uid, 0, 7668, "date").cast("int"))
+    return F.date_add(F.lit("2000-01-01").cast("date"), digits(study_uid, 0, 7668, "date", secret).cast("int"))
 
 
-def pseudonym(patient: Column, series: Column | None = None) -> Column:
+def pseudonym(patient: Column, secret: bytes, series: Column | None = None) -> Column:
     """A pseudonym per patient, or per series if one is given."""
     key = patient if series is None else F.concat_ws("/", patient, series)
-    return F.concat(F.lit("P"), F.substring(F.sha2(key, 256), 1, 16))
+    return F.concat(F.lit("P"), F.substring(keyed(key, secret), 1, 16))

@@ -508,21 +508,32 @@ def storage_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- de-identification -----------------------------------------------------------------
 
 
-def _digits_sql(key: str, low: int, high: int, salt: str) -> str:
-    return f"(('0x' || md5({key} || '{salt}')[1:12])::BIGINT % {high - low + 1} + {low})"
+#: Of the test tables only.
+SECRET = b"secret of the test tables"
+_PADS = [bytes(b ^ pad for b in SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
 
 
-UIDS_SQL = f"""u AS (SELECT DISTINCT study_uid, '{D.UID_PREFIX}.' || {_digits_sql('study_uid', 100, 999, 'study0')} || '.' || {_digits_sql('study_uid', 10, 99, 'study1')} || '.' || {_digits_sql('study_uid', 100, 999, 'study2')} AS deid_study_uid FROM study)"""
+def keyed_sql(text: str) -> str:
+    return f"sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode({text}))))"
+
+
+def digits_sql(key: str, low: int, high: int, salt: str) -> str:
+    return f"(('0x' || substr({keyed_sql(f"{key} || '{salt}'")}, 1, 12))::BIGINT % {high - low + 1} + {low})"
+
+
+#: Studies that draw the same digits are numbered behind them.
+UIDS_SQL = f"""drawn AS (SELECT DISTINCT study_uid, '{D.UID_PREFIX}.' || {digits_sql('study_uid', 100, 999, 'study0')} || '.' || {digits_sql('study_uid', 10, 99, 'study1')} || '.' || {digits_sql('study_uid', 100, 999, 'study2')} AS uid FROM study),
+u AS (SELECT study_uid, uid || CASE WHEN n > 1 THEN (n - 1)::VARCHAR ELSE '' END AS deid_study_uid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY study_uid) AS n FROM drawn))"""
 
 
 @query(cte("study", "series") + f", {UIDS_SQL} SELECT series_uid, deid_study_uid || '.' || row_number() OVER (PARTITION BY study_uid ORDER BY series_uid) AS deid_series_uid FROM (SELECT DISTINCT series_uid, study_uid FROM series) JOIN u USING (study_uid)")
 def deid_uid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.series_uids(T.series(spark, sf_dir), D.study_uids(T.studies(spark, sf_dir)))
+    return D.series_uids(T.series(spark, sf_dir), D.study_uids(T.studies(spark, sf_dir), SECRET))
 
 
-@query(cte("study") + f"SELECT study_uid, strftime(DATE '2000-01-01' + {_digits_sql('study_uid', 0, 7668, 'date')}::INT, '%Y-%m-%d') AS deid_date FROM study")
+@query(cte("study") + f"SELECT study_uid, strftime(DATE '2000-01-01' + {digits_sql('study_uid', 0, 7668, 'date')}::INT, '%Y-%m-%d') AS deid_date FROM study")
 def deid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.studies(spark, sf_dir).select("study_uid", D.study_date(F.col("study_uid")).cast("string").alias("deid_date"))
+    return T.studies(spark, sf_dir).select("study_uid", D.study_date(F.col("study_uid"), SECRET).cast("string").alias("deid_date"))
 
 
 @query()
@@ -534,14 +545,14 @@ def deid_masked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_uid", F.to_json(D.masked_tags(F.col("tags"))).alias("tags"))
 
 
-@query(cte("patient") + "SELECT patient_id, 'P' || sha256(patient_id)[1:16] AS pseudonym FROM patient")
+@query(cte("patient") + f"SELECT patient_id, 'P' || substr({keyed_sql('patient_id')}, 1, 16) AS pseudonym FROM patient")
 def deid_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.patients(spark, sf_dir).select("patient_id", D.pseudonym(F.col("patient_id")).alias("pseudonym"))
+    return T.patients(spark, sf_dir).select("patient_id", D.pseudonym(F.col("patient_id"), SECRET).alias("pseudonym"))
 
 
 @query(cte("study", "series") + f", {UIDS_SQL} SELECT series_uid, CASE WHEN length(study_uid) % 2 = 0 THEN deid_study_uid ELSE study_uid END AS study_uid FROM series JOIN u USING (study_uid)")
 def reid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = D.study_uids(T.studies(spark, sf_dir)).filter(F.length("study_uid") % 2 == 0).select(F.col("study_uid").alias("uid_from"), F.col("deid_study_uid").alias("uid_to"))
+    mapping = D.study_uids(T.studies(spark, sf_dir), SECRET).filter(F.length("study_uid") % 2 == 0).select(F.col("study_uid").alias("uid_from"), F.col("deid_study_uid").alias("uid_to"))
     return C.remap(T.series(spark, sf_dir).select("series_uid", "study_uid"), mapping, ["study_uid"])
 
 

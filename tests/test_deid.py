@@ -44,12 +44,78 @@ def test_every_form_of_a_key_is_masked(spark):
     assert (got["Modality"], got["(0018,0050)"], got["StudyTime"]) == ("CT", "2.5", "1200") and not {"(0009,1001)", "Private Creator", "[Vendor Tag]"} & set(got)
 
 
+KEY = b"a secret"
+
+
 def test_uids_have_their_shapes(spark):
     row = spark.range(50).select(F.col("id").cast("string").alias("study_uid"))
-    study = {r.deid_study_uid for r in D.study_uids(row).collect()}
+    study = {r.deid_study_uid for r in D.study_uids(row, KEY).collect()}
     assert len(study) == 50 and all(re.fullmatch(r"1\.2\.826\.0\.1\.3680043\.10\.1561\.\d{3}\.\d{2}\.\d{3}", u) for u in study)
-    got = row.select(D.frame_uid(F.lit("9.1"), F.col("study_uid")).alias("f"), D.sop_uid(F.lit("9.1"), F.col("study_uid")).alias("s"), D.study_date(F.col("study_uid")).alias("d")).collect()
-    assert all(re.fullmatch(r"9\.1\.\d{4}", r.f) and re.fullmatch(r"9\.1\.\d{7}\.\d{3}", r.s) and dt.date(2000, 1, 1) <= r.d <= dt.date(2020, 12, 30) for r in got)
+    got = row.select(D.frame_uid(F.lit("9.1"), F.col("study_uid"), KEY).alias("f"), D.study_date(F.col("study_uid"), KEY).alias("d")).collect()
+    assert all(re.fullmatch(r"9\.1\.\d{4}", r.f) and dt.date(2000, 1, 1) <= r.d <= dt.date(2020, 12, 30) for r in got)
+    images = row.select(F.lit("9.1").alias("deid_series_uid"), F.col("study_uid").alias("sop_uid"))
+    got = D.sop_uids(images.union(images), KEY).collect()
+    assert len(got) == len({r.deid_sop_uid for r in got}) == 50 and all(re.fullmatch(r"9\.1\.\d{7}\.\d{3}", r.deid_sop_uid) for r in got)
+
+
+def test_no_two_studies_share_a_uid(spark):
+    """Where 175 pairs drew the same digits."""
+    from radlake.sources import tables as T
+
+    studies = T.studies(spark, "/root/testdata/sf0.1")
+    n = studies.select("study_uid").distinct().count()
+    got = D.study_uids(studies, KEY)
+    assert got.count() == n == got.select("deid_study_uid").distinct().count()
+    assert got.filter(F.length("deid_study_uid") > len(D.UID_PREFIX) + 11).count() > 50  # drawn by another study as well
+    images = D.sop_uids(spark.range(20000).selectExpr("'9.1' AS deid_series_uid", "CAST(id AS STRING) AS sop_uid"), KEY)
+    assert images.select("deid_sop_uid").distinct().count() == 20000
+
+
+def test_given_uids_stay(spark):
+    """Few digits, so that most studies clash: whatever the order of arrival, UIDs differ and earlier ones stay."""
+    studies = spark.range(400).select(F.col("id").cast("string").alias("study_uid"))
+    known, seen = None, {}
+    for part in (0, 1, 2, 3):
+        rows = studies.filter(F.col("study_uid").cast("int") % 4 <= part) if part < 3 else studies.filter("int(study_uid) > 100")
+        got = {r.study_uid: r.deid_study_uid for r in D.study_uids(rows, KEY, known, widths=(1, 1)).collect()}
+        assert all(got[k] == v for k, v in seen.items() if k in got) and rows.count() == len(got)
+        seen |= got
+        assert len(set(seen.values())) == len(seen)
+        known = spark.createDataFrame(list(seen.items()), "study_uid string, deid_study_uid string")
+    assert len(seen) == 375
+
+
+def test_hashes_need_the_key(spark):
+    import hashlib
+    import hmac
+
+    row = spark.createDataFrame([("Müller",), ("7",)], "p string")
+    for key in (KEY, b"k" * 100):
+        want = {p: hmac.new(key, p.encode(), hashlib.sha256).hexdigest() for p in ("Müller", "7")}
+        assert {r.p: r.h for r in row.select("p", S.keyed(F.col("p"), key).alias("h")).collect()} == want
+    a, b = (row.select(D.pseudonym(F.col("p"), k)).collect() for k in (KEY, b"another"))
+    assert not {r[0] for r in a} & {r[0] for r in b}
+
+
+def test_one_step(spark):
+    """Chosen series, their studies and images change, others do not; repeated images stay equal, a second run changes nothing."""
+    series = spark.createDataFrame([("s1", "t1"), ("s2", "t1"), ("s3", "t2")], "series_uid string, study_uid string")
+    none = lambda df, **c: df.withColumns({k: F.lit(None).cast(t) for k, t in c.items()})
+    series = none(series, deid_series_uid="string", deid_frame_uid="string", deid_series_date="date", status="string")
+    studies = none(spark.createDataFrame([("t1",), ("t2",)], "study_uid string"), deid_study_uid="string", deid_study_date="date")
+    images = none(spark.createDataFrame([("i1", "s1", "a"), ("i1", "s1", "b"), ("i2", "s1", "c"), ("i3", "s3", "d")], "sop_uid string, series_uid string, path string"), deid_sop_uid="string")
+    exports = spark.createDataFrame([("s1", "FAILED"), ("s3", "SENT")], "series_uid string, transfer_status string")
+    chosen = spark.createDataFrame([("s1", "s1.zip")], "series_uid string, archive string")
+    out = D.deidentify(series, studies, images, exports, chosen, KEY)
+    s = {r.series_uid: r for r in out["series"].collect()}
+    t = {r.study_uid: r for r in out["studies"].collect()}
+    i = {r.path: r.deid_sop_uid for r in out["instances"].collect()}
+    assert s["s1"].status == "DEIDENTIFIED_SUCCESSFULLY" and s["s1"].deid_series_uid == f"{t['t1'].deid_study_uid}.1" and s["s2"].deid_series_uid is None and s["s3"].status is None
+    assert s["s1"].deid_series_date == t["t1"].deid_study_date and t["t2"].deid_study_uid is None and out["instances"].columns == images.columns
+    assert i["a"] == i["b"] != i["c"] and i["d"] is None and i["a"].startswith(s["s1"].deid_series_uid + ".")
+    assert {(r.series_uid, r.transfer_status) for r in out["exports"].collect()} == {("s1", "PENDING"), ("s3", "SENT")}
+    again = D.deidentify(series, out["studies"], images, exports, chosen, KEY)
+    assert {r.study_uid: r for r in again["studies"].collect()} == t
 
 
 def test_masked_tags_query(spark):
