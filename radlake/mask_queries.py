@@ -66,7 +66,8 @@ _B1 = V.ball(1.0)
 @query(VOXELS_SQL + f""", g AS ({_grown('a', _B1, False)}), cl AS (SELECT * FROM ({_shrunk('g', _B1)}) WHERE {_GRID}), er AS ({_shrunk('cl', _B1)}) {_grown('er', _B1)}""")
 def voxel_closed_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing, then opening."""
-    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.smooth)
+    a = _mask(spark, sf_dir, "A")
+    return P.run([{"type": "close_gaps", "parameters": {"gap_size_mm": 1.0}}, {"type": "remove_protrusions", "parameters": {"protrusion_size_mm": 1.0}}], {}, SIZE, start=a)
 
 
 @query(VOXELS_SQL + f"""SELECT comparison_id, 'all' AS way, i, j, k FROM ({_grown('a', V.element((2, 1, 0)))}) UNION ALL
@@ -144,15 +145,6 @@ def voxel_slice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.slice_lists(_cells(spark, sf_dir)).select("comparison_id", "k", "overlap_count")
 
 
-@query()
-def mask_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline in text form, with the executor's defaults."""
-    masks = {"reference": _mask(spark, sf_dir, "A"), "test": _mask(spark, sf_dir, "R")}
-    steps = P.parse_text("union | close_gaps(gap_mm=1.0) | crop_to_boundary(boundary_roi='reference') | keep_largest(n=2)")
-    steps[0]["structures"] = ["reference", "test"]
-    return P.run(steps, masks, SIZE, dialect="executor")
-
-
 _NEAR = ", ".join(str(o) for o in K.FACES if o != (0, 0, 0))
 
 
@@ -168,36 +160,114 @@ _RECURSIVE = VOXELS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query(_RECURSIVE + f", {_parts('a')}, best AS (SELECT comparison_id, label FROM (SELECT comparison_id, label, row_number() OVER (PARTITION BY comparison_id ORDER BY n DESC, label) AS q FROM (SELECT DISTINCT comparison_id, label, n FROM parts)) WHERE q = 1) SELECT comparison_id, i, j, k FROM parts JOIN best USING (comparison_id, label)")
 def voxel_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.keep_largest)
+    return P.run([{"type": "keep_largest"}], {}, SIZE, start=_mask(spark, sf_dir, "A"))
 
 
 @query(_RECURSIVE + f", {_parts('a')} SELECT comparison_id, i, j, k FROM parts WHERE n >= 5")
 def voxel_without_small_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components under 10 mm3 at 2.5 mm3 a voxel and a bit more go: five voxels are needed."""
-    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, lambda m: K.remove_small(m, 10.1, 2.5))
+    return P.run([{"type": "remove_small_components", "parameters": {"min_size_mm3": 10.1}}], {}, SIZE, (1.0, 1.0, 2.5), start=_mask(spark, sf_dir, "A"))
 
 
 @query(_RECURSIVE + f""", u AS (SELECT * FROM a UNION SELECT * FROM b), e AS (SELECT DISTINCT comparison_id FROM u), g AS (SELECT comparison_id, i, j, k FROM e, range(-1, 9) x(i), range(-1, 9) y(j), range(-1, 8) z(k)), f AS (SELECT * FROM g EXCEPT SELECT * FROM u),
 r AS (SELECT comparison_id, -1::BIGINT AS i, -1::BIGINT AS j, -1::BIGINT AS k FROM e UNION SELECT r.comparison_id, f.i, f.j, f.k FROM r, (VALUES {_NEAR}) o(x, y, z) JOIN f ON f.comparison_id = r.comparison_id AND f.i = r.i + x AND f.j = r.j + y AND f.k = r.k + z)
 SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k FROM (SELECT * FROM g EXCEPT SELECT * FROM r) WHERE {_GRID}""")
 def voxel_filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.apply_mask(V.combine(_cells(spark, sf_dir), "union"), SIZE, K.fill_holes)
+    return P.run([{"type": "fill_holes"}], {}, SIZE, start=V.combine(_cells(spark, sf_dir), "union"))
 
 
 @query(VOXELS_SQL + f"""SELECT comparison_id, 'gaps' AS way, i, j, k FROM (SELECT * FROM ({_shrunk('(' + _grown('a', _B1, False) + ')', _B1)}) WHERE {_GRID}) UNION ALL SELECT comparison_id, 'protrusions', i, j, k FROM ({_grown('(' + _shrunk('(SELECT * FROM a UNION SELECT * FROM b)', _B1) + ')', _B1)})""")
 def voxel_gaps_and_protrusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, both = _mask(spark, sf_dir, "A"), V.combine(_cells(spark, sf_dir), "union")
-    closed = P.run([{"type": "close_gaps", "structures": ["a"], "parameters": {"gap_mm": 1.0}}], {"a": a}, SIZE)
-    opened = P.run([{"type": "remove_protrusions", "structures": ["a"], "parameters": {"size_mm": 1.0}}], {"a": both}, SIZE)
+    closed = P.run([{"type": "close_gaps", "structures": ["a"], "parameters": {"gap_size_mm": 1.0}}], {"a": a}, SIZE)
+    opened = P.run([{"type": "remove_protrusions", "structures": ["a"], "parameters": {"protrusion_size_mm": 1.0}}], {"a": both}, SIZE)
     named = lambda df, n: df.select("comparison_id", F.lit(n).alias("way"), "i", "j", "k")
     return named(closed, "gaps").unionByName(named(opened, "protrusions"))
 
 
-@query(VOXELS_SQL + f"""SELECT comparison_id, i, j, k FROM (SELECT * FROM ({_grown('a', _B1)}) EXCEPT SELECT * FROM b)""")
+# --- pipelines; the masks are the lines returned (A), refused (R) and neither (N) ------------
+
+
+def _holes(source: str, name: str) -> str:
+    """CTEs up to ``name``: the source with its holes filled."""
+    return f"""e_{name} AS (SELECT DISTINCT comparison_id FROM {source}), g_{name} AS (SELECT comparison_id, i, j, k FROM e_{name}, range(-1, 9) x(i), range(-1, 9) y(j), range(-1, 8) z(k)), f_{name} AS (SELECT comparison_id, i, j, k FROM g_{name} EXCEPT SELECT comparison_id, i, j, k FROM {source}),
+r_{name} AS (SELECT comparison_id, -1::BIGINT AS i, -1::BIGINT AS j, -1::BIGINT AS k FROM e_{name} UNION SELECT r.comparison_id, f.i, f.j, f.k FROM r_{name} r, (VALUES {_NEAR}) o(x, y, z) JOIN f_{name} f ON f.comparison_id = r.comparison_id AND f.i = r.i + x AND f.j = r.j + y AND f.k = r.k + z),
+{name} AS (SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k FROM (SELECT * FROM g_{name} EXCEPT SELECT * FROM r_{name}) WHERE {_GRID})"""
+
+
+def _smoothed(source: str, name: str, offsets: list[tuple[int, int, int]]) -> str:
+    """CTEs up to ``name``: the source closed, then opened."""
+    return f"{name}1 AS ({_grown(source, offsets, False)}), {name}2 AS (SELECT * FROM ({_shrunk(name + '1', offsets)}) WHERE {_GRID}), {name}3 AS ({_shrunk(name + '2', offsets)}), {name} AS ({_grown(name + '3', offsets)})"
+
+
+_N_MASK = "n AS (SELECT DISTINCT l_suppkey AS comparison_id, (l_partkey % 8)::INT AS i, (l_orderkey % 8)::INT AS j, (l_linenumber - 1)::INT AS k FROM lineitem WHERE l_returnflag = 'N')"
+
+
+def _rois(spark: SparkSession, sf_dir: str, **names: str) -> dict[str, DataFrame]:
+    return {name: _mask(spark, sf_dir, flag) for name, flag in names.items()}
+
+
+@query(_RECURSIVE + f", m AS ({_grown('a', _B1)}), s AS (SELECT * FROM m EXCEPT SELECT * FROM b), {_holes('s', 'h')}, {_parts('h')} SELECT comparison_id, i, j, k FROM parts WHERE n >= 4")
+def mask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin, subtraction, holes and small components, handed on from step to step."""
+    steps = [
+        {"type": "expand", "structures": ["reference"], "parameters": {"margin_mm": 1.0}}, {"type": "subtract", "parameters": {"other_roi": "test"}},
+        {"type": "fill_holes"}, {"type": "remove_small_components", "parameters": {"min_size_mm3": 4}},
+    ]
+    return P.run(steps, _rois(spark, sf_dir, reference="A", test="R"), SIZE)
+
+
+_TEXT = "union(other_roi=test) | close_gaps(gap_size_mm=1.0) | crop_to_boundary(boundary_roi='body') | margin(margin_mm=-1.0, kernel_type=cross) | anisotropic_margin(margin_x_mm=1.0, margin_z_mm=2.0) | subtract(other_roi=test, margin_mm=1.0)"
+
+
+@query(VOXELS_SQL + f""", {_N_MASK}, u AS (SELECT * FROM a UNION SELECT * FROM b), c1 AS ({_grown('u', _B1, False)}), c3 AS (SELECT * FROM ({_shrunk('c1', _B1)}) WHERE {_GRID}), c4 AS (SELECT * FROM c3 INTERSECT (SELECT * FROM a UNION SELECT * FROM n)),
+c5 AS ({_shrunk('c4', V.element((1, 1, 1), 'cross'))}), c6 AS ({_grown('c5', V.element((1, 0, 2)))}) SELECT * FROM c6 EXCEPT ({_grown('b', _B1)})""")
+def mask_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline in text form, from a start mask."""
+    rois = _rois(spark, sf_dir, reference="A", test="R")
+    rois["body"] = _mask(spark, sf_dir, "A").union(_mask(spark, sf_dir, "N"))
+    return P.run(P.parse_text(_TEXT), rois, SIZE, start=rois["reference"])
+
+
+@query(VOXELS_SQL + f", s AS (SELECT * FROM a EXCEPT SELECT * FROM b) {_grown('s', _B1)}")
 def mask_pipeline_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored definition as it is executed: the margin is that of the current mask, hulls change nothing."""
-    text = '{"operations": [{"type": "expand", "structures": ["a"], "parameters": {"margin_mm": 1.0}}, {"type": "convex_hull"}, {"type": "subtract", "structures": ["b"]}]}'
-    return P.run(P.parse_json(text), {"a": _mask(spark, sf_dir, "A"), "b": _mask(spark, sf_dir, "R")}, SIZE, dialect="executor")
+    """A stored definition as it is executed: subtraction starts anew from its structures, its margin is that of the result."""
+    text = '{"operations": [{"type": "expand", "structures": ["b"], "parameters": {"margin_mm": 1.0}}, {"type": "subtract", "structures": ["a", "b"], "parameters": {"margin_mm": 1.0}}]}'
+    return P.run(P.parse_json(text), _rois(spark, sf_dir, a="A", b="R"), SIZE, dialect="executor")
+
+
+@query(VOXELS_SQL + _grown("a", V.element((3, 3, 2))))
+def mask_pipeline_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clinical target with 5 mm, which is more than one voxel and less than three."""
+    text = '{"description": "Expand CTV by 5mm to create PTV", "operations": [{"type": "expand", "structures": ["CTV"], "parameters": {"margin_mm": 5.0, "kernel_type": "ball"}}]}'
+    return P.run(P.parse_json(text), _rois(spark, sf_dir, CTV="A"), SIZE, (2.0, 2.0, 2.5), dialect="executor")
+
+
+@query(VOXELS_SQL + f", u AS (SELECT * FROM a UNION SELECT * FROM b), {_smoothed('u', 's', V.element((1, 1, 1)))} SELECT * FROM s")
+def mask_pipeline_bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left and right in one structure, smoothed."""
+    text = '{"description": "Combine left and right parotids into single structure", "operations": [{"type": "union", "structures": ["Parotid_L", "Parotid_R"]}, {"type": "smooth", "parameters": {"smoothing_mm": 2.0, "iterations": 1}}]}'
+    return P.run(P.parse_json(text), _rois(spark, sf_dir, Parotid_L="A", Parotid_R="R"), SIZE, (2.0, 2.0, 2.5), dialect="executor")
+
+
+_B113 = V.element((1, 2, 1))
+
+
+@query(_RECURSIVE + f", {_N_MASK}, u AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM n), {_smoothed('u', 's', _B113)}, {_smoothed('s', 't', _B113)}, {_holes('t', 'h')} SELECT * FROM h")
+def mask_pipeline_avoidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several steps: the margins of the first two are lost, as the union starts anew from the structures."""
+    text = """{"description": "Create complex avoidance structure with multiple operations", "operations": [
+      {"type": "expand", "structures": ["Lung_L"], "parameters": {"margin_mm": 3.0, "kernel_type": "ball"}}, {"type": "expand", "structures": ["Lung_R"], "parameters": {"margin_mm": 3.0, "kernel_type": "ball"}},
+      {"type": "union", "structures": ["Lung_L", "Lung_R", "Heart"]}, {"type": "smooth", "parameters": {"smoothing_mm": 2.5, "iterations": 2}}, {"type": "fill_holes"}]}"""
+    return P.run(P.parse_json(text), _rois(spark, sf_dir, Lung_L="A", Lung_R="R", Heart="N"), SIZE, (2.5, 1.5, 3.0), dialect="executor")
+
+
+@query(VOXELS_SQL + f"SELECT comparison_id, 'box' AS shape, i, j, k FROM ({_grown('a', V.element((1, 1, 1), 'box'))}) UNION ALL SELECT comparison_id, 'cross', i, j, k FROM ({_grown('a', V.element((1, 2, 1), 'cross'))})")
+def voxel_margin_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins by box and cross."""
+    a = _mask(spark, sf_dir, "A")
+    both = [V.margin(a, 1.0, SIZE, s, shape).select("comparison_id", F.lit(shape).alias("shape"), "i", "j", "k") for shape, s in (("box", (1.0, 1.0, 1.0)), ("cross", (1.0, 0.5, 1.0)))]
+    return both[0].unionByName(both[1])
 
 
 @query("SELECT p_partkey, step::INT AS step, kind, margin FROM (SELECT p_partkey, unnest([0, 1]) AS step, unnest(['expand', 'smooth']) AS kind, unnest([p_size::VARCHAR, NULL]) AS margin FROM part)")
@@ -210,6 +280,41 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("p_partkey", "step", F.col("operation.type").alias("kind"), F.try_element_at("operation.parameters", F.lit("margin_mm")).alias("margin"))
 
 
+# --- masks in a grid of a scanner -------------------------------------------------------
+
+SCAN = (128, 128, 128)
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mask for each return flag, in a grid of 128 voxels a side."""
+    from .sources import tables as T
+
+    line = T.table(spark, sf_dir, "lineitem")
+    return line.select(
+        F.col("l_returnflag").alias("comparison_id"), (F.col("l_partkey") * 37 % 128).cast("int").alias("i"), (F.col("l_orderkey") % 128).cast("int").alias("j"), ((F.col("l_suppkey") * 11 + F.col("l_linenumber")) % 128).cast("int").alias("k")
+    ).distinct()
+
+
+_SCAN_SQL = "WITH m AS (SELECT DISTINCT l_returnflag AS comparison_id, (l_partkey * 37 % 128)::INT AS i, (l_orderkey % 128)::INT AS j, ((l_suppkey * 11 + l_linenumber) % 128)::INT AS k FROM lineitem)"
+
+
+@query(_SCAN_SQL + f""", g AS ({_grown('m', V.element((3, 3, 2)), False)}), r AS (SELECT DISTINCT * FROM g WHERE i BETWEEN 0 AND 127 AND j BETWEEN 0 AND 127 AND k BETWEEN 0 AND 127)
+SELECT comparison_id, k::INT AS k, count(*) AS n, sum(i)::BIGINT AS si, sum(i * j)::BIGINT AS sij FROM r GROUP BY ALL""")
+def voxel_margin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A margin of 3 mm around large masks: voxels and sums of places by slice."""
+    grown = V.margin(_scan(spark, sf_dir), 3.0, SCAN, (1.0, 1.0, 2.0))
+    return grown.groupBy("comparison_id", "k").agg(F.count("*").alias("n"), F.sum("i").alias("si"), F.sum(F.col("i") * F.col("j")).alias("sij"))
+
+
+@query(_SCAN_SQL + """, d AS (SELECT a.i, a.j, a.k, min((a.i - r.i) ** 2 + ((a.j - r.j) * 1.5) ** 2 + ((a.k - r.k) * 2) ** 2) AS d FROM m a, m r WHERE a.comparison_id = 'A' AND r.comparison_id = 'R' GROUP BY ALL)
+SELECT k, count(*) AS n, round(sum(sqrt(d)), 6) AS total, round(max(sqrt(d)), 6) AS most FROM d GROUP BY k""")
+def voxel_distance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each voxel of one large mask to the nearest of another, by slice."""
+    m = _scan(spark, sf_dir)
+    a, r = (m.filter(F.col("comparison_id") == f).withColumn("comparison_id", F.lit("A-R")) for f in "AR")
+    return V.nearest(a, r, (1.0, 1.5, 2.0)).groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("total"), F.round(F.max("d"), 6).alias("most"))
+
+
 # queries of queries.py whose SQL is here
 ORACLE_SQL["voxel_smooth"] = ORACLE_SQL["voxel_closed_opened"]
 ORACLE_SQL["voxel_components"] = ORACLE_SQL["voxel_largest_component"]

@@ -12,8 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .voxels import CELL, ball
+from . import lines as L
+from .lines import CELL, envelope
+from .voxels import ball
 
 
 def dense(voxels: pd.DataFrame, size: tuple[int, int, int]) -> np.ndarray:
@@ -28,16 +31,11 @@ def sparse(mask: np.ndarray, comparison_id) -> pd.DataFrame:
 
 
 def distances(mask: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> np.ndarray:
-    """Euclidean distance of every voxel to the nearest one of the mask; exact, one axis after the other, in a few grids of memory."""
+    """Euclidean distance of every voxel to the nearest one of the mask; exact, the envelopes of one axis after the other."""
     d = np.where(mask, 0.0, np.inf)
     for axis, step in enumerate(spacing):
-        n = d.shape[axis]
-        lines = np.moveaxis(d, axis, 0)
-        best, place = np.full_like(lines, np.inf), np.arange(n).reshape(-1, 1, 1)
-        for k in range(n):
-            if np.isfinite(lines[k]).any():
-                np.minimum(best, lines[k] + (place - k) ** 2 * step**2, out=best)
-        d = np.moveaxis(best, 0, axis)
+        lines = np.ascontiguousarray(np.moveaxis(d, axis, 0))
+        d = np.moveaxis(envelope(lines.reshape(len(lines), -1), step).reshape(lines.shape), 0, axis)
     return np.sqrt(d)
 
 
@@ -273,16 +271,51 @@ def apply_mask(mask: DataFrame, size: tuple[int, int, int] | None, operation, ge
 
 
 def distance_maps(mask: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), signed: bool = True, geometry: DataFrame | None = None) -> DataFrame:
-    """(comparison_id, i, j, k, distance) of every voxel of each mask's grid."""
+    """(comparison_id, i, j, k, distance) of every voxel of each mask's grid: to the mask, or, signed, to its border voxels, negative inside.
+
+    By planes and bands of lines, so that no task holds a grid. geometry: as in
+    apply_mask.
+    """
+    rows = L.lines(mask)
+    grid = L.whole_grid(rows, size if geometry is None else geometry)
+    if geometry is not None:
+        spacing = geometry.select("comparison_id", *[F.col(a).cast("double").alias(b) for a, b in zip(("sx", "sy", "sz"), ("si", "sj", "sk"))])
+    named = lambda d, sign: d.select(*CELL, (F.col("d") * sign).alias("distance"))
+    if not signed:
+        return named(L.distances(grid, rows, spacing), 1.0)
+    border = L.joined(rows, L.morph(rows, [(False, FACES, False)]), "subtraction")
+    outside = L.distances(L.joined(grid, rows, "subtraction"), border, spacing)
+    return named(L.distances(rows, border, spacing), -1.0).union(named(outside, 1.0))
+
+
+def _chosen(parts: DataFrame, good: DataFrame) -> DataFrame:
+    left = parts.join(good.select("comparison_id", *L.PART), ["comparison_id", *L.PART], "left_semi")
+    return left.groupBy(*L.LINE).agg(F.bit_or("bits").alias("bits"))
+
+
+def largest_parts(rows: DataFrame, n: int = 1, full: bool = False) -> DataFrame:
+    """The n largest components of each mask as line rows; of equal ones the first."""
+    parts = L.components(rows, lambda m: labels(m, full), full)
+    rank = F.row_number().over(W.partitionBy("comparison_id").orderBy(F.col("n").desc(), "first"))
+    return _chosen(parts, L.sizes(parts).withColumn("rank", rank).filter(F.col("rank") <= n))
+
+
+def without_small_parts(rows: DataFrame, least_volume: float, voxel: float = 1.0, full: bool = False) -> DataFrame:
+    """Line rows without the components under a volume, in whole voxels upwards."""
+    parts = L.components(rows, lambda m: labels(m, full), full)
+    return _chosen(parts, L.sizes(parts).filter(F.col("n") >= int(np.ceil(least_volume / voxel))))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shape, step = _grid(group)
-        d = distance_map(dense(group, shape), step, signed)
-        i, j, k = (x.ravel().astype(np.int32) for x in np.indices(shape))
-        return pd.DataFrame({"comparison_id": group.comparison_id.iloc[0], "i": i, "j": j, "k": k, "distance": d.ravel()})
 
-    rows = _with_geometry(mask.select(*CELL), size or (0, 0, 0), spacing, geometry)
-    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int, distance double")
+def filled_parts(rows: DataFrame, size: tuple[int, int, int] | None = None, full: bool = False) -> DataFrame:
+    """Line rows with the background that no path leads out of; size is not needed, as holes lie in the box around a mask."""
+    low = F.expr("array_min(filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1))")
+    high = F.expr("array_max(filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1))")
+    ends = {"min_i": F.min("i"), "max_i": F.max("i"), "min_j": F.min("j"), "max_j": F.max("j"), "min_k": F.min(F.col("w") * 64 + low), "max_k": F.max(F.col("w") * 64 + high)}
+    box = rows.groupBy("comparison_id").agg(*[(v + (-1 if n.startswith("min") else 1)).alias(n) for n, v in ends.items()])
+    parts = L.components(L.joined(L.boxes(box), rows, "subtraction"), lambda m: labels(m, full), full)
+    outside = parts.join(box.select("comparison_id", "min_i", "min_j", "min_k"), "comparison_id").filter("i = min_i AND j = min_j AND low = min_k").select("comparison_id", *L.PART)
+    holes = parts.join(outside, ["comparison_id", *L.PART], "left_anti").select(*L.LINE, "bits")
+    return rows.select(*L.LINE, "bits").union(holes).groupBy(*L.LINE).agg(F.bit_or("bits").alias("bits"))
 
 
 def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), geometry: DataFrame | None = None, axis_mode: str = "reference", tolerance: float = 3.0, threshold: float = 3.0) -> DataFrame:

@@ -7,13 +7,12 @@ they are the unit of partitioning.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CELL = ["comparison_id", "i", "j", "k"]
+from . import lines as L
+from .lines import CELL
 
 
 def membership(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -65,17 +64,8 @@ def ball(margin: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), s
 
 
 def moved_by(mask: DataFrame, offsets: list[tuple[int, int, int]], grow: bool, size: tuple[int, int, int]) -> DataFrame:
-    """Dilation or erosion by the offsets of an element, in a grid of that size.
-
-    Each voxel is moved by every offset, a bounded number; the voxels reached
-    are distinct (dilation) or reached from all offsets (erosion).
-    """
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o)]) for o in offsets])).alias("o")
-    moved = mask.select("comparison_id", "i", "j", "k", each)
-    moved = moved.select("comparison_id", (F.col("i") + F.col("o.x")).alias("i"), (F.col("j") + F.col("o.y")).alias("j"), (F.col("k") + F.col("o.z")).alias("k"))
-    if grow:
-        return moved.filter(reduce(lambda p, q: p & q, [(F.col(n) >= 0) & (F.col(n) < s) for n, s in zip("ijk", size)])).distinct()
-    return moved.groupBy(*CELL).agg(F.count("*").alias("n")).filter(F.col("n") == len(offsets)).select(*CELL)
+    """Dilation or erosion by the offsets of an element, in a grid of that size; by lines, see lines.py."""
+    return L.voxels(L.morph(L.lines(mask), [(grow, offsets, True)], size))
 
 
 def margin(mask: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), shape: str = "ball") -> DataFrame:
@@ -85,25 +75,29 @@ def margin(mask: DataFrame, millimetres: float, size: tuple[int, int, int], spac
     return moved_by(mask, ball(millimetres, spacing, shape), millimetres > 0, size)
 
 
-def directed_margin(mask: DataFrame, millimetres: tuple[float, float, float], size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def directed_steps(millimetres: tuple[float, float, float], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> list[L.Step]:
     """A margin for each axis: one ellipsoid if none shrinks or none grows, else one axis after the other."""
     radii = tuple(-int(-abs(m) // s) for m, s in zip(millimetres, spacing))
     if all(m >= 0 for m in millimetres) or all(m <= 0 for m in millimetres):
-        return moved_by(mask, element(radii), all(m >= 0 for m in millimetres), size) if any(radii) else mask.select(*CELL)
-    for axis, (m, r) in enumerate(zip(millimetres, radii)):
-        if m:
-            mask = moved_by(mask, element(tuple(r if a == axis else 0 for a in range(3))), m > 0, size)
-    return mask
+        return [(all(m >= 0 for m in millimetres), element(radii), True)]
+    return [(m > 0, element(tuple(r if a == axis else 0 for a in range(3))), True) for axis, (m, r) in enumerate(zip(millimetres, radii)) if m]
+
+
+def directed_margin(mask: DataFrame, millimetres: tuple[float, float, float], size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """A margin for each axis, see directed_steps; one shuffle of lines."""
+    return L.voxels(L.morph(L.lines(mask), directed_steps(millimetres, spacing), size))
 
 
 def expand_and_crop(mask: DataFrame, boundary: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """A mask with its margin, inside the boundary."""
-    return margin(mask, millimetres, size, spacing).join(boundary.select(*CELL), CELL, "left_semi")
+    grown = L.morph(L.lines(mask), [(True, ball(millimetres, spacing), True)], size)
+    return L.voxels(L.joined(grown, L.lines(boundary), "intersection"))
 
 
 def subtract_with_margin(mask: DataFrame, other: DataFrame, millimetres: float, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """A mask without another one and its margin."""
-    return mask.select(*CELL).join(margin(other, millimetres, size, spacing), CELL, "left_anti")
+    grown = L.morph(L.lines(other), [(millimetres > 0, ball(millimetres, spacing), True)], size)
+    return L.voxels(L.joined(L.lines(mask), grown, "subtraction"))
 
 
 def resampled(mask: DataFrame, spacing: tuple[float, float, float], to: tuple[float, float, float], size: tuple[int, int, int]) -> DataFrame:
@@ -150,22 +144,9 @@ def mean_distances(cells: DataFrame, spacing: tuple[float, float, float] = (1.0,
     return every.select("comparison_id", u.alias("umdc"), o.alias("omdc"), ((u + o) / 2).alias("mdc"))
 
 
-def nearest(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(cell, d): distance of every voxel of x to the nearest one of y, in voxels; exact.
-
-    One axis at a time on rows by (comparison, line): squares to the nearest
-    voxel along i, then the least over j, then over k, within the extent of x.
-    """
-    box = x.groupBy("comparison_id").agg(*[f(n).alias(f"{m}_{n}") for n in "ij" for m, f in (("min", F.min), ("max", F.max))])
-    point = lambda n, d: F.collect_list(F.struct(F.col(n).alias("at"), d.alias("d"))).alias("p")
-    least = lambda v: F.array_min(F.transform("p", lambda p: (v - p["at"]) * (v - p["at"]) + p["d"]))
-    squares = y.withColumn("d", F.lit(0).cast("long"))
-    for n, line in (("i", ["j", "k"]), ("j", ["i", "k"])):
-        lines = squares.groupBy("comparison_id", *line).agg(point(n, F.col("d"))).join(box, "comparison_id")
-        reached = F.transform(F.sequence(f"min_{n}", f"max_{n}"), lambda v: F.struct(v.alias(n), least(v).alias("d")))
-        squares = lines.select("comparison_id", *line, F.explode(reached).alias("r")).select("comparison_id", *line, f"r.{n}", "r.d")
-    columns = squares.groupBy("comparison_id", "i", "j").agg(point("k", F.col("d")))
-    return x.join(columns, ["comparison_id", "i", "j"]).select(*CELL, F.sqrt(least(F.col("k"))).alias("d"))
+def nearest(x: DataFrame, y: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """(cell, d): distance of every voxel of x to the nearest one of y; exact, see lines.py."""
+    return L.distances(L.lines(x), L.lines(y), spacing)
 
 
 def voxel_distances(a: DataFrame, b: DataFrame) -> DataFrame:

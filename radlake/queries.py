@@ -11,6 +11,7 @@ from .operators import catalog as C
 from .operators import cfind as Q
 from .operators import deid as D
 from .operators import kernels as K
+from .operators import lines as LI
 from .operators import lists as L
 from .operators import reports as R
 from .operators import rules as RU
@@ -668,21 +669,15 @@ def voxel_surface_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.keep_largest)
+    return LI.voxels(K.largest_parts(LI.lines(_mask(spark, sf_dir, "A"))))
 
 
 @query()
 def voxel_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.apply_mask(_mask(spark, sf_dir, "A"), SIZE, K.smooth)
+    return P.run([{"type": "smooth", "structures": ["a"]}], {"a": _mask(spark, sf_dir, "A")}, SIZE)
 
 
-@query()
-def mask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = [
-        {"type": "expand", "structures": ["reference"], "parameters": {"margin_mm": 1.0}}, {"type": "subtract", "structures": ["test"]},
-        {"type": "fill_holes"}, {"type": "remove_small", "parameters": {"min_size_mm3": 4}},
-    ]
-    return P.run(steps, {"reference": _mask(spark, sf_dir, "A"), "test": _mask(spark, sf_dir, "R")}, SIZE)
+# mask pipelines: mask_queries.py
 
 
 # --- lists and states -------------------------------------------------------------------
