@@ -25,7 +25,7 @@ from .common import LOWER, texts
 
 #: Phrases and labels of the base (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Templates and their labels: notices in common use, single sentences and whole texts (fixed values).
+#: Templates and their labels: notices in common use, single sentences, and texts without their titles and copyright lines (fixed values); scan() takes others.
 TEMPLATES = [
     ("mit-notice", "Released under the MIT License."),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -36,29 +36,47 @@ TEMPLATES = [
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("mit-whole", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    ("mit-license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
      "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
      "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
      "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
      "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
      "DEALINGS IN THE SOFTWARE."),
-    ("bsd-whole", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
+    ("bsd-license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
      "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
      "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
-     "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
-    ("apache-whole", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+     "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+     "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF "
+     "SUCH DAMAGE."),
+    ("apache-long-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
      "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
      "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("gpl-whole", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+    ("gpl-long-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
      "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
      "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
-    ("isc-whole", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
-     "all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("isc-license", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+     "all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("lgpl-text", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+     "License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+     "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("boost-text", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+     "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("bsl-text", "The Licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the Licensed Work."),
+    ("unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+     "compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.8
 #: Words of a block, for each word of its template.
 RUN = 1.25
+#: Words that all templates together may have, as every task holds them.
+MOST = 500_000
+Templates = list[tuple[str, str]]
 #: Bytes that aren't in [^\x00-\x2F\x3A-\x60\x7B-\x7F] become spaces; A-Z become lower case before.
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in LOWER)
 
@@ -67,13 +85,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def templates() -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words_of(text.encode()))) for label, text in TEMPLATES]
+def templates(of: Templates = TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
+    return [(label, frozenset(words_of(text.encode()))) for label, text in of]
 
 
-def frequencies(docs: DataFrame) -> dict[bytes, int]:
+def template_rows(table: DataFrame) -> Templates:
+    """Templates of a table (label, text), of MOST words at the most; rows without a label or a word are none."""
+    size = table.agg(F.sum(F.size(F.split("text", r"[^\p{Alnum}]+")))).head()[0] or 0
+    if size > MOST:
+        raise ValueError(f"templates of {size} words, more than {MOST}: scan for some of them at a time")
+    return sorted((r.label, r.text) for r in table.select("label", "text").distinct().collect() if r.label is not None and words_of((r.text or "").encode()))
+
+
+def frequencies(docs: DataFrame, of: Templates = TEMPLATES) -> dict[bytes, int]:
     """How often the corpus holds each template token: one row per such token."""
-    wanted = frozenset().union(*(t for _, t in templates()))
+    wanted = frozenset().union(*(t for _, t in templates(of)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -92,8 +118,8 @@ def frequencies(docs: DataFrame) -> dict[bytes, int]:
 class Matcher:
     """Templates whose threshold a block meets."""
 
-    def __init__(self, frequency: dict[bytes, int], threshold: float = THRESHOLD):
-        found = templates()
+    def __init__(self, frequency: dict[bytes, int], threshold: float = THRESHOLD, of: Templates = TEMPLATES):
+        found = templates(of)
         tokens = sorted(frozenset().union(*(t for _, t in found)), key=lambda t: (frequency.get(t, 0), t))
         self.order = {t: k for k, t in enumerate(tokens)}
         self.sets = [(label, frozenset(self.order[t] for t in s), math.ceil(threshold * len(s) - 1e-9)) for label, s in found]
@@ -102,7 +128,7 @@ class Matcher:
             for place, token in enumerate(sorted(s)[: len(s) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, place))
         self.rare = frozenset(tokens[t] for t in self.prefix)
-        self.length = [math.ceil(RUN * len(words_of(text.encode()))) for _, text in TEMPLATES]
+        self.length = [math.ceil(RUN * len(words_of(text.encode()))) for _, text in of]
 
     def match(self, words: list[bytes]) -> list[tuple[str, float]]:
         block = sorted({self.order[w] for w in words if w in self.order})
@@ -124,7 +150,7 @@ class Matcher:
     def runs(self, words: list[bytes]) -> list[tuple[int, str, float]]:
         """(place, label, containment) of the best of each group of overlapping runs that match."""
         out = []
-        reach = max(self.length)
+        reach = max(self.length, default=0)
         near = [at for at, w in enumerate(words) if w in self.rare]
         first = 0
         for k, at in enumerate(near):
@@ -167,10 +193,13 @@ def scan_text(text: bytes, matcher: Matcher) -> tuple:
     joined = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for phrase, label in PHRASES.items():
-        key, at = b" " + phrase.encode() + b" ", -1
-        while (at := joined.find(key, at + 1)) >= 0:
-            places.append(joined.count(b" ", 0, at))
+        key, last, blanks = b" " + phrase.encode() + b" ", 0, 0
+        at = joined.find(key)
+        while at >= 0:
+            blanks += joined.count(b" ", last, at)  # from the last place on
+            places.append(blanks)
             base.add(label)
+            last, at = at, joined.find(key, at + 1)
     found = []
     if not matcher.rare.isdisjoint(words):
         found = matcher.runs(words)
@@ -180,15 +209,17 @@ def scan_text(text: bytes, matcher: Matcher) -> tuple:
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score), blocks
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, table: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks per row.
 
     blocks: number of the first word, template label and containment of every match. score:
     the best containment; 0.5 if only phrases are found, else 0. Null and empty
     texts have no words and no labels (empty strings); repeated rows give
     repeated results; an empty table gives no row; other columns are not read.
+    table: templates (label, text) in place of TEMPLATES.
     """
-    matcher = Matcher(frequencies(docs), threshold)
+    of = TEMPLATES if table is None else template_rows(table)
+    matcher = Matcher(frequencies(docs, of), threshold, of)
     block = pa.struct([("block", pa.int32()), ("label", pa.string()), ("containment", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")], ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(block))])
 
