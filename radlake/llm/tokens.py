@@ -224,8 +224,8 @@ def read_file(file, wanted: set[int] | None = None) -> Iterator[tuple[int | None
 def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None) -> DataFrame:
     """Encodes whole texts into files; returns (path, part, n_docs, n_tokens), saved.
 
-    Documents are range-partitioned by doc_id (null first) and sorted; each task
-    writes a file of its own name, and only files in the saved manifest count,
+    Documents are range-partitioned by doc_id (null first) and a hash of the text,
+    so that rows of one id or none are no single file, and sorted; each task writes a file of its own name, and only files in the saved manifest count,
     so a task that runs twice leaves no double.
     """
     path, folder = tokenizer or default_tokenizer(), scratch.uri("tokens")
@@ -249,7 +249,9 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None
             n_docs, n_tokens = write_file(out, (x for some in ([first], docs) for x in some))
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": pa.array([int(name[:8])], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "_hash"]
+    hashed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
+    ordered = hashed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return scratch.save(ordered.mapInArrow(write, "path string, part int, n_docs long, n_tokens long"), "manifest")
 
 
@@ -286,7 +288,7 @@ def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Encodes, writes and reads back whole documents: one row per document.
 
     Null text is empty (only the end id); null doc_id comes first; rows with the
-    same doc_id stay apart, ordered by text; an empty table gives no file and no
+    same doc_id stay apart, ordered by a hash of the text; an empty table gives no file and no
     row; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
