@@ -123,13 +123,18 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), content_of(F.col("text"))).mapInArrow(run, SCHEMA)
 
 
-def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
+def quality(docs: DataFrame, line_limit: int = LINE_LIMIT, spare_copies: bool = True) -> DataFrame:
     """doc_id, source, content (a hash of the text), the counts, n_left (words without removed lines), frequent_lines (hashes of the lines to remove from it), base_failed, kept.
 
     One row per row of docs. Documents are rows that differ in doc_id or text.
     Null text is empty and fails; a null source is a host of its own; rows with
     the same doc_id are told apart by their text, and equal rows get equal
     results; an empty table gives no row; other columns are not read.
+
+    spare_copies: a document that is only depleted by lines which more than
+    line_limit documents but at most line_limit different texts hold (so by copies
+    of itself) keeps these lines and is not rejected. False: such lines count as
+    all others, and every copy of a text that was copied that often goes.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(measured(docs), "measured")
@@ -148,6 +153,8 @@ def quality(docs: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_h")) & (F.col("content") == F.col("_c"))
     out = rows.drop("lines", "line_words").join(removed, same, "left")
     depleted = lambda n: (F.col("n_words") - n < LEAST_WORDS) | (100 * (F.col("n_words") - n) < LEAST_SHARE * F.col("n_words"))
+    if not spare_copies:
+        out = out.withColumns({"_some": F.col("_all"), "_fewer": F.col("_lines")})
     spared = depleted(F.col("_all")) & ~depleted(F.col("_some"))
     out = out.withColumn("_lost", F.when(spared, F.col("_some")).otherwise(F.col("_all"))).withColumn("_gone", F.when(spared, F.col("_fewer")).otherwise(F.col("_lines")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

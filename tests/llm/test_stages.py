@@ -160,3 +160,55 @@ def test_license_runs_are_exact():
             if most >= need:
                 want[label] = most / len(own)
         assert got == want
+
+
+def test_a_long_repetitive_text_is_linear():
+    import time
+
+    matcher = licenses.Matcher({})
+    took = []
+    for n in (50_000, 200_000):
+        began = time.process_time()
+        row = licenses.scan_text(b"MIT license " * n, matcher)
+        took.append(time.process_time() - began)
+        assert row[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert took[1] < 8 * took[0]  # 16 times if every place were counted from the start
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("house", "All rights stay with the house of Example"), ("none", " . "), (None, "x y"), ("house", "All rights stay with the house of Example")], "label string, text string")
+    docs = spark.createDataFrame([(1, "so all rights stay\nwith the house of example here"), (2, "Released under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, table=table).collect()}
+    assert got == {1: ("house", 1.0), 2: ("mit", 0.5)}
+    assert {r.labels for r in licenses.scan(docs, table=table.limit(0)).collect()} == {"", "mit"}
+
+
+def test_ids_that_repeat_are_several_files(spark):
+    rows = [(None, f"text {k} " * 40) for k in range(300)] + [(5, f"other {k} " * 40) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokens.write_tokens(docs, Scratch(spark, "hot"))
+        assert manifest.count() == 4 and max(r.n_docs for r in manifest.collect()) < 400
+        got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(manifest).collect()), key=lambda r: r[1])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r[0] for r in got] == [None] * 300 + [5] * 300 and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert sorted(r[3] for r in got) == sorted(brute.crc(brute.ids(t)) for _, t in rows)
+
+
+def test_copies_that_are_not_spared(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(k, f"{words('copy', 12)}\n{words('more', 14)}", "h") for k in range(60)] + [(100, words("own", 30), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = lambda **more: {r.doc_id for r in quality.quality(docs, **more).filter("kept").collect()}
+    assert kept() == {*range(60), 100} and kept(spare_copies=False) == {100}
+
+
+def test_stages_on_empty_tables_and_rows_without_ids(spark, docs, empty, no_id):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        out = stage(spark, no_id, "")
+        assert out.count() >= (0 if name == "quality" else 1), name
+        if name != "packing":
+            assert out.columns == no_id.columns
