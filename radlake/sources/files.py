@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import color, interpreted_type
 from ..registry import PARSERS, register_parser
@@ -25,14 +27,6 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def structures(documents: DataFrame) -> DataFrame:
-    """Structures of template documents in ``xml``: name, volume_type, color, one row each."""
-    get = lambda p: F.xpath("xml", F.lit(p))
-    names = get("//Structure/@Name")
-    every = F.arrays_zip(names.alias("name"), get("//Structure/Identification/VolumeType/text()").alias("volume_type"), get("//Structure/ColorAndStyle/text()").alias("color"))
-    return documents.select("*", F.posexplode(every).alias("position", "s")).select(*documents.columns, "position", "s.name", "s.volume_type", "s.color").drop("xml")
-
-
 def model_catalog(responses: DataFrame) -> DataFrame:
     """A catalog response in ``body`` to one row per structure; the model's other fields get the prefix model_."""
     schema = "array<struct<id:string,name:string,config:string,trainer_name:string,postprocess:string,modelmap:array<struct<map_id:string,mapid:string,map_tg263_primary_name:string,major_category:string,anatomic_group:string>>>>"
@@ -86,20 +80,65 @@ def write_files(rows: DataFrame, folder: str) -> int:
 # --- template documents -------------------------------------------------------------------
 
 
+#: What may stand before the first element: declarations, comments, a document type.
+_PROLOG = r"(?s)^\uFEFF?(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>)*<([A-Za-z_][\w.:-]*)"
+STRUCTURES = "array<struct<id:string,name:string,volume_type:string,color_string:string>>"
+TEMPLATE = f"struct<error:string,template_id:string,diagnosis:string,treatment_site:string,description:string,type:string,structures:{STRUCTURES}>"
+#: Attributes of the preview element and what stands for a missing one (fixed values).
+PREVIEW = {"template_id": ("ID", ""), "diagnosis": ("Diagnosis", ""), "treatment_site": ("TreatmentSite", ""), "description": ("Description", ""), "type": ("Type", "StructureTemplate")}
+
+
 def _root(xml: Column) -> Column:
-    """The name of the first element of a document."""
-    return F.regexp_extract(xml, r"<([A-Za-z_][\w.-]*)", 1)
+    """The name of the first element of a document; empty if there is none."""
+    return F.regexp_extract(xml, _PROLOG, 1)
+
+
+def template_of(xml: str | None) -> dict:
+    """Metadata and structures of one document; elements may lie at any depth."""
+    try:
+        root = ElementTree.fromstring((xml or "").lstrip("\ufeff").strip())
+    except ElementTree.ParseError:
+        return {"error": "invalid", "structures": []}
+    preview = root.find(".//Preview")
+    found = {k: preview.get(name, missing) if preview is not None else missing for k, (name, missing) in PREVIEW.items()}
+    text = lambda e: None if e is None else e.text
+    structures = [
+        {"id": e.get("ID", ""), "name": e.get("ID", "") or e.get("Name", ""), "volume_type": text(e.find(".//VolumeType")), "color_string": text(e.find(".//ColorAndStyle"))} for e in root.iterfind(".//Structure")
+    ]
+    return found | {"error": None if structures else "no_structures", "structures": structures}
+
+
+def templates(documents: DataFrame) -> DataFrame:
+    """Documents with ``template`` (TEMPLATE) in place of ``xml``."""
+    others = [c for c in documents.columns if c != "xml"]
+    schema = documents.select(*others).withColumn("template", F.lit(None).cast(TEMPLATE)).schema
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([template_of(x) for x in batch.column(len(others)).to_pylist()], kind.field("template").type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], found], [*others, "template"])
+
+    return documents.select(*others, F.col("xml").cast("string").alias("xml")).mapInArrow(run, schema)
+
+
+def structures(documents: DataFrame) -> DataFrame:
+    """Structures of template documents as they are stored: position from 0, id, name, volume_type, color_string. The name is the ID; without one, the Name."""
+    rows = templates(documents)
+    return rows.select(*[c for c in rows.columns if c != "template"], F.posexplode("template.structures").alias("position", "s")).select("*", "s.*").drop("s")
+
+
+def template_info(documents: DataFrame) -> DataFrame:
+    """Documents with their metadata, the vendor and the number of structures; documents without structures are none."""
+    rows = templates(documents).filter("template.error IS NULL")
+    others = [c for c in rows.columns if c != "template"]
+    return rows.select(*others, *[F.col(f"template.{k}").alias(k) for k in PREVIEW], F.lit("Varian Eclipse").alias("vendor"), F.size("template.structures").alias("total_structures"))
 
 
 def structures_of(documents: DataFrame) -> DataFrame:
-    """Documents with their structures: position from 0, id, name, type and color, the last two as they are stored; a structure without one has null."""
-    parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<Structure\s[^>]*/>|<Structure\s.*?</Structure>)"), F.lit(1))
-    at = lambda path: F.transform("_parts", lambda p: F.xpath_string(p, F.lit(f"/Structure/{path}")))
-    rows = documents.withColumn("_parts", parts).filter(F.size("_parts") > 0)
-    zipped = F.arrays_zip(at("@Name").alias("name"), at("@ID").alias("id"), at("Identification/VolumeType").alias("volume_type"), at("ColorAndStyle").alias("color"))
-    each = rows.select(*documents.columns, F.posexplode(zipped).alias("position", "s"))
-    none = lambda c: F.nullif(F.col(c), F.lit(""))
-    return each.select(*[c for c in documents.columns if c != "xml"], "position", none("s.id").alias("id"), "s.name", interpreted_type(F.col("s.volume_type")).alias("type"), color(none("s.color")).alias("color"))
+    """Structures with their type and colour by DICOM; those that are none are null."""
+    s = structures(documents).withColumns({"type": interpreted_type(F.col("volume_type")), "color": color(F.nullif("color_string", F.lit("")))})
+    return s.withColumn("id", F.nullif("id", F.lit("")))
 
 
 register_parser("StructureTemplate")(structures_of)
@@ -113,9 +152,12 @@ def parse_templates(documents: DataFrame) -> DataFrame:
 
 
 def template_errors(documents: DataFrame) -> DataFrame:
-    """Documents with an error: of an unknown kind, or without structures."""
-    error = F.when(~F.coalesce(_root(F.col("xml")).isin(list(PARSERS)), F.lit(False)), "unknown").when(F.size(F.xpath("xml", F.lit("//Structure/@Name"))) <= 0, "no_structures")
-    return documents.withColumn("error", error).filter("error IS NOT NULL")
+    """Documents with an error: not well-formed (invalid), of an unknown kind, or without structures."""
+    known = documents.withColumn("_known", F.coalesce(_root(F.col("xml")).isin(list(PARSERS)), F.lit(False)))
+    rows = templates(known)
+    error = F.when(F.col("template.error") == "invalid", "invalid").when(~F.col("_known"), "unknown").otherwise(F.col("template.error"))
+    return rows.withColumn("error", error).filter("error IS NOT NULL").drop("_known", "template")
+
 
 
 def seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

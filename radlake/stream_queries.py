@@ -92,23 +92,43 @@ def structure_set_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("sop_uid", "referenced_series_uid", "n_images", "r.number", "r.name", got("contours", "color").alias("color"), F.aggregate(got("contours", "points"), F.lit(0.0), lambda a, x: a + x).alias("total"), got("observations", "type").alias("type"))
 
 
-@query("SELECT p_partkey, k AS position, p_name || ' ' || k AS name, CASE WHEN k = 1 THEN 'PTV' WHEN k = 2 THEN 'EXTERNAL' END AS type, CASE WHEN k < 3 THEN '255\\0\\0' END AS color FROM part, (VALUES (0), (1), (2), (3)) t(k) WHERE p_partkey % 3 <> 2")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template document for each part: two kinds that have parsers and one that has none, behind comments; elements lie at several depths."""
+    root = F.element_at(F.array(*map(F.lit, ("StructureTemplate", "Protocol", "Other"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = F.col("p_name")
+    preview = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<Preview ID="T'), F.col("p_partkey").cast("string"), F.lit('" Diagnosis="C61" TreatmentSite="'), "p_brand", F.lit('" Type="Protocol"/>'))).otherwise("")
+    parts = [
+        F.concat(F.lit('<Structure Name="'), p, F.lit('"><Identification><VolumeType>ptv</VolumeType></Identification><ColorAndStyle>Red</ColorAndStyle></Structure>')),
+        F.concat(F.lit('<Structure ID="'), p, F.lit(' 1" Name="other"><Identification><Volume><VolumeType>Body</VolumeType></Volume></Identification><Look><ColorAndStyle>Segment - Cyan</ColorAndStyle></Look></Structure>')),
+        F.lit('<!-- <Structure ID="no"/> --><Group><Structure ID="" Name="in a group"><VolumeType>none</VolumeType></Structure></Group>'),
+    ]
+    xml = F.concat(F.lit("<?xml version='1.0'?>\n<!-- <Other> -->"), F.lit("<"), root, F.lit(">"), preview, F.lit("<Structures>"), *parts, F.lit("</Structures></"), root, F.lit(">"))
+    return T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))
+
+
+@query("""SELECT p_partkey, k AS position, CASE WHEN k = 1 THEN p_name || ' 1' END AS id, CASE k WHEN 0 THEN p_name WHEN 1 THEN p_name || ' 1' ELSE 'in a group' END AS name, CASE k WHEN 0 THEN 'ptv' WHEN 1 THEN 'Body' ELSE 'none' END AS volume_type,
+CASE WHEN k = 0 THEN 'PTV' WHEN k = 1 THEN 'EXTERNAL' END AS type, CASE WHEN k = 0 THEN '255\\0\\0' WHEN k = 1 THEN '0\\255\\255' END AS color FROM part, (VALUES (0), (1), (2)) t(k) WHERE p_partkey % 3 <> 2""")
 def xml_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template documents of two kinds through their registered parsers; a third kind has none, and is left out."""
-    root = F.element_at(F.array(*map(F.lit, ("StructureTemplate", "Protocol", "Other"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    kinds = ("", "<Identification><VolumeType>ptv</VolumeType></Identification>", "<Identification><VolumeType>Body</VolumeType></Identification>", "<Identification><VolumeType>none</VolumeType></Identification>")
-    parts = [F.concat(F.lit(f'<Structure ID="{k}" Name="'), "p_name", F.lit(f' {k}">{kind}' + ("<ColorAndStyle>Red</ColorAndStyle>" if k < 3 else "") + "</Structure>")) for k, kind in enumerate(kinds)]
-    xml = F.concat(F.lit("<"), root, F.lit("><Structures>"), *parts, F.lit("</Structures></"), root, F.lit(">"))
-    docs = T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))
-    got = files.parse_templates(docs)
-    return got.select("p_partkey", F.col("position").cast("int").alias("position"), "name", "type", "color")
+    got = files.parse_templates(_documents(spark, sf_dir))
+    return got.select("p_partkey", F.col("position").cast("int").alias("position"), "id", "name", "volume_type", "type", "color")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'T' || p_partkey ELSE '' END AS template_id, CASE WHEN p_partkey % 2 = 0 THEN 'C61' ELSE '' END AS diagnosis, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS treatment_site,
+'' AS description, CASE WHEN p_partkey % 2 = 0 THEN 'Protocol' ELSE 'StructureTemplate' END AS type, 'Varian Eclipse' AS vendor, 3 AS total_structures FROM part""")
+def xml_template_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the preview element of each document says."""
+    return files.template_info(_documents(spark, sf_dir))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 5 = 0")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'no_structures' ELSE 'invalid' END AS error FROM part WHERE p_partkey % 5 < 3")
 def xml_template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of an unknown kind or without structures."""
-    xml = F.when(F.col("p_partkey") % 5 > 0, '<Protocol><Structure Name="x"/></Protocol>').when(F.col("p_partkey") % 2 == 0, "<Protocol/>").otherwise('<Other><Structure Name="x"/></Other>')
-    return files.template_errors(T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))).select("p_partkey")
+    """Documents of an unknown kind, without structures or not well-formed."""
+    kinds = [F.concat(F.lit('<Other><Structure Name="'), "p_name", F.lit('"/></Other>')), F.concat(F.lit("<Protocol><!--"), "p_name", F.lit("--></Protocol>")), F.concat(F.lit("<Protocol><Structure>"), "p_name")]
+    good = F.concat(F.lit('<!-- x --><Protocol><Structure Name="'), "p_name", F.lit('"/></Protocol>'))
+    k = F.col("p_partkey") % 5
+    xml = F.when(k == 0, kinds[0]).when(k == 1, kinds[1]).when(k == 2, kinds[2]).otherwise(good)
+    return files.template_errors(T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))).select("p_partkey", "error")
 
 
 @query("SELECT p_partkey AS row, p_name AS modification_type FROM part")

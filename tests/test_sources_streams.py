@@ -97,7 +97,7 @@ def test_a_registered_parser(spark, monkeypatch):
     docs = spark.createDataFrame([("a", "<Mine><n>x</n></Mine>"), ("b", "<?xml version='1.0'?><Protocol><Structure ID='1' Name='H'/></Protocol>")], "f string, xml string")
     registry.register_parser("Mine")(lambda d: files.structures_of(d.withColumn("xml", F.lit("<X><Structure Name='m'/></X>"))))
     try:
-        assert {(r.f, r.name, r.type, r.color) for r in files.parse_templates(docs).collect()} == {("a", "m", None, None), ("b", "H", None, None)}
+        assert {(r.f, r.name, r.type, r.color) for r in files.parse_templates(docs).collect()} == {("a", "m", None, None), ("b", "1", None, None)}
     finally:
         del registry.PARSERS["Mine"]
 
@@ -124,7 +124,7 @@ def test_resuming_a_run(spark):
 def test_xml_templates_and_catalog(spark, tmp_path):
     xml = "<StructureTemplate><Structures><Structure ID='1' Name='Heart'><Identification><VolumeType>Organ</VolumeType></Identification><ColorAndStyle>red</ColorAndStyle></Structure></Structures></StructureTemplate>"
     got = files.structures(spark.createDataFrame([("f", xml)], "path string, xml string")).collect()
-    assert [(r.path, r.position, r.name, r.volume_type, r.color) for r in got] == [("f", 0, "Heart", "Organ", "red")]
+    assert [(r.path, r.position, r.id, r.name, r.volume_type, r.color_string) for r in got] == [("f", 0, "1", "1", "Organ", "red")]
     body = '[{"id": "1", "name": "m", "modelmap": [{"map_id": "7", "major_category": "x"}, {"map_id": "8"}]}]'
     rows = files.model_catalog(spark.createDataFrame([(body,)], "body string")).collect()
     assert [(r.map_id, r.model_name) for r in rows] == [("7", "m"), ("8", "m")]
@@ -132,6 +132,24 @@ def test_xml_templates_and_catalog(spark, tmp_path):
     assert files.log_search(spark, str(tmp_path), "error").collect()[0].value == "two ERROR"
 
 
+def test_templates_by_the_rules_of_xml(spark):
+    """Expected rows as the studied parser gives them: the ID is the name, elements lie anywhere below, comments are none."""
+    docs = {
+        "comment": "<!-- <Other> --><StructureTemplate><Structure ID='A' Name='B'/></StructureTemplate>",
+        "declared": "\ufeff<?xml version='1.0' encoding='UTF-8'?>\n<!DOCTYPE Protocol [<!ENTITY x 'y'>]>\n<Protocol><a><b><Structure Name='&x;1'><c><VolumeType>GTV</VolumeType></c><d><ColorAndStyle>RGB 1 2 3</ColorAndStyle></d></Structure></b></a></Protocol>",
+        "quotes": "<Protocol><Structure ID=\"a > b\" Name='/>'><VolumeType></VolumeType></Structure><Structure ID='second'/></Protocol>",
+        "cdata": "<Protocol><note><![CDATA[<Structure ID='no'/>]]></note><Structure Name='yes'/></Protocol>",
+        "broken": "<Protocol><Structure ID='x'></Protocol>", "none": "<Protocol/>", "other": "<Plan><Structure ID='x'/></Plan>", "empty": "", "null": None,
+    }
+    df = spark.createDataFrame(list(docs.items()), "f string, xml string")
+    got = {(r.f, r.position): (r.id, r.name, r.volume_type, r.type, r.color) for r in files.parse_templates(df).collect()}
+    assert got == {
+        ("comment", 0): ("A", "A", None, None, None), ("declared", 0): (None, "y1", "GTV", "GTV", "1\\2\\3"), ("quotes", 0): ("a > b", "a > b", None, None, None),
+        ("quotes", 1): ("second", "second", None, None, None), ("cdata", 0): (None, "yes", None, None, None),
+    }
+    assert {r.f: r.error for r in files.template_errors(df).collect()} == {"broken": "invalid", "none": "no_structures", "other": "unknown", "empty": "invalid", "null": "invalid"}
+
+
 def test_stream_completion_equals_islands(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ae"), F.col("event_type").alias("series_uid"))
     e.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
