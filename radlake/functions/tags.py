@@ -30,8 +30,30 @@ DICTIONARY = [
     (0x30060050, "ContourData", "DS"), (0x30060080, "RTROIObservationsSequence", "SQ"), (0x30060082, "ObservationNumber", "IS"), (0x30060084, "ReferencedROINumber", "IS"), (0x300600A4, "RTROIInterpretedType", "CS"),
     (0x300E0008, "ReviewerName", "PN"),
 ]
-BY_NUMBER = {number: (keyword, vr) for number, keyword, vr in DICTIONARY}
-NUMBERS = {keyword: number for number, keyword, _ in DICTIONARY}
+#: Further ones that rules name (fixed values).
+MORE = [
+    (0x00080005, "SpecificCharacterSet", "CS"), (0x00080008, "ImageType", "CS"), (0x00080012, "InstanceCreationDate", "DA"), (0x00080013, "InstanceCreationTime", "TM"),
+    (0x00080032, "AcquisitionTime", "TM"), (0x00080064, "ConversionType", "CS"), (0x00080068, "PresentationIntentType", "CS"), (0x00080070, "Manufacturer", "LO"), (0x00080100, "CodeValue", "SH"),
+    (0x00080102, "CodingSchemeDesignator", "SH"), (0x00080104, "CodeMeaning", "LO"), (0x00080201, "TimezoneOffsetFromUTC", "SH"), (0x00081032, "ProcedureCodeSequence", "SQ"),
+    (0x00081080, "AdmittingDiagnosesDescription", "LO"), (0x00081090, "ManufacturerModelName", "LO"), (0x00081111, "ReferencedPerformedProcedureStepSequence", "SQ"),
+    (0x00081140, "ReferencedImageSequence", "SQ"), (0x00082111, "DerivationDescription", "ST"), (0x00101020, "PatientSize", "DS"), (0x00101030, "PatientWeight", "DS"), (0x00102160, "EthnicGroup", "SH"),
+    (0x001021C0, "PregnancyStatus", "US"), (0x00180010, "ContrastBolusAgent", "LO"), (0x00180020, "ScanningSequence", "CS"), (0x00180021, "SequenceVariant", "CS"), (0x00180022, "ScanOptions", "CS"),
+    (0x00180023, "MRAcquisitionType", "CS"), (0x00180024, "SequenceName", "SH"), (0x00180060, "KVP", "DS"), (0x00180080, "RepetitionTime", "DS"), (0x00180081, "EchoTime", "DS"),
+    (0x00180082, "InversionTime", "DS"), (0x00180083, "NumberOfAverages", "DS"), (0x00180084, "ImagingFrequency", "DS"), (0x00180086, "EchoNumbers", "IS"), (0x00180087, "MagneticFieldStrength", "DS"),
+    (0x00180088, "SpacingBetweenSlices", "DS"), (0x00180090, "DataCollectionDiameter", "DS"), (0x00180091, "EchoTrainLength", "IS"), (0x00181020, "SoftwareVersions", "LO"),
+    (0x00181100, "ReconstructionDiameter", "DS"), (0x00181110, "DistanceSourceToDetector", "DS"), (0x00181111, "DistanceSourceToPatient", "DS"), (0x00181120, "GantryDetectorTilt", "DS"),
+    (0x00181130, "TableHeight", "DS"), (0x00181140, "RotationDirection", "CS"), (0x00181150, "ExposureTime", "IS"), (0x00181151, "XRayTubeCurrent", "IS"), (0x00181152, "Exposure", "IS"),
+    (0x00181160, "FilterType", "SH"), (0x00181170, "GeneratorPower", "IS"), (0x00181190, "FocalSpots", "DS"), (0x00181200, "DateOfLastCalibration", "DA"), (0x00181210, "ConvolutionKernel", "SH"),
+    (0x00181314, "FlipAngle", "DS"), (0x00185100, "PatientPosition", "CS"), (0x00200012, "AcquisitionNumber", "IS"), (0x00200020, "PatientOrientation", "CS"), (0x00200060, "Laterality", "CS"),
+    (0x00201002, "ImagesInAcquisition", "IS"), (0x00201040, "PositionReferenceIndicator", "LO"), (0x00280002, "SamplesPerPixel", "US"), (0x00280004, "PhotometricInterpretation", "CS"),
+    (0x00280008, "NumberOfFrames", "IS"), (0x00280101, "BitsStored", "US"), (0x00280102, "HighBit", "US"), (0x00280103, "PixelRepresentation", "US"), (0x00281050, "WindowCenter", "DS"),
+    (0x00281051, "WindowWidth", "DS"), (0x00281054, "RescaleType", "LO"), (0x00400244, "PerformedProcedureStepStartDate", "DA"), (0x00400245, "PerformedProcedureStepStartTime", "TM"),
+    (0x00400253, "PerformedProcedureStepID", "SH"), (0x30040002, "DoseUnits", "CS"), (0x30040004, "DoseType", "CS"), (0x3004000A, "DoseSummationType", "CS"), (0x30060006, "StructureSetDescription", "ST"),
+    (0x30060009, "StructureSetTime", "TM"), (0x30060085, "ROIObservationLabel", "SH"), (0x300600A6, "ROIInterpreter", "PN"), (0x300A0002, "RTPlanLabel", "SH"), (0x300A0006, "RTPlanDate", "DA"),
+    (0x300E0002, "ApprovalStatus", "CS"), (0x300E0004, "ReviewDate", "DA"), (0x300E0005, "ReviewTime", "TM"),
+]
+BY_NUMBER = {number: (keyword, vr) for number, keyword, vr in DICTIONARY + MORE}
+NUMBERS = {keyword: number for number, keyword, _ in DICTIONARY + MORE}
 #: Names that are not just the parts of the keyword (fixed values).
 _NAMES = {
     "PatientName": "Patient's Name", "PatientBirthDate": "Patient's Birth Date", "PatientSex": "Patient's Sex", "PatientAge": "Patient's Age", "PatientAddress": "Patient's Address",
@@ -42,6 +64,10 @@ _NAMES = {
     "PhysiciansReadingStudyIdentificationSequence": "Physician(s) Reading Study Identification Sequence", "ImagePositionPatient": "Image Position (Patient)", "ImageOrientationPatient": "Image Orientation (Patient)",
     "ReferencedFrameOfReferenceUID": "Referenced Frame of Reference UID", "FrameOfReferenceUID": "Frame of Reference UID", "ReferencedFrameOfReferenceSequence": "Referenced Frame of Reference Sequence",
     "FillerOrderNumberImagingServiceRequest": "Filler Order Number / Imaging Service Request", "PlacerOrderNumberImagingServiceRequest": "Placer Order Number / Imaging Service Request",
+    "KVP": "KVP", "ManufacturerModelName": "Manufacturer's Model Name", "PatientSize": "Patient's Size", "PatientWeight": "Patient's Weight", "ContrastBolusAgent": "Contrast/Bolus Agent",
+    "EchoNumbers": "Echo Number(s)", "FocalSpots": "Focal Spot(s)", "SoftwareVersions": "Software Versions", "NumberOfAverages": "Number of Averages", "NumberOfFrames": "Number of Frames",
+    "DistanceSourceToDetector": "Distance Source to Detector", "DistanceSourceToPatient": "Distance Source to Patient", "DateOfLastCalibration": "Date of Last Calibration", "XRayTubeCurrent": "X-Ray Tube Current",
+    "GantryDetectorTilt": "Gantry/Detector Tilt", "ImagesInAcquisition": "Images in Acquisition", "SamplesPerPixel": "Samples per Pixel", "TimezoneOffsetFromUTC": "Timezone Offset From UTC",
     "NumberOfContourPoints": "Number of Contour Points", "RTROIInterpretedType": "RT ROI Interpreted Type", "RTROIObservationsSequence": "RT ROI Observations Sequence",
 }
 

@@ -1,70 +1,142 @@
 """DICOM files: headers as maps of tags, as typed rows, and structure sets with their nested sequences.
 
-Files are listed by Spark without their contents; tasks read the first kilobytes
-of each, and more only if the header goes on. Data elements are explicit or
-implicit little-endian. A sequence is a list of items, an item a dict.
+The data source ``dicom`` lists folders and reads headers in tasks, a few levels of
+folders being listed when the scan is planned. Tasks read the first kilobytes of a
+file, and more only if the header goes on. Data elements are explicit or implicit,
+little- or big-endian, or deflated; texts are decoded by the character sets that
+the file names. A sequence is a list of items, an item a dict.
 """
 
 from __future__ import annotations
 
+import codecs
 import datetime as dt
+import re
 import struct
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from ..functions.tags import BY_NUMBER, NUMBERS, name_of, tag_id
 
 #: Bytes read at first.
 FIRST = 64 << 10
-#: Representations with a length of four bytes.
+#: Representations with a length of four bytes, and those whose texts the character sets concern.
 _LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UR", b"UT", b"UN", b"UV"}
-_NUMBER = {"US": "<H", "SS": "<h", "UL": "<I", "SL": "<i", "FL": "<f", "FD": "<d"}
+_TEXTS = {"SH", "LO", "ST", "LT", "UT", "UC", "PN"}
+_NUMBER = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d"}
 UNDEFINED, ITEM, ITEM_END, SEQUENCE_END, PIXELS = 0xFFFFFFFF, 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD, 0x7FE00010
-IMPLICIT = "1.2.840.10008.1.2"
+IMPLICIT, BIG_ENDIAN, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
+CHARACTER_SET = 0x00080005
+#: Character sets by their registration number, and what an escape sequence calls in (fixed values).
+CHARSETS = {
+    "6": "latin-1", "100": "latin-1", "101": "iso8859-2", "109": "iso8859-3", "110": "iso8859-4", "144": "iso8859-5", "127": "iso8859-6", "126": "iso8859-7", "138": "iso8859-8", "148": "iso8859-9",
+    "203": "iso8859-15", "166": "tis-620", "13": "shift_jis", "192": "utf-8", "87": "iso2022_jp", "159": "iso2022_jp_2", "149": "euc_kr", "58": "gb2312",
+}
+ESCAPES = {
+    b"(B": "latin-1", b"-A": "latin-1", b"-B": "iso8859-2", b"-C": "iso8859-3", b"-D": "iso8859-4", b"-L": "iso8859-5", b"-G": "iso8859-6", b"-F": "iso8859-7", b"-H": "iso8859-8", b"-M": "iso8859-9",
+    b"-b": "iso8859-15", b"-T": "tis-620", b"(J": "shift_jis", b")I": "shift_jis", b"$B": "iso2022_jp", b"$(D": "iso2022_jp_2", b"$)C": "euc_kr", b"$)A": "gb2312",
+}
+_ESCAPE = re.compile(rb"\x1b(\$\(D|\$\)[AC]|\$B|[-()][A-Za-z])")
+
+
+class Encoding(NamedTuple):
+    """Byte order, and the codec of texts before any escape sequence."""
+
+    order: str = "<"
+    codec: str = "utf-8"
 
 
 class Short(Exception):
     """The header goes on behind the bytes at hand."""
 
 
-def text(raw: bytes, vr: str) -> str:
+def codec_of(named: str) -> str:
+    """The codec of (0008,0005): its first value; a set that is not known, or none named, is read as UTF-8."""
+    first = named.split("\\")[0].strip()
+    if first in ("GB18030", "GBK"):
+        return first.lower()
+    found = re.fullmatch(r"ISO(?:_| 2022 )IR (\d+)", first)
+    if found:
+        return CHARSETS.get(found[1], "utf-8")
+    return "latin-1" if "\\" in named else "utf-8"
+
+
+def decoded(raw: bytes, codec: str) -> str:
+    """A text with the escape sequences of ISO 2022; what no codec knows is replaced."""
+    if b"\x1b" not in raw:
+        return codecs.decode(raw, codec, "replace")
+    parts = _ESCAPE.split(raw)
+    out = [codecs.decode(parts[0], codec, "replace")]
+    for escape, piece in zip(parts[1::2], parts[2::2]):
+        own = ESCAPES.get(escape, codec)
+        if own.startswith("iso2022"):
+            piece = b"\x1b" + escape + piece
+        out.append(codecs.decode(piece, own, "replace"))
+    return "".join(out)
+
+
+def text(raw: bytes, vr: str, encoding: Encoding = Encoding()) -> str:
     """A value as text; several values as a list."""
     if vr in _NUMBER:
-        n = struct.calcsize(_NUMBER[vr])
-        values = [str(struct.unpack_from(_NUMBER[vr], raw, k)[0]) for k in range(0, len(raw) - n + 1, n)]
+        form = encoding.order + _NUMBER[vr]
+        n = struct.calcsize(form)
+        values = [str(struct.unpack_from(form, raw, k)[0]) for k in range(0, len(raw) - n + 1, n)]
     else:
-        values = raw.decode("utf-8", "replace").rstrip("\0 ").split("\\")
+        values = decoded(raw, encoding.codec if vr in _TEXTS or vr == "UN" else "utf-8").rstrip("\0 ").split("\\")
     return values[0] if len(values) == 1 else str(values) if values else ""
 
 
+class Dictionary:
+    """Names and representations of tags: those of functions/tags.py and further ones (number, keyword, representation)."""
+
+    def __init__(self, more: Iterable[tuple[int, str, str]] = ()):
+        self.tags = BY_NUMBER | {int(n): (k, vr) for n, k, vr in more}
+
+    def vr(self, tag: int) -> str:
+        return self.tags.get(tag, ("", "UN"))[1]
+
+    def name(self, tag: int) -> str | None:
+        return name_of(self.tags[tag][0]) if tag in self.tags else None
+
+
+DEFAULT = Dictionary()
+
+
 class Reader:
     """Data elements of a file of which ``data`` is the begin and ``size`` the length."""
 
-    def __init__(self, data: bytes, size: int, explicit: bool):
-        self.data, self.size, self.explicit = data, size, explicit
+    def __init__(self, data: bytes, size: int, explicit: bool, order: str = "<", dictionary: Dictionary = DEFAULT):
+        self.data, self.size, self.explicit, self.order, self.dictionary = data, size, explicit, order, dictionary
 
     def need(self, end: int) -> None:
         if end > len(self.data):
             raise Short if len(self.data) < self.size else ValueError("an element ends behind the file")
 
+    def number(self, form: str, at: int) -> int:
+        return struct.unpack_from(self.order + form, self.data, at)[0]
+
     def head(self, at: int) -> tuple[int, str, int, int]:
         """Tag, representation, length and start of the value."""
         self.need(at + 8)
-        group, element = struct.unpack_from("<HH", self.data, at)
+        group, element = self.number("H", at), self.number("H", at + 2)
         tag = group << 16 | element
         if not self.explicit or group == 0xFFFE:
-            return tag, BY_NUMBER.get(tag, ("", "UN"))[1], struct.unpack_from("<I", self.data, at + 4)[0], at + 8
+            return tag, self.dictionary.vr(tag), self.number("I", at + 4), at + 8
         vr = self.data[at + 4 : at + 6]
         if vr in _LONG:
             self.need(at + 12)
-            return tag, vr.decode("latin-1"), struct.unpack_from("<I", self.data, at + 8)[0], at + 12
-        return tag, vr.decode("latin-1"), struct.unpack_from("<H", self.data, at + 6)[0], at + 8
+            return tag, vr.decode("latin-1"), self.number("I", at + 8), at + 12
+        return tag, vr.decode("latin-1"), self.number("H", at + 6), at + 8
 
-    def items(self, at: int, length: int) -> tuple[list[dict[int, tuple]], int]:
+    def items(self, at: int, length: int, codec: str) -> tuple[list[dict[int, tuple]], int]:
         """The items of a sequence and where it ends."""
         end, out = (at + length if length != UNDEFINED else None), []
         while end is None or at < end:
@@ -73,13 +145,14 @@ class Reader:
                 break
             if tag != ITEM:
                 raise ValueError("no item in a sequence")
-            item, at = self.elements(at, at + size if size != UNDEFINED else None)
+            item, at = self.elements(at, at + size if size != UNDEFINED else None, codec)
             out.append(item)
         return out, at
 
-    def elements(self, at: int, end: int | None) -> tuple[dict[int, tuple], int]:
-        """Tag -> (representation, value) up to an end, an end of item, or the pixels."""
+    def elements(self, at: int, end: int | None, codec: str = "utf-8") -> tuple[dict[int, tuple], int]:
+        """Tag -> (representation, value, encoding) up to an end, an end of item, or the pixels. An item without character sets has those around it."""
         out: dict[int, tuple] = {}
+        encoding = Encoding(self.order, codec)
         while at < (self.size if end is None else end):
             tag, vr, size, start = self.head(at)
             if tag == ITEM_END:
@@ -87,18 +160,21 @@ class Reader:
             if tag == PIXELS:
                 return out, self.size
             if vr == "SQ" or (size == UNDEFINED and vr in ("UN", "OB", "OW")):
-                value, at = self.items(start, size)
-                out[tag] = "SQ", value
+                value, at = self.items(start, size, encoding.codec)
+                out[tag] = "SQ", value, encoding
             else:
                 self.need(start + size)
-                out[tag] = vr, self.data[start : start + size]
+                raw = self.data[start : start + size]
+                if tag == CHARACTER_SET:
+                    encoding = Encoding(self.order, codec_of(raw.decode("latin-1").strip("\0 ")))
+                out[tag] = vr, raw, encoding
                 at = start + size
         return out, at
 
 
-def dataset(data: bytes, size: int | None = None) -> dict[int, tuple]:
-    """All data elements before the pixels; raises Short, ValueError or struct.error."""
-    size, at, explicit = len(data) if size is None else size, 0, False
+def dataset(data: bytes, size: int | None = None, dictionary: Dictionary = DEFAULT) -> dict[int, tuple]:
+    """All data elements before the pixels; raises Short, ValueError, struct.error or zlib.error."""
+    size, at, explicit, order = len(data) if size is None else size, 0, False, "<"
     if data[128:132] == b"DICM":
         at, syntax = 132, IMPLICIT
         meta = Reader(data, size, True)
@@ -111,16 +187,20 @@ def dataset(data: bytes, size: int | None = None) -> dict[int, tuple]:
             if tag == 0x00020010:
                 syntax = text(data[start : start + length], "UI")
             at = start + length
-        explicit = syntax != IMPLICIT
+        explicit, order = syntax != IMPLICIT, ">" if syntax == BIG_ENDIAN else "<"
+        if syntax == DEFLATED:
+            whole = len(data) >= size
+            data, at = zlib.decompressobj(-15).decompress(data[at:]), 0
+            size = len(data) if whole else 1 << 62  # its length is not known yet
     elif len(data) >= 8:
         explicit = data[4:6].isalpha() and data[4:6].isupper()
-    return Reader(data, size, explicit).elements(at, None)[0]
+    return Reader(data, size, explicit, order, dictionary).elements(at, None)[0]
 
 
 def value(items: dict[int, tuple], keyword: str) -> str | None:
     """The text of a tag, None if it is not there or a sequence."""
-    vr, raw = items.get(NUMBERS[keyword], (None, None))
-    return None if vr is None or vr == "SQ" else text(raw, vr)
+    found = items.get(NUMBERS[keyword])
+    return None if found is None or found[0] == "SQ" else text(found[1], found[0], found[2])
 
 
 def nested(items: dict[int, tuple], *keywords: str) -> Iterator[dict[int, tuple]]:
@@ -128,8 +208,8 @@ def nested(items: dict[int, tuple], *keywords: str) -> Iterator[dict[int, tuple]
     if not keywords:
         yield items
         return
-    vr, inside = items.get(NUMBERS[keywords[0]], (None, []))
-    for item in inside if vr == "SQ" else []:
+    found = items.get(NUMBERS[keywords[0]])
+    for item in found[1] if found is not None and found[0] == "SQ" else []:
         yield from nested(item, *keywords[1:])
 
 
@@ -138,61 +218,176 @@ def header(data: bytes, size: int | None = None) -> dict[str, str] | None:
     return tag_map(dataset(data, size))
 
 
-def tag_map(items: dict[int, tuple]) -> dict[str, str] | None:
+def tag_map(items: dict[int, tuple], dictionary: Dictionary = DEFAULT) -> dict[str, str] | None:
     tags: dict[str, str] = {}
-    for tag, (vr, raw) in items.items():
+    for tag, (vr, raw, encoding) in items.items():
         if vr != "SQ":
-            shown = text(raw, vr)
-            if tag in BY_NUMBER:
-                tags[name_of(BY_NUMBER[tag][0])] = shown
+            shown = text(raw, vr, encoding)
+            name = dictionary.name(tag)
+            if name:
+                tags[name] = shown
             tags[tag_id(tag)] = shown
     return tags or None
 
 
-def read_header(path: str, size: int) -> dict[int, tuple]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def read_header(path: str, size: int, dictionary: Dictionary | None = None) -> dict[int, tuple]:
     """The data elements of a file; only as much is read as they need."""
-    system, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    system, at = file_system(path)
+    more = () if dictionary is None else (dictionary,)
     with system.open_input_file(at) as file:
         n = FIRST
         while True:
             data = file.read_at(min(n, size), 0)
             try:
-                return dataset(data, size)
+                return dataset(data, size, *more)
             except Short:
                 n *= 4
 
 
-# --- scans ------------------------------------------------------------------------------
+# --- the data source ----------------------------------------------------------------------
+
+#: Folders that a scan is dealt out to at least, if there are as many; levels of folders listed for that; files of one folder in a task.
+SPREAD, LEVELS, FLAT = 64, 3, 2000
+
+
+@dataclass
+class Folder(InputPartition):
+    """A folder with all below it, or the share-th part of the files right in it."""
 
+    path: str
+    deep: bool
+    share: int = 0
+    shares: int = 1
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    def files(self, system: fs.FileSystem) -> Iterator[fs.FileInfo]:
+        for info in system.get_file_info(fs.FileSelector(self.path, recursive=self.deep)):
+            if info.type == fs.FileType.File and (self.shares == 1 or zlib.crc32(info.base_name.encode()) % self.shares == self.share):
+                yield info
 
 
-def _each(files: DataFrame, read: Callable[[dict[int, tuple]], tuple], schema: pa.Schema, sql: str) -> DataFrame:
-    """path, mtime, size, error and what ``read`` makes of each header."""
+def folders(system: fs.FileSystem, base: str) -> list[Folder]:
+    """What a scan is dealt out to: folders level by level until there are enough."""
+    out, level = [], [base]
+    for _ in range(LEVELS):
+        below = []
+        for folder in level:
+            infos = system.get_file_info(fs.FileSelector(folder))
+            files = sum(i.type == fs.FileType.File for i in infos)
+            below += [i.path for i in infos if i.type == fs.FileType.Directory]
+            shares = -(-files // FLAT)
+            out += [Folder(folder, False, k, shares) for k in range(shares)]
+        level = below
+        if not level or len(out) + len(level) >= SPREAD:
+            break
+    return out + [Folder(f, True) for f in level]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, errors = [], []
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                try:
-                    rows.append(read(read_header(path, size)))
-                    errors.append(None)
-                except (struct.error, ValueError, IndexError, OSError, RecursionError) as e:
-                    rows.append((None,) * len(schema))
-                    errors.append(f"{type(e).__name__}: {e}")
-            made = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string()), *made], ["path", "mtime", "size", "error", *schema.names])
 
-    return files.select("path", "mtime", "size").mapInArrow(run, "path string, mtime timestamp, size long, error string, " + sql)
+def _images(items: dict[int, tuple], dictionary: Dictionary) -> tuple:
+    return tuple(value(items, k) if f in DATES or f in ("modality", "sop_instance_uid") else value(items, k) or "" for f, k in FIELDS.items())
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, mtime, size, status (success or error), tags of every file below a folder."""
-    schema = pa.schema([("tags", pa.map_(pa.string(), pa.string()))])
-    rows = _each(listing(spark, path), lambda items: (list((tag_map(items) or {}).items()) or None,), schema, "tags map<string,string>")
+def _tags(items: dict[int, tuple], dictionary: Dictionary) -> tuple:
+    return value(items, "Modality"), list((tag_map(items, dictionary) or {}).items()) or None
+
+
+#: Types that path, mtime, size and modality are compared as, and the comparisons that are pushed.
+_COMPARED = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b, StringStartsWith: lambda a, b: a.startswith(b)}
+_PUSHED = ("path", "mtime", "size", "modality")
+
+
+class HeaderReader(DataSourceReader):
+    """Headers of the files below a folder; filters on path, mtime and size leave files unread, those on modality leave rows unmade."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.content = options["path"], options.get("content", "tags")
+        pairs = (e.split(":") for e in filter(None, options.get("dictionary", "").split(",")))
+        self.dictionary = Dictionary((int(n, 16), k, vr) for n, k, vr in pairs)
+        self.filters: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if type(f) in _COMPARED and name in _PUSHED:
+                wanted = f.value if hasattr(f, "value") else tuple(f.value_set) if hasattr(f, "value_set") else f.values
+                self.filters.append((name, type(f), wanted))
+            else:
+                yield f
+
+    def passes(self, name: str, found: object) -> bool:
+        return all(found is not None and _COMPARED[kind](found, wanted) for n, kind, wanted in self.filters if n == name)
+
+    def partitions(self) -> list[Folder]:
+        return folders(*file_system(self.path))
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(self.path)
+        prefix = self.path[: len(self.path) - len(base)] if self.path.endswith(base) else self.path.split("/", 1)[0]
+        make, schema = CONTENTS[self.content]
+        whole = pa.schema([("path", pa.string()), ("mtime", pa.timestamp("us", "UTC")), ("size", pa.int64()), ("error", pa.string()), *schema])
+        at_modality = schema.names.index("modality")
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), whole)], schema=whole)
+        for info in partition.files(system):
+            path, mtime = prefix + info.path, info.mtime.astimezone(dt.timezone.utc)
+            if not (self.passes("path", path) and self.passes("mtime", mtime) and self.passes("size", info.size)):
+                continue
+            try:
+                items = read_header(path, info.size, self.dictionary) if self.content != "names" else {}
+                made, error = make(items, self.dictionary), None
+            except (struct.error, ValueError, IndexError, OSError, RecursionError, zlib.error) as e:
+                made, error = (None,) * len(schema), f"{type(e).__name__}: {e}"
+            if self.passes("modality", made[at_modality]):
+                rows.append((path, mtime, info.size, error, *made))
+            if len(rows) == 512:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
+
+
+class DicomSource(DataSource):
+    """``spark.read.format("dicom").option("content", "tags" | "images" | "structures").load(folder)``.
+
+    path, mtime, size, error and, by content: modality and the map of tags, the
+    fields of an image, or the parts of a structure set. dictionary: further tags
+    as ``GGGGEEEE:Keyword:VR,...``. headers() is the way to it: Spark keeps the
+    reader of a DataFrame, so one that is used again must push a filter each time.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "dicom"
+
+    def schema(self) -> str:
+        return "path string, mtime timestamp, size long, error string, " + COLUMNS[self.options.get("content", "tags")]
+
+    def reader(self, schema) -> DataSourceReader:
+        return HeaderReader(dict(self.options))
+
+
+def headers(spark: SparkSession, path: str, content: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Rows of the data source; dictionary: further tags (number, keyword, vr), a few thousand at the most."""
+    spark.dataSource.register(DicomSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if ":" not in path:
+        path = f"file:{path}"
+    reader = spark.read.format("dicom").option("content", content)
+    if dictionary is not None:
+        rows = dictionary.select("number", "keyword", "vr").limit(10_001).collect()
+        if len(rows) > 10_000:
+            raise ValueError("a dictionary has 10,000 tags at the most")
+        reader = reader.option("dictionary", ",".join(f"{r.number:08X}:{r.keyword}:{r.vr}" for r in rows))
+    # a plan without any pushed filter would be given the reader of the plan before, with its filters: one is always there
+    return reader.load(path).filter("size >= 0")
+
+
+def scan(spark: SparkSession, path: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """path, mtime, size, status (success or error), tags of every file below a folder; sequences are left out, private tags stand by number."""
+    rows = headers(spark, path, "tags", dictionary)
     return rows.select("path", "mtime", "size", F.when(F.col("tags").isNull(), "error").otherwise("success").alias("status"), "tags")
 
 
@@ -213,15 +408,15 @@ def scan_images(spark: SparkSession, path: str, as_of: dt.datetime, since: dt.da
     PT, a localizer, a study before ``since``. A file without SOP UID, and one
     that can't be read, is an error. Skipped and failed files have no fields.
     """
-    files = listing(spark, path)
     stamp = lambda t: F.lit(t).cast("timestamp")
-    early = F.when(F.col("mtime") > stamp(as_of - dt.timedelta(minutes=10)), "recently_modified")
+    late = F.col("mtime") > stamp(as_of - dt.timedelta(minutes=10))
+    early = F.when(late, "recently_modified")
+    images = headers(spark, path, "images")
+    rows = images.filter(F.col("mtime") <= stamp(as_of - dt.timedelta(minutes=10)))
     if since is not None and since <= as_of:
         early = early.when(F.col("mtime") < stamp(since), "before_date_filter")
-    unread = files.withColumn("_early", early)
-    schema = pa.schema([(f, pa.string()) for f in FIELDS])
-    read = lambda items: tuple(value(items, k) if f in DATES or f in ("modality", "sop_instance_uid") else value(items, k) or "" for f, k in FIELDS.items())
-    rows = _each(unread.filter("_early IS NULL"), read, schema, ", ".join(f"{f} string" for f in FIELDS))
+        rows = rows.filter(F.col("mtime") >= stamp(since))
+    unread = headers(spark, path, "names").select("path", early.alias("_early"))
     day = F.when(F.col("study_date").rlike(r"^\d{8}$"), F.try_to_timestamp("study_date", F.lit("yyyyMMdd")))
     skipped = F.when(~F.coalesce(F.col("modality").isin("CT", "MR", "PT"), F.lit(False)), "unsupported_modality")
     failed = F.when(F.col("error").isNotNull(), "dicom_read_error").when(skipped.isNull() & (F.coalesce("sop_instance_uid", F.lit("")) == ""), "missing_sop_uid")
@@ -257,7 +452,7 @@ def _whole(shown: str | None) -> int | None:
 
 
 def _parts(item: dict[int, tuple], keyword: str) -> list[str]:
-    vr, raw = item.get(NUMBERS[keyword], (None, b""))
+    vr, raw, _ = item.get(NUMBERS[keyword], (None, b"", None))
     return [] if vr in (None, "SQ") else [p.strip() for p in raw.decode("latin-1").rstrip("\0 ").split("\\") if p.strip()]
 
 
@@ -279,7 +474,17 @@ def structure_set(items: dict[int, tuple]) -> tuple:
 
 def scan_structure_sets(spark: SparkSession, path: str) -> DataFrame:
     """Structure sets below a folder: path, mtime, size, error and the columns of STRUCTURES; other files have their modality only."""
-    return _each(listing(spark, path), structure_set, STRUCTURES, STRUCTURES_SQL)
+    return headers(spark, path, "structures")
+
+
+#: What a scan makes of a header, by content: function, Arrow and SQL columns. Names reads nothing.
+CONTENTS: dict[str, tuple[Callable, pa.Schema]] = {
+    "tags": (_tags, pa.schema([("modality", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])),
+    "images": (_images, pa.schema([(f, pa.string()) for f in FIELDS])),
+    "structures": (lambda items, dictionary: structure_set(items), STRUCTURES),
+    "names": (lambda items, dictionary: (None,), pa.schema([("modality", pa.string())])),
+}
+COLUMNS = {"tags": "modality string, tags map<string,string>", "images": ", ".join(f"{f} string" for f in FIELDS), "structures": STRUCTURES_SQL, "names": "modality string"}
 
 
 # --- files for tests --------------------------------------------------------------------

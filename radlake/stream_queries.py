@@ -80,6 +80,28 @@ def dicom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dicom.scan(spark, folder).select(get("Patient ID").alias("id"), get("Patient's Name").alias("name"), get("(0008,0060)").alias("modality"), get("Study Description").alias("description"), get("(0009,0010)").alias("private"), get("(0008,1032)").alias("sequence"))
 
 
+#: Character set, codec and a name in it, by the patient's number.
+_NAMES = [("ISO_IR 100", "latin-1", "Müller"), ("ISO_IR 144", "iso8859-5", "Пётр"), ("ISO_IR 192", "utf-8", "王小东"), ("GB18030", "gb18030", "王小东"), ("\\ISO 2022 IR 87", "iso2022_jp", "山田"), ("", "ascii", "Smith")]
+
+
+def _named(key: int, name: str) -> bytes:
+    charset, codec, own = _NAMES[key % len(_NAMES)]
+    e = dicom.element
+    body = (e(0x00080005, "CS", charset.encode()) if charset else b"") + e(NUMBERS["Modality"], "CS", b"CT") + e(NUMBERS["Manufacturer"], "LO", f"{own} {key % 3}".encode(codec)) + e(NUMBERS["PatientName"], "PN", f"{own}^{name}".encode(codec)) + e(NUMBERS["KVP"], "DS", b"120")
+    return b"\0" * 128 + b"DICM" + e(0x00020010, "UI", b"1.2.840.10008.1.2.1") + body
+
+
+@query(f"""SELECT c_custkey AS id, n || '^' || c_name AS name, n || ' ' || (c_custkey % 3) AS manufacturer, '120' AS kvp FROM customer JOIN (VALUES {', '.join(f"({k}, '{n}')" for k, (_, _, n) in enumerate(_NAMES))}) t(k, n) ON c_custkey % {len(_NAMES)} = k""")
+def dicom_character_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in six character sets, read through the data source, with tags that rules name."""
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    folder = _written(rows, _named, files.shared_folder(spark, "dicom"))
+    found = dicom.headers(spark, folder, "tags").filter("modality = 'CT' AND size > 132")
+    key = F.regexp_extract("path", r"([0-9]+)\.dcm$", 1).cast("long")
+    get = lambda k: F.try_element_at("tags", F.lit(k))
+    return found.select(key.alias("id"), get("Patient's Name").alias("name"), get("Manufacturer").alias("manufacturer"), get("KVP").alias("kvp"))
+
+
 @query(r"""SELECT 'R.' || s_suppkey AS sop_uid, 'S.' || s_suppkey AS referenced_series_uid, 2::BIGINT AS n_images, k AS number, s_name || ' ' || k AS name, '255\0\' || k AS color, k + 15.5 AS total, CASE WHEN k < 3 THEN 'ORGAN' END AS type FROM supplier, (VALUES (1), (2), (3)) t(k)""".replace("k + 15.5 AS total", "(k + 15.5)::DOUBLE AS total"))
 def structure_set_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A structure set for each supplier is written and read: ROIs, contours, observations and what they refer to."""

@@ -77,6 +77,92 @@ def test_nested_sequences(undefined):
     assert [dicom.value(x, "SeriesInstanceUID") for x in dicom.nested(items, "ReferencedFrameOfReferenceSequence", "RTReferencedStudySequence", "RTReferencedSeriesSequence")] == ["1.2.3", "4.5.6"]
 
 
+def with_charset(charset: bytes, name: bytes, **more) -> bytes:
+    return dicom_file(True, PatientName=name, **more)[:132] + dicom.element(0x00020010, "UI", b"1.2.840.10008.1.2.1") + dicom.element(0x00080005, "CS", charset) + dicom.element(0x00100010, "PN", name)
+
+
+@pytest.mark.parametrize("charset,name,shown", [
+    (b"ISO_IR 100", "Müller^Jürgen".encode("latin-1"), "Müller^Jürgen"),
+    (b"ISO_IR 144", "Люкceмбypг".encode("iso8859-5"), "Люкceмбypг"),
+    (b"ISO_IR 192", "Wang^XiaoDong=王^小东".encode(), "Wang^XiaoDong=王^小东"),
+    (b"GB18030", "Wang=王^小东".encode("gb18030"), "Wang=王^小东"),
+    (b"\\ISO 2022 IR 87", b"Yamada^Tarou=\x1b$B;3ED\x1b(B^\x1b$BB@O:\x1b(B=\x1b$B$d$^$@\x1b(B^\x1b$B$?$m$&\x1b(B", "Yamada^Tarou=山田^太郎=やまだ^たろう"),
+    (b"\\ISO 2022 IR 149", b"Hong^Gildong=\x1b$)C\xfb\xf3^\x1b$)C\xd1\xce\xd4\xd7", "Hong^Gildong=洪^吉洞"),
+    (b"ISO 2022 IR 100\\ISO 2022 IR 144", "Müller".encode("latin-1") + b"=\x1b-L" + "Миша".encode("iso8859-5"), "Müller=Миша"),
+    (b"ISO_IR 999", "é".encode(), "é"),
+    (b"", "é".encode(), "é"),
+])
+def test_character_sets(charset, name, shown):
+    assert dicom.value(dicom.dataset(with_charset(charset, name)), "PatientName") == shown
+
+
+def test_items_have_the_character_set_around_them():
+    from radlake.functions.tags import NUMBERS as n
+
+    rois = [dicom.element(n["ROIName"], "LO", "Hüfte".encode("latin-1")), dicom.element(0x00080005, "CS", b"ISO_IR 192") + dicom.element(n["ROIName"], "LO", "Hüfte".encode())]
+    data = with_charset(b"ISO_IR 100", "Jürgen".encode("latin-1")) + dicom.sequence(n["StructureSetROISequence"], rois)
+    items = dicom.dataset(data)
+    assert [dicom.value(x, "ROIName") for x in dicom.nested(items, "StructureSetROISequence")] == ["Hüfte", "Hüfte"] and dicom.value(items, "PatientName") == "Jürgen"
+
+
+def test_other_transfer_syntaxes():
+    import struct
+    import zlib
+
+    def big(tag, vr, raw):
+        return struct.pack(">HH", tag >> 16, tag & 0xFFFF) + vr.encode() + struct.pack(">H", len(raw)) + raw
+
+    head = lambda syntax: b"\0" * 128 + b"DICM" + dicom.element(0x00020010, "UI", syntax.encode())
+    items = dicom.dataset(head(dicom.BIG_ENDIAN) + big(0x00080060, "CS", b"CT") + big(0x00280010, "US", b"\2\0"))
+    assert dicom.value(items, "Modality") == "CT" and dicom.value(items, "Rows") == "512"
+    body = dicom.element(0x00080060, "CS", b"MR") + dicom.element(0x00104000, "LT", bytes(range(32, 127)) * 40) + dicom.element(dicom.PIXELS, "OW", b"\1\7" * 5000)
+    packed = zlib.compressobj(wbits=-15)
+    data = head(dicom.DEFLATED) + packed.compress(body) + packed.flush()
+    items = dicom.dataset(data)
+    assert dicom.value(items, "Modality") == "MR" and dicom.value(items, "PatientComments").startswith("[' !") and 0x7FE00010 not in items
+    with pytest.raises(dicom.Short):
+        dicom.dataset(data[:170], len(data))
+
+
+def test_filters_are_pushed_to_the_source(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}" / f"{k}.dcm").write_bytes(dicom_file(True, Modality="CT" if k % 2 else "MR", PatientID=str(k)))
+    (tmp_path / "d0" / "junk").write_bytes(b"no")
+    rows = dicom.headers(spark, str(tmp_path), "tags")
+    late = rows.filter((F.col("mtime") > F.lit("2100-01-01").cast("timestamp")) & (F.col("size") > 3))
+    assert late.count() == 0 and rows.filter("modality = 'CT'").count() == 3 and rows.filter("modality IN ('CT', 'MR') AND size > 0").count() == 6
+    assert rows.filter(F.col("path").startswith(f"file:{tmp_path}/d1")).count() == 2 and rows.filter("error IS NOT NULL OR tags IS NULL").count() == 1
+    reader = dicom.HeaderReader({"path": f"file:{tmp_path}", "content": "tags"})
+    left = list(reader.pushFilters([dicom.EqualTo(("modality",), "CT"), dicom.GreaterThan(("size",), 10**9), dicom.EqualTo(("error",), "x")]))
+    assert [f.attribute for f in left] == [("error",)]
+    monkeypatch.setattr(dicom, "read_header", lambda *a: (_ for _ in ()).throw(AssertionError("a file was read")))
+    assert not [b for part in reader.partitions() for b in reader.read(part)]
+    assert {(p.path.rsplit("/", 1)[1], p.deep) for p in reader.partitions()} == {("d0", False), ("d1", False), ("d2", False)}
+
+
+def test_folders_are_dealt_out(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    for k in range(90):
+        at = tmp_path / f"a{k % 5}" / f"b{k % 15}" / "c"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{k}").write_bytes(b"x")
+        (tmp_path / f"top{k}").write_bytes(b"x")
+    monkeypatch.setattr(dicom, "FLAT", 40)
+    monkeypatch.setattr(dicom, "SPREAD", 10)
+    parts = dicom.folders(fs.LocalFileSystem(), str(tmp_path))
+    found = [i.path for p in parts for i in p.files(fs.LocalFileSystem())]
+    assert len(found) == len(set(found)) == 180 and sum(p.shares == 3 for p in parts) == 3 and sum(p.deep for p in parts) == 15
+
+
+def test_a_dictionary_of_further_tags(spark, tmp_path):
+    (tmp_path / "a").write_bytes(dicom_file(False, Modality="CT") + (0x0018).to_bytes(2, "little") + (0x9305).to_bytes(2, "little") + (8).to_bytes(4, "little") + bytes(6) + b"\xe0\x3f")
+    more = spark.createDataFrame([(0x00189305, "RevolutionTime", "FD")], "number long, keyword string, vr string")
+    plain, known = (dicom.scan(spark, str(tmp_path), d).first().tags for d in (None, more))
+    assert known["Revolution Time"] == known["(0018,9305)"] == "0.5" and "Revolution Time" not in plain and plain["Modality"] == "CT"
+
+
 def test_scan_skips_and_fails(spark, tmp_path):
     now = dt.datetime.now()
     for name, content in {"ok": dicom_file(True, Modality="MR", SOPInstanceUID="1.2", SeriesInstanceUID="3"), "us": dicom_file(True, Modality="US", SOPInstanceUID="1"), "nouid": dicom_file(True, Modality="CT"), "junk": b"DICM? no"}.items():
