@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -179,6 +179,41 @@ def test_rule_combinations(spark, rules, modality, matched):
         assert (got.result, got.matched_sets) == want
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 2**32 - 1))
+def test_compiled_rules_equal_rules_as_rows(spark, seed):
+    """Random rules, missing tags, unknown operators and combinators."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    operators = ["EQUALS", "NOT_EQUALS", "GREATER_THAN", "LESS_THAN_OR_EQUAL_TO", "CASE_INSENSITIVE_STRING_CONTAINS", "CASE_SENSITIVE_STRING_DOES_NOT_CONTAIN", "odd", None]
+    rules = [(pick(1, 2, 3, 4), int(rng.integers(3)), k, pick("A", "B", None), pick("(1)", "(2)", None), pick(*operators), pick("5", "x", "nan", " 7 ", "", None), pick("AND", "OR", "XOR", None)) for k in range(int(rng.integers(0, 9)))]
+    places = [(pick(1, 2, None), pick("T", None), pick(1, 2, 3, 9), int(rng.integers(3)), pick("AND", "OR", "", None)) for _ in range(int(rng.integers(0, 6)))]
+    tags = [(str(k), {n: pick("5", "7.0", "X", "xx", "", "inf") for n in ("A", "B", "(1)", "(2)") if rng.random() < 0.6}) for k in range(12)]
+    t = spark.createDataFrame(tags, "series_uid string, tags map<string,string>")
+    r = spark.createDataFrame(rules, "set_id int, rule_order int, rule_id int, tag_name string, tag_id string, operator string, value string, combine string")
+    h = spark.createDataFrame(places, "group_id int, template_id string, set_id int, set_order int, combine string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    one, other = R.match(t, r, h), R._matched_by_rows(t, r, h)
+    if rules and places:
+        assert rows(R.evaluate_groups(one)) == rows(R.evaluate_groups(other))
+        assert rows(R.assign(one)) == rows(R.assign(other))
+        each = t.crossJoin(R._rule_sets(r))
+        assert rows(R.evaluate_sets(t, r)) == rows(each.select("series_uid", F.explode(R._set_results()).alias("set_id", "result")))
+    assert R.assign(one).count() == 12 and R.evaluate_sets(t, r).count() == 12 * len({x[0] for x in rules})
+
+
+def test_compiled_rules_are_generated_code(spark, monkeypatch):
+    tags = spark.createDataFrame([("s", {"A": "5"})], "series_uid string, tags map<string,string>")
+    rules = spark.createDataFrame([(1, 1, 1, "A", "x", "GREATER_THAN", "4", "AND"), (1, 2, 2, "A", "x", "LESS_THAN", "6", "AND")], "set_id int, rule_order int, rule_id int, tag_name string, tag_id string, operator string, value string, combine string")
+    groups = spark.createDataFrame([(1, "T", 1, 1, "OR")], "group_id int, template_id string, set_id int, set_order int, combine string")
+    matched = R.match(tags, rules, groups)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Exchange" not in plan and "*(1) Project" in plan and plan.count("RLIKE") == 1
+    monkeypatch.setattr(R, "MOST", 1)
+    assert "lambda" in R.match(tags, rules, groups)._jdf.queryExecution().executedPlan().toString()
+    assert R.assign(matched).collect() == R.assign(R.match(tags, rules, groups)).collect()
+
+
 @pytest.mark.parametrize(
     "pattern,text,ok", [("smith*", "Smith^John", True), ("smith*", "Blacksmith", False), ("CT?23", "ct123", True), ("CT?23", "ct1234", False), ("1.2*", "1.2.840", True), ("1.2*", "1x2.840", False), ("a(b", "A(B", True)]
 )
