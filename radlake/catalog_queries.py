@@ -335,6 +335,18 @@ def reid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("rt_id", F.array_join(shown, ",").alias("items"))
 
 
+@query(_ROI + """SELECT rt_id, CASE WHEN rt_id LIKE '%1' THEN 'old' ELSE 'F' || rt_id END AS own, string_agg(number || ':' || CASE WHEN number = 0 THEN '' WHEN rt_id LIKE '%1' THEN 'old' ELSE 'F' || rt_id END || ':' || number, ',' ORDER BY number) AS items FROM roi GROUP BY 1""")
+def reid_frames_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of reference under both of their names, in a struct and in arrays of arrays; what is null stays, other fields as well."""
+    inner = F.array(F.struct(F.when(F.col("number") > 0, "old").alias("referenced_frame_uid"), F.col("number").cast("string").alias("note")))
+    item = F.struct("number", F.array(F.struct(inner.alias("inner"))).alias("outer"))
+    sets = _rois(spark, sf_dir).groupBy("rt_id").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("head", F.struct(F.lit("old").alias("frame_uid")))
+    new = D.reframed(sets, ["items", "head"], F.when(~F.col("rt_id").endswith("1"), F.concat(F.lit("F"), "rt_id")))
+    leaf = lambda x: x["outer"][0]["inner"][0]
+    shown = F.transform("items", lambda x: F.concat(x["number"].cast("string"), F.lit(":"), F.coalesce(leaf(x)["referenced_frame_uid"], F.lit("")), F.lit(":"), leaf(x)["note"]))
+    return new.select("rt_id", F.col("head.frame_uid").alias("own"), F.array_join(shown, ",").alias("items"))
+
+
 # --- scalars ----------------------------------------------------------------------------------
 
 
@@ -413,10 +425,16 @@ _VR_CASES = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(a, b.replace("'", "''"), str(c).lower()) for a, b, c in _VR_CASES) + ") t(vr, v, ok)")
+_CASES_SQL = ", ".join("({}, '{}', '{}', {})".format(n, a, b.replace("'", "''"), str(c).lower()) for n, (a, b, c) in enumerate(_VR_CASES))
+
+
+@query(f"SELECT p_partkey, vr, v || CASE WHEN p_size % 2 = 0 AND vr IN ('LT', 'UT') THEN p_name ELSE '' END AS v, ok FROM part JOIN (VALUES {_CASES_SQL}) t(n, vr, v, ok) ON p_partkey % {len(_VR_CASES)} = n")
 def vr_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _VR_CASES], "vr string, v string")
-    return rows.select("vr", "v", VR.valid(F.col("v"), F.col("vr")).alias("ok"))
+    """A value for each part, by the definitions of its representation."""
+    cases = spark.createDataFrame([(n, a, b) for n, (a, b, _) in enumerate(_VR_CASES)], "n long, vr string, v string")
+    rows = T.table(spark, sf_dir, "part").withColumn("n", F.col("p_partkey") % len(_VR_CASES)).join(cases, "n")
+    v = F.concat("v", F.when((F.col("p_size") % 2 == 0) & F.col("vr").isin("LT", "UT"), F.col("p_name")).otherwise(""))
+    return rows.select("p_partkey", "vr", v.alias("v")).withColumn("ok", VR.valid(F.col("v"), F.col("vr")))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderkey % 3 WHEN 0 THEN lpad((o_orderkey % 24)::VARCHAR, 2, '0') || '3000' WHEN 1 THEN '120501' END AS time FROM orders""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import catalog as C
 from .operators import lists as L
 from .operators import reports as R
 from .registry import query
@@ -171,9 +172,10 @@ def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text(L.last_run(s, as_of), "last_run").crossJoin(text(L.last_run(s.limit(0), as_of), "never"))  # one row each
 
 
-@query("SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS label FROM part")
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS value, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS label, p_type AS model FROM part")
 def available_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.available_structures(T.table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 0, "").alias("roi_label"), F.col("p_name").alias("name")))
+    part = T.table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 0, "").alias("roi_label"), F.col("p_name").alias("name"), F.col("p_type").alias("model"))
+    return L.available_structures(part)
 
 
 @query("SELECT event_id FROM events WHERE user_id = 7 AND event_type = 'view'")
@@ -182,18 +184,32 @@ def query_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.history(e, "7", "view").select("event_id")
 
 
-@query("""SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-20' - INTERVAL 7 DAY THEN 'delete' WHEN event_id % 2 = 0 THEN 'compress' ELSE 'keep' END AS action FROM events WHERE event_id % 3 > 0 OR event_id % 2 > 0""")
+@query("""SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-28' - INTERVAL 20 DAY THEN 'delete' WHEN ts < TIMESTAMP '2024-01-28' - INTERVAL 7 DAY AND event_id % 2 = 0 THEN 'compress' ELSE 'keep' END AS action FROM events WHERE event_id % 3 > 0 OR event_id % 2 > 0""")
 def retained_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ages: deleted, and compressed."""
     k = F.col("event_id")
     files = T.transactions(spark, sf_dir).select(k, F.col("ts").alias("mtime"), F.concat(F.lit("/logs/a.log"), F.when(k % 3 > 0, ".1").otherwise(""), F.when(k % 2 > 0, ".gz").otherwise("")).alias("path"))
-    return L.retained(files, F.lit("2024-01-20").cast("timestamp_ntz"), 7).select("event_id", "action")
+    return L.retained(files, F.lit("2024-01-28").cast("timestamp_ntz"), 20, 7).select("event_id", "action")
 
 
-@query("SELECT event_id, event_id % 4 = 0 OR ts < TIMESTAMP '2024-01-20' - INTERVAL 30 MINUTE AS stale, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'http://x/' ELSE 'http://x/y/' END AS url FROM events")
+@query("""SELECT event_id, event_id % 4 = 0 OR ts < TIMESTAMP '2024-01-20' - INTERVAL 30 MINUTE AS stale, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'http://x/' ELSE 'http://x/y/' END AS url,
+event_id % 3 = 1 AS refused FROM events""")
 def stale_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     url = F.when(k % 3 == 0, "").when(k % 3 == 1, "http://x").otherwise("http://x/y//")
-    return T.transactions(spark, sf_dir).select(k, L.stale(F.when(k % 4 > 0, F.col("ts")), F.lit("2024-01-20").cast("timestamp_ntz")).alias("stale"), L.with_slash(url).alias("url"))
+    return T.transactions(spark, sf_dir).select(k, L.stale(F.when(k % 4 > 0, F.col("ts")), F.lit("2024-01-20").cast("timestamp_ntz")).alias("stale"), L.with_slash(url).alias("url"), L.url_error(url).isNotNull().alias("refused"))
+
+
+@query("""WITH f AS (SELECT event_id, ts, CAST(round(value * 100) AS BIGINT) AS size FROM events), u AS (SELECT count(*) AS n, sum(size) AS used FROM f), g AS (SELECT size FROM (SELECT *, sum(size) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS freed FROM f) WHERE freed - size < 300000)
+SELECT n - (SELECT count(*) FROM g) AS n_files, (used - (SELECT sum(size) FROM g))::BIGINT AS used, used - (SELECT sum(size) FROM g) >= 1500000 AS exceeded, (SELECT count(*) FROM g) AS deleted, (SELECT sum(size) FROM g)::BIGINT AS freed FROM u""")
+def storage_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store is above its limit: the clean-up frees a fifth of the limit, oldest files first, and the flag is set anew."""
+    limit = 1_500_000
+    files = T.transactions(spark, sf_dir).withColumn("size", F.round(F.col("bytes") * 100).cast("long"))
+    checked = L.storage_check(files.agg(F.count("*").alias("n_files"), F.sum("size").alias("used")), limit, cleanup=True, least=0.0)
+    to_free = checked.head().to_free  # one row
+    deleted = C.until_freed(files, "size", ["ts", "event_id"], to_free) if to_free is not None else files.limit(0)
+    return L.after_cleanup(checked, deleted, limit)
 
 
 @query("""SELECT kind AS name, CASE WHEN event_id % 2 = 0 THEN 'idle' WHEN ts < TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 180 MINUTE THEN 'stale' ELSE 'running' END AS state FROM (SELECT user_id::VARCHAR AS kind, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1)""")

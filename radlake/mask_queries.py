@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import kernels as K
 from .operators import voxels as V
 from .plans import masks as P
-from .queries import SIZE, VOXELS_SQL, _cells, _mask
+from .queries import SIZE, VOXELS_SQL, _axis, _cells, _mask
 from .registry import ORACLE_SQL, query
 
 _GRID = "i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 6"
@@ -280,6 +280,17 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("p_partkey", "step", F.col("operation.type").alias("kind"), F.try_element_at("operation.parameters", F.lit("margin_mm")).alias("margin"))
 
 
+@query(VOXELS_SQL + """, n AS (SELECT comparison_id, count(*) FILTER (in_a)::DOUBLE AS na, count(*) FILTER (in_b)::DOUBLE AS nb, count(*) FILTER (in_a AND in_b)::DOUBLE AS nab, 448.0::DOUBLE AS g FROM c2 GROUP BY 1),
+p AS (SELECT comparison_id, [nab, na - nab, nb - nab, g - na - nb + nab] AS j, [na, g - na] AS x, [nb, g - nb] AS y FROM n),
+h AS (SELECT comparison_id, list_sum(list_transform(j, lambda c: CASE WHEN c > 0 THEN -c / 448 * ln(c / 448) ELSE 0 END)) AS hj, list_sum(list_transform(x, lambda c: CASE WHEN c > 0 THEN -c / 448 * ln(c / 448) ELSE 0 END)) AS hx, list_sum(list_transform(y, lambda c: CASE WHEN c > 0 THEN -c / 448 * ln(c / 448) ELSE 0 END)) AS hy FROM p),
+u AS (""" + _axis("a", "b", _STEP) + "), o AS (" + _axis("b", "a", _STEP) + """), m AS (SELECT comparison_id, 2 * hj - hx - hy AS vi, coalesce(u.d, 0) AS umdc, coalesce(o.d, 0) AS omdc FROM h LEFT JOIN u USING (comparison_id) LEFT JOIN o USING (comparison_id))
+SELECT comparison_id, metric, round(value, 9) AS value FROM (SELECT comparison_id, unnest(['vi', 'mdc', 'umdc', 'omdc']) AS metric, unnest([vi, (umdc + omdc) / 2, umdc, omdc]) AS value FROM m)""")
+def voxel_bulk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four metrics of the driver at unequal spacings."""
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP).filter(F.col("metric").isin("vi", "mdc", "umdc", "omdc"))
+    return m.select("comparison_id", "metric", F.round("value", 9).alias("value"))
+
+
 # --- masks in a grid of a scanner -------------------------------------------------------
 
 SCAN = (128, 128, 128)

@@ -7,8 +7,11 @@ the key can try identifiers until one fits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import digits, keyed
@@ -173,6 +176,22 @@ def with_frame(items: Column, frame: Column, field: str = "frame_uid") -> Column
     return F.transform(items, lambda x: F.when(frame.isNotNull() & (frame != ""), x.withField(field, frame)).otherwise(x))
 
 
+def anywhere(items: Column, kind: DataType, new: dict[str, Callable[[Column], Column]]) -> Column:
+    """Nested items with the named fields replaced wherever they stand in the tree of structs and arrays; kind: its type."""
+    if isinstance(kind, ArrayType):
+        return F.transform(items, lambda x: anywhere(x, kind.elementType, new))
+    if isinstance(kind, StructType):
+        fields = [(new[f.name](items[f.name]) if f.name in new else anywhere(items[f.name], f.dataType, new)).alias(f.name) for f in kind.fields]
+        return F.when(items.isNotNull(), F.struct(*fields))
+    return items
+
+
+def reframed(sets: DataFrame, columns: list[str], frame: Column, fields: tuple[str, ...] = ("frame_uid", "referenced_frame_uid")) -> DataFrame:
+    """Sets whose frames of reference (0020,0052) and (3006,0024) become ``frame`` at every depth of the columns; a set without a frame to put stays."""
+    put = {f: lambda old: F.when(old.isNotNull() & frame.isNotNull() & (frame != ""), frame).otherwise(old) for f in fields}
+    return sets.withColumns({c: anywhere(F.col(c), sets.schema[c].dataType, put) for c in columns})
+
+
 def remap_references(sets: DataFrame, mapping: DataFrame, key: str, references: str) -> DataFrame:
     """Sets whose array of referenced UIDs goes through (uid_from, uid_to), in order; what is not mapped passes through."""
     one = mapping.groupBy(F.col("uid_from").alias("_from")).agg(F.min("uid_to").alias("_to"))

@@ -240,6 +240,35 @@ def added_path(reference: np.ndarray, test: np.ndarray, threshold: float = 3.0,
     return float(missed.sum() * width)
 
 
+def information(na: int, nb: int, nab: int, size: int) -> float:
+    """Variation of information of two masks in a grid of that size, from counts."""
+    h = lambda *counts: -sum(c / size * np.log(c / size) for c in counts if c)
+    return float(2 * h(nab, na - nab, nb - nab, size - na - nb + nab) - h(na, size - na) - h(nb, size - nb))
+
+
+def along_axes(source: np.ndarray, target: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> np.ndarray:
+    """From each voxel of the source the distance to the nearest one of the target along an axis; NaN if no axis meets one."""
+    best = np.full(source.shape, np.inf)
+    for axis, step in enumerate(spacing):
+        place = np.arange(source.shape[axis]).reshape([-1 if a == axis else 1 for a in range(3)])
+        before = np.maximum.accumulate(np.where(target, place, -np.inf), axis)
+        after = np.flip(np.minimum.accumulate(np.flip(np.where(target, place, np.inf), axis), axis), axis)
+        best = np.minimum(best, np.minimum(place - before, after - place) * step)
+    found = best[source]
+    return np.where(np.isfinite(found), found, np.nan)
+
+
+def conformity(a: np.ndarray, b: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> tuple[float, float, float]:
+    """mdc, umdc, omdc: mean distances of what b misses and of what b has too much, and their mean; 0 where there is nothing."""
+    def mean(source: np.ndarray, target: np.ndarray) -> float:
+        d = along_axes(source, target, spacing)
+        d = d[~np.isnan(d)]
+        return float(d.mean()) if len(d) else 0.0
+
+    under, over = mean(a & ~b, b), mean(b & ~a, a)
+    return (under + over) / 2, under, over
+
+
 def _with_geometry(rows: DataFrame, size, spacing, geometry: DataFrame | None) -> DataFrame:
     """Rows with nx, ny, nz, sx, sy, sz: of their own mask, or the same for all."""
     if geometry is not None:
@@ -319,7 +348,7 @@ def filled_parts(rows: DataFrame, size: tuple[int, int, int] | None = None, full
 
 
 def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), geometry: DataFrame | None = None, axis_mode: str = "reference", tolerance: float = 3.0, threshold: float = 3.0) -> DataFrame:
-    """(comparison_id, metric, value, error): dsc, jsc, voe, cs, msd, hd95, surface_dsc and apl of in_a against in_b.
+    """(comparison_id, metric, value, error): dsc, jsc, voe, cs, vi, msd, hd95, surface_dsc, apl, mdc, umdc and omdc of in_a against in_b.
 
     A metric that fails is null, with the reason; the others of its comparison
     are there. Distances are worked out in the box around both masks.
@@ -342,6 +371,7 @@ def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1
             "dsc": lambda: 2 * both / (na + nb) if na + nb else 1.0, "jsc": lambda: both / some if some else 1.0, "voe": lambda: 1 - both / some if some else 0.0,
             "cs": lambda: both / np.sqrt(float(na) * nb) if na and nb else 0.0, "msd": lambda: directed()[0], "hd95": lambda: directed()[1],
             "surface_dsc": lambda: surface_dice(a, b, tolerance, step, axis_mode), "apl": lambda: added_path(a, b, threshold, step),
+            "vi": lambda: information(na, nb, both, int(np.prod(shape))), "mdc": lambda: conformity(a, b, step)[0], "umdc": lambda: conformity(a, b, step)[1], "omdc": lambda: conformity(a, b, step)[2],
         }
         rows = []
         for name, compute in wanted.items():

@@ -305,11 +305,11 @@ def last_run(statistics: DataFrame, as_of: Column, minutes: int = 30) -> DataFra
     return statistics.agg(F.coalesce(F.max("created"), as_of - F.make_interval(mins=F.lit(minutes))).alias("last_run"))
 
 
-def retained(files: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Rotated log files with what to do: delete those older than so many days, compress others that are not, keep the rest."""
+def retained(files: DataFrame, as_of: Column, delete_days: int = 30, compress_days: int = 7) -> DataFrame:
+    """Rotated log files with what to do: delete those older than so many days, compress others that are older than some and not compressed, keep the rest."""
     rotated = F.col("path").rlike(r"\.log\.")
-    old = F.col("mtime") < as_of - F.make_interval(days=F.lit(days))
-    return files.filter(rotated).withColumn("action", F.when(old, "delete").when(~F.col("path").endswith(".gz"), "compress").otherwise("keep"))
+    older = lambda days: F.col("mtime") < as_of - F.make_interval(days=F.lit(days))
+    return files.filter(rotated).withColumn("action", F.when(older(delete_days), "delete").when(older(compress_days) & ~F.col("path").endswith(".gz"), "compress").otherwise("keep"))
 
 
 def stale(cached: Column, as_of: Column, minutes: int = 30) -> Column:
@@ -317,8 +317,13 @@ def stale(cached: Column, as_of: Column, minutes: int = 30) -> Column:
     return F.coalesce(cached < as_of - F.make_interval(mins=F.lit(minutes)), F.lit(True))
 
 
+def url_error(url: Column) -> Column:
+    """Why a base URL is refused: it has no slash at its end. An empty one is not refused."""
+    return F.when((F.coalesce(url, F.lit("")) != "") & ~url.endswith("/"), "The base URL must end with a trailing slash (/). Please add this / at the end of the URL.")
+
+
 def with_slash(url: Column) -> Column:
-    """A base URL that ends with one slash; empty stays."""
+    """A base URL that ends with one slash; empty stays. For those who mend an URL that url_error refuses."""
     return F.when(F.coalesce(url, F.lit("")) == "", url).otherwise(F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/")))
 
 
@@ -341,8 +346,9 @@ def destination(destinations: DataFrame, title: str) -> DataFrame:
 
 
 def available_structures(structures: DataFrame) -> DataFrame:
-    """(label): label or, without one, name of every structure, sorted, each once."""
-    return structures.select(F.coalesce(F.nullif("roi_label", F.lit("")), "name").alias("label")).distinct().orderBy("label")
+    """(value, label, model) of every structure of a model: label or, without one, name; by label when a page is taken."""
+    label = F.coalesce(F.nullif("roi_label", F.lit("")), "name")
+    return structures.select(label.alias("value"), label.alias("label"), "model")
 
 
 def history(queries: DataFrame, user: str, status: str | None = None) -> DataFrame:
@@ -365,3 +371,20 @@ def service_status(transactions: DataFrame, files: DataFrame, started: Column, a
     seconds = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(started.cast("timestamp"))
     both = t.crossJoin(f)  # one row each
     return both.select(uptime(seconds).alias("uptime"), "files", "bytes", average_mb(F.col("bytes"), F.col("files")).alias("average_mb"), (F.col("bytes") * 100 / limit).alias("percent"), "transactions", "failures")
+
+
+#: Share of the limit that a clean-up frees, and the least that it frees (fixed values).
+FREED_SHARE, FREED_LEAST = 0.2, 10 << 30
+
+
+def storage_check(usage: DataFrame, limit: float, cleanup: bool, least: float = FREED_LEAST) -> DataFrame:
+    """Usage (n_files, used) with exceeded, and to_free: what a clean-up is to free, null if none is triggered."""
+    over = F.col("used") >= limit
+    return usage.withColumns({"exceeded": over, "to_free": F.when(over & F.lit(cleanup), F.lit(float(max(least, FREED_SHARE * limit))))})
+
+
+def after_cleanup(checked: DataFrame, deleted: DataFrame, limit: float) -> DataFrame:
+    """(n_files, used, exceeded, deleted, freed) after the files in ``deleted`` (size) are gone."""
+    gone = deleted.agg(F.count("*").alias("deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("freed"))
+    rows = checked.select("n_files", "used").crossJoin(gone)  # one row each
+    return rows.select((F.col("n_files") - F.col("deleted")).alias("n_files"), (F.col("used") - F.col("freed")).alias("used"), (F.col("used") - F.col("freed") >= limit).alias("exceeded"), "deleted", "freed")

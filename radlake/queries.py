@@ -446,11 +446,17 @@ for _code in _VR_SQL:
     _vr(_code)
 
 
-@query("""SELECT vr, len(list_distinct(CASE WHEN vr IN ('FL', 'DS', 'US') THEN [1, 2, 3, 4, 5, 6] WHEN vr IN ('LO', 'PN') THEN [1, 2, 3, 4, 5, 6, 7, 8] WHEN vr = 'DA' THEN [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12] ELSE [1, 2] END))::INT AS n
-FROM (VALUES ('FL'), ('DS'), ('US'), ('LO'), ('PN'), ('DA'), ('SQ'), ('AT')) t(vr)""")
+_CODES = ["FL", "DS", "US", "LO", "PN", "DA", "SQ", "AT"]
+
+
+@query(f"""SELECT p_partkey, vr, o AS operator, vr IN ('FL', 'DS', 'US') AND (o IN ({str(VR.NUMERIC_OPERATORS)[1:-1]})) OR vr IN ('LO', 'PN') AND (o IN ({str(VR.STRING_OPERATORS)[1:-1]})) OR vr = 'DA' AND (o IN ({str(VR.NUMERIC_OPERATORS + VR.STRING_OPERATORS)[1:-1]}))
+OR o IN ('EQUALS', 'NOT_EQUALS') AND vr IN ('SQ', 'AT') AS ok FROM (SELECT p_partkey, ({_CODES})[p_partkey % 8 + 1] AS vr, ({sorted(set(VR.NUMERIC_OPERATORS) | set(VR.STRING_OPERATORS))})[p_size % 12 + 1] AS o FROM part)""")
 def vr_operator_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for c in ("FL", "DS", "US", "LO", "PN", "DA", "SQ", "AT")], "vr string")
-    return codes.select("vr", F.size(VR.operators(F.col("vr"))).alias("n"))
+    """Rules of a table, each with a representation and an operator: whether they go together."""
+    every = sorted(set(VR.NUMERIC_OPERATORS) | set(VR.STRING_OPERATORS))
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    rules = T.table(spark, sf_dir, "part").select("p_partkey", pick(_CODES, F.col("p_partkey") % 8).alias("vr"), pick(every, F.col("p_size") % 12).alias("operator"))
+    return rules.withColumn("ok", F.array_contains(VR.operators(F.col("vr")), F.col("operator")))
 
 
 @query(r"""SELECT doc_id, CASE WHEN text IS NULL OR text IN ('', '#') THEN '#' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g'),
@@ -644,9 +650,9 @@ def voxel_distance_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("comparison_id", F.round("msd", 9).alias("msd"), F.round("hd95", 9).alias("hd95"))
 
 
-def _axis(source: str, target: str) -> str:
+def _axis(source: str, target: str, step: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> str:
     lines = " UNION ALL ".join(
-        f"SELECT s.comparison_id, s.i, s.j, s.k, abs(s.{x} - t.{x}) AS d FROM {source} s JOIN {target} t ON s.comparison_id = t.comparison_id AND " + " AND ".join(f"s.{n} = t.{n}" for n in "ijk" if n != x) for x in "ijk"
+        f"SELECT s.comparison_id, s.i, s.j, s.k, abs(s.{x} - t.{x}) * {w} AS d FROM {source} s JOIN {target} t ON s.comparison_id = t.comparison_id AND " + " AND ".join(f"s.{n} = t.{n}" for n in "ijk" if n != x) for x, w in zip("ijk", step)
     )
     return f"SELECT comparison_id, avg(d) AS d FROM (SELECT comparison_id, i, j, k, min(d) AS d FROM ({lines}) WHERE (comparison_id, i, j, k) NOT IN (SELECT (comparison_id, i, j, k) FROM {target}) GROUP BY ALL) GROUP BY 1"
 

@@ -424,3 +424,44 @@ def test_names_of_fields_and_files(spark):
     row = spark.createDataFrame([("left_border_description", "roiUrl", "../a\\b/..", "")], "a string, b string, c string, d string")
     got = row.select(S.humanized(F.col("a")), S.humanized(F.col("b")), S.file_name(F.col("c")), S.file_name(F.col("d")), S.progress(F.lit(1), F.lit(3)), S.cleanup_target(F.lit(100.0))).first()
     assert tuple(got) == ("Left Border Description", "Roi URL".replace("Roi", "ROI"), "__a_b__", "unnamed", 33.3, 20.0)
+
+
+def test_metrics_of_the_driver():
+    rng = np.random.default_rng(7)
+    step = (1.5, 1.0, 2.0)
+    for _ in range(5):
+        a, b = rng.random((5, 6, 7)) < 0.3, rng.random((5, 6, 7)) < 0.2
+        want = []
+        for source, target in ((a & ~b, b), (b & ~a, a)):
+            d = []
+            for p in np.argwhere(source):
+                near = [abs(q[x] - p[x]) * step[x] for q in np.argwhere(target) for x in range(3) if all(q[y] == p[y] for y in range(3) if y != x)]
+                d += [min(near)] if near else []
+            want.append(float(np.mean(d)) if d else 0.0)
+        assert np.allclose(K.conformity(a, b, step), ((want[0] + want[1]) / 2, *want))
+        x, y = a.ravel().astype(int), b.ravel().astype(int)
+        joint = np.histogram2d(x, y, 2)[0] / x.size
+        h = lambda p: -sum(v * np.log(v) for v in np.ravel(p) if v > 0)
+        assert np.isclose(K.information(int(a.sum()), int(b.sum()), int((a & b).sum()), a.size), 2 * h(joint) - h(joint.sum(0)) - h(joint.sum(1)))
+    none = np.zeros((3, 3, 3), bool)
+    assert K.conformity(none, none) == (0.0, 0.0, 0.0) and K.information(0, 0, 0, 27) == 0.0
+
+
+def test_ages_of_logs(spark):
+    now = dt.datetime(2024, 3, 1)
+    files = [(f"/l/a.log.{k}{'.gz' if k % 2 else ''}", now - dt.timedelta(days=d)) for k, d in enumerate((40, 40, 20, 20, 3, 3))] + [("/l/a.log", now - dt.timedelta(days=99))]
+    got = {r.path[-4:]: r.action for r in L.retained(spark.createDataFrame(files, "path string, mtime timestamp"), F.lit(now)).collect()}
+    assert got == {"og.0": "delete", "1.gz": "delete", "og.2": "compress", "3.gz": "keep", "og.4": "keep", "5.gz": "keep"}
+
+
+def test_refused_urls(spark):
+    rows = spark.createDataFrame([("http://x/",), ("http://x",), ("",), (None,)], "u string")
+    assert [r.e is None for r in rows.select(L.url_error(F.col("u")).alias("e")).collect()] == [True, False, True, True]
+
+
+def test_storage_flag(spark):
+    usage = spark.createDataFrame([(3, 100.0)], "n_files long, used double")
+    row = lambda limit, cleanup, least=5.0: tuple(L.storage_check(usage, limit, cleanup, least).select("exceeded", "to_free").first())
+    assert row(100.0, True) == (True, 20.0) and row(100.0, True, 50.0) == (True, 50.0) and row(100.0, False) == (True, None) and row(100.1, True) == (False, None)
+    gone = spark.createDataFrame([(60,)], "size long")
+    assert tuple(L.after_cleanup(usage, gone, 50.0).first()) == (2, 40.0, False, 1, 60)
