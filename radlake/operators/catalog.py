@@ -95,13 +95,37 @@ def symmetric_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct()
 
 
+#: Characters of the longest grams of the index.
+GRAM = 3
+
+
+def _grams(text: Column, q: Column) -> Column:
+    """The different runs of q characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - q + 1), lambda i: F.substring(text, i, q)))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(x, y): every text x of inner with every text y of outer that holds it; texts are not empty.
+
+    By an index of grams: of x the gram that the fewest texts of outer have
+    selects those that are compared. A text shorter than a gram is a gram.
+    """
+    indexed = outer.select("y").distinct().withColumn("_q", F.explode(F.sequence(F.lit(1), F.least(F.char_length("y"), F.lit(GRAM)))))
+    indexed = indexed.select("y", F.explode(_grams(F.col("y"), F.col("_q"))).alias("_gram"))
+    counts = indexed.groupBy("_gram").agg(F.count("*").alias("_n"))
+    own = inner.select("x").distinct().select("x", F.explode(_grams(F.col("x"), F.least(F.char_length("x"), F.lit(GRAM)))).alias("_gram"))
+    rarest = own.join(counts, "_gram", "left").groupBy("x").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return rarest.join(indexed, "_gram").filter(F.col("y").contains(F.col("x"))).select("x", "y")
+
+
 def tiered_match(names: DataFrame, templates: DataFrame) -> DataFrame:
     """(name, template, tier): the best template of each name.
 
     Tiers: equal without case, spaces as _, without separators, one inside the
     other without case. The first three are equi joins on normalised names, in
     which the last of several equal templates counts; what is left meets the
-    templates, in the order in which their names first appear.
+    templates through an index of grams, in the order in which their names first
+    appear. The empty text is inside every other one.
     """
     forms = [F.lower, lambda c: F.regexp_replace(F.lower(c), " ", "_"), lambda c: F.regexp_replace(F.lower(c), "[ _-]", "")]
     t = templates.select(F.col("name").alias("template"), "position")
@@ -111,10 +135,17 @@ def tiered_match(names: DataFrame, templates: DataFrame) -> DataFrame:
         hit = left.join(last, form(F.col("name")) == F.col("_form")).select("name", "template", F.lit(tier).alias("tier"))
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit, "name", "left_anti")
-    known = t.groupBy(F.lower("template").alias("_form")).agg(F.max_by("template", "position").alias("template"), F.min("position").alias("position"))
-    name = F.lower("name")
-    hit = left.join(known, name.contains(F.col("_form")) | F.col("_form").contains(name))
-    return found.unionByName(hit.groupBy("name").agg(F.min_by("template", "position").alias("template")).withColumn("tier", F.lit(4)))
+    left = left.filter("name IS NOT NULL").withColumn("_low", F.lower("name"))
+    known = t.filter("template IS NOT NULL").groupBy(F.lower("template").alias("_form")).agg(F.max_by("template", "position").alias("template"), F.min("position").alias("position"))
+    low, form = left.filter("_low <> ''").select("_low").distinct(), known.filter("_form <> ''").select("_form")
+    pairs = contained(form.withColumnRenamed("_form", "x"), low.withColumnRenamed("_low", "y")).select(F.col("x").alias("_form"), F.col("y").alias("_low"))
+    pairs = pairs.union(contained(low.withColumnRenamed("_low", "x"), form.withColumnRenamed("_form", "y")).select(F.col("y").alias("_form"), F.col("x").alias("_low")))
+    hits = left.join(pairs, "_low").join(known, "_form").select("name", "template", "position")
+    none = known.filter("_form = ''").select("template", "position")  # one row at the most, for every name
+    first = known.agg(F.min_by("template", "position").alias("template"), F.min("position").alias("position"))  # one row, for the empty name
+    hits = hits.union(left.select("name").crossJoin(F.broadcast(none))).union(left.filter("_low = ''").select("name").crossJoin(F.broadcast(first)))
+    best = hits.filter("position IS NOT NULL").groupBy("name").agg(F.min_by("template", "position").alias("template"))
+    return found.unionByName(best.withColumn("tier", F.lit(4)))
 
 
 def remap(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:

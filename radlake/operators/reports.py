@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..scratch import saved
+
 
 def counts_since(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """One row of counts, all in one pass."""
@@ -164,3 +169,48 @@ def slice_order(slices: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     order = W.partitionBy("series_uid").orderBy(zero("instance_number"), zero("slice_location"), zero("z"), "path")
     return slices.withColumn("slice_index", F.row_number().over(order) - 1)
+
+
+#: Buckets of a histogram of medians(), and rows that are few enough to be sorted.
+BUCKETS, FEW = 1024, 2048
+
+
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, median: the exact median of each group, as median() gives it, without one task that holds a group.
+
+    A histogram between the least and the largest value tells in which bucket the
+    middle lies; only this bucket is looked at again, between its own least and
+    largest value, until it has few rows or one value. Nulls are left out, NaN is
+    larger than all numbers; a group without values has null.
+    """
+    kept = rows.select(F.struct(*by).alias("key"), F.col(value).cast("double").alias("v"))
+    real = kept.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = kept.groupBy("key").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNotNull() & ~F.isnan("v")).alias("c"), F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"), F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"))
+    counts = saved(counts, "medians")
+    middle = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.floor((F.col("n") - 1 + k) / 2).alias("rank")) for k in (0, 1)])).alias("m")
+    state = counts.filter("n > 0").select("key", middle, "c", "lo", "hi").select("key", "m.which", "m.rank", "c", "lo", "hi")
+    nan = state.filter("rank >= c").select("key", "which", F.lit(float("nan")).alias("v"))
+    open_ = state.filter("rank < c")
+    done = [nan]
+    while True:
+        done.append(open_.filter("lo = hi").select("key", "which", F.col("lo").alias("v")))
+        few = open_.filter((F.col("lo") < F.col("hi")) & (F.col("c") <= FEW))
+        met = real.join(few, "key").filter("v >= lo AND v <= hi")
+        order = F.row_number().over(W.partitionBy("key", "which").orderBy("v"))  # few rows
+        done.append(met.withColumn("_k", order).filter("_k = rank + 1").select("key", "which", "v"))
+        many = open_.filter((F.col("lo") < F.col("hi")) & (F.col("c") > FEW))
+        if many.isEmpty():
+            break
+        # halves of finite numbers, as the distance of two doubles need not be one; where it is 0, the least value has a bucket of its own
+        half = lambda c: F.greatest(F.least(F.col(c), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)) / 2
+        width = half("hi") - half("lo")
+        bucket = F.when(width > 0, F.least(F.floor((half("v") - half("lo")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise((F.col("v") > F.col("lo")).cast("long")).alias("bucket")
+        inside = real.join(many, "key").filter("v >= lo AND v <= hi")
+        histogram = inside.groupBy("key", "which", "rank", bucket).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("c").over(W.partitionBy("key", "which").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # BUCKETS rows at the most
+        here = histogram.withColumn("_b", before).filter("_b <= rank AND rank < _b + c")
+        open_ = saved(here.select("key", "which", (F.col("rank") - F.col("_b")).alias("rank"), "c", "lo", "hi"), "medians")
+    middle = F.when(F.abs(F.sum("v")) == float("inf"), F.sum(F.col("v") / 2)).otherwise(F.sum("v") / 2)  # a sum may be too large
+    values = reduce(lambda a, b: a.union(b), done).groupBy("key").agg(middle.alias("median"))
+    out = counts.select("key").join(values, "key", "left")
+    return out.select(*[F.col(f"key.{c}").alias(c) for c in by], "median")

@@ -356,7 +356,8 @@ def dashboard_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS kind, median(value) FILTER (value > 0) / 60 AS minutes FROM events GROUP BY 1")
 def dashboard_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.transactions(spark, sf_dir).groupBy("kind").agg((F.median(F.when(F.col("bytes") > 0, F.col("bytes"))) / 60).alias("minutes"))
+    rows = T.transactions(spark, sf_dir).select("kind", F.when(F.col("bytes") > 0, F.col("bytes")).alias("bytes"))
+    return R.medians(rows, ["kind"], "bytes").select("kind", (F.col("median") / 60).alias("minutes"))
 
 
 @query(cte("study", "series") + """SELECT patient_id, study_uid, count(*) AS n_series, sum(instance_count)::BIGINT AS n_instances, grouping(patient_id, study_uid)::BIGINT AS level FROM series JOIN study USING (study_uid) GROUP BY ROLLUP (patient_id, study_uid)""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
@@ -16,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import color, interpreted_type
 from ..registry import PARSERS, register_parser
+from ..scratch import shared_folder as shared_folder
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -45,19 +44,6 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, below spark.checkpoint.dir, as a URI; on one machine, where that is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="radlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
-
-
 def write_files(rows: DataFrame, folder: str) -> int:
     """Writes (name, content) as files below a shared folder, in tasks; the number of files."""
 

@@ -325,6 +325,55 @@ def test_tiers(spark):
     assert got == {"Heart": ("HEART", 1), "spinal cord": ("spinal_cord", 2), "Lung-L": ("lung_l", 3), "xx kidney yy": ("kidney", 4)}
 
 
+def test_texts_inside_others(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    names = [word(rng.randint(0, 9)) for _ in range(150)] + ["%_a", "a%", None, "A b"]
+    templates = [(word(rng.randint(1, 5)), k) for k in range(60)] + [("%", 60), (None, 61), ("AB", 62), ("ab", 63)]
+    x, y = {t.lower() for t, _ in templates if t}, {n.lower() for n in names if n}
+    frame = lambda v, c: spark.createDataFrame([(t,) for t in v], f"{c} string")
+    assert {tuple(r) for r in C.contained(frame(x, "x"), frame(y, "y")).collect()} == {(a, b) for a in x for b in y if a in b}
+    for extra in ([], [("", 70)]):
+        table = templates + extra
+        forms = [str.lower, lambda v: v.lower().replace(" ", "_"), lambda v: v.lower().replace(" ", "").replace("_", "").replace("-", "")]
+
+        def best(n):
+            for tier, f in enumerate(forms, 1):
+                hit = [t for t, _ in table if t is not None and f(t) == f(n)]
+                if hit:
+                    return hit[-1], tier
+            last, first = {}, {}
+            for t, k in table:
+                if t is not None:
+                    last[t.lower()] = t
+                    first.setdefault(t.lower(), k)
+            hit = [(first[f], last[f]) for f in last if f in n.lower() or n.lower() in f]
+            return (min(hit)[1], 4) if hit else None
+
+        want = {n: best(n) for n in names if n is not None and best(n)}
+        got = C.tiered_match(frame(names, "name"), spark.createDataFrame(table, "name string, position int"))
+        assert {r.name: (r.template, r.tier) for r in got.collect()} == want
+    assert "NestedLoop" not in C.contained(frame(x, "x"), frame(y, "y"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians(spark, monkeypatch):
+    from radlake.operators import reports as RE
+
+    rng = np.random.default_rng(8)
+    rows = [("skewed", float(v)) for v in np.exp(rng.normal(0, 8, 3000))] + [("ties", 5.0)] * 700 + [("ties", 6.0)] * 700 + [("one", 3.0), (None, 4.0), (None, 2.0), ("none", None), ("none", None)]
+    rows += [("odd", float(v)) for v in rng.integers(-5, 5, 1001)] + [("wide", s * 1.7e308) for s in (-1, 1)] * 60 + [("small", k * 5e-324) for k in range(90)] + [("inf", float("inf")), ("inf", 1.0), ("inf", 1.7976931348623157e308)] * 40
+    rows += [("nan", float("nan"))] * 50 + [("nan", 1.0)] * 49
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    for few in (2048, 10):
+        monkeypatch.setattr(RE, "FEW", few)
+        got = {r.g: r.median for r in RE.medians(df, ["g"], "v").collect()}
+        assert set(got) == set(want) and all(got[g] == want[g] or want[g] is not None and (np.isclose(got[g], want[g], rtol=1e-12) or np.isnan(got[g]) and np.isnan(want[g])) for g in want)
+    assert RE.medians(df.limit(0), ["g"], "v").count() == 0
+
+
 def test_unknown_level_has_no_answer(spark):
     catalog = {"patients": spark.createDataFrame([("1", "A")], "patient_id string, patient_name string"), "studies": spark.createDataFrame([("1", "2")], "patient_id string, study_uid string")}
     assert Q.query("WORLD", {}, catalog).count() == 0
