@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from .operators import catalog as C
 from .registry import query
 from .sources import dicom, files
 from .sources import tables as T
-from .streaming import completion
+from .sources.tables import cte
+from .streaming import completion, ingest
 
 # --- files -------------------------------------------------------------------------------
 
@@ -195,6 +197,51 @@ def stream_series_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("ae", "series_uid", "n", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.size(F.array_distinct("sop_uids")).cast("long").alias("n_sops")).withColumn("first", F.regexp_replace("first", r"\.?0+$", ""))
 
 
+@query("""WITH f AS (SELECT user_id AS ae, event_type AS series_uid, min(struct_pack(ts := ts, e := event_id)) AS f FROM events GROUP BY ALL), r AS (SELECT *, lead(f) OVER (PARTITION BY ae ORDER BY f) AS n FROM f)
+SELECT r.ae, r.series_uid, count(*) FILTER (n IS NULL OR struct_pack(ts := ts, e := event_id) < n) AS files, count(DISTINCT event_id % 5) FILTER (n IS NULL OR struct_pack(ts := ts, e := event_id) < n) AS images, count(*) FILTER (n IS NOT NULL AND struct_pack(ts := ts, e := event_id) > n) AS late
+FROM events JOIN r ON user_id = r.ae AND event_type = r.series_uid GROUP BY ALL""")
+def stream_late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a series that is complete are dropped and counted; images that come twice count twice, as files."""
+    folder = files.shared_folder(spark, "late")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ae"), F.col("event_type").alias("series_uid"))
+    e = e.withColumns({"sop_uid": (F.col("event_id") % 5).cast("string"), "path": F.concat(F.lit("/in/"), F.col("event_id").cast("string")), "released": F.lit(False)})
+    last = e.groupBy("ae").agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
+    ends = last.select((F.col("event_id") + 10**9).alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), "ae", *[F.lit(None).cast("string").alias(c) for c in ("series_uid", "sop_uid", "path")], F.lit(True).alias("released"))
+    rows = e.unionByName(ends)
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.mode("overwrite").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    out = completion.series_stream(stream, drop_late=True).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode("append")
+    completion.run_to_end(spark, out)
+    done = spark.read.schema(completion.ALL).parquet(f"{folder}/out")
+    total = lambda c, test: F.coalesce(F.sum(F.when(test, c)), F.lit(0)).cast("long")
+    late = F.col("late")
+    return done.groupBy("ae", "series_uid").agg(total(F.size("paths"), ~late).alias("files"), total(F.size("sop_uids"), ~late).alias("images"), total(F.col("n"), late).alias("late"))
+
+
+class _Stopped(Exception):
+    """A run that is killed after a batch is written and before it is noted as done."""
+
+
+@query(cte("instance") + "SELECT sop_uid, series_uid, path FROM (SELECT *, row_number() OVER (PARTITION BY sop_uid ORDER BY path, size) AS k FROM instance) WHERE k = 1")
+def stream_ingest_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ingest is stopped in its second batch of five and started again: the catalog is that of one pass."""
+    folder = files.shared_folder(spark, "ingest")
+    rows = T.instances(spark, sf_dir).select("sop_uid", "series_uid", "path", "size")
+    rows.repartition(5, "path").write.mode("overwrite").parquet(f"{folder}/in")
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise _Stopped
+
+    where = (f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/checkpoint", 1)
+    try:
+        ingest.ingest(spark, *where, seen=stop).awaitTermination()
+    except StreamingQueryException:
+        pass
+    ingest.ingest(spark, *where).awaitTermination()
+    return ingest.catalog(spark, rows.schema, f"{folder}/out", ["sop_uid"], ["path", "size"]).select("sop_uid", "series_uid", "path")
+
+
 @query("""WITH d AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey, l_partkey, l_linenumber) AS k, l_suppkey AS dir FROM lineitem), f AS (SELECT l_orderkey, dir AS first_dir FROM d WHERE k = 1)
 SELECT l_orderkey AS series_uid, first_dir AS directory, count(*) FILTER (dir = first_dir) AS n, count(*) FILTER (dir <> first_dir) AS n_dropped FROM d JOIN f USING (l_orderkey) GROUP BY ALL""")
 def series_directories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,68 +7,123 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Silence after which a sender's last series counts as complete, and how long a complete series is remembered.
+QUIET_MS, REMEMBERED_MS = 600_000, 7 * 86_400_000
 OUT = "ae long, series_uid string, n long, first timestamp, last timestamp, sop_uids array<string>, paths array<string>"
-STATE = "series_uid string, n long, first timestamp, last timestamp, sop_uids array<string>, paths array<string>"
-_NAMES = ["ae", "series_uid", "n", "first", "last", "sop_uids", "paths"]
+ALL = f"{OUT}, late boolean"
+_NAMES = [c.split()[0] for c in ALL.split(", ")]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def complete(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emits a series when its sender goes on to another, releases its association, or is silent past the timeout.
+class Series(StatefulProcessor):
+    """Of each sender: the open series, its files, its SOP UIDs, and the series that are complete.
 
-    Rows of a micro-batch come in no order; of each batch only the columns of
-    the state are held to be sorted by event time. A repeated SOP UID counts
-    once.
+    Files are appended to a list and SOP UIDs put into a map one by one, so a batch
+    writes as much state as it has rows; only when a series ends are they read.
+    Rows of a micro-batch come in no order: those of a sender are sorted by time.
     """
-    if state.hasTimedOut:
-        now = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], *now)], columns=_NAMES)
-        return
-    rows = pd.concat([b[["ts", "event_id", "series_uid", "sop_uid", "path", "released"]] for b in batches]).sort_values(["ts", "event_id"])
-    now = list(state.get) if state.exists else None
-    if now is not None:
-        now[4], now[5] = list(now[4]), list(now[5])
-    seen, out = set(now[4]) if now else set(), []
-    for ts, uid, sop, path, released in zip(rows.ts, rows.series_uid, rows.sop_uid, rows.path, rows.released):
-        if now is not None and (released or now[0] != uid):
-            out.append((key[0], *now))
-            now = None
-        if released:
-            continue
-        if now is None:
-            now, seen = [uid, 0, ts, ts, [], []], set()
-        now[3] = ts
-        if sop not in seen:
-            seen.add(sop)
-            now[1] += 1
-            now[4].append(sop)
-            now[5].append(path)
-    if now is None:
-        state.remove()
-    else:
-        state.update(tuple(now))
-        state.setTimeoutDuration(QUIET_MS)
-    if out:
-        yield pd.DataFrame(out, columns=_NAMES)
-
-
-#: Silence after which a sender's last series counts as complete.
-QUIET_MS = 600_000
-
-
-def completed_series(received: DataFrame) -> DataFrame:
-    """(ae, series_uid, n, first, last, sop_uids, paths) from a stream of (event_id, ts, ae, series_uid[, sop_uid, path, released]).
-
-    A row with released ends the sender's association: its series is complete.
-    A timeout by processing time asks for batches without data for ever: a query
-    that is to end is run with run_to_end().
+
+    def __init__(self, count_repeats: bool, drop_late: bool, quiet_ms: int):
+        self.count_repeats, self.drop_late, self.quiet_ms = count_repeats, drop_late, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "series_uid string, n long, first timestamp, last timestamp")
+        self.files = handle.getListState("files", "sop_uid string, path string")
+        self.sops = handle.getMapState("sops", "sop_uid string", "n long")
+        self.complete = handle.getMapState("complete", "series_uid string", "n long", ttlDurationMs=REMEMBERED_MS if self.drop_late else None)
+
+    def ended(self, key: tuple) -> tuple:
+        """The open series as a row; its state goes."""
+        uid, n, first, last = self.open.get()
+        files = list(self.files.get())
+        sops = list(dict.fromkeys(f[0] for f in files))
+        self.open.clear()
+        self.files.clear()
+        self.sops.clear()
+        if self.drop_late:
+            self.complete.updateValue((uid,), (n,))
+        return key[0], uid, n, first, last, sops, [f[1] for f in files], False
+
+    def quiet(self, timers, again: bool) -> None:
+        """The timer of the sender's silence, set anew."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if again:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.quiet_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([b[["ts", "event_id", "series_uid", "sop_uid", "path", "released"]] for b in rows]).sort_values(["ts", "event_id"])
+        now = list(self.open.get()) if self.open.exists() else None
+        out: list[tuple] = []
+        late: dict[str, list] = {}
+        added: list[tuple] = []
+
+        def keep() -> None:
+            if added:
+                self.files.appendList(added)
+                added.clear()
+            if now is not None:
+                self.open.update(tuple(now))
+
+        for ts, uid, sop, path, released in zip(batch.ts, batch.series_uid, batch.sop_uid, batch.path, batch.released):
+            if not released and self.drop_late and (now is None or now[0] != uid) and self.complete.containsKey((uid,)):
+                seen = late.setdefault(uid, [0, ts, ts])
+                seen[0], seen[2] = seen[0] + 1, ts
+                continue
+            if now is not None and (released or now[0] != uid):
+                keep()
+                out.append(self.ended(key))
+                now = None
+            if released:
+                continue
+            if now is None:
+                now = [uid, 0, ts, ts]
+            now[3] = ts
+            fresh = not self.sops.containsKey((sop,))
+            if fresh:
+                self.sops.updateValue((sop,), (1,))
+            if fresh or self.count_repeats:
+                now[1] += 1
+                added.append((sop, path))
+        keep()
+        self.quiet(timerValues, now is not None)
+        out += [(key[0], uid, n, first, last, [], [], True) for uid, (n, first, last) in late.items()]
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            yield pd.DataFrame([self.ended(key)], columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def series_stream(received: DataFrame, count_repeats: bool = True, drop_late: bool = False, quiet_ms: int = QUIET_MS) -> DataFrame:
+    """ALL from a stream of (event_id, ts, ae, series_uid[, sop_uid, path, released]): complete series, and late files.
+
+    A series is complete when its sender goes on to another, releases its
+    association (a row with released), or is silent past quiet_ms. count_repeats: a
+    file whose SOP UID came before counts in n and paths, as in the studied
+    application; sop_uids has each once. drop_late: a file of a series that is
+    complete opens nothing and ends nothing; a row with late counts those of a
+    batch. Needs the RocksDB state store, which is set here; a timeout by
+    processing time asks for batches without data for ever: a query that is to end
+    is run with run_to_end().
     """
+    received.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     for name, value in (("sop_uid", F.col("event_id").cast("string")), ("path", F.lit(None).cast("string")), ("released", F.lit(False))):
         if name not in received.columns:
             received = received.withColumn(name, value)
-    return received.groupBy("ae").applyInPandasWithState(complete, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return received.groupBy("ae").transformWithStateInPandas(Series(count_repeats, drop_late, quiet_ms), ALL, "Append", "ProcessingTime")
+
+
+def completed_series(received: DataFrame, count_repeats: bool = False) -> DataFrame:
+    """(ae, series_uid, n, first, last, sop_uids, paths) of series that are complete; see series_stream."""
+    return series_stream(received, count_repeats).filter("NOT late").drop("late")
 
 
 def run_to_end(spark: SparkSession, writer) -> None:

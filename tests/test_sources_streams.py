@@ -200,6 +200,89 @@ def test_stream_release_and_repeats(spark, tmp_path):
     assert got == [(1, "a", 2, ["s1", "s2"], ["/1", "/3"])]  # the rest is open
 
 
+def received(spark, at, rows):
+    """A stream of rows, one file for each list: (event_id, second, ae, series, sop, released)."""
+    t = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    schema = "event_id long, ts timestamp, ae long, series_uid string, sop_uid string, path string, released boolean"
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame([(e, t(n), ae, s, sop, f"/{e}", gone) for e, n, ae, s, sop, gone in part], schema)
+        df.coalesce(1).write.mode("append").parquet(str(at / "in"))
+        if k:
+            import time
+
+            time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(at / "in"))
+
+
+def finished(spark, stream, at, name):
+    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(at / name))
+    completion.run_to_end(spark, writer)
+    return [(r.ae, r.series_uid, r.n, r.sop_uids, r.paths, r.late) for r in spark.table(name).collect()]
+
+
+def test_repeats_and_late_files_over_batches(spark, tmp_path):
+    batches = [
+        [(1, 1, 1, "a", "x", False), (2, 2, 1, "a", "x", False)],
+        [(4, 4, 1, "b", "z", False), (3, 3, 1, "a", "y", False)],  # in no order
+        [(5, 5, 1, "a", "late", False), (6, 6, 1, "b", "z", False), (7, 7, 1, "a", "late2", False)],
+        [(8, 8, 1, None, None, True), (9, 9, 2, "a", "q", False)],  # another sender's series of that name is open
+    ]
+    stream = received(spark, tmp_path, batches)
+    a = (1, "a", 3, ["x", "y"], ["/1", "/2", "/3"], False)
+    assert finished(spark, completion.series_stream(stream, drop_late=True), tmp_path, "dropped") == [a, (1, "a", 2, [], [], True), (1, "b", 2, ["z"], ["/4", "/6"], False)]
+    got = finished(spark, completion.series_stream(stream), tmp_path, "taken")
+    assert got == [a, (1, "b", 1, ["z"], ["/4"], False), (1, "a", 1, ["late"], ["/5"], False), (1, "b", 1, ["z"], ["/6"], False), (1, "a", 1, ["late2"], ["/7"], False)]
+    assert finished(spark, completion.series_stream(stream, count_repeats=False), tmp_path, "once")[0] == (1, "a", 2, ["x", "y"], ["/1", "/3"], False)
+
+
+def test_a_silent_sender(spark, tmp_path):
+    """The timer ends the series of a sender that says nothing more."""
+    import time
+
+    stream = received(spark, tmp_path, [[(1, 1, 1, "a", "x", False)]])
+    q = completion.series_stream(stream, quiet_ms=500).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "silent")).start()
+    try:
+        end = time.time() + 60
+        while not spark.table("silent").count() and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert [(r.series_uid, r.n) for r in spark.table("silent").collect()] == [("a", 1)]
+
+
+def test_state_is_written_by_row(spark, tmp_path):
+    """A long series over many batches: state rows updated in a batch don't grow with the series."""
+    stream = received(spark, tmp_path, [[(10 * k + n, 10 * k + n, 1, "a", f"{k}.{n}", False) for n in range(10)] for k in range(6)])
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = completion.series_stream(stream).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    updated = [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows]
+    assert len(updated) == 6 and max(updated[1:]) <= updated[1] + 2
+
+
+def test_an_ingest_that_is_stopped(spark, tmp_path):
+    from radlake.streaming import ingest
+
+    for k in range(5):
+        spark.createDataFrame([(f"s{n}", k) for n in range(k, k + 3)], "sop string, size int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    done = []
+
+    def seen(n):
+        done.append(n)
+        if done == [0, 1]:
+            raise RuntimeError("stopped")
+
+    where = (str(tmp_path / "in"), "sop string, size int", str(tmp_path / "out"), str(tmp_path / "c"), 1)
+    with pytest.raises(Exception, match="stopped"):
+        ingest.ingest(spark, *where, seen=seen).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    ingest.ingest(spark, *where, seen=seen).awaitTermination()
+    assert done == [0, 1, 1, 2, 3, 4]  # the second one again
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 15 and ingest.catalog(spark, "sop string, size int", str(tmp_path / "out"), ["sop"], ["size"]).count() == 7
+
+
 def test_resuming_a_run(spark):
     d = spark.createDataFrame([("a",), ("b",), ("c",)], "directory string")
     at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
