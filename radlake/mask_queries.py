@@ -291,6 +291,23 @@ def voxel_bulk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("comparison_id", "metric", F.round("value", 9).alias("value"))
 
 
+#: A grid and another one, turned by 30 degrees about the last axis, shifted and of another spacing.
+_FROM = ((0.0, 0.0, 0.0), (1.0, 1.0, 2.0), (1, 0, 0, 0, 1, 0, 0, 0, 1))
+_TO = ((-1.3, 2.1, 0.7), (0.8, 0.9, 1.5), (0.866, -0.5, 0, 0.5, 0.866, 0, 0, 0, 1))
+_TO_SIZE = (11, 10, 9)
+
+
+def _mapped(r: int) -> str:
+    m, t = V.index_map(_FROM, _TO)
+    return f"a.{'ijk'[r]} = floor({m[r][0]!r}::DOUBLE * g.i + {m[r][1]!r}::DOUBLE * g.j + {m[r][2]!r}::DOUBLE * g.k + {t[r] + 0.5!r}::DOUBLE)"
+
+
+@query(VOXELS_SQL + f", e AS (SELECT DISTINCT comparison_id FROM a), g AS (SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k FROM e, range({_TO_SIZE[0]}) x(i), range({_TO_SIZE[1]}) y(j), range({_TO_SIZE[2]}) z(k)) SELECT g.* FROM g JOIN a ON a.comparison_id = g.comparison_id AND " + " AND ".join(map(_mapped, range(3))))
+def voxel_reoriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a grid that is turned, shifted and of another spacing."""
+    return V.reoriented(_mask(spark, sf_dir, "A"), _FROM, _TO, _TO_SIZE)
+
+
 # --- masks in a grid of a scanner -------------------------------------------------------
 
 SCAN = (128, 128, 128)

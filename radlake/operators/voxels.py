@@ -7,6 +7,7 @@ they are the unit of partitioning.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -111,6 +112,34 @@ def resampled(mask: DataFrame, spacing: tuple[float, float, float], to: tuple[fl
     return mask.select(*CELL)
 
 
+Geometry = tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]
+
+
+def index_map(of: Geometry, to: Geometry) -> tuple[list[list[float]], list[float]]:
+    """(M, t): the index x of a grid ``to`` lies at M x + t in the grid ``of``. A geometry is origin, spacing, direction (nine cosines by row)."""
+    axes = lambda g: np.array(g[2], float).reshape(3, 3) * np.array(g[1], float)  # noqa: E731  columns are steps along the axes
+    back = np.linalg.inv(axes(of))
+    return (back @ axes(to)).tolist(), (back @ (np.array(to[0], float) - np.array(of[0], float))).tolist()
+
+
+def reoriented(mask: DataFrame, of: Geometry, to: Geometry, size: tuple[int, int, int]) -> DataFrame:
+    """The mask in another grid, shifted, turned or of another spacing, by the nearest voxel: a voxel of the new grid is in it if the old voxel whose cell its middle lies in is.
+
+    Each old voxel meets the new ones in the box around its cell, a number that
+    the two grids bound, and those whose middle lies in the cell stay.
+    """
+    m, t = index_map(of, to)
+    back = np.linalg.inv(np.array(m))
+    shift, half = (back @ np.array(t)).tolist(), (np.abs(back).sum(axis=1) / 2).tolist()
+    out = mask.select("comparison_id", *[F.col(n).alias(f"_{n}") for n in "ijk"])
+    for r, n in enumerate("ijk"):
+        middle = sum((F.lit(float(back[r, c])) * F.col(f"_{x}") for c, x in enumerate("ijk")), F.lit(-shift[r]))
+        low, high = F.greatest(F.ceil(middle - half[r] - 1e-6), F.lit(0)), F.least(F.floor(middle + half[r] + 1e-6), F.lit(size[r] - 1))
+        out = out.withColumn("_low", low.cast("int")).withColumn("_high", high.cast("int")).filter("_low <= _high").withColumn(n, F.explode(F.sequence("_low", "_high")))
+    inside = [F.floor(F.lit(m[r][0]) * F.col("i") + F.lit(m[r][1]) * F.col("j") + F.lit(m[r][2]) * F.col("k") + F.lit(t[r] + 0.5)) == F.col(f"_{x}") for r, x in enumerate("ijk")]
+    return out.filter(inside[0] & inside[1] & inside[2]).select(*CELL)
+
+
 def transposed(mask: DataFrame, order: str = "kji") -> DataFrame:
     """The mask with its axes in another order: kji turns (i, j, k) into (k, j, i)."""
     return mask.select("comparison_id", *[F.col(a).alias(n) for n, a in zip("ijk", order)])

@@ -9,10 +9,13 @@ the file names. A sequence is a list of items, an item a dict.
 
 from __future__ import annotations
 
+import base64
 import codecs
 import datetime as dt
+import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -22,7 +25,10 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.tags import BY_NUMBER, NUMBERS, name_of, tag_id
 
@@ -230,6 +236,117 @@ def tag_map(items: dict[int, tuple], dictionary: Dictionary = DEFAULT) -> dict[s
     return tags or None
 
 
+# --- datasets as JSON ---------------------------------------------------------------------
+
+#: Representations whose value is one text, whatever it holds.
+_SINGLE = {"ST", "LT", "UT", "UR"}
+_BINARY = {"OB", "OD", "OF", "OL", "OV", "OW", "UN"}
+
+
+def to_json(items: dict[int, tuple], dictionary: Dictionary = DEFAULT) -> dict[str, dict]:
+    """Data elements in the JSON model of the standard: sequences nest, numbers of texts stay texts, binary values are base64."""
+    out = {}
+    for tag, (vr, raw, encoding) in sorted(items.items()):
+        if vr == "UN":
+            vr = dictionary.vr(tag)
+        found: dict[str, object] = {"vr": vr}
+        if vr == "SQ":
+            found["Value"] = [to_json(i, dictionary) for i in raw] if isinstance(raw, list) else []
+        elif vr in _BINARY:
+            found["InlineBinary"] = base64.b64encode(raw).decode()
+        elif vr in _NUMBER:
+            form = encoding.order + _NUMBER[vr]
+            n = struct.calcsize(form)
+            found["Value"] = [struct.unpack_from(form, raw, k)[0] for k in range(0, len(raw) - n + 1, n)]
+        elif vr == "AT":
+            found["Value"] = ["%04X%04X" % struct.unpack_from(encoding.order + "HH", raw, k) for k in range(0, len(raw) - 3, 4)]
+        else:
+            shown = decoded(raw, encoding.codec if vr in _TEXTS else "utf-8").rstrip("\0 ")
+            values = [shown] if vr in _SINGLE else shown.split("\\")
+            found["Value"] = [{"Alphabetic": v} if vr == "PN" else v for v in values] if shown else []
+        out[f"{tag:08X}"] = found
+    return out
+
+
+def encoded(data: dict[str, dict], explicit: bool = True) -> bytes:
+    """Little-endian data elements of a dataset in JSON, texts as UTF-8. A value that is too long for its representation becomes UN."""
+    out = []
+    for number, found in sorted(data.items()):
+        tag, vr, values = int(number, 16), found["vr"], found.get("Value") or []
+        if vr == "SQ":
+            items = [encoded(v, explicit) for v in values]
+            raw = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(i)) + i for i in items)
+        elif "InlineBinary" in found:
+            raw = base64.b64decode(found["InlineBinary"])
+        elif vr in _NUMBER:
+            raw = b"".join(struct.pack("<" + _NUMBER[vr], v) for v in values)
+        elif vr == "AT":
+            raw = b"".join(struct.pack("<HH", int(v[:4], 16), int(v[4:], 16)) for v in values)
+        else:
+            raw = "\\".join("" if v is None else "=".join(filter(None, v.values())) if isinstance(v, dict) else str(v) for v in values).encode()
+        raw += (b"\0" if vr in ("UI", "OB", "UN") else b" ") * (len(raw) % 2)
+        head = struct.pack("<HH", tag >> 16, tag & 0xFFFF)
+        if not explicit:
+            out.append(head + struct.pack("<I", len(raw)) + raw)
+            continue
+        kind = vr.encode() if vr.encode() in _LONG or len(raw) < 0x10000 else b"UN"
+        out.append(head + kind + (struct.pack("<HI", 0, len(raw)) if kind in _LONG else struct.pack("<H", len(raw))) + raw)
+    return b"".join(out)
+
+
+def file_of(data: dict[str, dict], explicit: bool = True) -> bytes:
+    """A whole file of a dataset in JSON; its texts are UTF-8, and it says so if it needs to."""
+    if not json.dumps(data, ensure_ascii=False).isascii():
+        data = data | {f"{CHARACTER_SET:08X}": {"vr": "CS", "Value": ["ISO_IR 192"]}}
+    first = lambda tag: (data.get(tag, {}).get("Value") or [""])[0]
+    meta = {"00020002": {"vr": "UI", "Value": [first("00080016")]}, "00020003": {"vr": "UI", "Value": [first("00080018")]}, "00020010": {"vr": "UI", "Value": [IMPLICIT + (".1" if explicit else "")]}}
+    return b"\0" * 128 + b"DICM" + encoded(meta) + encoded(data, explicit)
+
+
+def replaced(data: dict[str, dict], new: dict[str, Callable[[str], str]]) -> dict[str, dict]:
+    """A dataset with the values of some tags replaced wherever they stand in its tree."""
+    out = {}
+    for tag, found in data.items():
+        if found["vr"] == "SQ":
+            found = found | {"Value": [replaced(v, new) for v in found.get("Value") or []]}
+        elif tag in new:
+            found = found | {"Value": [new[tag](v) for v in found.get("Value") or []]}
+        out[tag] = found
+    return out
+
+
+#: Tags of a frame of reference and of UIDs that refer to others (fixed values).
+FRAMES, REFERENCES = ("00200052", "30060024"), ("00081155", "0020000E")
+
+
+def reidentified_json(rows: DataFrame) -> DataFrame:
+    """Rows with ``dataset`` (JSON) given back: ``fields`` (map of keyword to value) at the top, the ``frame`` and referred UIDs (map ``uids``) anywhere in the tree.
+
+    A null or empty value changes nothing, a UID without a mapping stays. Other
+    columns stay as they are.
+    """
+    others = [c for c in rows.columns if c not in ("dataset", "fields", "frame", "uids")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shown, fields, frame, uids in zip(*(batch.column(len(others) + k).to_pylist() for k in range(4))):
+                data, known = json.loads(shown), dict(uids or [])
+                new: dict[str, Callable[[str], str]] = {t: lambda v, known=known: known.get(v, v) for t in REFERENCES}
+                if frame:
+                    new |= {t: lambda v, frame=frame: frame for t in FRAMES}
+                data = replaced(data, new)
+                for keyword, text_ in dict(fields or []).items():
+                    if text_:
+                        vr = DEFAULT.vr(NUMBERS[keyword])
+                        data[f"{NUMBERS[keyword]:08X}"] = {"vr": vr, "Value": [{"Alphabetic": text_} if vr == "PN" else text_]}
+                out.append(json.dumps(dict(sorted(data.items())), ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.string())], [*others, "dataset"])
+
+    chosen = rows.select(*others, "dataset", F.col("fields").cast("map<string,string>"), F.col("frame").cast("string"), F.col("uids").cast("map<string,string>"))
+    return chosen.mapInArrow(run, rows.select(*others, "dataset").schema)
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
@@ -265,7 +382,7 @@ class Folder(InputPartition):
 
     def files(self, system: fs.FileSystem) -> Iterator[fs.FileInfo]:
         for info in system.get_file_info(fs.FileSelector(self.path, recursive=self.deep)):
-            if info.type == fs.FileType.File and (self.shares == 1 or zlib.crc32(info.base_name.encode()) % self.shares == self.share):
+            if info.type == fs.FileType.File and "/_writing-" not in info.path and (self.shares == 1 or zlib.crc32(info.base_name.encode()) % self.shares == self.share):
                 yield info
 
 
@@ -349,11 +466,65 @@ class HeaderReader(DataSourceReader):
             yield batch()
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has put in their places."""
+
+    files: int
+
+
+class FileWriter(DataSourceArrowWriter):
+    """Rows (name, dataset) as files. A task writes all its files aside and then moves them to their names, so one that is killed and done again leaves none twice."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.explicit, self.overwrite = options["path"], options.get("implicit", "false") != "true", overwrite
+        self.aside = f"_writing-{uuid.uuid4().hex}"
+        if overwrite:
+            system, base = file_system(self.path)
+            if system.get_file_info(base).type != fs.FileType.NotFound:
+                system.delete_dir_contents(base)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, base = file_system(self.path)
+        own, names = f"{base}/{self.aside}/{uuid.uuid4().hex}", []
+        system.create_dir(own)
+        for batch in iterator:
+            for name, shown in zip(batch.column("name").to_pylist(), batch.column("dataset").to_pylist()):
+                with system.open_output_stream(f"{own}/{len(names)}") as out:
+                    out.write(file_of(json.loads(shown), self.explicit))
+                names.append(name)
+        if len(set(names)) < len(names):
+            raise ValueError("two files of one name")
+        for k, name in enumerate(names):
+            system.create_dir(f"{base}/{name}".rsplit("/", 1)[0])
+            system.move(f"{own}/{k}", f"{base}/{name}")
+        return Written(len(names))
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.clean()
+        if self.overwrite:
+            system, base = file_system(self.path)
+            there = sum(i.type == fs.FileType.File for i in system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)))
+            wanted = sum(m.files for m in messages if m is not None)
+            if there != wanted:
+                raise ValueError(f"{wanted} files were written, {there} are there: two tasks had files of one name")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.clean()
+
+    def clean(self) -> None:
+        system, base = file_system(self.path)
+        if system.get_file_info(f"{base}/{self.aside}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{base}/{self.aside}")
+
+
 class DicomSource(DataSource):
-    """``spark.read.format("dicom").option("content", "tags" | "images" | "structures").load(folder)``.
+    """``spark.read.format("dicom").option("content", "tags" | "images" | "structures" | "json").load(folder)``.
 
     path, mtime, size, error and, by content: modality and the map of tags, the
-    fields of an image, or the parts of a structure set. dictionary: further tags
+    fields of an image, the parts of a structure set, or the whole dataset before
+    its pixels in JSON. Rows (name, dataset) are written as files, with option
+    implicit in implicit representation. dictionary: further tags
     as ``GGGGEEEE:Keyword:VR,...``. headers() is the way to it: Spark keeps the
     reader of a DataFrame, so one that is used again must push a filter each time.
     """
@@ -368,6 +539,11 @@ class DicomSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return HeaderReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if not {"name", "dataset"} <= set(schema.fieldNames()):
+            raise ValueError("files are written from name and dataset")
+        return FileWriter(dict(self.options), overwrite)
+
 
 def headers(spark: SparkSession, path: str, content: str, dictionary: DataFrame | None = None) -> DataFrame:
     """Rows of the data source; dictionary: further tags (number, keyword, vr), a few thousand at the most."""
@@ -482,9 +658,75 @@ CONTENTS: dict[str, tuple[Callable, pa.Schema]] = {
     "tags": (_tags, pa.schema([("modality", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))])),
     "images": (_images, pa.schema([(f, pa.string()) for f in FIELDS])),
     "structures": (lambda items, dictionary: structure_set(items), STRUCTURES),
+    "json": (lambda items, dictionary: (value(items, "Modality"), json.dumps(to_json(items, dictionary), ensure_ascii=False)), pa.schema([("modality", pa.string()), ("dataset", pa.string())])),
     "names": (lambda items, dictionary: (None,), pa.schema([("modality", pa.string())])),
 }
-COLUMNS = {"tags": "modality string, tags map<string,string>", "images": ", ".join(f"{f} string" for f in FIELDS), "structures": STRUCTURES_SQL, "names": "modality string"}
+COLUMNS = {"tags": "modality string, tags map<string,string>", "images": ", ".join(f"{f} string" for f in FIELDS), "structures": STRUCTURES_SQL, "json": "modality string, dataset string", "names": "modality string"}
+
+
+def write(rows: DataFrame, path: str, implicit: bool = False, mode: str = "overwrite") -> None:
+    """Rows (name, dataset) as DICOM files below a folder; overwrite empties it first."""
+    rows.sparkSession.dataSource.register(DicomSource)
+    rows.select("name", "dataset").write.format("dicom").option("implicit", str(implicit).lower()).mode(mode).save(path if ":" in path else f"file:{path}")
+
+
+# --- structure sets in SQL ------------------------------------------------------------------
+
+#: Rows of a structure set by the name of what they are.
+PARTS = {
+    "rois": StructType().add("number", "integer").add("name", "string"),
+    "contours": StructType().add("roi_number", "integer").add("color", "string").add("kind", "string").add("points", ArrayType(DoubleType())),
+    "observations": StructType().add("roi_number", "integer").add("type", "string"),
+    "images": StructType().add("series_uid", "string").add("sop_uid", "string"),
+}
+
+
+def _each(data: dict, *path: str) -> Iterator[dict]:
+    """The items at the end of a path of sequences (keywords), in order."""
+    if not path:
+        yield data
+        return
+    for item in data.get(f"{NUMBERS[path[0]]:08X}", {}).get("Value") or []:
+        yield from _each(item, *path[1:])
+
+
+def _first(data: dict, keyword: str) -> str | None:
+    return (data.get(f"{NUMBERS[keyword]:08X}", {}).get("Value") or [None])[0]
+
+
+def part_rows(data: dict, what: str) -> Iterator[tuple]:
+    if what == "rois":
+        yield from ((_whole(_first(x, "ROINumber")), _first(x, "ROIName")) for x in _each(data, "StructureSetROISequence"))
+    elif what == "observations":
+        yield from ((_whole(_first(x, "ReferencedROINumber")), _first(x, "RTROIInterpretedType")) for x in _each(data, "RTROIObservationsSequence"))
+    elif what == "images":
+        for x in _each(data, "ReferencedFrameOfReferenceSequence", "RTReferencedStudySequence", "RTReferencedSeriesSequence"):
+            yield from ((_first(x, "SeriesInstanceUID"), _first(c, "ReferencedSOPInstanceUID")) for c in _each(x, "ContourImageSequence"))
+    else:
+        for x in _each(data, "ROIContourSequence"):
+            color = "\\".join((x.get(f"{NUMBERS['ROIDisplayColor']:08X}", {}).get("Value")) or []) or None
+            for c in _each(x, "ContourSequence"):
+                points = [float(p) for p in c.get(f"{NUMBERS['ContourData']:08X}", {}).get("Value") or []]
+                yield _whole(_first(x, "ReferencedROINumber")), color, _first(c, "ContourGeometricType"), points
+
+
+class StructureParts:
+    """``SELECT * FROM sets, LATERAL structure_parts(dataset, 'rois')``: rows of PARTS; the schema follows from the second argument."""
+
+    @staticmethod
+    def analyze(dataset: AnalyzeArgument, what: AnalyzeArgument) -> AnalyzeResult:
+        if what.value not in PARTS:
+            raise ValueError(f"structure_parts gives {', '.join(PARTS)}, not {what.value}")
+        return AnalyzeResult(PARTS[what.value])
+
+    def eval(self, dataset: str, what: str) -> Iterator[tuple]:
+        if dataset:
+            yield from part_rows(json.loads(dataset), what)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """structure_parts for SQL."""
+    spark.udtf.register("structure_parts", udtf(StructureParts))
 
 
 # --- files for tests --------------------------------------------------------------------

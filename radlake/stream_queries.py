@@ -82,6 +82,43 @@ def dicom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dicom.scan(spark, folder).select(get("Patient ID").alias("id"), get("Patient's Name").alias("name"), get("(0008,0060)").alias("modality"), get("Study Description").alias("description"), get("(0009,0010)").alias("private"), get("(0008,1032)").alias("sequence"))
 
 
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, name, dataset): the structure sets of the suppliers, written as files and read as JSON."""
+    rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    folder = _written(rows, _structures, files.shared_folder(spark, "rtstruct"))
+    found = dicom.headers(spark, folder, "json").filter("modality = 'RTSTRUCT'")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.dcm$", 1).cast("long").alias("key"), "dataset").join(rows, "key")
+
+
+@query("""SELECT s_suppkey AS key, s_name || 'é' AS patient, CASE WHEN s_suppkey % 3 = 0 THEN 'ORIG.S.' ELSE 'S.' END || s_suppkey AS series_uid, CASE WHEN s_suppkey % 3 = 0 THEN 'ORIG.' ELSE '1.2.' END || s_suppkey AS image,
+CASE WHEN s_suppkey % 2 = 0 THEN 'FX.' || s_suppkey ELSE 'F.1' END AS frame, 3::BIGINT AS n_rois, (1 + 2 + 3) * 1.0::DOUBLE AS first_points FROM supplier""")
+def reid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure sets are given their patients, frames and references back, written as files by the data source, and read again."""
+    key = F.col("key").cast("string")
+    uids = F.when(F.col("key") % 3 == 0, F.create_map(F.concat(F.lit("S."), key), F.concat(F.lit("ORIG.S."), key), F.concat(F.lit("1.2."), key), F.concat(F.lit("ORIG."), key)))
+    rows = _sets(spark, sf_dir).select("key", "dataset", F.create_map(F.lit("PatientName"), F.concat("name", F.lit("é")), F.lit("PatientID"), key, F.lit("StudyID"), F.lit("")).alias("fields"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("FX."), key)).alias("frame"), uids.alias("uids"))
+    folder = files.shared_folder(spark, "back")
+    dicom.write(dicom.reidentified_json(rows).select(F.concat(F.lit("p"), (F.col("key") % 7).cast("string"), F.lit("/"), key, F.lit(".dcm")).alias("name"), "dataset"), folder, implicit=True)
+    sets = dicom.scan_structure_sets(spark, folder)
+    names = dicom.scan(spark, folder).select("path", F.try_element_at("tags", F.lit("Patient's Name")).alias("patient"))
+    out = sets.join(names, "path")
+    points = F.aggregate(F.transform("contours", lambda c: c["points"][0]), F.lit(0.0), lambda a, x: a + x)
+    return out.select(F.col("patient_id").cast("long").alias("key"), "patient", F.col("referenced_series_uid").alias("series_uid"), F.col("referenced_sop_uids")[0].alias("image"), F.col("frame_uids")[0].alias("frame"), F.size("rois").cast("long").alias("n_rois"), points.alias("first_points"))
+
+
+@query("""SELECT s_suppkey AS key, k AS number, s_name || ' ' || k AS name, '255\\0\\' || k AS color, k + 15.5::DOUBLE AS total, CASE WHEN k < 3 THEN 'ORGAN' END AS type FROM supplier, (VALUES (1), (2), (3)) t(k)""")
+def structure_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over structure sets, in SQL with lateral joins."""
+    dicom.register_functions(spark)
+    _sets(spark, sf_dir).createOrReplaceTempView("structure_sets")
+    return spark.sql(
+        """SELECT s.key, r.number, r.name, c.color, aggregate(c.points, 0D, (a, x) -> a + x) AS total, o.type
+        FROM structure_sets s, LATERAL structure_parts(dataset, 'rois') r
+        JOIN (SELECT key, c.* FROM structure_sets, LATERAL structure_parts(dataset, 'contours') c) c ON c.key = s.key AND c.roi_number = r.number
+        LEFT JOIN (SELECT key, o.* FROM structure_sets, LATERAL structure_parts(dataset, 'observations') o) o ON o.key = s.key AND o.roi_number = r.number"""
+    )
+
+
 #: Character set, codec and a name in it, by the patient's number.
 _NAMES = [("ISO_IR 100", "latin-1", "Müller"), ("ISO_IR 144", "iso8859-5", "Пётр"), ("ISO_IR 192", "utf-8", "王小东"), ("GB18030", "gb18030", "王小东"), ("\\ISO 2022 IR 87", "iso2022_jp", "山田"), ("", "ascii", "Smith")]
 

@@ -145,3 +145,21 @@ def test_executed_definitions(spark):
     for bad, why in ((step("expand", "a", "b"), "takes 1"), (step("union", "a"), "2 or more"), ({"type": "smooth"}, "step 1: smooth needs a result"), (step("close_gaps"), "no operation"), (step("keep_largest", n=2), "no parameter n"), (step("subtract", "a", "b", other_roi="c"), "no parameter")):
         with pytest.raises(ValueError, match=why):
             run(bad)
+
+
+def test_reoriented_grids(spark):
+    """Against every voxel of the new grid mapped back."""
+    grid = np.random.default_rng(5).random((12, 9, 10)) < 0.3
+    mask = rows_of(spark, {1: grid})
+    c, s = np.cos(0.4), np.sin(0.4)
+    plain = (1, 0, 0, 0, 1, 0, 0, 0, 1)
+    cases = [((0, 0, 0), (1, 1, 2), plain, (0, 0, 0), (1, 1, 2), plain), ((5, -3, 1), (1, 1, 2), plain, (2.5, -1, 0), (0.5, 2.0, 1.2), plain), ((0, 0, 0), (1, 1.5, 2), (c, -s, 0, s, c, 0, 0, 0, 1), (-4, 2, 1), (1.3, 0.7, 1.9), (1, 0, 0, 0, c, -s, 0, s, c)), ((0, 0, 0), (1, 1, 1), plain, (11, 0, 0), (1, 1, 1), (-1, 0, 0, 0, 1, 0, 0, 0, 1))]
+    for o1, s1, d1, o2, s2, d2 in cases:
+        size = (14, 13, 12)
+        m, t = V.index_map((o1, s1, d1), (o2, s2, d2))
+        at = np.indices(size).reshape(3, -1)
+        old = np.floor(np.array(m) @ at + np.array(t)[:, None] + 0.5).astype(int)
+        good = ((old >= 0) & (old < np.array(grid.shape)[:, None])).all(0)
+        want = {tuple(map(int, p)) for p, o, g in zip(at.T, old.T, good) if g and grid[tuple(o)]}
+        got = {(r.i, r.j, r.k) for r in V.reoriented(mask, (o1, s1, d1), (o2, s2, d2), size).collect()}
+        assert got == want and want

@@ -163,6 +163,63 @@ def test_a_dictionary_of_further_tags(spark, tmp_path):
     assert known["Revolution Time"] == known["(0018,9305)"] == "0.5" and "Revolution Time" not in plain and plain["Modality"] == "CT"
 
 
+@pytest.mark.parametrize("implicit", [False, True])
+def test_datasets_there_and_back(spark, tmp_path, implicit):
+    """What is written is what was read: nested sequences, several values, numbers, binary, names in other scripts."""
+    import json
+
+    data = {
+        "00080005": {"vr": "CS", "Value": ["ISO_IR 192"]}, "00080016": {"vr": "UI", "Value": ["1.2.840.10008.5.1.4.1.1.481.3"]}, "00080018": {"vr": "UI", "Value": ["1.2.3"]}, "00080060": {"vr": "CS", "Value": ["RTSTRUCT"]},
+        "00100010": {"vr": "PN", "Value": [{"Alphabetic": "Müller^Jürgen=王^小东"}]}, "00100020": {"vr": "LO", "Value": []}, "00104000": {"vr": "LT", "Value": ["a\\b"]}, "00180050": {"vr": "DS", "Value": ["2.5", "3"]},
+        "00280010": {"vr": "US", "Value": [512, 3]}, "00091001": {"vr": "UN", "InlineBinary": "AAEC/w=="}, "00189305": {"vr": "FD" if not implicit else "UN"} | ({"Value": [0.5]} if not implicit else {"InlineBinary": "AAAAAAAA4D8="}),
+        "30060010": {"vr": "SQ", "Value": [{"00200052": {"vr": "UI", "Value": ["9.9"]}, "30060012": {"vr": "SQ", "Value": [{}, {"30060014": {"vr": "SQ", "Value": [{"0020000E": {"vr": "UI", "Value": ["4.5"]}}]}}]}}]},
+        "30060039": {"vr": "SQ", "Value": [{"30060040": {"vr": "SQ", "Value": [{"30060050": {"vr": "DS", "Value": [str(k) for k in range(20000)]}}]}}]}, "30060080": {"vr": "SQ", "Value": []},
+    }
+    rows = spark.createDataFrame([(f"d{k % 2}/{k}.dcm", json.dumps(data | {"00100020": {"vr": "LO", "Value": [str(k)]}}, ensure_ascii=False)) for k in range(7)], "name string, dataset string")
+    at = str(tmp_path / "out")
+    for _ in range(2):  # the second time over the first
+        dicom.write(rows.repartition(3), at, implicit)
+    found = {r.path.split("/out/")[1]: json.loads(r.dataset) for r in dicom.headers(spark, at, "json").collect()}
+    assert found == {f"d{k % 2}/{k}.dcm": data | {"00100020": {"vr": "LO", "Value": [str(k)]}} for k in range(7)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d0", "d1"]
+    new = {"00200052": lambda v: "F", "0020000E": lambda v: "S"}
+    assert json.dumps(dicom.replaced(data, new)).count('"F"') == 1 and json.dumps(dicom.replaced(data, new)).count('"S"') == 1
+
+
+def test_a_killed_task_leaves_no_double(tmp_path):
+    """A task that dies between its writes, one that runs twice, and two rows of one name."""
+    import json
+
+    import pyarrow as pa
+
+    batch = lambda *names: pa.RecordBatch.from_pydict({"name": list(names), "dataset": [json.dumps({"00080060": {"vr": "CS", "Value": ["CT"]}})] * len(names)})
+    writer = dicom.FileWriter({"path": f"file:{tmp_path}/x"}, True)
+
+    def dies():
+        yield batch("a", "b")
+        raise OSError("killed")
+
+    with pytest.raises(OSError):
+        writer.write(dies())
+    done = [writer.write(iter([batch("a", "b"), batch("c")])), writer.write(iter([batch("d")]))]
+    writer.write(iter([batch("a", "b"), batch("c")]))  # of which nobody hears
+    assert list(dicom.Folder(f"{tmp_path}/x", True).files(__import__("pyarrow").fs.LocalFileSystem())).__len__() == 4
+    writer.commit(done)
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["a", "b", "c", "d"]
+    with pytest.raises(ValueError, match="one name"):
+        writer.write(iter([batch("e", "e")]))
+    again = dicom.FileWriter({"path": f"file:{tmp_path}/x"}, True)
+    with pytest.raises(ValueError, match="two tasks"):
+        again.commit([again.write(iter([batch("e")])), again.write(iter([batch("e")]))])
+
+
+def test_parts_by_name(spark):
+    dicom.register_functions(spark)
+    with pytest.raises(Exception, match="not colours"):
+        spark.sql("SELECT * FROM structure_parts('{}', 'colours')").collect()
+    assert spark.sql("SELECT * FROM structure_parts(NULL, 'rois')").columns == ["number", "name"] and spark.sql("SELECT * FROM structure_parts('{}', 'images')").count() == 0
+
+
 def test_scan_skips_and_fails(spark, tmp_path):
     now = dt.datetime.now()
     for name, content in {"ok": dicom_file(True, Modality="MR", SOPInstanceUID="1.2", SeriesInstanceUID="3"), "us": dicom_file(True, Modality="US", SOPInstanceUID="1"), "nouid": dicom_file(True, Modality="CT"), "junk": b"DICM? no"}.items():
