@@ -1,8 +1,9 @@
 """Main-text extraction: boosted trees over DOM nodes, decoded along the tree.
 
 Tags, attributes and comments are read by the rules of HTML, in linear time.
-Every block element of a page is a node with features: its tag, tokens of its
-attributes and of its ancestors', the text and link density of its subtree, its
+Every block element of a page is a node with features: its tag, the hashed tokens
+of its attributes and what share of them speaks of clutter, the same of its
+ancestors, the text and link density of its subtree, its
 depth and its place among its siblings. Gradient-boosted trees give the
 log-odds that a node belongs to the main text. Decoding keeps a node only below
 kept ancestors and takes the best such choice for the whole page. The trees are
@@ -13,8 +14,10 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pages made for training; boosting rounds and depth of the trees.
-TRAIN_PAGES, TREES, DEPTH = 300, 12, 4
+TRAIN_PAGES, TREES, DEPTH = 400, 16, 5
+#: Buckets that attribute tokens are hashed to; only those that the training pages fill are features.
+TOKEN_BUCKETS = 4096
 #: Pages whose nodes are scored together.
 SCORED = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg object canvas audio video math textarea title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas audio video textarea title".split())
 BLOCK = frozenset(
     "html head body article main section div nav header footer aside form fieldset figure figcaption details summary dialog menu address hgroup search "
     "h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre center hr select option button label".split()
 ) | RAW
+#: Controls: nodes of their own that don't part the text around them.
+INNER = frozenset("button select option label".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= dict.fromkeys("thead tbody tfoot".split(), {"thead", "tbody", "tfoot", "tr", "td", "th"})
@@ -63,13 +70,19 @@ _OPAQUE_END = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I) for name in
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def bucket_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % TOKEN_BUCKETS
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "clutter", "content", "hidden", "text", "links", "kept", "index", "depth", "place")
+    __slots__ = ("tag", "parent", "children", "clutter", "content", "hidden", "tokens", "text", "links", "kept", "index", "depth", "place")
 
     def __init__(self, tag: str, parent: Node | None, index: int):
         self.tag, self.parent, self.index = tag, parent, index
         self.children: list[Node] = []
-        self.clutter = self.content = self.hidden = False
+        self.clutter = self.content = 0.0  # shares of the tokens of an attribute
+        self.hidden = False
+        self.tokens: list[int] = []
         self.text = self.links = 0
         self.depth = parent.depth + 1 if parent else 0
         self.place = len(parent.children) if parent else 0
@@ -79,9 +92,11 @@ class Node:
     def describe(self, attributes: list[tuple[str, str]]) -> None:
         for name, value in attributes:
             if name in ("class", "id", "role", "aria-label", "itemprop"):
-                tokens = set(_SPLIT.split(value.lower()))
-                self.clutter |= not CLUTTER.isdisjoint(tokens)
-                self.content |= not CONTENT.isdisjoint(tokens)
+                tokens = {t for t in _SPLIT.split(value.lower()) if t}
+                if tokens:
+                    self.clutter = max(self.clutter, len(CLUTTER & tokens) / len(tokens))
+                    self.content = max(self.content, len(CONTENT & tokens) / len(tokens))
+                    self.tokens += [bucket_of(t) for t in tokens]
             elif name == "style":
                 self.hidden |= "display:none" in value.lower().replace(" ", "")
             elif name == "hidden":
@@ -128,7 +143,7 @@ class Open:
         while len(self.stack) > place:
             tag, node = self.stack.pop()
             self.places[tag].pop()
-            if tag in BLOCK:
+            if tag in BLOCK and tag not in INNER:
                 self.pieces.append((node, None))
 
 
@@ -136,8 +151,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     """The block nodes, root first, and the pieces of text in page order, in linear time.
 
     A piece is (node, text) with references decoded; text None is the border of
-    a block. Inline elements are part of the block around them unless their
-    attributes say something.
+    a block, which br and hr are as well. Inline elements, formulas among them, are
+    part of the block around them unless their attributes say something; controls
+    are nodes inside it.
     """
     nodes = [Node("#root", None, 0)]
     pieces: list[tuple[Node, str | None]] = []
@@ -197,14 +213,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             node = Node(name, node, len(nodes))
             nodes.append(node)
             node.describe(attributes)
-            pieces.append((node, None))
+            if name not in INNER:
+                pieces.append((node, None))
         elif attributes:
             trial = Node(name, None, 0)
             trial.describe(attributes)
-            if trial.clutter or trial.hidden:
+            if trial.clutter >= 0.5 or trial.hidden:
                 node = Node(name, node, len(nodes))
                 nodes.append(node)
-                node.clutter, node.content, node.hidden = trial.clutter, trial.content, trial.hidden
+                node.clutter, node.content, node.hidden, node.tokens = trial.clutter, trial.content, trial.hidden, trial.tokens
         if name in OPAQUE:
             found = _OPAQUE_END[name].search(page, at)
             at = begin = found.start() if found else end
@@ -214,8 +231,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     return nodes, pieces
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row per node; FEATURES columns."""
+def features(nodes: list[Node], buckets: dict[int, int]) -> np.ndarray:
+    """One row per node: FEATURES, then a column for each bucket of tokens (bucket -> column): 1 for the node's own, a half for its ancestors'."""
     n = len(nodes)
     text = np.array([x.text for x in nodes], float)
     links = np.array([x.links for x in nodes], float)
@@ -227,32 +244,37 @@ def features(nodes: list[Node]) -> np.ndarray:
             links[p] += links[x.index]
             size[p] += size[x.index]
     before = np.concatenate([[0], np.cumsum([x.text for x in nodes])[:-1]]) / max(1.0, text[0])
-    rows = np.zeros((n, len(FEATURES)))
-    above = np.zeros((n, 3))
+    rows = np.zeros((n, len(FEATURES) + len(buckets)))
+    above = np.zeros((n, 4))
     tags = [Counter(y.tag for y in x.children) for x in nodes]
     for k, x in enumerate(nodes):
         p = x.parent
-        own = [x.tag in TAGS[t] for t in TAGS] + [x.clutter, x.content, x.hidden]
-        bad = own[1] or own[2] or own[3] or x.clutter or x.hidden
-        good = own[0] or x.content
+        own = [x.tag in TAGS[t] for t in TAGS] + [x.clutter, x.content, x.hidden, len(x.tokens)]
+        bad = own[1] or own[2] or own[3] or x.hidden
         if p is not None:
             above[k] = above[p.index]
         rows[k, : len(own)] = own
-        rows[k, len(own) : len(own) + 3] = above[k]
+        rows[k, len(own) : len(own) + 4] = above[k]
         if bad:
             above[k, 0] = 1
-        if good:
+        if own[0] or x.content:
             above[k, 1] = 1
-        above[k, 2] += bad
+        above[k, 2] += bool(bad)
+        above[k, 3] = max(above[k, 3], x.clutter)
         family, alike = (len(p.children), tags[p.index][x.tag]) if p is not None else (1, 1)
-        rows[k, len(own) + 3 :] = (
+        rows[k, len(own) + 4 : len(FEATURES)] = (
             np.log1p(text[k]), np.log1p(x.text), links[k] / max(1.0, text[k]), text[k] / size[k], x.depth, len(x.children),
             family, x.place / family, alike / family, text[k] / max(1.0, text[0]), before[k],
         )
+        if p is not None:
+            rows[k, len(FEATURES) :] = 0.5 * (rows[p.index, len(FEATURES) :] > 0)
+        for b in x.tokens:
+            if b in buckets:
+                rows[k, len(FEATURES) + buckets[b]] = 1
     return rows
 
 
-FEATURES = [*TAGS, "clutter", "content", "hidden", "above_bad", "above_good", "above_count"]
+FEATURES = [*TAGS, "clutter", "content", "hidden", "tokens", "above_bad", "above_good", "above_count", "above_clutter"]
 FEATURES += ["log_text", "log_own", "link_share", "density", "depth", "children", "siblings", "place", "same_tag", "share", "before"]
 
 
@@ -284,6 +306,10 @@ def main_text(pieces: list[tuple[Node, str | None]], kept: np.ndarray) -> str:
 
 # --- training -------------------------------------------------------------------------
 
+#: Words of clutter that stand in the names of content as well, and words around those of clutter (fixed values).
+WEAK = frozenset("tags meta header banner notice alert legal search share side related form hidden foot promo toolbar menu login advert".split())
+AROUND = ("box", "slot", "wrap", "left", "area", "section", "container", "inner", "block", "list", "item")
+
 
 def made_page(random: np.random.Generator) -> tuple[str, list[bool]]:
     """A page from a rule, and for each of its block nodes whether it is main text."""
@@ -308,12 +334,24 @@ def made_page(random: np.random.Generator) -> tuple[str, list[bool]]:
     def link_list(count: int) -> None:
         element("ul", False, lambda: [element("li", False, lambda: parts.append(f'<a href="/{words(1, 2)}">{words(1, 4)}</a>')) for _ in range(count)])
 
+    def word() -> str:
+        return "".join(chr(97 + int(c)) for c in random.integers(0, 26, int(random.integers(2, 9))))
+
     def named(*tokens: str) -> str:
-        return f' {pick("class", "id")}="{pick("", "x-", "site ", "box ")}{pick(*tokens)}"'
+        token = pick(*tokens)
+        return f' {pick("class", "id")}="{pick(token, f"x-{token}", f"site {token}", f"box {token}", f"{token}-{pick(*AROUND)}", f"{word()}-{token}")}"'
+
+    def odd_name() -> str:
+        """A word of clutter in the name of content: one of several words, or one that often stands there."""
+        strong = pick(*sorted(CLUTTER - WEAK))
+        name = pick(f"{strong}-{word()}-{word()}", f"{word()}-{strong}-{word()}-{word()}", f"{pick(*sorted(WEAK))}-{pick('list', word())}", f"{word()}-{pick(*sorted(WEAK))}")
+        return f' {pick("class", "id")}="{name}"'
 
     def clutter() -> None:
-        kind = int(random.integers(7))
-        if kind == 0:
+        kind = int(random.integers(8))
+        if kind == 7:
+            element("div", False, lambda: link_list(int(random.integers(1, 5))), named("tags", "share", "social", "meta", "breadcrumbs", "pagination", "related", "menu"))
+        elif kind == 0:
             element("nav", False, lambda: link_list(int(random.integers(3, 9))))
         elif kind == 1:
             element(pick("aside", "div"), False, lambda: (text("h3", False, 1, 4), link_list(4)), named("sidebar", "related", "recommended", "widget"))
@@ -329,8 +367,13 @@ def made_page(random: np.random.Generator) -> tuple[str, list[bool]]:
             text(pick("script", "style"), False, 3, 9)
 
     def paragraph() -> None:
-        kind = int(random.integers(9))
-        if kind == 0:
+        kind = int(random.integers(12))
+        if kind == 11:
+            control = pick("button", "label", "select")
+            element("p", True, lambda: (parts.append(words(2, 20) + " "), text(control, False, 1, 3), parts.append(" " + words(2, 20))))
+        elif kind > 8:
+            element(pick("section", "div"), True, lambda: [*([text("h2", True, 2, 8)] if random.random() < 0.5 else []), *[text("p", True, 8, 90) for _ in range(int(random.integers(1, 4)))]], odd_name())
+        elif kind == 0:
             text(pick("h2", "h3"), True, 2, 8)
         elif kind == 1:
             element(pick("ul", "ol"), True, lambda: [text("li", True, 2, 20) for _ in range(int(random.integers(2, 6)))])
@@ -374,20 +417,30 @@ def made_page(random: np.random.Generator) -> tuple[str, list[bool]]:
     return "".join(parts), labels
 
 
-def training_rows(pages: int = TRAIN_PAGES) -> list[tuple[list[float], float]]:
+def training_rows(pages: int = TRAIN_PAGES) -> tuple[list[tuple[list[float], float]], dict[int, int]]:
+    """Rows of features with their labels, and the buckets of tokens that are features: those of at least a page in fifty."""
     random = np.random.Generator(np.random.PCG64(2))
+    made = [made_page(random) for _ in range(pages)]
+    parsed = [parse(page)[0] for page, _ in made]
+    seen = Counter(b for nodes in parsed for b in {b for x in nodes for b in x.tokens})
+    buckets = {b: k for k, b in enumerate(sorted(b for b, n in seen.items() if 50 * n >= pages))}
     rows = []
-    for _ in range(pages):
-        page, labels = made_page(random)
-        nodes, _ = parse(page)
+    for nodes, (_, labels) in zip(parsed, made):
         assert len(nodes) == len(labels)
-        rows += zip(features(nodes).tolist(), map(float, labels))
-    return rows
+        rows += zip(features(nodes, buckets).tolist(), map(float, labels))
+    return rows, buckets
+
+
+class Model(NamedTuple):
+    """Trees as (weight, nodes), node rows being feature (-1 in a leaf), threshold, left, right, value; and the columns of token buckets."""
 
+    trees: list[tuple[float, np.ndarray]]
+    buckets: dict[int, int]
 
-def train(spark: SparkSession, pages: int = TRAIN_PAGES) -> list[tuple[float, np.ndarray]]:
-    """[(weight, nodes)]: node rows are feature (-1 in a leaf), threshold, left, right, value."""
-    data = spark.createDataFrame(training_rows(pages), "f array<double>, label double").select(array_to_vector("f").alias("features"), "label").coalesce(1)
+
+def train(spark: SparkSession, pages: int = TRAIN_PAGES) -> Model:
+    made, buckets = training_rows(pages)
+    data = spark.createDataFrame(made, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label").coalesce(1)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=2).fit(data)
 
     def flat(node, rows: list[list[float]]) -> int:
@@ -405,24 +458,28 @@ def train(spark: SparkSession, pages: int = TRAIN_PAGES) -> list[tuple[float, np
         rows: list[list[float]] = []
         flat(tree._call_java("rootNode"), rows)
         out.append((float(weight), np.array(rows)))
-    return out
+    return Model(out, buckets)
 
 
-_TRAINED: dict[tuple[str, int], list[tuple[float, np.ndarray]]] = {}
+_TRAINED: dict[tuple[str, int], Model] = {}
 
 
-def trained(spark: SparkSession, pages: int = TRAIN_PAGES) -> list[tuple[float, np.ndarray]]:
-    """The trees, trained once in a Spark application."""
+def trained(spark: SparkSession, pages: int = TRAIN_PAGES) -> Model:
+    """The model, trained once in a Spark application."""
     key = spark.sparkContext.applicationId, pages
     if key not in _TRAINED:
         _TRAINED[key] = train(spark, pages)
     return _TRAINED[key]
 
 
-def log_odds(trees: list[tuple[float, np.ndarray]], rows: np.ndarray) -> np.ndarray:
+def log_odds(model: Model, nodes: list[Node]) -> np.ndarray:
+    return odds_of(model, features(nodes, model.buckets))
+
+
+def odds_of(model: Model, rows: np.ndarray) -> np.ndarray:
     total = np.zeros(len(rows))
     everyone = np.arange(len(rows))
-    for weight, tree in trees:
+    for weight, tree in model.trees:
         at = np.zeros(len(rows), np.int64)
         for _ in range(DEPTH):
             feature = tree[at, 0].astype(np.int64)
@@ -432,17 +489,17 @@ def log_odds(trees: list[tuple[float, np.ndarray]], rows: np.ndarray) -> np.ndar
     return 2 * total
 
 
-def extract(pages: DataFrame, trees: list[tuple[float, np.ndarray]] | None = None) -> DataFrame:
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     Null and empty html give an empty text; pages are read whole, in linear time,
     whatever their markup is worth; unclosed elements end where HTML ends them; a
     page cut off inside a tag, or inside a quoted value that never ends, ends
     before that tag. Repeated rows give repeated results; an empty table gives no
-    row; other columns are not read. ``trees``: those of train(); else they are
-    trained once in an application.
+    row; other columns are not read. A br parts blocks. ``model``: that of train();
+    else it is trained once in an application.
     """
-    trees = trees or trained(pages.sparkSession)
+    model = model or trained(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,8 +507,8 @@ def extract(pages: DataFrame, trees: list[tuple[float, np.ndarray]] | None = Non
             for at in range(0, whole.num_rows, SCORED):
                 batch = whole.slice(at, SCORED)
                 parsed = [parse(p or "") for p in batch.column(2).to_pylist()]
-                rows = [features(nodes) for nodes, _ in parsed]
-                odds = np.split(log_odds(trees, np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
+                rows = [features(nodes, model.buckets) for nodes, _ in parsed]
+                odds = np.split(odds_of(model, np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
                 got = [main_text(pieces, decode(nodes, o)) for (nodes, pieces), o in zip(parsed, odds)]
                 columns = [batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -17,7 +17,7 @@ def trees(spark):
 
 def text_of(trees, page):
     nodes, pieces = extract.parse(page)
-    return extract.main_text(pieces, extract.decode(nodes, extract.log_odds(trees, extract.features(nodes))))
+    return extract.main_text(pieces, extract.decode(nodes, extract.log_odds(trees, nodes)))
 
 
 def everything(page):
@@ -62,7 +62,7 @@ def test_references_are_decoded_by_piece(trees):
 def test_linear_time(page):
     began = time.time()
     nodes, pieces = extract.parse(page)
-    rows = extract.features(nodes)
+    rows = extract.features(nodes, {1: 0})
     extract.main_text(pieces, extract.decode(nodes, rows[:, 0] + 1))
     assert time.time() - began < 20
 
@@ -71,6 +71,9 @@ class Article(HTMLParser):
     """The blocks of the article element, whatever is around it, without clutter inside."""
 
     VOID = {"br", "img", "hr", "meta", "link", "input"}
+    #: Of its own: what begins a new line in a browser, and names that stand for clutter on pages of the kind.
+    BLOCKS = {"html", "head", "body", "article", "section", "div", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "h4", "p", "ul", "ol", "li", "blockquote", "table", "tr", "td", "title", "script", "style"}
+    NAMES = {"ad", "ads", "advert", "sidebar", "comments", "cookie", "newsletter", "related", "share"}
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
@@ -83,16 +86,16 @@ class Article(HTMLParser):
         self.now = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in extract.BLOCK or tag == "br":
+        if tag in self.BLOCKS or tag == "br":
             self.edge()
         if tag == "article":
             self.inside += 1
         named = set(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ").split())
-        if tag not in self.VOID and (self.skip or tag in ("nav", "aside", "form", "header", "footer", "script", "style") or named & extract.CLUTTER):
+        if tag not in self.VOID and (self.skip or tag in ("nav", "aside", "form", "header", "footer", "script", "style") or named & self.NAMES):
             self.skip.append(tag)
 
     def handle_endtag(self, tag):
-        if tag in extract.BLOCK:
+        if tag in self.BLOCKS:
             self.edge()
         if tag == "article":
             self.inside -= 1
@@ -131,6 +134,33 @@ def test_pages_against_a_plain_reader(spark, trees):
     assert len(got) == len(rows) and wrong == 0
 
 
+PARAGRAPHS = ["The council met on Tuesday to talk about the new bridge and what it will cost the town over the next ten years.", "Nobody spoke against it, although several members asked who would pay for the road that leads there.", "Work may begin in spring if the river is low enough, the engineer said in her report to the members.", "The old bridge is closed to lorries since last year, and buses take a longer way round through the village.", "A decision is expected before the summer, when the money for it has to be asked for."]
+
+
+def article_with(part):
+    before, after = ("".join(f"<p>{p}</p>" for p in ps) for ps in (PARAGRAPHS[:3], PARAGRAPHS[3:]))
+    return f"<html><head><title>x</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>The bridge over the river</h1>{before}{part}{after}</article><footer>all rights</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ('<section id="comment-on-policy"><h2>What the minister said</h2><p>The minister told the paper that the policy will stay as it is for at least two more years.</p></section>', "What the minister said\nThe minister told the paper that the policy will stay as it is for at least two more years."),
+        ('<div class="tags-list"><p>Each house in the street got a tag with its number, so that the workers know where the pipes are.</p></div>', "Each house in the street got a tag with its number, so that the workers know where the pipes are."),
+        ("<p>Before it <math><mi>a</mi><mo>+</mo><mi>b</mi></math> after it, and some more of the sentence.</p>", "Before it a+b after it, and some more of the sentence."),
+        ("<p>Before it <button>Press</button> after it, and some more of the sentence.</p>", "Before it after it, and some more of the sentence."),
+        ('<div class="comments"><h3>Comments</h3><p>I do not believe a word of this, they said the same ten years ago.</p><p>Me neither.</p></div>', ""),
+        ('<div class="tags"><ul><li><a href=/a>bridge</a></li><li><a href=/b>river</a></li></ul></div>', ""),
+        ('<div class="ad">Buy one get one free, only today in our shop at the market place.</div>', ""),
+        ('<aside class="related-links"><h3>More</h3><ul><li><a href=/1>The market</a></li><li><a href=/2>The mayor</a></li></ul></aside>', ""),
+        ('<form><label>Mail</label><button>Send</button></form>', ""),
+    ],
+)
+def test_names_alone_decide_nothing(trees, part, text):
+    want = "\n".join(filter(None, ["The bridge over the river", *PARAGRAPHS[:3], text, *PARAGRAPHS[3:]]))
+    assert text_of(trees, article_with(part)) == want
+
+
 def test_empty_table_with_clashing_columns(spark, trees):
     schema = "page_id long, url string, html string, text int, n_chars string, label double, features int"
     assert extract.extract(spark.createDataFrame([], schema), trees).count() == 0

@@ -100,7 +100,7 @@ def test_extraction_on_pages_held_out(trees):
     for _ in range(120):
         page, labels = extract.made_page(rng)
         nodes, _ = extract.parse(page)
-        kept = extract.decode(nodes, extract.log_odds(trees, extract.features(nodes)))
+        kept = extract.decode(nodes, extract.log_odds(trees, nodes))
         right += (kept == np.array(labels)).sum()
         total += len(labels)
         assert all(n.parent is None or kept[n.parent.index] for n in nodes if kept[n.index])
