@@ -36,6 +36,8 @@ LEAST, GRAM = 50, 20
 LONGEST = 2 * LEAST - GRAM
 #: Text bytes for each bucket, about.
 BUCKET_BYTES = 1 << 19
+#: Bits of a bucket that rows are dealt out by at once; with more of them a second dealing out follows, in parts of about so many bytes.
+LEVEL, PART_BYTES, RECUT_BYTES = 12, 256 << 20, 16 << 20
 #: Batches with a gram from which its windows are dealt out one by one.
 HOT = 64
 #: Parts of the copies of one text.
@@ -93,6 +95,36 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("blob", pa.binary())])
 BLOBS_SQL, DOCS_SQL = "bucket long, blob binary", "doc_id long, blob binary"
 
 
+def recut(rows: DataFrame, bits: int, total: int, cut) -> DataFrame:
+    """Rows dealt out by the first LEVEL bits, dealt out by ``bits``: what many batches have for one of the coarse buckets is put together and cut anew.
+
+    With buckets in proportion to the corpus, each batch would have a few bytes for
+    each; so it has larger pieces for a fixed number of them first. A coarse bucket
+    is split by a hash, so that no task holds one. cut(bits, rows) yields rows; it
+    gets a list of tuples without the bucket.
+    """
+    if bits <= LEVEL:
+        return rows
+    parts = max(1, -(-total // (PART_BYTES << LEVEL)))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, *values in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
+                if held and (bucket != now or size > RECUT_BYTES):
+                    yield from cut(bits, held)
+                    held, size = [], 0
+                now = bucket
+                held.append(values)
+                size += sum(map(len, values))
+        if held:
+            yield from cut(bits, held)
+
+    part = F.pmod(F.xxhash64("blob"), F.lit(parts))
+    return rows.repartition("bucket", part).sortWithinPartitions("bucket").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
 # --- minimisers -------------------------------------------------------------------
 
 
@@ -123,8 +155,17 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def fingerprints(docs: DataFrame, bits: int) -> DataFrame:
+def cut_prints(bits: int, held: list) -> Iterator[pa.RecordBatch]:
+    parts = [unpack(blob) for (blob,) in held]
+    h, d = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    yield from rows_of([(b, pack(deltas(h[s]), d[s])) for b, s in by_bucket(h, bits)], BLOBS)
+
+
+def fingerprints(docs: DataFrame, bits: int, total: int) -> DataFrame:
     """(bucket, blob of gram hash and doc_id) for each batch of (doc_id, text)."""
+    first = min(bits, LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +178,9 @@ def fingerprints(docs: DataFrame, bits: int) -> DataFrame:
                 h, d = np.concatenate(hashes), np.concatenate(owners)
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
-                yield from rows_of([(b, pack(deltas(h[s]), d[s])) for b, s in by_bucket(h, bits)], BLOBS)
+                yield from rows_of([(b, pack(deltas(h[s]), d[s])) for b, s in by_bucket(h, first)], BLOBS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOBS_SQL)
+    return recut(docs.select("doc_id", "text").mapInArrow(run, BLOBS_SQL), bits, total, cut_prints)
 
 
 def few(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -175,19 +216,28 @@ def shared_grams(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(condense, BLOBS_SQL).groupBy("bucket").applyInArrow(merge, BLOBS_SQL)
 
 
-def answers_by_document(asked: DataFrame, keep, bits: int) -> DataFrame:
+def cut_answers(bits: int, held: list) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(c) for c in zip(*(unpack(blob) for (blob,) in held))]
+    h = mix64(columns[0].view(np.uint64))
+    order = np.lexsort((columns[0], h >> np.uint64(64 - bits)))
+    h, columns = h[order], [c[order] for c in columns]
+    yield from rows_of([(b, pack(*(c[s] for c in columns))) for b, s in by_bucket(h, bits)], BLOBS)
+
+
+def answers_by_document(asked: DataFrame, keep, bits: int, total: int) -> DataFrame:
     """(doc_id, blob) from rows (bucket, blob, answer).
 
     keep(blob, answer) gives arrays, doc_ids first; they travel packed by a hash
     of doc_id and come out as one row per document.
     """
+    first = min(bits, LEVEL)
 
     def flush(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*got)]
         h = mix64(columns[0].view(np.uint64))
-        order = np.lexsort((columns[0], h >> np.uint64(64 - bits)))
+        order = np.lexsort((columns[0], h >> np.uint64(64 - first)))
         h, columns = h[order], [c[order] for c in columns]
-        yield from rows_of([(b, pack(*(c[s] for c in columns))) for b, s in by_bucket(h, bits)], BLOBS)
+        yield from rows_of([(b, pack(*(c[s] for c in columns))) for b, s in by_bucket(h, first)], BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
@@ -210,7 +260,7 @@ def answers_by_document(asked: DataFrame, keep, bits: int) -> DataFrame:
         ids = columns[0][[a for a, _ in spans]]
         return pa.table({"doc_id": ids, "blob": pa.array([pack(*(c[a:b] for c in columns[1:])) for a, b in spans], pa.binary())}, schema=DOCS)
 
-    packed = asked.select("bucket", "blob", "answer").mapInArrow(run, BLOBS_SQL)
+    packed = recut(asked.select("bucket", "blob", "answer").mapInArrow(run, BLOBS_SQL), bits, total, cut_answers)
     return packed.groupBy("bucket").applyInArrow(merge, DOCS_SQL)
 
 
@@ -234,14 +284,41 @@ def mark_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) | 1
 
 
-def contexts(docs: DataFrame, bits: int) -> DataFrame:
+CONTEXTS = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("places", pa.binary())])
+
+
+def cut_contexts(bits: int, held: list) -> Iterator[pa.RecordBatch]:
+    """Contexts and places with the grams of contexts as the last array, which goes."""
+    about = [np.concatenate(c) for c in zip(*(unpack(blob) for blob, _ in held))]
+    key, size, low, high, raw, gram = about
+    _, count, owner, where, mark = (np.concatenate(c) for c in zip(*(unpack(places) for _, places in held)))
+    order = np.argsort(gram, kind="stable")
+
+    def moved(values: list[np.ndarray], lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Runs of values of the given lengths in the order of grams, and where each begins."""
+        begin, n = np.cumsum(lengths) - lengths, lengths[order]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin[order] - edge[:-1], n) + np.arange(edge[-1])
+        return [v[at] for v in values], edge
+
+    (raw,), of_raw = moved([raw], size.astype(np.int64))
+    (owner, where, mark), of_place = moved([owner, where, mark], count.astype(np.int64))
+    key, size, low, high, gram, count = (c[order] for c in (key, size, low, high, gram, count))
+    rows = []
+    for b, s in by_bucket(gram, bits):
+        r, p = slice(of_raw[s.start], of_raw[s.stop]), slice(of_place[s.start], of_place[s.stop])
+        rows.append((b, pack(key[s], size[s], low[s], high[s], raw[r]), pack(key[s], count[s], owner[p], where[p], mark[p])))
+    yield from rows_of(rows, CONTEXTS)
+
+
+def contexts(docs: DataFrame, bits: int, total: int) -> DataFrame:
     """(bucket, blob, blob of occurrences) for each HELD occurrences in (doc_id, text, blob of shared grams, whether the id repeats).
 
     blob: id, length, smallest and largest document of the batch's different
     contexts, and their bytes. Places: per context its id, then how many,
     their documents, where they start and the marks of their texts.
     """
-    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("places", pa.binary())])
+    coarse = min(bits, LEVEL)
 
     def flush(known: dict[bytes, int], grams: list[int], which: list[int], owner: list[int], where: list[int], mark: list[int]) -> Iterator[pa.RecordBatch]:
         pieces = list(known)
@@ -256,14 +333,15 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
         which, owner, where, mark = which[by], owner[by], where[by], mark[by]
         edge = np.searchsorted(which, np.arange(len(order) + 1))
         rows = []
-        for bucket, s in by_bucket(gram[order], bits):
+        for bucket, s in by_bucket(gram[order], coarse):
             a, b = edge[s.start], edge[s.stop]
             own = [pieces[k] for k in order[s].tolist()]
             start, end = edge[s.start : s.stop], edge[s.start + 1 : s.stop + 1]
             key = ids[order[s]]
-            blob = pack(key, np.fromiter(map(len, own), np.uint8, len(own)), owner[start], owner[end - 1], np.frombuffer(b"".join(own), np.uint8))
+            more = [gram[order[s]]] if coarse < bits else []
+            blob = pack(key, np.fromiter(map(len, own), np.uint8, len(own)), owner[start], owner[end - 1], np.frombuffer(b"".join(own), np.uint8), *more)
             rows.append((bucket, blob, pack(key, (end - start).astype(np.int32), owner[a:b], where[a:b], mark[a:b])))
-        yield from rows_of(rows, schema)
+        yield from rows_of(rows, CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lists = {}, ([], [], [], [], [])
@@ -296,7 +374,7 @@ def contexts(docs: DataFrame, bits: int) -> DataFrame:
         if grams:
             yield from flush(known, *lists)
 
-    return docs.select("doc_id", "text", "blob", "repeats").mapInArrow(run, "bucket long, blob binary, places binary")
+    return recut(docs.select("doc_id", "text", "blob", "repeats").mapInArrow(run, "bucket long, blob binary, places binary"), bits, total, cut_contexts)
 
 
 # --- the prefix tree ----------------------------------------------------------------
@@ -459,16 +537,16 @@ def spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bits = max(4, min(40, int(total // BUCKET_BYTES).bit_length()))
     # a merge join at any size: the plan for small tables would be another one
     single = docs.join(copies.hint("merge"), ["doc_id", "digest"], "left_anti")
-    prints = scratch.save(fingerprints(single, bits), "prints")
+    prints = scratch.save(fingerprints(single, bits, total), "prints")
     shared = scratch.save(shared_grams(prints), "shared")
     asked = prints.join(shared.withColumnRenamed("blob", "answer"), "bucket")
-    wanted = scratch.save(answers_by_document(asked, wanted_grams, bits), "wanted")
+    wanted = scratch.save(answers_by_document(asked, wanted_grams, bits, total), "wanted")
     scratch.drop("prints", "shared")
     wanted = wanted.join(repeats, "doc_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
-    found = scratch.save(contexts(docs.drop("digest").join(wanted, "doc_id"), bits), "contexts")
+    found = scratch.save(contexts(docs.drop("digest").join(wanted, "doc_id"), bits, total), "contexts")
     scratch.drop("wanted")
     asked = found.select("bucket", F.col("places").alias("blob")).join(scratch.save(marks(found), "marks"), "bucket")
-    lost = scratch.save(answers_by_document(asked, removals, bits), "lost")
+    lost = scratch.save(answers_by_document(asked, removals, bits, total), "lost")
     scratch.drop("contexts", "marks")
     whole = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
     return lost.join(whole, "doc_id", "full")

@@ -288,6 +288,31 @@ def test_substrings(docs, rows, hot, monkeypatch):
     assert got == sorted((x[:5] for x in brute.substrings(rows)), key=str)
 
 
+@pytest.mark.parametrize("part_bytes, recut_bytes", [(256 << 20, 16 << 20), (1, 300)])
+def test_substrings_dealt_out_twice(docs, rows, part_bytes, recut_bytes, monkeypatch):
+    """More buckets than are dealt out at once, in one part each and in many."""
+    for name, value in (("LEVEL", 2), ("BUCKET_BYTES", 1 << 9), ("HOT", 3), ("PART_BYTES", part_bytes), ("RECUT_BYTES", recut_bytes), ("HELD", 50), ("BLOCK", 256)):
+        monkeypatch.setattr(suffix, name, value)
+    got = collected(suffix.deduplicate(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted((x[:5] for x in brute.substrings(rows)), key=str)
+
+
+def test_owners_over_blocks(monkeypatch):
+    """Windows have the same owners however a long text is cut."""
+    rng = random.Random(7)
+    text = bytes(rng.choice(b"ab cd") for _ in range(3000)) * 2
+
+    def owner_of_windows():
+        h, first, last = suffix.anchors(text)
+        assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and last[-1] == len(text) - suffix.LEAST
+        return np.repeat(h, last - first + 1).tolist()
+
+    whole = owner_of_windows()
+    for block in (64, 1000, 4096):
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        assert owner_of_windows() == whole
+
+
 def test_maximal_repeats_are_complete():
     rng = random.Random(2)
     for _ in range(30):
