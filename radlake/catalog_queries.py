@@ -88,14 +88,14 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes: one for each line of an order's first item; names repeat in a set."""
-    line = T.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("k"))
+    """Volumes: one for each part that a supplier delivered; names repeat in a set."""
+    line = T.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("k"))
     part = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("roi_name"))
     return line.join(part, "l_partkey").select(F.format_string("%06d-%d", "k", "l_suppkey").alias("voi_id"), F.col("l_suppkey").cast("string").alias("rt_id"), "roi_name", (F.col("k") % 50).alias("roi_number"))
 
 
 _CO = """WITH st AS (SELECT s_suppkey::VARCHAR AS rt_id, (s_suppkey % 10)::VARCHAR AS patient_id, s_name AS label, CASE WHEN s_suppkey % 4 <> 0 THEN 'S' || (s_suppkey % 6) END AS series_uid FROM supplier),
-v AS (SELECT lpad(k::VARCHAR, 6, '0') || '-' || l_suppkey AS voi_id, l_suppkey::VARCHAR AS rt_id, p_name AS roi_name, k % 50 AS roi_number FROM (SELECT l_suppkey, l_partkey, min(l_orderkey) AS k FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) JOIN part ON l_partkey = p_partkey),
+v AS (SELECT lpad(k::VARCHAR, 6, '0') || '-' || l_suppkey AS voi_id, l_suppkey::VARCHAR AS rt_id, p_name AS roi_name, k % 50 AS roi_number FROM (SELECT l_suppkey, l_partkey, min(l_orderkey) AS k FROM lineitem GROUP BY 1, 2) JOIN part ON l_partkey = p_partkey),
 a AS (SELECT (rt_id::INT // 2) AS pair, roi_name, max(voi_id) AS first_voi FROM v WHERE rt_id::INT % 2 = 0 GROUP BY 1, 2), b AS (SELECT (rt_id::INT // 2) AS pair, roi_name, max(voi_id) AS second_voi FROM v WHERE rt_id::INT % 2 = 1 GROUP BY 1, 2),
 c AS (SELECT pair, roi_name, first_voi, second_voi, first_voi || '/' || second_voi AS comparison_id FROM a JOIN b USING (pair, roi_name)),
 w AS (SELECT v.*, patient_id, label, series_uid FROM v JOIN st USING (rt_id)),
@@ -128,15 +128,14 @@ def compare_zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CO.zipped(rows.select("o_orderkey", F.col("r.a").alias("x"), F.col("r.b").alias("y")), "x", "y")
 
 
-@query("""WITH asked AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem WHERE l_returnflag = 'A' AND l_partkey <= 300 GROUP BY 1, 2 UNION ALL SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) FROM lineitem WHERE l_returnflag = 'R' AND l_partkey <= 300 GROUP BY 1, 2),
+@query("""WITH asked AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2 UNION ALL SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
 known AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) AS y FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40)
 SELECT first_voi, second_voi FROM (SELECT least(a, b) AS x, greatest(a, b) AS y, arg_min(a, (place, a)) AS first_voi, arg_min(b, (place, a)) AS second_voi FROM asked GROUP BY 1, 2) n WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.x = n.x AND k.y = n.y)""")
 def compare_new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = T.table(spark, sf_dir, "lineitem")
     place = F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    small = line.filter("l_partkey <= 300")
-    a = small.filter("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("first_voi"), F.col("l_suppkey").alias("second_voi")).agg(place.alias("place"))
-    b = small.filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("first_voi"), F.col("l_partkey").alias("second_voi")).agg(place.alias("place"))
+    a = line.filter("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("first_voi"), F.col("l_suppkey").alias("second_voi")).agg(place.alias("place"))
+    b = line.filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("first_voi"), F.col("l_partkey").alias("second_voi")).agg(place.alias("place"))
     asked = a.unionByName(b).withColumn("place", F.struct("place", "first_voi"))
     known = line.filter("l_returnflag = 'N' AND l_quantity > 40").select(F.col("l_partkey").alias("first_voi"), F.col("l_suppkey").alias("second_voi"))
     return CO.new_pairs(asked, known)
@@ -298,10 +297,12 @@ def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROI = cte("rt", "voi") + r""", roi AS (SELECT rt_id, (row_number() OVER (PARTITION BY rt_id ORDER BY volume_name))::INT AS number, volume_name AS name, '1\2\3' AS color, 'ORGAN' AS type FROM voi) """
 
 
-@query(_ROI + r""", p AS (SELECT p_name AS n, count(*) AS c, min(p_brand) AS label, min(CASE WHEN p_size % 2 = 0 THEN '9\9\9' ELSE 'red' END) AS color FROM part WHERE p_partkey % 40 < 9 GROUP BY 1) SELECT rt_id, number, CASE WHEN c = 1 THEN label ELSE name END AS name, CASE WHEN c = 1 AND p.color = '9\9\9' THEN '9\9\9' ELSE roi.color END AS color, CASE WHEN c = 1 THEN 'PTV' ELSE type END AS type FROM roi LEFT JOIN p ON n = name""")
+@query(_ROI + r""", p AS (SELECT p_name AS n, min(p_partkey) % 3 > 0 AS one, min(p_brand) AS label, CASE WHEN min(p_partkey) % 2 = 0 THEN '9\9\9' ELSE 'red' END AS color FROM part GROUP BY 1) SELECT rt_id, number, CASE WHEN one THEN label ELSE name END AS name, CASE WHEN one AND p.color = '9\9\9' THEN '9\9\9' ELSE roi.color END AS color, CASE WHEN one THEN 'PTV' ELSE type END AS type FROM roi LEFT JOIN p ON n = name""")
 def reid_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.table(spark, sf_dir, "part").filter("p_partkey % 40 < 9")
-    properties = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("label"), F.when(F.col("p_size") % 2 == 0, "9\\9\\9").otherwise("red").alias("color"), F.lit("PTV").alias("type"))
+    """Properties by the names of the parts; a third of the names stand twice and change nothing."""
+    p = T.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("label"), F.min("p_partkey").alias("k"))
+    p = p.select("name", "label", F.when(F.col("k") % 2 == 0, "9\\9\\9").otherwise("red").alias("color"), F.lit("PTV").alias("type"), "k")
+    properties = p.union(p.filter("k % 3 = 0")).drop("k")
     return D.with_properties(_rois(spark, sf_dir), properties)
 
 
@@ -376,9 +377,9 @@ def humanized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", S.humanized(F.concat(F.lit("roi_"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("Url"))).alias("label"))
 
 
-@query("SELECT page_id, true AS url_is_url, false AS html_is_url, url LIKE '%.png' AS is_image, false AS is_number FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, url IS NOT NULL AS url_is_url, false AS html_is_url, coalesce(url LIKE '%.png', false) AS is_image, false AS is_number FROM pages")
 def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.table(spark, sf_dir, "pages").filter("url IS NOT NULL")
+    p = T.table(spark, sf_dir, "pages")
     return p.select("page_id", S.is_url(F.col("url")).alias("url_is_url"), S.is_url(F.col("html")).alias("html_is_url"), S.is_image(F.col("url")).alias("is_image"), S.is_number(F.col("url")).alias("is_number"))
 
 
