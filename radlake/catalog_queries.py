@@ -467,7 +467,7 @@ def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.nullif(label, F.lit("")), "p_name").alias("label"))
 
 
-@query("SELECT 'h' || (min(c_custkey) * 2 + 7) AS host, ((min(c_custkey) % 100) + 104)::INT AS port FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 5 > 0".replace("'h' || (min(c_custkey) * 2 + 7)", "'h' || min(c_custkey)").replace("((min(c_custkey) % 100) + 104)", "(min(c_custkey) % 100 + 104)"))
+@query("""SELECT 'h' || min(c_custkey) AS host, (min(c_custkey) % 100 + 104)::INT AS port FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 5 > 0""")
 def move_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first active destination with a title."""
     k = F.col("c_custkey")

@@ -8,12 +8,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Colour names and values, tried after the RGB form (fixed values).
+#: Colour names, without regard to case, and their values, tried after the RGB form (fixed values).
 COLORS = {
-    "yellow": (255, 255, 0), "red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
-    "orange": (255, 165, 0), "purple": (128, 0, 128), "white": (255, 255, 255), "black": (0, 0, 0), "pink": (255, 192, 203), "brown": (165, 42, 42),
-    "gray": (128, 128, 128), "grey": (128, 128, 128), "skin rendering": (255, 224, 189), "skin": (255, 224, 189), "bone rendering": (255, 245, 238), "bone": (255, 245, 238),
-}
+    "yellow": "255\\255\\0",
+    "cyan": "0\\255\\255",
+    "red": "255\\0\\0",
+    "green": "0\\255\\0",
+    "blue": "0\\0\\255",
+    "magenta": "255\\0\\255",
+    "white": "255\\255\\255",
+    "black": "0\\0\\0",
+    "orange": "255\\165\\0",
+    "purple": "128\\0\\128",
+    "pink": "255\\192\\203",
+    "brown": "165\\42\\42",
+    "gray": "128\\128\\128",
+    "grey": "128\\128\\128",
+    "skin rendering": "255\\224\\189",
+    "skin": "255\\224\\189",
+    "bone rendering": "255\\245\\238",
+    "bone": "255\\245\\238",
+}
 
 
 def dicom_date(value: Column) -> Column:
@@ -107,7 +122,7 @@ def color(value: Column) -> Column:
     join = lambda *c: F.concat_ws("\\", *[x.cast("string") for x in c])
     rgb = [F.regexp_extract(text, r"(?i)^RGB\s+(\d+)\s+(\d+)\s+(\d+)", k).try_cast("int") for k in (1, 2, 3)]
     small = reduce(lambda a, b: a & b, [F.coalesce(x <= 255, F.lit(False)) for x in rgb])
-    named = F.try_element_at(F.create_map(*[F.lit(x) for name, parts in COLORS.items() for x in (name, "\\".join(map(str, parts)))]), F.lower(text))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair]), F.lower(text))
     hexed = [F.conv(F.regexp_extract(text, r"^#?([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})([0-9A-Fa-f]{2})$", k), 16, 10) for k in (1, 2, 3)]
     number = F.regexp_replace(text, "[^0-9]", "")
     packed = F.when(F.char_length(number) >= 3, (number.try_cast("decimal(38,0)") % 16777216).cast("int"))
@@ -167,7 +182,22 @@ def inside(path: Column, base: str) -> Column:
 
 
 #: What a template's volume type stands for (fixed values); all but the last are their own.
-VOLUME_TYPES = {t: t for t in "ORGAN PTV CTV GTV EXTERNAL AVOIDANCE CAVITY CONTRAST_AGENT BOLUS SUPPORT FIXATION CONTROL DOSE_REGION".split()} | {"BODY": "EXTERNAL"}
+VOLUME_TYPES = {
+    "ORGAN": "ORGAN",
+    "PTV": "PTV",
+    "CTV": "CTV",
+    "GTV": "GTV",
+    "EXTERNAL": "EXTERNAL",
+    "AVOIDANCE": "AVOIDANCE",
+    "CAVITY": "CAVITY",
+    "CONTRAST_AGENT": "CONTRAST_AGENT",
+    "BOLUS": "BOLUS",
+    "SUPPORT": "SUPPORT",
+    "FIXATION": "FIXATION",
+    "CONTROL": "CONTROL",
+    "DOSE_REGION": "DOSE_REGION",
+    "BODY": "EXTERNAL",
+}
 
 
 def interpreted_type(volume_type: Column) -> Column:
@@ -176,7 +206,7 @@ def interpreted_type(volume_type: Column) -> Column:
 
 
 #: Words of a label that stand in capitals (fixed values).
-ACRONYMS = "URL ID API HTTP HTTPS DICE CT MR MRN RT ROI TV GTV CTV ITV PTV DICOM DVH PACS HL7 FHIR TG263 AI ML".split()
+ACRONYMS = ["URL", "ID", "API", "HTTP", "HTTPS", "DICE", "CT", "MR", "MRN", "RT", "ROI", "TV", "GTV", "CTV", "ITV", "PTV", "DICOM", "DVH", "PACS", "HL7", "FHIR", "TG263", "AI", "ML"]
 
 
 def humanized(field: Column) -> Column:

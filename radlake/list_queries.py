@@ -95,7 +95,7 @@ def cancelled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lists ------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN length(p_name || ' of the left side_L') > 16 THEN (p_name || ' of the left side')[1:14] || '_L' END AS short_name FROM part WHERE p_partkey % 3 <> 0".replace("p_name AS name", "p_name || ' of the left side_L' AS name"))
+@query("""SELECT p_partkey AS id, p_name || ' of the left side_L' AS name, CASE WHEN length(p_name || ' of the left side_L') > 16 THEN (p_name || ' of the left side')[1:14] || '_L' END AS short_name FROM part WHERE p_partkey % 3 <> 0""")
 def unmapped_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" of the left side_L")).alias("name"))
     return L.unmapped_structures(p, p.filter("id % 3 = 0"))
@@ -349,7 +349,7 @@ def slice_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.slice_order(i).select("series_uid", "path", F.col("slice_index").cast("long").alias("slice_index"))
 
 
-@query("SELECT source, count(*) AS n_files, sum(length(encode(text)))::BIGINT AS n_bytes FROM documents GROUP BY 1".replace("length(encode(text))", "strlen(text)"))
+@query("""SELECT source, count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY 1""")
 def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes of each folder."""
     return T.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"))

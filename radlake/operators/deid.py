@@ -18,14 +18,13 @@ from ..functions.scalar import digits, keyed
 from ..functions.tags import forms
 
 UID_PREFIX = "1.2.826.0.1.3680043.10.1561"
-#: Tags that are masked when present, and free-text tags (fixed values); the last line is ours.
+#: Tags that are masked when present, and free-text tags (fixed values).
 MASKED = [
     "PatientName", "ReferringPhysicianName", "PerformingPhysicianName", "OperatorsName", "PhysiciansOfRecord", "RequestingPhysician", "ConsultingPhysicianName", "ResponsiblePerson", "ReviewerName",
     "InstitutionName", "InstitutionAddress", "InstitutionalDepartmentName", "StationName", "ReferringPhysicianAddress", "PersonAddress", "TelephoneNumbers", "PatientTelephoneNumbers",
     "InstitutionCodeSequence", "PhysiciansReadingStudyIdentificationSequence", "OperatorIdentificationSequence", "ReferringPhysicianIdentificationSequence",
     "OtherPatientIDs", "OtherPatientIDsSequence", "MedicalRecordLocator", "PatientInsurancePlanCodeSequence", "DeviceSerialNumber", "PlateID", "GeneratorID", "CassetteID", "GantryID",
     "AccessionNumber", "StudyID", "RequestedProcedureID", "ScheduledProcedureStepID", "FillerOrderNumberImagingServiceRequest", "PlacerOrderNumberImagingServiceRequest",
-    "PatientBirthName", "PatientMotherBirthName", "OtherPatientNames", "PatientAddress",
 ]
 FREE_TEXT = [
     "StudyDescription", "SeriesDescription", "ImageComments", "AdditionalPatientHistory", "StudyComments", "PatientComments", "RequestedProcedureDescription",
@@ -33,6 +32,8 @@ FREE_TEXT = [
 ]
 
 
+#: Tags that name a patient or kin as well; masked like the others.
+ALSO_MASKED = ["PatientBirthName", "PatientMotherBirthName", "OtherPatientNames", "PatientAddress"]
 #: Dates that are replaced, and identifiers that become # as nothing maps them (fixed values).
 DATES = ["StudyDate", "SeriesDate", "AcquisitionDate", "ContentDate", "PatientBirthDate"]
 UNMAPPED = ["AccessionNumber", "StudyID"]
@@ -50,7 +51,7 @@ def _private(key: Column) -> Column:
 def masked_tags(tags: Column) -> Column:
     """Masked and free-text tags to #, whether they stand under keyword, name or number; private tags go."""
     kept = F.map_filter(tags, lambda k, v: ~_private(k))
-    return F.transform_values(kept, lambda k, v: F.when(k.isin(_keys(MASKED + FREE_TEXT + UNMAPPED)), F.lit("#")).otherwise(v))
+    return F.transform_values(kept, lambda k, v: F.when(k.isin(_keys(MASKED + ALSO_MASKED + FREE_TEXT + UNMAPPED)), F.lit("#")).otherwise(v))
 
 
 def deidentified_tags(tags: Column, study_uid: Column, series_uid: Column, frame_uid: Column, sop_uid: Column, patient: Column, day: Column) -> Column:

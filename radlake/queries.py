@@ -151,7 +151,7 @@ def cfind_open_range_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.find(_study_level(spark, sf_dir), {"study_date": "20010101-"}, STUDY_FIELDS, ["study_uid"], strict=True)
 
 
-@query(STUDY_SQL + "WHERE regexp_matches(study_uid, '^1.3.*$') AND regexp_matches(lower(study_description), '^?-.*i.*$') ORDER BY study_uid LIMIT 10000".replace("'^?-", "'^.-"))
+@query(STUDY_SQL + "WHERE regexp_matches(study_uid, '^1.3.*$') AND regexp_matches(lower(study_description), '^.-.*i.*$') ORDER BY study_uid LIMIT 10000")
 def cfind_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.find(_study_level(spark, sf_dir), {"study_uid": "1?3*", "study_description": "?-*I*"}, STUDY_FIELDS, ["study_uid"])
 

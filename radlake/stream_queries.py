@@ -141,7 +141,7 @@ def dicom_character_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key.alias("id"), get("Patient's Name").alias("name"), get("Manufacturer").alias("manufacturer"), get("KVP").alias("kvp"))
 
 
-@query(r"""SELECT 'R.' || s_suppkey AS sop_uid, 'S.' || s_suppkey AS referenced_series_uid, 2::BIGINT AS n_images, k AS number, s_name || ' ' || k AS name, '255\0\' || k AS color, k + 15.5 AS total, CASE WHEN k < 3 THEN 'ORGAN' END AS type FROM supplier, (VALUES (1), (2), (3)) t(k)""".replace("k + 15.5 AS total", "(k + 15.5)::DOUBLE AS total"))
+@query(r"""SELECT 'R.' || s_suppkey AS sop_uid, 'S.' || s_suppkey AS referenced_series_uid, 2::BIGINT AS n_images, k AS number, s_name || ' ' || k AS name, '255\0\' || k AS color, (k + 15.5)::DOUBLE AS total, CASE WHEN k < 3 THEN 'ORGAN' END AS type FROM supplier, (VALUES (1), (2), (3)) t(k)""")
 def structure_set_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A structure set for each supplier is written and read: ROIs, contours, observations and what they refer to."""
     rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
@@ -216,8 +216,8 @@ def bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
-@query("""SELECT ae, series_uid, run, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY ae ORDER BY ts, event_id) AS run FROM (SELECT event_id, ts, user_id AS ae, event_type AS series_uid,
-coalesce((lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type)::INT, 1) AS c FROM events)) GROUP BY ALL""".replace("SELECT ae, series_uid, run, count(*) AS n", "SELECT ae, series_uid, count(*) AS n, min(ts)::VARCHAR AS first, count(DISTINCT event_id) AS n_sops").replace("GROUP BY ALL", "GROUP BY ae, series_uid, run"))
+@query("""SELECT ae, series_uid, count(*) AS n, min(ts)::VARCHAR AS first, count(DISTINCT event_id) AS n_sops FROM (SELECT *, sum(c) OVER (PARTITION BY ae ORDER BY ts, event_id) AS run FROM (SELECT event_id, ts, user_id AS ae, event_type AS series_uid,
+coalesce((lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type)::INT, 1) AS c FROM events)) GROUP BY ae, series_uid, run""")
 def stream_series_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The receive stream: a sender that goes on to another series, or releases its association, completes the one before."""
     folder = files.shared_folder(spark, "stream")
