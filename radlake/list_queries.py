@@ -299,16 +299,19 @@ def ratings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ratings_export(T.structure_imports(spark, sf_dir), T.vois(spark, sf_dir), s)
 
 
-@query("""WITH m AS (SELECT DISTINCT p_type AS template_id, p_brand AS model FROM part), s AS (SELECT DISTINCT p_type AS template_id, p_brand AS model, p_size AS k FROM part) SELECT template_id, count(*) AS n_models, sum((SELECT count(*) FROM s WHERE s.template_id = m.template_id AND s.model = m.model))::BIGINT AS n_maps FROM m GROUP BY 1""")
+@query("""WITH s AS (SELECT p_type, p_brand, p_size::VARCHAR AS k, max(p_name) AS nm FROM part GROUP BY ALL), m AS (SELECT p_type AS template_id, p_brand, count(*) AS n, string_agg(k || '=' || nm, ',' ORDER BY k) AS names FROM s GROUP BY 1, 2)
+SELECT template_id, count(*) AS n_models, sum(n)::BIGINT AS n_maps, string_agg(template_id || '/' || p_brand || ':' || p_brand || '[' || names || ']', ';' ORDER BY template_id || '/' || p_brand) AS models FROM m GROUP BY 1""")
 def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates as nested documents, read again and counted."""
+    """Templates as nested documents, read again and shown."""
     p = T.table(spark, sf_dir, "part")
     model = F.concat_ws("/", "p_type", "p_brand").alias("model_id")
     models = p.select(F.col("p_type").alias("template_id"), model, F.col("p_brand").alias("name")).distinct().withColumns({c: F.lit("x") for c in ("config", "trainer_name", "postprocess")})
     docs = R.template_documents(p.select(F.col("p_type").alias("template_id"), F.col("p_type").alias("template_name")).distinct(), models, p.select(model, F.col("p_size").alias("map_id"), F.col("p_name").alias("name")))
     read = docs.select("template_id", F.from_json("document", "name string, protocol string, models map<string,struct<name:string,map:map<string,string>>>").alias("d")).filter("d.protocol = 'DRAW' AND d.name = template_id")
     maps = F.aggregate(F.map_values("d.models"), F.lit(0), lambda a, m: a + F.size(m["map"]))
-    return read.select("template_id", F.size("d.models").cast("long").alias("n_models"), maps.cast("long").alias("n_maps"))
+    names = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m["value"]["map"])), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    shown = F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("d.models"), lambda m: F.struct(m["key"].alias("key"), m["value"]["name"].alias("name"), names(m).alias("names")))), lambda m: F.concat(m["key"], F.lit(":"), m["name"], F.lit("["), m["names"], F.lit("]"))), ";")
+    return read.select("template_id", F.size("d.models").cast("long").alias("n_models"), maps.cast("long").alias("n_maps"), shown.alias("models"))
 
 
 @query("SELECT r_regionkey, coalesce(n, 0) AS n_children, coalesce(c, 0) AS n_grandchildren FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n, sum(k)::BIGINT AS c FROM (SELECT n_regionkey, n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS k FROM nation WHERE n_regionkey <> 3) GROUP BY 1) ON n_regionkey = r_regionkey")

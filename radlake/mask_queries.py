@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import kernels as K
 from .operators import voxels as V
 from .plans import masks as P
-from .queries import SIZE, VOXELS_SQL, _axis, _cells, _mask
+from .queries import SIZE, VOXELS_SQL, _axis, _axis_rows, _cells, _mask
 from .registry import ORACLE_SQL, query
 
 _GRID = "i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 6"
@@ -138,11 +138,27 @@ def contour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rasterised(moved, (16, 16)).groupBy("comparison_id", "k").agg(F.count("*").alias("n"))
 
 
-@query(VOXELS_SQL + """, n AS (SELECT comparison_id, k, count(*) FILTER (in_a AND NOT in_b) AS under, count(*) FILTER (in_b AND NOT in_a) AS over FROM c2 GROUP BY 1, 2), o AS (SELECT comparison_id, count(*) FILTER (in_a AND in_b) AS overlap_count FROM c2 GROUP BY 1)
-SELECT comparison_id, k, overlap_count FROM n JOIN o USING (comparison_id) WHERE under + over > 0""")
+@query(VOXELS_SQL + f""", n AS (SELECT comparison_id, k, count(*) FILTER (in_a AND NOT in_b) AS under, count(*) FILTER (in_b AND NOT in_a) AS over FROM c2 GROUP BY 1, 2), o AS (SELECT comparison_id, count(*) FILTER (in_a AND in_b) AS overlap_count FROM c2 GROUP BY 1),
+u AS (SELECT comparison_id, k, string_agg(d::INT::VARCHAR, ',' ORDER BY d) AS l FROM ({_axis_rows('a', 'b')}) GROUP BY 1, 2), v AS (SELECT comparison_id, k, string_agg(d::INT::VARCHAR, ',' ORDER BY d) AS l FROM ({_axis_rows('b', 'a')}) GROUP BY 1, 2)
+SELECT comparison_id, k, overlap_count, coalesce(u.l, '') AS under_distances, coalesce(v.l, '') AS over_distances FROM n JOIN o USING (comparison_id) LEFT JOIN u USING (comparison_id, k) LEFT JOIN v USING (comparison_id, k) WHERE under + over > 0""")
 def voxel_slice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices with lists of distances; the lists are tested against single voxels in tests."""
-    return V.slice_lists(_cells(spark, sf_dir)).select("comparison_id", "k", "overlap_count")
+    """Slices with the lists of their distances."""
+    shown = lambda c: F.array_join(F.transform(c, lambda d: d.cast("int").cast("string")), ",").alias(c)
+    return V.slice_lists(_cells(spark, sf_dir)).select("comparison_id", "k", "overlap_count", shown("under_distances"), shown("over_distances"))
+
+
+def _blurred(source: str, axis: str, last: int, weights: list[float]) -> str:
+    r = len(weights) // 2
+    taps = ", ".join(f"({o - r}, {w!r}::DOUBLE)" for o, w in enumerate(weights))
+    others = [n for n in "ijk" if n != axis]
+    return f"SELECT s.comparison_id, s.i, s.j, s.k, sum(w * t.x) AS x FROM {source} s, (VALUES {taps}) o(o, w) JOIN {source} t ON t.comparison_id = s.comparison_id AND t.{others[0]} = s.{others[0]} AND t.{others[1]} = s.{others[1]} AND t.{axis} = least(greatest(s.{axis} + o, 0), {last}) GROUP BY ALL"
+
+
+@query(VOXELS_SQL + f""", e AS (SELECT DISTINCT comparison_id FROM a), x0 AS (SELECT g.comparison_id, g.i, g.j, g.k, CASE WHEN a.i IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS x FROM (SELECT comparison_id, i::INT AS i, j::INT AS j, k::INT AS k FROM e, range(8) p(i), range(8) q(j), range(7) r(k)) g LEFT JOIN a USING (comparison_id, i, j, k)),
+x1 AS ({_blurred('x0', 'i', 7, K.gauss(1.0))}), x2 AS ({_blurred('x1', 'j', 7, K.gauss(1.0))}), x3 AS ({_blurred('x2', 'k', 6, K.gauss(0.5))}) SELECT comparison_id, i, j, k FROM x3 WHERE x > 0.3137""")
+def voxel_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blurred mask above a threshold, at unequal spacings."""
+    return P.run([{"type": "gaussian_smooth", "parameters": {"sigma_mm": 1.0, "threshold": 0.3137}}], {}, SIZE, (1.0, 1.0, 2.0), start=_mask(spark, sf_dir, "A"))
 
 
 _NEAR = ", ".join(str(o) for o in K.FACES if o != (0, 0, 0))

@@ -377,15 +377,17 @@ def ratings_long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", S.or_default(F.col("quality").cast("string"), "N/A").alias("quality"), S.or_default(F.col("toxic").cast("string"), "N/A").alias("toxic"), S.or_default(F.col("lang"), "Unknown").alias("lang"))
 
 
-@query(cte("patient", "study", "series") + """, s AS (SELECT study_uid, list({'series_uid': series_uid, 'instance_count': instance_count} ORDER BY series_uid) AS series FROM series GROUP BY 1),
-t AS (SELECT patient_id, count(*) AS n_studies, sum(coalesce(len(s.series), 0))::BIGINT AS n_series FROM study LEFT JOIN s USING (study_uid) GROUP BY 1)
-SELECT patient_id, coalesce(n_studies, 0)::BIGINT AS n_studies, coalesce(n_series, 0)::BIGINT AS n_series FROM patient LEFT JOIN t USING (patient_id)""")
+@query(cte("patient", "study", "series") + """, s AS (SELECT study_uid, string_agg(series_uid || '*' || instance_count, ',' ORDER BY series_uid) AS series FROM series GROUP BY 1),
+t AS (SELECT patient_id, string_agg(study_uid || '@' || strftime(study_date, '%Y-%m-%d') || '[' || coalesce(s.series, '') || ']', ';' ORDER BY study_uid) AS studies FROM study LEFT JOIN s USING (study_uid) GROUP BY 1)
+SELECT patient_id, patient_name, coalesce(studies, '') AS studies FROM patient LEFT JOIN t USING (patient_id)""")
 def nested_patient_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents read again and shown level by level, in their order."""
     doc = R.nested(T.patients(spark, sf_dir), T.studies(spark, sf_dir), T.series(spark, sf_dir))
-    schema = "patient_id string, patient_name string, studies array<struct<study_uid:string,series:array<struct<series_uid:string,instance_count:long>>>>"
-    s = F.from_json("document", schema)["studies"]
-    n_series = F.aggregate(F.coalesce(s, F.array().cast("array<struct<study_uid:string,series:array<struct<series_uid:string,instance_count:long>>>>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.size(x["series"]), F.lit(0)))
-    return doc.select("patient_id", F.when(s.isNull(), 0).otherwise(F.size(s)).cast("long").alias("n_studies"), n_series.alias("n_series"))
+    schema = "patient_id string, patient_name string, studies array<struct<study_uid:string,study_date:string,series:array<struct<series_uid:string,instance_count:long>>>>"
+    d = doc.select(F.from_json("document", schema).alias("d"))
+    series = lambda x: F.array_join(F.transform(x["series"], lambda s: F.concat_ws("*", s["series_uid"], s["instance_count"].cast("string"))), ",")
+    studies = F.transform("d.studies", lambda x: F.concat(x["study_uid"], F.lit("@"), x["study_date"], F.lit("["), F.coalesce(series(x), F.lit("")), F.lit("]")))
+    return d.select("d.patient_id", "d.patient_name", F.coalesce(F.array_join(studies, ";"), F.lit("")).alias("studies"))
 
 
 @query("SELECT count(*) AS n_files, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE AS used, greatest(0, 1e12 - sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE) AS available FROM lineitem")
@@ -651,11 +653,16 @@ def voxel_distance_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("comparison_id", F.round("msd", 9).alias("msd"), F.round("hd95", 9).alias("hd95"))
 
 
-def _axis(source: str, target: str, step: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> str:
+def _axis_rows(source: str, target: str, step: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> str:
+    """Voxels of the source and not the target, with the distance to the nearest of the target along an axis, if there is one."""
     lines = " UNION ALL ".join(
         f"SELECT s.comparison_id, s.i, s.j, s.k, abs(s.{x} - t.{x}) * {w} AS d FROM {source} s JOIN {target} t ON s.comparison_id = t.comparison_id AND " + " AND ".join(f"s.{n} = t.{n}" for n in "ijk" if n != x) for x, w in zip("ijk", step)
     )
-    return f"SELECT comparison_id, avg(d) AS d FROM (SELECT comparison_id, i, j, k, min(d) AS d FROM ({lines}) WHERE (comparison_id, i, j, k) NOT IN (SELECT (comparison_id, i, j, k) FROM {target}) GROUP BY ALL) GROUP BY 1"
+    return f"SELECT comparison_id, i, j, k, min(d) AS d FROM ({lines}) WHERE (comparison_id, i, j, k) NOT IN (SELECT (comparison_id, i, j, k) FROM {target}) GROUP BY ALL"
+
+
+def _axis(source: str, target: str, step: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> str:
+    return f"SELECT comparison_id, avg(d) AS d FROM ({_axis_rows(source, target, step)}) GROUP BY 1"
 
 
 @query(VOXELS_SQL + f", u AS ({_axis('a', 'b')}), o AS ({_axis('b', 'a')}), e AS (SELECT DISTINCT comparison_id FROM c2) SELECT comparison_id, round(coalesce(u.d, 0), 9) AS umdc, round(coalesce(o.d, 0), 9) AS omdc, round((coalesce(u.d, 0) + coalesce(o.d, 0)) / 2, 9) AS mdc FROM e LEFT JOIN u USING (comparison_id) LEFT JOIN o USING (comparison_id)")

@@ -192,6 +192,28 @@ def xml_template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.template_errors(T.table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml"))).select("p_partkey", "error")
 
 
+@query("SELECT DISTINCT p_type AS model_name, p_brand AS model_id, 'c' AS model_config, p_partkey::VARCHAR AS map_id, p_name AS map_tg263_primary_name FROM part")
+def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a catalog, one for each type, with a model for each brand and its structures."""
+    p = T.table(spark, sf_dir, "part")
+    structure = F.struct(F.col("p_partkey").cast("string").alias("map_id"), F.col("p_name").alias("map_tg263_primary_name"))
+    models = p.groupBy("p_type", "p_brand").agg(F.collect_list(structure).alias("modelmap"))
+    model = F.struct(F.col("p_brand").alias("id"), F.col("p_type").alias("name"), F.lit("c").alias("config"), "modelmap")
+    answers = models.groupBy("p_type").agg(F.to_json(F.collect_list(model)).alias("body"))
+    return files.model_catalog(answers).select("model_name", "model_id", "model_config", "map_id", "map_tg263_primary_name")
+
+
+@query("SELECT 'day' || (event_id % 7) || '.log' AS file, event_id || ' ' || upper(event_type) || ' by ' || user_id AS value FROM events WHERE event_type = 'error' OR contains(user_id::VARCHAR, 'error')")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of seven days are written and searched without regard to case."""
+    folder = files.shared_folder(spark, "logs")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" "), F.upper("event_type"), F.lit(" by "), F.col("user_id").cast("string"))
+    logs = e.select(F.concat(F.lit("day"), (F.col("event_id") % 7).cast("string"), F.lit(".log")).alias("name"), line.alias("line"))
+    files.write_files(logs.groupBy("name").agg(F.encode(F.array_join(F.collect_list("line"), "\n"), "UTF-8").alias("content")), folder)
+    return files.log_search(spark, folder, "Error")
+
+
 @query("SELECT p_partkey AS row, p_name AS modification_type FROM part")
 def seed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seed list goes to CSV and comes back."""
