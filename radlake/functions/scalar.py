@@ -47,13 +47,14 @@ def scrub(text: Column) -> Column:
 
     Letters and digits are those of Unicode.
     """
+    digits_ = text.rlike(r"(?U)\d{3}|\d\.\d")
     steps = [
-        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"), (r"https?://\S+", "[URL]"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
-        (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"), (r"\b\d{9}\b", "[ID]"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]"),
+        (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]", text.contains("@")), (r"https?://\S+", "[URL]", text.contains("://")), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]", digits_),
+        (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]", digits_), (r"\b\d{9}\b", "[ID]", digits_), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE]", digits_),
     ]
     out = text
-    for pattern, to in steps:
-        out = F.regexp_replace(out, "(?U)" + pattern, to)
+    for pattern, to, may in steps:  # a pattern is tried where a cheap test says that it may be there
+        out = F.when(may, F.regexp_replace(out, "(?U)" + pattern, to)).otherwise(out)
     return F.when(text.isNull() | (text == "") | (text == "#"), F.lit("#")).otherwise(out)
 
 

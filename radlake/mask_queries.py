@@ -49,14 +49,14 @@ SELECT comparison_id, (SELECT count(*) FROM (SELECT * FROM ra EXCEPT SELECT * FR
 @query(_surface_sql(_STEP, 1.2))
 def voxel_surface_dsc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At unequal spacings, which the axes take in reverse."""
-    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, tolerance=1.2)
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, tolerance=1.2, names=["surface_dsc"])
     return m.filter("metric = 'surface_dsc'").select("comparison_id", "value")
 
 
 @query(_path_sql(1.25, 1))
 def voxel_apl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At unequal spacings: the threshold and the path in means of the first two."""
-    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, threshold=1.0)
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, threshold=1.0, names=["apl"])
     return m.filter("metric = 'apl'").select("comparison_id", "value")
 
 
@@ -303,7 +303,7 @@ u AS (""" + _axis("a", "b", _STEP) + "), o AS (" + _axis("b", "a", _STEP) + """)
 SELECT comparison_id, metric, round(value, 9) AS value FROM (SELECT comparison_id, unnest(['vi', 'mdc', 'umdc', 'omdc']) AS metric, unnest([vi, (umdc + omdc) / 2, umdc, omdc]) AS value FROM m)""")
 def voxel_bulk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four metrics of the driver at unequal spacings."""
-    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP).filter(F.col("metric").isin("vi", "mdc", "umdc", "omdc"))
+    m = K.metrics(_cells(spark, sf_dir), SIZE, _STEP, names=["vi", "mdc", "umdc", "omdc"])
     return m.select("comparison_id", "metric", F.round("value", 9).alias("value"))
 
 

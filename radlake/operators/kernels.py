@@ -7,6 +7,7 @@ are dealt out by Spark. Masks arrive as voxel rows and leave as voxel rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -277,16 +278,21 @@ def conformity(a: np.ndarray, b: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> tuple[f
     return (under + over) / 2, under, over
 
 
-def _with_geometry(rows: DataFrame, size, spacing, geometry: DataFrame | None) -> DataFrame:
-    """Rows with nx, ny, nz, sx, sy, sz: of their own mask, or the same for all."""
-    if geometry is not None:
-        return rows.join(geometry.select("comparison_id", "nx", "ny", "nz", "sx", "sy", "sz"), "comparison_id")
-    return rows.withColumns({n: F.lit(v) for n, v in zip(("nx", "ny", "nz", "sx", "sy", "sz"), (*size, *map(float, spacing)))})
+def _by_comparison(rows: DataFrame, size, spacing, geometry: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(group, grid size, spacing) for the rows of each comparison, whose geometry is the same for all or comes beside the rows."""
+    if geometry is None:
+        size, spacing = tuple(size), tuple(map(float, spacing))
+        return rows.groupBy("comparison_id").applyInPandas(lambda group: run(group, size, spacing), schema)
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
+    def both(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if group.empty or own.empty:
+            return pd.DataFrame(columns=names)
+        g = own.iloc[0]
+        return run(group, (int(g.nx), int(g.ny), int(g.nz)), (float(g.sx), float(g.sy), float(g.sz)))
 
-def _grid(group: pd.DataFrame) -> tuple[tuple[int, int, int], tuple[float, float, float]]:
-    first = group.iloc[0]
-    return (int(first.nx), int(first.ny), int(first.nz)), (float(first.sx), float(first.sy), float(first.sz))
+    of = geometry.select("comparison_id", "nx", "ny", "nz", "sx", "sy", "sz")
+    return rows.groupBy("comparison_id").cogroup(of.groupBy("comparison_id")).applyInPandas(both, schema)
 
 
 def apply_mask(mask: DataFrame, size: tuple[int, int, int] | None, operation, geometry: DataFrame | None = None) -> DataFrame:
@@ -298,13 +304,11 @@ def apply_mask(mask: DataFrame, size: tuple[int, int, int] | None, operation, ge
 
     own = geometry is not None
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shape, spacing = _grid(group)
+    def run(group: pd.DataFrame, shape: tuple[int, int, int], spacing: tuple[float, float, float]) -> pd.DataFrame:
         grid = dense(group, shape)
         return sparse(operation(grid, spacing) if own else operation(grid), group.comparison_id.iloc[0])
 
-    rows = _with_geometry(mask.select(*CELL), size or (0, 0, 0), (1.0, 1.0, 1.0), geometry)
-    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int")
+    return _by_comparison(mask.select(*CELL), size, (1.0, 1.0, 1.0), geometry, run, f"comparison_id {dict(mask.dtypes)['comparison_id']}, i int, j int, k int")
 
 
 def distance_maps(mask: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), signed: bool = True, geometry: DataFrame | None = None) -> DataFrame:
@@ -355,20 +359,25 @@ def filled_parts(rows: DataFrame, size: tuple[int, int, int] | None = None, full
     return rows.select(*L.LINE, "bits").union(holes).groupBy(*L.LINE).agg(F.bit_or("bits").alias("bits"))
 
 
-def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), geometry: DataFrame | None = None, axis_mode: str = "reference", tolerance: float = 3.0, threshold: float = 3.0) -> DataFrame:
+def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1.0, 1.0), geometry: DataFrame | None = None, axis_mode: str = "reference", tolerance: float = 3.0, threshold: float = 3.0, names: list[str] | None = None) -> DataFrame:
     """(comparison_id, metric, value, error): dsc, jsc, voe, cs, vi, msd, hd95, surface_dsc, apl, mdc, umdc and omdc of in_a against in_b.
 
     A metric that fails is null, with the reason; the others of its comparison
-    are there. Distances are worked out in the box around both masks.
+    are there. Distances are worked out in the box around both masks. names: only
+    these metrics.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shape, step = _grid(group)
+    def run(group: pd.DataFrame, shape: tuple[int, int, int], step: tuple[float, float, float]) -> pd.DataFrame:
         a, b = dense(group[group.in_a], shape), dense(group[group.in_b], shape)
         both, some = int((a & b).sum()), int((a | b).sum())
         na, nb = int(a.sum()), int(b.sum())
         a, b = cropped(a, b)
 
+        @cache
+        def conform() -> tuple[float, float, float]:
+            return conformity(a, b, step)
+
+        @cache
         def directed() -> tuple[float, float]:
             if not na or not nb:
                 return np.inf, np.inf
@@ -379,10 +388,12 @@ def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1
             "dsc": lambda: 2 * both / (na + nb) if na + nb else 1.0, "jsc": lambda: both / some if some else 1.0, "voe": lambda: 1 - both / some if some else 0.0,
             "cs": lambda: both / np.sqrt(float(na) * nb) if na and nb else 0.0, "msd": lambda: directed()[0], "hd95": lambda: directed()[1],
             "surface_dsc": lambda: surface_dice(a, b, tolerance, step, axis_mode), "apl": lambda: added_path(a, b, threshold, step),
-            "vi": lambda: information(na, nb, both, int(np.prod(shape))), "mdc": lambda: conformity(a, b, step)[0], "umdc": lambda: conformity(a, b, step)[1], "omdc": lambda: conformity(a, b, step)[2],
+            "vi": lambda: information(na, nb, both, int(np.prod(shape))), "mdc": lambda: conform()[0], "umdc": lambda: conform()[1], "omdc": lambda: conform()[2],
         }
         rows = []
         for name, compute in wanted.items():
+            if names is not None and name not in names:
+                continue
             try:
                 rows.append((name, float(compute()), None))
             except (ValueError, ArithmeticError, MemoryError) as e:
@@ -391,5 +402,4 @@ def metrics(cells: DataFrame, size: tuple[int, int, int] | None, spacing=(1.0, 1
         out.insert(0, "comparison_id", group.comparison_id.iloc[0])
         return out
 
-    rows = _with_geometry(cells.select(*CELL, "in_a", "in_b"), size or (0, 0, 0), spacing, geometry)
-    return rows.groupBy("comparison_id").applyInPandas(run, f"comparison_id {dict(cells.dtypes)['comparison_id']}, metric string, value double, error string")
+    return _by_comparison(cells.select(*CELL, "in_a", "in_b"), size, spacing, geometry, run, f"comparison_id {dict(cells.dtypes)['comparison_id']}, metric string, value double, error string")

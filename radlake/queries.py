@@ -649,7 +649,7 @@ def voxel_msd_hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DISTANCE_SQL)
 def voxel_distance_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = K.metrics(_cells(spark, sf_dir), SIZE).groupBy("comparison_id").pivot("metric", ["msd", "hd95"]).agg(F.first("value"))
+    m = K.metrics(_cells(spark, sf_dir), SIZE, names=["msd", "hd95"]).groupBy("comparison_id").pivot("metric", ["msd", "hd95"]).agg(F.first("value"))
     return m.select("comparison_id", F.round("msd", 9).alias("msd"), F.round("hd95", 9).alias("hd95"))
 
 
@@ -678,7 +678,7 @@ def voxel_slice_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def voxel_surface_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.metrics(_cells(spark, sf_dir), SIZE).filter(F.col("metric").isin("surface_dsc", "apl")).drop("error")
+    return K.metrics(_cells(spark, sf_dir), SIZE, names=["surface_dsc", "apl"]).drop("error")
 
 
 @query()
