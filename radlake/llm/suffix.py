@@ -42,8 +42,8 @@ LEVEL, PART_BYTES, RECUT_BYTES = 12, 256 << 20, 16 << 20
 HOT = 64
 #: Parts of the copies of one text.
 SALTS = 32
-#: Windows of a text that are scanned at once.
-BLOCK = 1 << 20
+#: Windows of a text that are scanned at once; suffixes of a bucket that are sorted at once.
+BLOCK, SORTED = 1 << 20, 200_000
 #: Occurrences, and bytes of arrays, that a task holds before it passes them on.
 HELD, HELD_BYTES = 100_000, 8 << 20
 _MASK = np.uint64((1 << 24) - 1)
@@ -397,21 +397,57 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(pieces: list[bytes], least: int = LEAST) -> list[tuple[np.ndarray, ...]]:
-    """(group, length, piece, offset) of every occurrence of every maximal repeat.
+def windows_at(data: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the ``least`` bytes from each place on."""
+    if least < 8:
+        h = np.zeros(len(at), np.uint64)
+        for k in range(least):
+            h = h * np.uint64(0xC2B2AE3D27D4EB4F) + data[at + k]
+        return mix64(h)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = eight[at]
+    for k in (*range(8, least - 8, 8), least - 8):
+        h = mix64(h) + eight[at + k]
+    return mix64(h)
+
+
+def maximal_repeats(pieces: list[bytes], least: int = LEAST) -> Iterator[list[np.ndarray]]:
+    """(group, length, piece, offset) of every occurrence of every maximal repeat, in parts; groups are numbered in each.
 
     Pieces are different byte strings of at most LONGEST bytes, without 0xFF. An
     occurrence at the start of a piece counts as differing in the byte before.
+    Suffixes that begin with the same ``least`` bytes are sorted together, some
+    SORTED of them at a time; one that shares its begin with no other has none.
     """
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     data = np.frombuffer(b"\xff".join([b"", *pieces, b"\xff" * LONGEST]), np.uint8)
     begins = np.cumsum(np.concatenate([[0], sizes + 1]))[:-1] + 1
     n = np.maximum(sizes - least + 1, 0)
-    piece = np.repeat(np.arange(len(pieces)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = begins[piece] + offset
-    view = np.lib.stride_tricks.sliding_window_view(data, LONGEST)
-    keys = view[at]
+    total = int(n.sum())
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
+    at = np.arange(total) + np.repeat(begins - (np.cumsum(n) - n), n)
+    h = windows_at(data, at, least)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if total else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, total))
+    several = np.repeat(size > 1, size)
+    order, size = order[several], size[size > 1]
+    ends = np.cumsum(size)
+    done = 0
+    while done < len(order):
+        k = max(np.searchsorted(ends, done + SORTED, "right") - 1, np.searchsorted(ends, done, "right"))
+        some = order[done : ends[k]]
+        done = int(ends[k])
+        found = _sorted_repeats(data, sizes, begins, piece[some].astype(np.int64), at[some], least)
+        if found and len(found[0]):
+            yield found
+
+
+def _sorted_repeats(data: np.ndarray, sizes: np.ndarray, begins: np.ndarray, piece: np.ndarray, at: np.ndarray, least: int) -> list[np.ndarray]:
+    """maximal_repeats() among some suffixes."""
+    offset = at - begins[piece]
+    keys = np.lib.stride_tricks.sliding_window_view(data, LONGEST)[at]
     order = np.argsort(keys.view(f"S{LONGEST}").ravel(), kind="stable")
     keys, piece, offset, at = keys[order], piece[order], offset[order], at[order]
     rest = sizes[piece] - offset
@@ -466,20 +502,18 @@ def marks(found: DataFrame) -> DataFrame:
                 else:
                     low[k], high[k] = min(low[k], x), max(high[k], y)
         ids, low, high = np.array(ids, np.uint64), np.array(low, np.int64), np.array(high, np.int64)
-        repeats = maximal_repeats(list(pieces))
         # a context in several documents is a repeat itself
         alone = np.flatnonzero(low < high)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        out = [(ids[alone], np.zeros(len(alone), np.int64), sizes[alone], low[alone])]
-        if repeats:
-            group, length, piece, offset = repeats
+        out = [(ids[alone], np.zeros(len(alone), np.uint8), sizes[alone].astype(np.uint8), low[alone])]
+        for group, length, piece, offset in maximal_repeats(list(pieces)):
             first = np.flatnonzero(np.diff(group, prepend=-1))
             least = np.minimum.reduceat(low[piece], first)[group]
             some = (high[piece] > least) & ~((offset == 0) & (length == sizes[piece]) & (least == low[piece]))
-            out.append((ids[piece[some]], offset[some], length[some], least[some]))
+            out.append((ids[piece[some]], offset[some].astype(np.uint8), length[some].astype(np.uint8), least[some]))
         key, offset, length, least = map(np.concatenate, zip(*out))
         order = np.argsort(key, kind="stable")
-        blob = pack(key[order], offset[order].astype(np.uint8), length[order].astype(np.uint8), least[order])
+        blob = pack(key[order], offset[order], length[order], least[order])
         return pa.table({"bucket": table.column("bucket")[:1], "answer": pa.array([blob], pa.binary())}, schema=pa.schema([("bucket", pa.int64()), ("answer", pa.binary())]))
 
     return found.select("bucket", "blob").groupBy("bucket").applyInArrow(solve, "bucket long, answer binary")
