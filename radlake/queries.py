@@ -546,7 +546,10 @@ def deid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.studies(spark, sf_dir).select("study_uid", D.study_date(F.col("study_uid"), SECRET).cast("string").alias("deid_date"))
 
 
-@query()
+_MASKED_JSON = ",".join(f'"{t}":"#"' for t in D.MASKED + D.FREE_TEXT)
+
+
+@query(cte("series") + f"""SELECT series_uid, '{{{_MASKED_JSON},"SeriesInstanceUID":"' || series_uid || '","StudyInstanceUID":"' || study_uid || '"}}' AS tags FROM series""")
 def deid_masked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tag map of every series, with a value for each listed tag, before it leaves."""
     named = F.map_from_arrays(F.array(*map(F.lit, D.MASKED + D.FREE_TEXT)), F.array(*[F.concat(F.lit(f"{t} of "), "series_uid") for t in D.MASKED + D.FREE_TEXT]))
