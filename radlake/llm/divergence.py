@@ -36,7 +36,7 @@ LEAST, TOP, SCALE = 10, 10, 1_000_000_000
 #: Bits of a value (below SCALE + 2) and of a digit; rows of a group under which ties are few.
 BITS, DIGIT, FEW = 30, 10, 1000
 #: Terms that a task counts before it hands them on; rows of a bucket of terms; sources of a block.
-HELD, BUCKET, SOURCES = 200_000, 20_000, 128
+HELD, BUCKET, SOURCES = 400_000, 20_000, 128
 #: Bytes of a text that are terms at a time.
 BLOCK = 1 << 20
 #: Bytes that aren't in [^\x00-\x40\x5B-\x60\x7B-\x7F] become spaces; A-Z become lower case before.
@@ -99,7 +99,8 @@ def apart(p: str, q: str) -> str:
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, n, lang_n, head): terms of enough documents of their language; head: one row of each term."""
-    sums = counted(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed up already; one shuffle by term serves the sums by source and those over sources
+    sums = counted(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = W.partitionBy("lang", "term")  # as many rows as sources have the term
     with_sums = sums.withColumn("lang_n", F.sum("n").over(term)).withColumn("lang_docs", F.sum("docs").over(term)).withColumn("head", F.row_number().over(term.orderBy("source")) == 1)
     return with_sums.filter(F.col("lang_docs") >= least).drop("docs", "lang_docs")
