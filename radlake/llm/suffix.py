@@ -439,13 +439,11 @@ def maximal_repeats(pieces: list[bytes], least: int = LEAST) -> Iterator[list[np
         k = max(np.searchsorted(ends, done + SORTED, "right") - 1, np.searchsorted(ends, done, "right"))
         some = order[done : ends[k]]
         done = int(ends[k])
-        found = _sorted_repeats(data, sizes, begins, piece[some].astype(np.int64), at[some], least)
-        if found and len(found[0]):
-            yield found
+        yield from _sorted_repeats(data, sizes, begins, piece[some].astype(np.int64), at[some], least)
 
 
-def _sorted_repeats(data: np.ndarray, sizes: np.ndarray, begins: np.ndarray, piece: np.ndarray, at: np.ndarray, least: int) -> list[np.ndarray]:
-    """maximal_repeats() among some suffixes."""
+def _sorted_repeats(data: np.ndarray, sizes: np.ndarray, begins: np.ndarray, piece: np.ndarray, at: np.ndarray, least: int) -> Iterator[list[np.ndarray]]:
+    """maximal_repeats() among some suffixes; a part has about SORTED occurrences, or one group."""
     offset = at - begins[piece]
     keys = np.lib.stride_tricks.sliding_window_view(data, LONGEST)[at]
     order = np.argsort(keys.view(f"S{LONGEST}").ravel(), kind="stable")
@@ -460,7 +458,7 @@ def _sorted_repeats(data: np.ndarray, sizes: np.ndarray, begins: np.ndarray, pie
     begin = np.flatnonzero(joined[1:] & ~joined[:-1])
     end = np.flatnonzero(joined[:-1] & ~joined[1:])
     if not len(begin):
-        return []
+        return
     bounds = np.column_stack([begin, end]).ravel()
     shallow, deep = (f.reduceat(np.append(lcp, 0), bounds)[::2] for f in (np.minimum, np.maximum))
     even = shallow == deep
@@ -474,10 +472,30 @@ def _sorted_repeats(data: np.ndarray, sizes: np.ndarray, begins: np.ndarray, pie
     change = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | (left[1:] == 255) | (left[:-1] == 255))])
     diverse = change[high] > change[low]
     low, high, length = low[diverse], high[diverse], length[diverse]
-    n = high - low + 1
-    group = np.repeat(np.arange(len(low)), n)
-    member = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return [group, np.repeat(length, n), piece[member], offset[member]]
+    ends = np.cumsum(high - low + 1)
+    done = 0
+    while done < len(low):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SORTED, "right")))
+        a, b, size = low[done:stop], high[done:stop], length[done:stop]
+        done = stop
+        n = b - a + 1
+        group = np.repeat(np.arange(len(a)), n)
+        member = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield [group, np.repeat(size, n), piece[member], offset[member]]
+
+
+def covered(key: np.ndarray, offset: np.ndarray, length: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Marks by context, those of one context and document that overlap or touch as one: later documents lose the same bytes."""
+    order = np.lexsort((offset, least, key))
+    key, offset, least = key[order], offset[order].astype(np.int64), least[order]
+    end = offset + length[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (least[1:] != least[:-1])]) if len(key) else np.zeros(0, bool)
+    group = np.cumsum(new) << 8  # ends are below 256
+    reached = np.maximum.accumulate(end + group) - group
+    new[1:] |= offset[1:] > reached[:-1]
+    first = np.flatnonzero(new)
+    end = np.maximum.reduceat(end, first) if len(first) else end
+    return key[first], offset[first].astype(np.uint8), (end - offset[first]).astype(np.uint8), least[first]
 
 
 def marks(found: DataFrame) -> DataFrame:
@@ -511,9 +529,7 @@ def marks(found: DataFrame) -> DataFrame:
             least = np.minimum.reduceat(low[piece], first)[group]
             some = (high[piece] > least) & ~((offset == 0) & (length == sizes[piece]) & (least == low[piece]))
             out.append((ids[piece[some]], offset[some].astype(np.uint8), length[some].astype(np.uint8), least[some]))
-        key, offset, length, least = map(np.concatenate, zip(*out))
-        order = np.argsort(key, kind="stable")
-        blob = pack(key[order], offset[order], length[order], least[order])
+        blob = pack(*covered(*map(np.concatenate, zip(*out))))
         return pa.table({"bucket": table.column("bucket")[:1], "answer": pa.array([blob], pa.binary())}, schema=pa.schema([("bucket", pa.int64()), ("answer", pa.binary())]))
 
     return found.select("bucket", "blob").groupBy("bucket").applyInArrow(solve, "bucket long, answer binary")

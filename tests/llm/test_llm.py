@@ -297,6 +297,21 @@ def test_substrings_dealt_out_twice(docs, rows, part_bytes, recut_bytes, monkeyp
     assert got == sorted((x[:5] for x in brute.substrings(rows)), key=str)
 
 
+def test_marks_that_overlap_are_one():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 60):
+        key, least = rng.integers(0, 4, n).astype(np.uint64), rng.integers(1, 4, n)
+        offset, length = rng.integers(0, 60, n), rng.integers(1, 20, n)
+        got = suffix.covered(key, offset.astype(np.uint8), length.astype(np.uint8), least)
+
+        def bytes_of(key, offset, length, least):
+            return {(k, d, b) for k, o, m, d in zip(key.tolist(), offset.tolist(), length.tolist(), least.tolist()) for b in range(o, o + m)}
+
+        assert bytes_of(*got) == bytes_of(key, offset, length, least) and len(got[0]) <= n
+        ends = sorted(zip(got[0].tolist(), got[3].tolist(), got[1].tolist(), (got[1].astype(int) + got[2]).tolist()))
+        assert all(a[:2] != b[:2] or a[3] < b[2] for a, b in zip(ends, ends[1:])) and (np.diff(got[0].astype(int)) >= 0).all()
+
+
 def test_owners_over_blocks(monkeypatch):
     """Windows have the same owners however a long text is cut."""
     rng = random.Random(7)
