@@ -255,14 +255,14 @@ def mask_pipeline_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VOXELS_SQL + _grown("a", V.element((3, 3, 2))))
 def mask_pipeline_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clinical target with 5 mm, which is more than one voxel and less than three."""
-    text = '{"description": "Expand CTV by 5mm to create PTV", "operations": [{"type": "expand", "structures": ["CTV"], "parameters": {"margin_mm": 5.0, "kernel_type": "ball"}}]}'
+    text = '{"operations": [{"type": "expand", "structures": ["CTV"], "parameters": {"margin_mm": 5.0, "kernel_type": "ball"}}]}'
     return P.run(P.parse_json(text), _rois(spark, sf_dir, CTV="A"), SIZE, (2.0, 2.0, 2.5), dialect="executor")
 
 
 @query(VOXELS_SQL + f", u AS (SELECT * FROM a UNION SELECT * FROM b), {_smoothed('u', 's', V.element((1, 1, 1)))} SELECT * FROM s")
 def mask_pipeline_bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left and right in one structure, smoothed."""
-    text = '{"description": "Combine left and right parotids into single structure", "operations": [{"type": "union", "structures": ["Parotid_L", "Parotid_R"]}, {"type": "smooth", "parameters": {"smoothing_mm": 2.0, "iterations": 1}}]}'
+    text = '{"operations": [{"type": "union", "structures": ["Parotid_L", "Parotid_R"]}, {"type": "smooth", "parameters": {"smoothing_mm": 2.0, "iterations": 1}}]}'
     return P.run(P.parse_json(text), _rois(spark, sf_dir, Parotid_L="A", Parotid_R="R"), SIZE, (2.0, 2.0, 2.5), dialect="executor")
 
 
@@ -272,7 +272,7 @@ _B113 = V.element((1, 2, 1))
 @query(_RECURSIVE + f", {_N_MASK}, u AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM n), {_smoothed('u', 's', _B113)}, {_smoothed('s', 't', _B113)}, {_holes('t', 'h')} SELECT * FROM h")
 def mask_pipeline_avoidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several steps: the margins of the first two are lost, as the union starts anew from the structures."""
-    text = """{"description": "Create complex avoidance structure with multiple operations", "operations": [
+    text = """{"operations": [
       {"type": "expand", "structures": ["Lung_L"], "parameters": {"margin_mm": 3.0, "kernel_type": "ball"}}, {"type": "expand", "structures": ["Lung_R"], "parameters": {"margin_mm": 3.0, "kernel_type": "ball"}},
       {"type": "union", "structures": ["Lung_L", "Lung_R", "Heart"]}, {"type": "smooth", "parameters": {"smoothing_mm": 2.5, "iterations": 2}}, {"type": "fill_holes"}]}"""
     return P.run(P.parse_json(text), _rois(spark, sf_dir, Lung_L="A", Lung_R="R", Heart="N"), SIZE, (2.5, 1.5, 3.0), dialect="executor")

@@ -319,7 +319,7 @@ def stale(cached: Column, as_of: Column, minutes: int = 30) -> Column:
 
 def url_error(url: Column) -> Column:
     """Why a base URL is refused: it has no slash at its end. An empty one is not refused."""
-    return F.when((F.coalesce(url, F.lit("")) != "") & ~url.endswith("/"), "The base URL must end with a trailing slash (/). Please add this / at the end of the URL.")
+    return F.when((F.coalesce(url, F.lit("")) != "") & ~url.endswith("/"), "no slash at the end of the base URL")
 
 
 def with_slash(url: Column) -> Column:
