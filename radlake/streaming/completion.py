@@ -20,9 +20,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class Series(StatefulProcessor):
     """Of each sender: the open series, its files, its SOP UIDs, and the series that are complete.
 
-    Files are appended to a list and SOP UIDs put into a map one by one, so a batch
-    writes as much state as it has rows; only when a series ends are they read.
-    Rows of a micro-batch come in no order: those of a sender are sorted by time.
+    A series that begins and ends in one micro-batch never becomes state. Of one that
+    stays open, files are appended to a list and SOP UIDs put into a map one by one,
+    so a batch writes at most as much state as it has rows; only when the series ends
+    are they read. Rows of a micro-batch come in no order: those of a sender are
+    sorted by time.
     """
 
     def __init__(self, count_repeats: bool, drop_late: bool, quiet_ms: int):
@@ -35,68 +37,77 @@ class Series(StatefulProcessor):
         self.sops = handle.getMapState("sops", "sop_uid string", "n long")
         self.complete = handle.getMapState("complete", "series_uid string", "n long", ttlDurationMs=REMEMBERED_MS if self.drop_late else None)
 
-    def ended(self, key: tuple) -> tuple:
-        """The open series as a row; its state goes."""
-        uid, n, first, last = self.open.get()
-        files = list(self.files.get())
+    def ended(self, key: tuple, now: list, added: list[tuple], kept: bool) -> tuple:
+        """The open series as a row, with files that came in this batch; kept: some of it is state, which goes."""
+        uid, n, first, last = now
+        files = (list(self.files.get()) if kept else []) + added
         sops = list(dict.fromkeys(f[0] for f in files))
-        self.open.clear()
-        self.files.clear()
-        self.sops.clear()
+        if kept:
+            self.open.clear()
+            self.files.clear()
+            self.sops.clear()
         if self.drop_late:
             self.complete.updateValue((uid,), (n,))
         return key[0], uid, n, first, last, sops, [f[1] for f in files], False
 
-    def quiet(self, timers, again: bool) -> None:
-        """The timer of the sender's silence, set anew."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def quiet(self, timers, before: bool, again: bool) -> None:
+        """The timer of the sender's silence, set anew; before: a series was open, so there is one."""
+        if before:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         if again:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.quiet_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat([b[["ts", "event_id", "series_uid", "sop_uid", "path", "released"]] for b in rows]).sort_values(["ts", "event_id"])
-        now = list(self.open.get()) if self.open.exists() else None
+        before = self.open.exists()
+        now, kept = (list(self.open.get()), True) if before else (None, False)
         out: list[tuple] = []
         late: dict[str, list] = {}
+        # of the open series: files and SOP UIDs of this batch
         added: list[tuple] = []
+        seen: set = set()
+        complete: dict[str, bool] = {}
 
-        def keep() -> None:
-            if added:
-                self.files.appendList(added)
-                added.clear()
-            if now is not None:
-                self.open.update(tuple(now))
+        def is_complete(uid) -> bool:
+            if uid not in complete:
+                complete[uid] = self.complete.containsKey((uid,))
+            return complete[uid]
 
         for ts, uid, sop, path, released in zip(batch.ts, batch.series_uid, batch.sop_uid, batch.path, batch.released):
-            if not released and self.drop_late and (now is None or now[0] != uid) and self.complete.containsKey((uid,)):
-                seen = late.setdefault(uid, [0, ts, ts])
-                seen[0], seen[2] = seen[0] + 1, ts
+            if not released and self.drop_late and (now is None or now[0] != uid) and is_complete(uid):
+                times = late.setdefault(uid, [0, ts, ts])
+                times[0], times[2] = times[0] + 1, ts
                 continue
             if now is not None and (released or now[0] != uid):
-                keep()
-                out.append(self.ended(key))
-                now = None
+                out.append(self.ended(key, now, added, kept))
+                complete[now[0]] = True
+                now, kept, added, seen = None, False, [], set()
             if released:
                 continue
             if now is None:
                 now = [uid, 0, ts, ts]
             now[3] = ts
-            fresh = not self.sops.containsKey((sop,))
+            fresh = sop not in seen and not (kept and self.sops.containsKey((sop,)))
             if fresh:
-                self.sops.updateValue((sop,), (1,))
+                seen.add(sop)
             if fresh or self.count_repeats:
                 now[1] += 1
                 added.append((sop, path))
-        keep()
-        self.quiet(timerValues, now is not None)
+        if now is not None:
+            if added:
+                self.files.appendList(added)
+            for sop in seen:
+                self.sops.updateValue((sop,), (1,))
+            self.open.update(tuple(now))
+        self.quiet(timerValues, before, now is not None)
         out += [(key[0], uid, n, first, last, [], [], True) for uid, (n, first, last) in late.items()]
         if out:
             yield pd.DataFrame(out, columns=_NAMES)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            yield pd.DataFrame([self.ended(key)], columns=_NAMES)
+            yield pd.DataFrame([self.ended(key, list(self.open.get()), [], True)], columns=_NAMES)
 
     def close(self) -> None:
         pass

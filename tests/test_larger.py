@@ -1,10 +1,13 @@
 """Queries on small tables of which a key or a count is as in much larger ones; compared with their SQL."""
 
+import datetime as dt
+
 import duckdb
 import pandas as pd
 import pytest
 
 from radlake import queries
+from radlake.streaming import completion
 
 
 def differs(spark, name, folder, tables):
@@ -29,3 +32,19 @@ def test_ids_of_more_than_six_digits(spark, tmp_path, name):
         "supplier": pd.DataFrame({"s_suppkey": range(8), "s_name": [f"S{n}" for n in range(8)]}),
     }
     assert not differs(spark, name, tmp_path, tables)
+
+
+def test_series_within_a_batch_are_no_state(spark, tmp_path):
+    """One sender, 60 series of 5 files in a batch, the last of which stays open: state is written for that one only."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(n, t + dt.timedelta(seconds=n), 1, f"s{n // 5}", f"{n}", f"/{n}", False) for n in range(300)]
+    schema = "event_id long, ts timestamp, ae long, series_uid string, sop_uid string, path string, released boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    writer = completion.series_stream(stream).writeStream.format("memory").queryName("within").outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert [(r.series_uid, r.n, len(r.paths)) for r in spark.table("within").orderBy("first").collect()] == [(f"s{k}", 5, 5) for k in range(59)]
+    assert max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows) < 20
