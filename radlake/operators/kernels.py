@@ -11,6 +11,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -169,35 +171,60 @@ def distance_map(mask: np.ndarray, spacing=(1.0, 1.0, 1.0), signed: bool = True)
     return np.where(mask, -d, d)
 
 
-def filled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inner and edge pixels (column, row) of a contour of whole pixels.
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of its run and the place in it of each element of runs of these lengths."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def filled_all(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner and edge pixels (contour, column, row) of contours of whole pixels, whose points lie one after the other.
 
     One point is a disc of radius 1, two are a line, more are a polygon filled
-    by crossings; the pixels on its edges count as well.
+    by crossings; the pixels on its edges count as well. Edge pixels may repeat.
     """
-    if len(points) == 1:
-        cross = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])
-        return points[:0], points + cross
-    ends = np.roll(points, -1, axis=0) if len(points) > 2 else points[1:]
-    edge = []
-    for (x0, y0), (x1, y1) in zip(points.tolist(), ends.tolist()):
-        n = max(abs(x1 - x0), abs(y1 - y0))
-        t = np.arange(n + 1) / max(n, 1)
-        edge.append(np.column_stack([np.floor(x0 + (x1 - x0) * t + 0.5), np.floor(y0 + (y1 - y0) * t + 0.5)]))
-    edge = np.unique(np.concatenate(edge).astype(np.int64), axis=0)
-    if len(points) == 2:
-        return points[:0], edge
-    inner = []
-    for y in range(points[:, 1].min(), points[:, 1].max() + 1):
-        low, high = np.minimum(points[:, 1], ends[:, 1]), np.maximum(points[:, 1], ends[:, 1])
-        hit = (low <= y) & (y < high)
-        (x0, y0), (x1, y1) = points[hit].T, ends[hit].T
-        cuts = np.sort(x0 + (y - y0) * (x1 - x0) / (y1 - y0))
-        for a, b in zip(cuts[::2], cuts[1::2]):
-            x = np.arange(np.ceil(a), np.floor(b) + 1)
-            inner.append(np.column_stack([x, np.full(len(x), y)]))
-    inner = np.unique(np.concatenate(inner).astype(np.int64), axis=0) if inner else points[:0]
-    return inner, edge
+    contour, place = _runs(counts)
+    n = counts[contour]
+    following = np.arange(len(points)) + 1 - np.where(place == n - 1, n, 0)
+    cross = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])
+    single = n == 1
+    discs = np.column_stack([np.repeat(contour[single], 5), (points[single][:, None] + cross).reshape(-1, 2)])
+    edges = (n > 2) | ((n == 2) & (place == 0))
+    (x0, y0), (x1, y1), contour, n = points[edges].T, points[following[edges]].T, contour[edges], n[edges]
+    steps = np.maximum(abs(x1 - x0), abs(y1 - y0))
+    e, at = _runs(steps + 1)
+    t = at / np.maximum(steps, 1)[e]
+    lines = np.column_stack([contour[e], *(np.floor(a[e] + (b - a)[e] * t + 0.5).astype(np.int64) for a, b in ((x0, x1), (y0, y1)))])
+    # each row from the lower end of an edge on, without the upper one, is crossed by it; crossings of a row come in pairs
+    low = np.minimum(y0, y1)
+    e, at = _runs(np.where(n > 2, abs(y1 - y0), 0))
+    y = low[e] + at
+    cut = x0[e] + (y - y0[e]) * (x1 - x0)[e] / (y1 - y0)[e]
+    order = np.lexsort((cut, y, contour[e]))
+    first, last = np.ceil(cut[order[::2]]).astype(np.int64), np.floor(cut[order[1::2]]).astype(np.int64)
+    of, at = _runs(np.maximum(last - first + 1, 0))
+    inner = np.column_stack([contour[e][order[::2]][of], first[of] + at, y[order[::2]][of]])
+    return inner, np.concatenate([discs, lines])
+
+
+def filled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner and edge pixels (column, row) of one contour, see filled_all."""
+    inner, edge = filled_all(points, np.array([len(points)]))
+    return np.unique(inner[:, 1:], axis=0), np.unique(edge[:, 1:], axis=0)
+
+
+#: Pixels of contours, by their boxes, that are worked out side by side.
+PIXELS = 1 << 20
+
+
+def _pixel_lines(cells: np.ndarray, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contour, row, word, bits) of pixels (contour, column, row) in the grid, 64 columns a word."""
+    c, x, y = cells[(cells[:, 1:] >= 0).all(axis=1) & (cells[:, 1] < size[1]) & (cells[:, 2] < size[0])].T
+    words = -(-size[1] // 64)
+    cell = np.unique(((c * size[0] + y) * words + x // 64) * 64 + x % 64)
+    line, start = np.unique(cell // 64, return_index=True)
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (cell % 64).astype(np.uint64), start) if len(cell) else np.zeros(0, np.uint64)
+    return line // words // size[0], line // words % size[0], line % words, bits.view(np.int64)
 
 
 def rasterised(contours: DataFrame, size: tuple[int, int]) -> DataFrame:
@@ -205,25 +232,36 @@ def rasterised(contours: DataFrame, size: tuple[int, int]) -> DataFrame:
 
     Points are rounded, ties to even. A pixel on an edge counts; one inside
     counts if an odd number of the contours of its mask and slice is around it.
-    i is the row (y), j the column (x).
+    i is the row (y), j the column (x). Contours are dealt out by mask and slice;
+    rows of pixels are shuffled as words of bits, not pixels.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, k, xs, ys in zip(batch["comparison_id"], batch["k"], batch["xs"], batch["ys"]):
-                points = np.around(np.column_stack([xs, ys])).astype(np.int64)
-                if len(points):
-                    for edge, cells in zip((False, True), filled(points)):
-                        good = cells[(cells >= 0).all(axis=1) & (cells[:, 0] < size[1]) & (cells[:, 1] < size[0])]
-                        out.append(pd.DataFrame({"comparison_id": key, "i": good[:, 1].astype("int32"), "j": good[:, 0].astype("int32"), "k": np.int32(k), "edge": edge}))
-            if out:
-                yield pd.concat(out)
+            xs, ys = batch.column("xs"), batch.column("ys")
+            counts = pc.fill_null(pc.list_value_length(xs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            points = np.around(np.column_stack([xs.flatten().to_numpy(zero_copy_only=False), ys.flatten().to_numpy(zero_copy_only=False)])).astype(np.int64)
+            rows = np.flatnonzero(counts)
+            starts = (np.cumsum(counts) - counts)[rows]
+            if not len(rows):
+                continue
+            box = np.prod(np.maximum.reduceat(points, starts) - np.minimum.reduceat(points, starts) + 3, axis=1) + counts[rows]
+            part = np.cumsum(box) // PIXELS
+            for chosen in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+                first, last = chosen[0], chosen[-1]
+                inner, edge = filled_all(points[starts[first] : starts[last] + counts[rows[last]]], counts[rows[chosen]])
+                for cells, is_edge in ((edge, True), (inner, False)):
+                    c, i, w, bits = _pixel_lines(cells, size)
+                    at, none = pa.array(rows[first] + c), pa.array(np.zeros(len(c), np.int64))
+                    columns = [batch.column("comparison_id").take(at), pa.array(i.astype(np.int32)), pa.array(w.astype(np.int32)), batch.column("k").take(at).cast(pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, *((pa.array(bits), none) if is_edge else (none, pa.array(bits)))], ["comparison_id", "i", "w", "k", "edge", "around"])
 
     kind = dict(contours.dtypes)["comparison_id"]
-    cells = contours.select("comparison_id", "k", "xs", "ys").mapInPandas(run, f"comparison_id {kind}, i int, j int, k int, edge boolean")
-    marked = cells.groupBy(*CELL).agg(F.max("edge").alias("_edge"), F.count_if(~F.col("edge")).alias("_around"))
-    return marked.filter(F.col("_edge") | (F.col("_around") % 2 == 1)).select(*CELL)
+    dealt = contours.select("comparison_id", "k", "xs", "ys").repartition("comparison_id", "k")
+    rows = dealt.mapInArrow(run, f"comparison_id {kind}, i int, w int, k int, edge long, around long")
+    words = rows.groupBy("comparison_id", "i", "w", "k").agg(F.expr("bit_or(edge) | bit_xor(around)").alias("bits")).filter("bits <> 0")
+    each = words.select("comparison_id", "i", "w", "k", "bits", F.explode(F.sequence(F.lit(0), F.length(F.bin("bits")) - 1)).alias("b"))
+    return each.filter("(shiftright(bits, b) & 1) = 1").select("comparison_id", "i", (F.col("w") * 64 + F.col("b")).cast("int").alias("j"), "k")
 
 
 def surface_dice(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, spacing=(1.0, 1.0, 1.0), axis_mode: str = "reference") -> float:

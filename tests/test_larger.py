@@ -3,10 +3,12 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from radlake import queries
+from radlake.operators import kernels as K
 from radlake.streaming import completion
 
 
@@ -48,3 +50,22 @@ def test_series_within_a_batch_are_no_state(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert [(r.series_uid, r.n, len(r.paths)) for r in spark.table("within").orderBy("first").collect()] == [(f"s{k}", 5, 5) for k in range(59)]
     assert max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows) < 20
+
+
+def test_contours_are_dealt_out_as_words(spark):
+    """Contours of one partition are worked out by several tasks; rows of pixels are shuffled; equal to one contour after the other."""
+    g = np.random.default_rng(3)
+    shapes = [(int(g.integers(0, 9)), g.integers(-9, 150, (int(g.integers(1, 8)), 2))) for _ in range(60)]
+    rows = [(k % 5, k // 20, [float(x) for x in p[:, 0]], [float(y) for y in p[:, 1]]) for k, (_, p) in enumerate(shapes)]
+    out = K.rasterised(spark.createDataFrame(rows, "comparison_id int, k int, xs array<double>, ys array<double>").coalesce(1), (100, 130))
+    around, edges = {}, set()
+    for k, (_, p) in enumerate(shapes):
+        inner, edge = K.filled(p)
+        for x, y in inner.tolist():
+            around[k % 5, y, x, k // 20] = around.get((k % 5, y, x, k // 20), 0) + 1
+        edges |= {(k % 5, y, x, k // 20) for x, y in edge.tolist()}
+    want = {c for c in edges | {c for c, n in around.items() if n % 2} if 0 <= c[1] < 100 and 0 <= c[2] < 130}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan[plan.index("MapInArrow") :] and "bit_xor" in plan
