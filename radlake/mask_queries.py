@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import kernels as K
 from .operators import voxels as V
 from .plans import masks as P
-from .queries import SIZE, VOXELS_SQL, _axis, _axis_rows, _cells, _mask
+from .queries import SIZE, VOXELS_SQL, _axis, _axis_rows, _cells, _marked, _mask
 from .registry import ORACLE_SQL, query
 
 _GRID = "i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 6"
@@ -158,7 +158,7 @@ def _blurred(source: str, axis: str, last: int, weights: list[float]) -> str:
 x1 AS ({_blurred('x0', 'i', 7, K.gauss(1.0))}), x2 AS ({_blurred('x1', 'j', 7, K.gauss(1.0))}), x3 AS ({_blurred('x2', 'k', 6, K.gauss(0.5))}) SELECT comparison_id, i, j, k FROM x3 WHERE x > 0.3137""")
 def voxel_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blurred mask above a threshold, at unequal spacings."""
-    return P.run([{"type": "gaussian_smooth", "parameters": {"sigma_mm": 1.0, "threshold": 0.3137}}], {}, SIZE, (1.0, 1.0, 2.0), start=_mask(spark, sf_dir, "A"))
+    return P.run([{"type": "gaussian_smooth", "parameters": {"sigma_mm": 1.0, "threshold": 0.3137}}], {}, SIZE, (1.0, 1.0, 2.0), start=_marked(spark, sf_dir, "A"))
 
 
 _NEAR = ", ".join(str(o) for o in K.FACES if o != (0, 0, 0))
@@ -176,13 +176,13 @@ _RECURSIVE = VOXELS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query(_RECURSIVE + f", {_parts('a')}, best AS (SELECT comparison_id, label FROM (SELECT comparison_id, label, row_number() OVER (PARTITION BY comparison_id ORDER BY n DESC, label) AS q FROM (SELECT DISTINCT comparison_id, label, n FROM parts)) WHERE q = 1) SELECT comparison_id, i, j, k FROM parts JOIN best USING (comparison_id, label)")
 def voxel_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.run([{"type": "keep_largest"}], {}, SIZE, start=_mask(spark, sf_dir, "A"))
+    return P.run([{"type": "keep_largest"}], {}, SIZE, start=_marked(spark, sf_dir, "A"))
 
 
 @query(_RECURSIVE + f", {_parts('a')} SELECT comparison_id, i, j, k FROM parts WHERE n >= 5")
 def voxel_without_small_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components under 10 mm3 at 2.5 mm3 a voxel and a bit more go: five voxels are needed."""
-    return P.run([{"type": "remove_small_components", "parameters": {"min_size_mm3": 10.1}}], {}, SIZE, (1.0, 1.0, 2.5), start=_mask(spark, sf_dir, "A"))
+    return P.run([{"type": "remove_small_components", "parameters": {"min_size_mm3": 10.1}}], {}, SIZE, (1.0, 1.0, 2.5), start=_marked(spark, sf_dir, "A"))
 
 
 @query(_RECURSIVE + f""", u AS (SELECT * FROM a UNION SELECT * FROM b), e AS (SELECT DISTINCT comparison_id FROM u), g AS (SELECT comparison_id, i, j, k FROM e, range(-1, 9) x(i), range(-1, 9) y(j), range(-1, 8) z(k)), f AS (SELECT * FROM g EXCEPT SELECT * FROM u),
@@ -194,7 +194,7 @@ def voxel_filled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VOXELS_SQL + f"""SELECT comparison_id, 'gaps' AS way, i, j, k FROM (SELECT * FROM ({_shrunk('(' + _grown('a', _B1, False) + ')', _B1)}) WHERE {_GRID}) UNION ALL SELECT comparison_id, 'protrusions', i, j, k FROM ({_grown('(' + _shrunk('(SELECT * FROM a UNION SELECT * FROM b)', _B1) + ')', _B1)})""")
 def voxel_gaps_and_protrusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, both = _mask(spark, sf_dir, "A"), V.combine(_cells(spark, sf_dir), "union")
+    a, both = _marked(spark, sf_dir, "A"), V.combine(_cells(spark, sf_dir), "union")
     closed = P.run([{"type": "close_gaps", "structures": ["a"], "parameters": {"gap_size_mm": 1.0}}], {"a": a}, SIZE)
     opened = P.run([{"type": "remove_protrusions", "structures": ["a"], "parameters": {"protrusion_size_mm": 1.0}}], {"a": both}, SIZE)
     named = lambda df, n: df.select("comparison_id", F.lit(n).alias("way"), "i", "j", "k")
@@ -220,7 +220,7 @@ _N_MASK = "n AS (SELECT DISTINCT l_suppkey AS comparison_id, (l_partkey % 8)::IN
 
 
 def _rois(spark: SparkSession, sf_dir: str, **names: str) -> dict[str, DataFrame]:
-    return {name: _mask(spark, sf_dir, flag) for name, flag in names.items()}
+    return {name: _marked(spark, sf_dir, flag) for name, flag in names.items()}
 
 
 @query(_RECURSIVE + f", m AS ({_grown('a', _B1)}), s AS (SELECT * FROM m EXCEPT SELECT * FROM b), {_holes('s', 'h')}, {_parts('h')} SELECT comparison_id, i, j, k FROM parts WHERE n >= 4")
@@ -241,7 +241,7 @@ c5 AS ({_shrunk('c4', V.element((1, 1, 1), 'cross'))}), c6 AS ({_grown('c5', V.e
 def mask_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pipeline in text form, from a start mask."""
     rois = _rois(spark, sf_dir, reference="A", test="R")
-    rois["body"] = _mask(spark, sf_dir, "A").union(_mask(spark, sf_dir, "N"))
+    rois["body"] = _marked(spark, sf_dir, "A").union(_marked(spark, sf_dir, "N"))
     return P.run(P.parse_text(_TEXT), rois, SIZE, start=rois["reference"])
 
 

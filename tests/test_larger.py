@@ -9,6 +9,7 @@ import pytest
 
 from radlake import queries
 from radlake.operators import kernels as K
+from radlake.operators import voxels as V
 from radlake.streaming import completion
 
 
@@ -69,3 +70,12 @@ def test_contours_are_dealt_out_as_words(spark):
     assert set(got) == want and len(got) == len(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan[plan.index("MapInArrow") :] and "bit_xor" in plan
+
+
+def test_membership_shuffles_lines(spark):
+    """Copies of voxels count once; lines are grouped, not voxels."""
+    a = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 63), (1, 0, 0, 64), (2, 0, 0, 200)], "comparison_id int, i int, j int, k int")
+    b = spark.createDataFrame([(1, 0, 0, 63), (1, 0, 1, 5), (1, 0, 1, 5)], "comparison_id int, i int, j int, k int")
+    cells = V.membership(a, b)
+    assert sorted(map(tuple, cells.collect())) == [(1, 0, 0, 0, True, False), (1, 0, 0, 63, True, True), (1, 0, 0, 64, True, False), (1, 0, 1, 5, False, True), (2, 0, 0, 200, True, False)]
+    assert dict(cells.dtypes)["k"] == "int" and "bit_or" in cells._jdf.queryExecution().optimizedPlan().toString()
