@@ -119,7 +119,12 @@ def _answers(df: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     return df.select(*out)
 
 
-def query(level: str, params: dict[str, str], catalog: dict[str, DataFrame], max_results: int = MAX_RESULTS, strict: bool = False) -> DataFrame:
+def _first(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """The first rows by order; all, if there is no limit: a limit passes its rows through one task."""
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+def query(level: str, params: dict[str, str], catalog: dict[str, DataFrame], max_results: int | None = MAX_RESULTS, strict: bool = False) -> DataFrame:
     """Answers to a query at a level: PATIENT, STUDY (if none is given), SERIES or IMAGE; another level has none.
 
     catalog: patients, studies, series, instances and rt (returned structure
@@ -127,7 +132,7 @@ def query(level: str, params: dict[str, str], catalog: dict[str, DataFrame], max
     own; Modality RTSTRUCT asks for these only, another one but * for images
     only. Structure sets are found by their own re-identified UIDs, at image
     level by the catalog's study UID; those without a series count in the limit
-    but have no answer.
+    but have no answer. max_results None: all answers, in no order.
     """
     level = (level or "STUDY").upper()
     studies = catalog["studies"].join(catalog["patients"], "patient_id")
@@ -135,9 +140,9 @@ def query(level: str, params: dict[str, str], catalog: dict[str, DataFrame], max
         return studies.limit(0).select()
     if level == "PATIENT":
         found = _matching(catalog["patients"], level, params, _PATIENT, strict)
-        return _answers(found.orderBy("patient_id").limit(max_results), {"QueryRetrieveLevel": F.lit(level), **_PATIENT})
+        return _answers(_first(found, max_results, "patient_id"), {"QueryRetrieveLevel": F.lit(level), **_PATIENT})
     if level == "STUDY":
-        found = _matching(studies, level, params, _PATIENT | _STUDY, strict).orderBy("study_uid").limit(max_results)
+        found = _first(_matching(studies, level, params, _PATIENT | _STUDY, strict), max_results, "study_uid")
         n = catalog["series"].groupBy("study_uid").agg(F.sum("instance_count").alias("_n"))
         number = F.coalesce(F.col("_n"), F.lit(0)).cast("string")
         return _answers(found.join(n, "study_uid", "left"), {"QueryRetrieveLevel": F.lit(level), **_PATIENT, **_STUDY, "ModalitiesInStudy": "modality", "NumberOfStudyRelatedInstances": number})
@@ -146,20 +151,20 @@ def query(level: str, params: dict[str, str], catalog: dict[str, DataFrame], max
     rt = catalog["rt"].filter("rt_path IS NOT NULL").withColumnRenamed("series_uid", "_of").join(series.withColumnRenamed("series_uid", "_of").withColumn("_known", F.lit(True)), "_of", "left")
     of_rt = _PATIENT | _STUDY | {"SeriesInstanceUID": "rt_series_uid", "SeriesDescription": "series_description", "SOPInstanceUID": "rt_sop_uid"}
     if level == "SERIES":
-        images = _matching(series, level, params, _PATIENT | _STUDY | _SERIES, strict).orderBy("series_uid").limit(max_results)
+        images = _first(_matching(series, level, params, _PATIENT | _STUDY | _SERIES, strict), max_results, "series_uid")
         shown = tags | {"Modality": F.lit(""), "NumberOfSeriesRelatedInstances": F.coalesce(F.col("instance_count"), F.lit(0)).cast("string")}
         rt = _matching(rt, level, params, of_rt | {"StudyInstanceUID": "rt_study_uid"}, strict)
         description = F.coalesce(F.nullif("series_description", F.lit("")), F.lit("RT Structure Set"))
         of_set = tags | {"SeriesInstanceUID": "rt_series_uid", "SeriesDescription": description, "Modality": F.lit("RTSTRUCT"), "NumberOfSeriesRelatedInstances": F.lit("1")}
     else:
         joined = catalog["instances"].select("sop_uid", "series_uid", "path", *[c for c in ("sop_class_uid", "instance_number") if c in catalog["instances"].columns]).join(series, "series_uid")
-        images = _matching(joined, level, params, _PATIENT | _STUDY | _SERIES | {"SOPInstanceUID": "sop_uid"}, strict).orderBy("sop_uid", "path").limit(max_results)
+        images = _first(_matching(joined, level, params, _PATIENT | _STUDY | _SERIES | {"SOPInstanceUID": "sop_uid"}, strict), max_results, "sop_uid", "path")
         shown = tags | {"Modality": F.lit(""), "SOPInstanceUID": "sop_uid", "SOPClassUID": "sop_class_uid", "InstanceNumber": "instance_number"}
         rt = _matching(rt, level, params, of_rt, strict)
         of_set = tags | {"SeriesInstanceUID": "rt_series_uid", "Modality": F.lit("RTSTRUCT"), "SOPInstanceUID": "rt_sop_uid"}
         of_set |= {"SOPClassUID": F.coalesce(F.nullif("rt_sop_class_uid", F.lit("")), F.lit(RT_SOP_CLASS)), "InstanceNumber": F.lit("1")}
     images = _answers(images, shown)
-    sets = _answers(rt.orderBy("rt_id").limit(max_results).filter("_known"), of_set)
+    sets = _answers(_first(rt, max_results, "rt_id").filter("_known"), of_set)
     modality = (params.get("Modality") or "*").upper()
     return sets if modality == "RTSTRUCT" else images if modality != "*" else images.unionByName(sets)
 

@@ -79,3 +79,9 @@ def test_membership_shuffles_lines(spark):
     cells = V.membership(a, b)
     assert sorted(map(tuple, cells.collect())) == [(1, 0, 0, 0, True, False), (1, 0, 0, 63, True, True), (1, 0, 0, 64, True, False), (1, 0, 1, 5, False, True), (2, 0, 0, 200, True, False)]
     assert dict(cells.dtypes)["k"] == "int" and "bit_or" in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_levels_without_a_limit(spark, tmp_path):
+    """All answers are counted; they don't pass one task."""
+    plan = queries.QUERIES["query_levels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan and "Sort" not in plan
