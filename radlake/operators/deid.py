@@ -77,6 +77,11 @@ def frame_uid(deid_series_uid: Column, series_uid: Column, secret: bytes) -> Col
     return F.concat_ws(".", deid_series_uid, digits(series_uid, 1000, 9999, "frame", secret).cast("string"))
 
 
+def _behind(n: Column) -> Column:
+    """The number behind a UID that was drawn before; the first has none."""
+    return F.when(n > 0, n.cast("string")).otherwise("")
+
+
 def apart(drawn: DataFrame, key: str, within: list[str], length: Column, known: DataFrame | None = None) -> DataFrame:
     """(within, key, uid): of keys that drew the same UID the first keeps it, the others get a number behind its last digits.
 
@@ -86,24 +91,41 @@ def apart(drawn: DataFrame, key: str, within: list[str], length: Column, known:
     """
     mine = [*within, key]
     if known is None:
-        known = drawn.limit(0)
+        number = F.row_number().over(W.partitionBy(*within, "uid").orderBy(key)) - 1
+        return drawn.withColumn("_n", number).select(*mine, F.concat("uid", _behind(F.col("_n"))).alias("uid"))
     every = drawn.withColumn("_new", F.lit(True)).join(known.select(*mine, F.col("uid").alias("_given")), mine, "full")
     every = every.withColumn("_base", F.coalesce(F.substring(F.col("_given"), F.lit(1), length), "uid"))
     number = F.when(F.col("_given").isNotNull(), F.coalesce(F.nullif(F.substring(F.col("_given"), length + 1, F.lit(64)), F.lit("")).cast("int"), F.lit(0)))
     same = W.partitionBy(*within, "_base")
     every = every.withColumn("_top", F.max(number).over(same)).withColumn("_n", F.row_number().over(same.orderBy(F.col("_given").isNotNull(), key)) + F.coalesce("_top", F.lit(-1)))
-    uid = F.concat("_base", F.when(F.col("_n") > 0, F.col("_n").cast("string")).otherwise(""))
+    uid = F.concat("_base", _behind(F.col("_n")))
     return every.filter("_new").select(*mine, F.coalesce("_given", uid).alias("uid"))
 
 
+def _image_digits(secret: bytes) -> Column:
+    """What an image draws behind its series' UID."""
+    image = F.col("sop_uid")
+    return F.concat_ws(".", digits(image, 10**6, 10**7 - 1, "sop1", secret).cast("string"), digits(image, 100, 999, "sop2", secret).cast("string"))
+
+
+def with_sop_uids(images: DataFrame, secret: bytes, within: list[str]) -> DataFrame:
+    """Images with deid_sop_uid, as sop_uids() has it without known ones; null where deid_series_uid is.
+
+    within: columns that name a series, before and after. By a window in which
+    copies of an image count once: rows that lie together by one of these columns
+    are not shuffled again.
+    """
+    n = F.dense_rank().over(W.partitionBy(*within, "_drawn").orderBy("sop_uid")) - 1
+    rows = images.withColumn("_drawn", F.when(F.col("deid_series_uid").isNotNull(), _image_digits(secret))).withColumn("_n", n)
+    return rows.withColumn("deid_sop_uid", F.concat("deid_series_uid", F.lit("."), "_drawn", _behind(F.col("_n")))).drop("_drawn", "_n")
+
+
 def sop_uids(instances: DataFrame, secret: bytes, known: DataFrame | None = None) -> DataFrame:
     """(deid_series_uid, sop_uid, deid_sop_uid): the series' new UID, seven digits and three; images of a series never share one.
 
     instances: deid_series_uid, sop_uid, in any number of copies. known: earlier rows.
     """
-    image = F.col("sop_uid")
-    uid = F.concat_ws(".", "deid_series_uid", digits(image, 10**6, 10**7 - 1, "sop1", secret).cast("string"), digits(image, 100, 999, "sop2", secret).cast("string"))
-    drawn = instances.select("deid_series_uid", "sop_uid").distinct().withColumn("uid", uid)
+    drawn = instances.select("deid_series_uid", "sop_uid").distinct().withColumn("uid", F.concat_ws(".", "deid_series_uid", _image_digits(secret)))
     given = known.select("deid_series_uid", "sop_uid", F.col("deid_sop_uid").alias("uid")) if known is not None else None
     return apart(drawn, "sop_uid", ["deid_series_uid"], F.length("deid_series_uid") + 12, given).select("deid_series_uid", "sop_uid", F.col("uid").alias("deid_sop_uid"))
 
@@ -115,9 +137,7 @@ def deidentify(series: DataFrame, studies: DataFrame, instances: DataFrame, expo
     exports a pending row. A study that has a new UID already keeps it.
     """
     known = studies.filter("deid_study_uid IS NOT NULL").select("study_uid", "deid_study_uid")
-    new = study_uids(studies, secret, known)
-    wanted = series.select("series_uid", "study_uid").distinct()
-    done = chosen.join(series_uids(wanted, new), "series_uid").join(wanted, "series_uid").join(new, "study_uid")
+    done = chosen.join(numbered_series(series, study_uids(studies, secret, known)), "series_uid")
     done = done.withColumns({"deid_frame_uid": frame_uid(F.col("deid_series_uid"), F.col("series_uid"), secret), "day": study_date(F.col("study_uid"), secret)})
     return write_back(series, studies, instances, exports, done, secret)
 
@@ -138,8 +158,8 @@ def write_back(series: DataFrame, studies: DataFrame, instances: DataFrame, expo
     of_study = done.groupBy("study_uid").agg(F.max("deid_study_uid").alias("_s"), F.max("day").alias("_d"))
     new_studies = studies.join(of_study, "study_uid", "left").withColumns({"deid_study_uid": F.coalesce("_s", "deid_study_uid"), "deid_study_date": F.coalesce("_d", "deid_study_date")}).drop("_s", "_d")
     images = instances.join(done.select("series_uid", "deid_series_uid"), "series_uid", "left")
-    of_image = sop_uids(images.filter("deid_series_uid IS NOT NULL"), secret).select("deid_series_uid", "sop_uid", F.col("deid_sop_uid").alias("_i"))
-    new_instances = images.join(of_image, ["deid_series_uid", "sop_uid"], "left").withColumn("deid_sop_uid", F.coalesce("_i", "deid_sop_uid")).drop("_i").select(*instances.columns)
+    images = with_sop_uids(images.withColumnRenamed("deid_sop_uid", "_before"), secret, ["series_uid", "deid_series_uid"])
+    new_instances = images.withColumn("deid_sop_uid", F.coalesce("deid_sop_uid", "_before")).select(*instances.columns)
     pending = done.select("series_uid", "archive", F.lit("PENDING").alias("transfer_status"))
     new_exports = exports.join(pending.select("series_uid"), "series_uid", "left_anti").unionByName(pending, allowMissingColumns=True)
     return {"series": new_series, "studies": new_studies, "instances": new_instances, "exports": new_exports}
@@ -253,10 +273,20 @@ def study_uids(studies: DataFrame, secret: bytes, known: DataFrame | None = None
     return apart(drawn, "study_uid", [], F.lit(len(UID_PREFIX) + len(widths) + sum(widths)), given).select("study_uid", F.col("uid").alias("deid_study_uid"))
 
 
+def with_series_uids(rows: DataFrame) -> DataFrame:
+    """Rows (study_uid, series_uid, deid_study_uid, ..) with deid_series_uid: the series of a study are numbered, in any number of rows."""
+    n = F.dense_rank().over(W.partitionBy("study_uid").orderBy("series_uid"))
+    return rows.withColumn("_n", n).withColumn("deid_series_uid", F.concat_ws(".", "deid_study_uid", F.col("_n").cast("string"))).drop("_n")
+
+
+def numbered_series(series: DataFrame, studies: DataFrame) -> DataFrame:
+    """(series_uid, study_uid, deid_study_uid, deid_series_uid)"""
+    return with_series_uids(series.select("series_uid", "study_uid").distinct().join(studies, "study_uid")).select("series_uid", "study_uid", "deid_study_uid", "deid_series_uid")
+
+
 def series_uids(series: DataFrame, studies: DataFrame) -> DataFrame:
     """(series_uid, deid_series_uid): numbered in each study."""
-    n = F.row_number().over(W.partitionBy("study_uid").orderBy("series_uid"))
-    return series.select("series_uid", "study_uid").distinct().withColumn("_n", n).join(studies, "study_uid").select("series_uid", F.concat_ws(".", "deid_study_uid", F.col("_n").cast("string")).alias("deid_series_uid"))
+    return numbered_series(series, studies).select("series_uid", "deid_series_uid")
 
 
 def study_date(study_uid: Column, secret: bytes) -> Column:

@@ -85,3 +85,32 @@ def test_levels_without_a_limit(spark, tmp_path):
     """All answers are counted; they don't pass one task."""
     plan = queries.QUERIES["query_levels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "GlobalLimit" not in plan and "Sort" not in plan
+
+
+def shuffles(spark, name):
+    """Shuffles of a query when no table is small enough to be sent to every task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("Exchange hashpartitioning")
+
+
+STORE = {
+    "lineitem": pd.DataFrame({
+        "l_orderkey": [1, 1, 1, 1, 2, 2, 3, 9, 4], "l_partkey": [5, 5, 6, 7, 5, 8, 6, 5, 5], "l_suppkey": [1, 1, 1, 2, 1, 7, 3, 1, 3], "l_linenumber": [1, 1, 2, 1, 1, 1, 3, 1, 2], "l_quantity": 30.0, "l_extendedprice": 1.0,
+        "l_returnflag": list("AARNARAAN"), "l_linestatus": "F", "l_shipdate": dt.datetime(2000, 1, 1),
+    }),
+    "orders": pd.DataFrame({"o_orderkey": [1, 2, 3, 4], "o_custkey": [1, 1, 2, 3], "o_orderdate": dt.datetime(1999, 1, 2), "o_orderpriority": ["1-URGENT", "5-LOW", "1-URGENT", "5-LOW"], "o_orderstatus": "F"}),
+    "customer": pd.DataFrame({"c_custkey": [1, 2, 3], "c_name": ["a b", "__c__", "#"], "c_mktsegment": "M"}),
+    "supplier": pd.DataFrame({"s_suppkey": [1, 2, 3, 3], "s_name": list("abcd")}),
+    "part": pd.DataFrame({"p_partkey": [5, 6, 8], "p_name": list("xyz"), "p_type": ["PROMO", "SMALL", "PROMO"]}),
+}
+
+
+@pytest.mark.parametrize("name", ["deid_tags", "deid_sop_uids"])
+def test_images_are_shuffled_once(spark, tmp_path, name):
+    """Images that come twice, a supplier that does, one that is missing, an image without a study; few shuffles."""
+    assert not differs(spark, name, tmp_path, STORE)
+    assert shuffles(spark, name) <= 7
