@@ -183,8 +183,12 @@ def _matched_by_rows(tags: DataFrame, rules: DataFrame, hierarchy: DataFrame) ->
 
 
 def evaluate_groups(matched: DataFrame) -> DataFrame:
-    """(series_uid, group_id, template_id, result, matched_sets) from match()."""
-    return matched.select("series_uid", F.inline("groups"))
+    """(series_uid, group_id, template_id, result, matched_sets) from match().
+
+    By the outer form: for the inner one Spark tests before that a series has
+    groups, and would judge all rules for that, each as often as it is named.
+    """
+    return matched.select("series_uid", F.inline_outer("groups")).filter("result IS NOT NULL")
 
 
 def assign(matched: DataFrame) -> DataFrame:
