@@ -277,6 +277,10 @@ def stream_late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("ae", "series_uid").agg(total(F.size("paths"), ~late).alias("files"), total(F.size("sop_uids"), ~late).alias("images"), total(F.col("n"), late).alias("late"))
 
 
+#: Rows of a file that is ingested, about.
+INGESTED = 1_000_000
+
+
 class _Stopped(Exception):
     """A run that is killed after a batch is written and before it is noted as done."""
 
@@ -286,13 +290,14 @@ def stream_ingest_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ingest is stopped in its second batch of five and started again: the catalog is that of one pass."""
     folder = files.shared_folder(spark, "ingest")
     rows = T.instances(spark, sf_dir).select("sop_uid", "series_uid", "path", "size")
-    rows.repartition(5, "path").write.mode("overwrite").parquet(f"{folder}/in")
+    batch = -(-rows.count() // (5 * INGESTED)) or 1  # files of a batch, so that a task's share does not grow with the input
+    rows.repartition(5 * batch, "path").write.mode("overwrite").parquet(f"{folder}/in")
 
     def stop(number: int) -> None:
         if number == 1:
             raise _Stopped
 
-    where = (f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/checkpoint", 1)
+    where = (f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/checkpoint", batch)
     try:
         ingest.ingest(spark, *where, seen=stop).awaitTermination()
     except StreamingQueryException:

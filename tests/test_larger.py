@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from radlake import queries
+from radlake import queries, stream_queries
 from radlake.operators import kernels as K
 from radlake.operators import voxels as V
 from radlake.streaming import completion
@@ -129,3 +129,15 @@ def test_names_are_made_safe_before_layouts(spark, tmp_path):
     plan = queries.QUERIES["storage_layout"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan[: plan.index("Generate")] and plan.count("Join") == 2
     assert shuffles(spark, "storage_layout") <= 4
+
+
+def test_files_of_a_batch_grow_in_number(spark, tmp_path, monkeypatch):
+    """Five batches, however many images there are; a file holds no more of them."""
+    monkeypatch.setattr(stream_queries, "INGESTED", 20)
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(stream_queries.files, "shared_folder", lambda spark, name: str(folder))
+    line = pd.concat([STORE["lineitem"].assign(l_orderkey=STORE["lineitem"].l_orderkey + 10 * n) for n in range(60)])
+    assert not differs(spark, "stream_ingest_restart", tmp_path, {"lineitem": line})
+    sizes = [len(pd.read_parquet(f)) for f in (folder / "in").glob("*.parquet")]
+    assert sum(sizes) == 540 and len(sizes) > 20 and max(sizes) <= 60
+    assert sorted(x.name for x in (folder / "out").glob("batch=*")) == [f"batch={n}" for n in range(5)]
