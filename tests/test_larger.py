@@ -5,10 +5,12 @@ import datetime as dt
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from radlake import queries, stream_queries
 from radlake.operators import kernels as K
+from radlake.operators import lines as L
 from radlake.operators import voxels as V
 from radlake.streaming import completion
 
@@ -141,3 +143,21 @@ def test_files_of_a_batch_grow_in_number(spark, tmp_path, monkeypatch):
     sizes = [len(pd.read_parquet(f)) for f in (folder / "in").glob("*.parquet")]
     assert sum(sizes) == 540 and len(sizes) > 20 and max(sizes) <= 60
     assert sorted(x.name for x in (folder / "out").glob("batch=*")) == [f"batch={n}" for n in range(5)]
+
+
+def test_small_masks_side_by_side(spark):
+    """Masks of a few lines share a block; equal to one mask after the other where batches cut through masks."""
+    few = pa.table({"comparison_id": np.repeat(np.arange(300), 3), "slab": np.zeros(900, int), "i": np.tile([0, 1, 3], 300), "j": np.tile([2, 0, 3], 300), "w": np.zeros(900, int), "bits": np.full(900, 5)})
+    assert [(len(row), bits.shape[0]) for row, bits, _ in L.blocks(few, (1, 1, 1), 16)] == [(300, 300)]
+    g = np.random.default_rng(5)
+    grids = {c: g.random((20, 6, 7)) < 0.6 for c in range(5)}
+    rows = L.lines(spark.createDataFrame(pd.concat([K.sparse(m, c) for c, m in grids.items()]), "comparison_id long, i int, j int, k int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        b = L.morph(rows, L.closing(K.ball(1.0)) + L.opening(K.ball(1.0)), (20, 6, 7))
+        got = {n: sorted(tuple(r) for r in L.voxels(d).collect()) for n, d in (("smooth", b), ("holes", K.filled_parts(rows, (20, 6, 7))))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, f in (("smooth", K.smooth), ("holes", K.fill_holes)):
+        assert got[name] == sorted((c, *map(int, x)) for c, m in grids.items() for x in np.argwhere(f(m)))
+    assert "FlatMapGroups" not in b._jdf.queryExecution().optimizedPlan().toString()
